@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op1_bpe
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
 from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op6_media_columns": op6_media_columns,
     "op10_quality_rules": op10_quality_rules,
