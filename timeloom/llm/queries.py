@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
+from .packing import op5_packing
 from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -49,5 +49,18 @@ def release(spark: SparkSession) -> int:
     return len(mine)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has a smaller bound.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes: a worker's memory follows neither row counts nor long texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
