@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .language_id import op2_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
@@ -15,6 +16,7 @@ from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
