@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import documents
+from .storage import documents, map_batches
 
 #: Pieces and token pairs whose results a worker keeps at most.
 KEPT_PIECES, KEPT_PAIRS, LONGEST_KEPT = 250_000, 400_000, 64
@@ -310,7 +310,7 @@ def _mapped(df: DataFrame, column: str, new: str, kind: str, arrow: pa.DataType,
             yield pa.record_batch([batch["row_"], pa.array([of(encoder, x.as_py()) for x in batch["in_"]], arrow)], ["row_", "out_"])
 
     boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != new]).alias("row_"), F.col(column).alias("in_"))
-    out = boxed.mapInArrow(run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, out_ {kind}")
+    out = map_batches(boxed, run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, out_ {kind}")
     return out.select("row_.*", F.col("out_").alias(new))
 
 
@@ -341,7 +341,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, DIGEST)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, DIGEST)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

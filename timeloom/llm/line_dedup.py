@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import documents, materialise
+from .storage import documents, map_batches, materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -82,7 +82,7 @@ def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` but ``text`` as one struct ``ld_row``, with ``ld_text`` (what is left of the text, null
     if it was null), ``ld_lines`` (before dropping) and ``ld_dropped``."""
-    keys = docs.select("doc_id", "text").mapInArrow(_keys(min_chars), "ld_doc long, ld_key binary")
+    keys = map_batches(docs.select("doc_id", "text"), _keys(min_chars), "ld_doc long, ld_key binary")
     keys = materialise(keys, "line-keys")
     # A hot key's rows on the left are split at run time: the join has nothing but exchanges below it.
     drops = (
@@ -94,7 +94,7 @@ def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("ld_row"), F.col("doc_id").alias("ld_id"), F.col("text").alias("ld_text"))
     joined = rows.join(drops, rows["ld_id"].eqNullSafe(drops["ld_doc"]), "left").select("ld_row", "ld_text", "ld_drops")
     kind = joined.schema["ld_row"].dataType.simpleString()
-    return joined.mapInArrow(_reassemble(min_chars), f"ld_row {kind}, ld_text string, ld_lines long, ld_dropped long")
+    return map_batches(joined, _reassemble(min_chars), f"ld_row {kind}, ld_text string, ld_lines long, ld_dropped long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

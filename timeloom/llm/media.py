@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import documents
+from .storage import documents, map_batches
 
 UNIT = 64
 TIMESCALE = 8000
@@ -241,7 +241,7 @@ def describe_column(files: DataFrame, column: str) -> DataFrame:
 
     boxed = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row_"), F.col(column).cast("binary").alias("media_"))
     about = "struct<codec:string,timescale:bigint,duration_ticks:bigint,n_samples:bigint,keyframes:array<struct<offset:bigint,length:bigint>>,error:string>"
-    out = boxed.mapInArrow(run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, about_ {about}")
+    out = map_batches(boxed, run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, about_ {about}")
     return out.select("row_.*", "about_.*")
 
 
@@ -262,4 +262,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(_digest, DIGEST)
+    return map_batches(documents(spark, sf_dir).select("doc_id", "text"), _digest, DIGEST)
