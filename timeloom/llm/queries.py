@@ -12,6 +12,7 @@ from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
 from .packing import op5_packing
+from .pii import op7_pii
 from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
+    "op7_pii": op7_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
