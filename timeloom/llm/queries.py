@@ -11,6 +11,7 @@ from .language_id import op2_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
+from .near_dedup import op9_near_dedup
 from .packing import op5_packing
 from .pii import op7_pii
 from .quality_rules import op10_quality_rules
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_pii": op7_pii,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
