@@ -170,7 +170,10 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """(term, entity, probability, bits, remove) of the words that are over the thresholds; None if no word has enough contexts."""
     near = materialise(near_words(found), "pii-near")
     pairs = near.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both"))
-    pairs = materialise(pairs.filter(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
+    # a word stands in at least as many documents as it stands near entities in: common words are out before texts are read for counts
+    seen = near.groupBy("term").agg(F.countDistinct("doc_id").alias("seen"))
+    pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(seen, "term").filter(F.col("both") >= MIN_PROBABILITY * F.col("seen")).drop("seen")
+    pairs = materialise(pairs, "pii-pairs")
     if pairs.isEmpty():
         return None
     total = docs.count()
