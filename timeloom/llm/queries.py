@@ -15,6 +15,7 @@ from .near_dedup import op9_near_dedup
 from .packing import op5_packing
 from .pii import op7_pii
 from .quality_rules import op10_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
