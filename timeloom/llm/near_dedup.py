@@ -5,10 +5,10 @@ until every bin is filled (Dahlgaard, Knudsen and Thorup 2017); each coordinate
 probability of their Jaccard similarity, and the share that agrees is concentrated about it. Bands of coordinates
 give candidates, and every link is verified on the full sets.
 
-Copies of one set are one node from the start. Pairs are never enumerated from a bucket: its members are compared, by
-their sketches, with the bucket's smallest member, and those unlike it with the next (so a bucket costs a row per member
-and kind of document in it), which joins documents to families. In a family, blocks of documents meet
-block by block, and a block pair returns a spanning forest of the links it finds. Links across families would need two
+Copies of one set are one node from the start. Pairs are never emitted from a bucket: its members are compared, by
+their sketches, with the bucket's smallest member, and those unlike it with each other in blocks that return
+spanning forests; this joins documents to families. In a family, blocks of documents meet block by block on
+their full sets, and a block pair returns a spanning forest of the links it finds. Links across families would need two
 documents over the threshold to share no band: at the threshold 1 pair in 8 million.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a document with fewer words than a shingle is one shingle. Defined cases:
@@ -32,11 +32,13 @@ from .storage import documents, map_batches, materialise
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 WORDS, PERCENT = 5, 80
-#: Estimated similarity from which a member joins the family of its bucket's smallest document, and from which it
-#: need not meet the next one: two documents over 0.8 are at most 0.2 apart, the rest is room for the sketch's error.
+#: Estimated similarity from which documents of a bucket are of one family, and from which a member need not meet others
+#: than the bucket's smallest document: two documents over 0.8 are at most 0.2 apart, the rest is room for the sketch's error.
 JOIN, LEAVE = 0.35, 0.75
 #: Documents and shingles in a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 250_000
+#: Rows of small buckets that go to one call, about.
+GROUP_ROWS = 20_000
 #: Documents up to which ids are broadcast to fetch their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
 _KEPT_WORDS = 200_000
@@ -139,27 +141,61 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["nd_id"], batch["nd_hub"], pa.array(est, pa.float64())], ["nd_id", "nd_hub", "nd_est"])
 
 
+def _forests(key: tuple, table: pa.Table) -> pa.Table:
+    """Of bucket blocks, a few of them a group: a spanning forest each of the pairs whose sketches are alike."""
+    table = table.combine_chunks()
+    block, ids = table["nd_block"].to_numpy(), table["nd_id"].to_numpy()
+    order = np.lexsort((ids, block))
+    block, ids = block[order], ids[order]
+    tails = np.frombuffer(b"".join(table["nd_bytes"].to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own, free = tails[lo:hi], np.ones(hi - lo, bool)
+        for start in range(hi - lo):
+            if not free[start]:
+                continue
+            free[start], todo = False, [start]
+            while todo and free.any():
+                same = (own == own[todo.pop()]).mean(axis=1)
+                new = np.flatnonzero(free & ((same - 1 / 256) / (1 - 1 / 256) >= JOIN))
+                free[new] = False
+                todo += new.tolist()
+                a += ids[lo + new].tolist()
+                b += [int(ids[lo + start])] * len(new)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def family_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between documents of a bucket that are alike enough to be of one family."""
+    """Edges (a, b) between documents of a bucket that are alike enough to be of one family.
+
+    First every member meets the bucket's smallest one. Those that are not close to it then meet each other, in
+    blocks of bounded size that return forests: a bucket never yields more edges than rows.
+    """
     sketches = nodes.select("nd_id", "nd_bytes")
-    rows = nodes.select("nd_id", F.explode("nd_bands").alias("nd_band")).withColumn("nd_free", F.lit(True))
-    edges = None
-    while True:
-        # the next smallest document that is in no family by this bucket, for those that still have to meet others
-        hubs = rows.groupBy("nd_band").agg(F.count("*").alias("c"), F.min(F.when(F.col("nd_free"), F.col("nd_id"))).alias("nd_hub"))
-        hubs = hubs.filter("c > 1 and nd_hub is not null").drop("c")
-        met = materialise(rows.join(hubs, "nd_band").filter("nd_id <> nd_hub"), "near-met")
-        pairs = met.select("nd_id", "nd_hub").distinct()
-        both = pairs.join(sketches.withColumnRenamed("nd_bytes", "nd_x"), "nd_id")
-        both = both.join(sketches.select(F.col("nd_id").alias("nd_hub"), F.col("nd_bytes").alias("nd_y")), "nd_hub")
-        rated = materialise(map_batches(both, _estimate, "nd_id long, nd_hub long, nd_est double"), "near-rated")
-        if rated.isEmpty():
-            break
-        alike = rated.filter(F.col("nd_est") >= JOIN).select(F.col("nd_id").alias("a"), F.col("nd_hub").alias("b"))
-        edges = alike if edges is None else edges.unionByName(alike)
-        left = met.join(rated.filter(F.col("nd_est") < LEAVE), ["nd_id", "nd_hub"])
-        rows = left.select("nd_id", "nd_band", (F.col("nd_free") & (F.col("nd_est") < JOIN)).alias("nd_free"))
-    return edges if edges is not None else nodes.sparkSession.createDataFrame([], "a long, b long")
+    rows = nodes.select("nd_id", F.explode("nd_bands").alias("nd_band"))
+    hubs = rows.groupBy("nd_band").agg(F.count("*").alias("c"), F.min("nd_id").alias("nd_hub")).filter("c > 1").drop("c")
+    met = materialise(rows.join(hubs, "nd_band").filter("nd_id <> nd_hub"), "near-met")
+    both = met.select("nd_id", "nd_hub").distinct().join(sketches.withColumnRenamed("nd_bytes", "nd_x"), "nd_id")
+    both = both.join(sketches.select(F.col("nd_id").alias("nd_hub"), F.col("nd_bytes").alias("nd_y")), "nd_hub")
+    rated = materialise(map_batches(both, _estimate, "nd_id long, nd_hub long, nd_est double"), "near-rated")
+    alike = rated.filter(F.col("nd_est") >= JOIN).select(F.col("nd_id").alias("a"), F.col("nd_hub").alias("b"))
+
+    left = met.join(rated.filter(F.col("nd_est") < LEAVE), ["nd_id", "nd_hub"])
+    left = materialise(left.select("nd_band", "nd_id", (F.col("nd_est") < JOIN).alias("nd_free")), "near-left")
+    size = left.groupBy("nd_band").agg(F.count("*").alias("c"), F.max("nd_free").alias("nd_any"))
+    size = size.filter("c > 1 and nd_any").select("nd_band", F.ceil(F.col("c") / BLOCK_DOCS).cast("int").alias("nd_blocks"))
+    dealt = _block_pairs(left.join(size, "nd_band"), "nd_band", "nd_id").select("nd_block", "nd_id").join(sketches, "nd_id")
+    groups = max(1, -(-left.count() // GROUP_ROWS))
+    dealt = dealt.withColumn("nd_group", F.pmod("nd_block", F.lit(groups)))
+    return alike.unionByName(dealt.groupBy("nd_group").applyInArrow(_forests, "a long, b long"))
+
+
+def _block_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
+    """Rows of a key dealt to ``nd_blocks`` blocks, once for each pair of blocks that theirs is in: ``nd_block`` names the pair."""
+    df = df.withColumn("nd_k", F.pmod(F.xxhash64(member), F.col("nd_blocks")).cast("int"))
+    pair = lambda j: F.xxhash64(key, F.least(j, F.col("nd_k")), F.greatest(j, F.col("nd_k")))
+    return df.withColumn("nd_block", F.explode(F.transform(F.sequence(F.lit(0), F.col("nd_blocks") - 1), pair)))
 
 
 def _sets(width: int):
@@ -222,10 +258,8 @@ def links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> Dat
     sets = materialise(map_batches(joined, _sets(width), "nd_id long, nd_family long, nd_items array<long>").dropDuplicates(["nd_id"]), "near-sets")
     size = sets.groupBy("nd_family").agg(F.count("*").alias("d"), F.sum(F.size("nd_items")).alias("s"))
     size = size.select("nd_family", F.ceil(F.greatest(F.col("d") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("nd_blocks"))
-    dealt = sets.join(size, "nd_family").withColumn("nd_k", F.pmod(F.xxhash64("nd_id"), F.col("nd_blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("nd_blocks") - 1), lambda j: F.struct(F.least(j, F.col("nd_k")).alias("i"), F.greatest(j, F.col("nd_k")).alias("j")))
-    dealt = dealt.withColumn("nd_pair", F.explode(others)).select("nd_family", "nd_pair.i", "nd_pair.j", "nd_id", "nd_items")
-    return dealt.groupBy("nd_family", "i", "j").applyInArrow(_links(percent), "a long, b long")
+    dealt = _block_pairs(sets.join(size, "nd_family"), "nd_family", "nd_id").select("nd_block", "nd_id", "nd_items")
+    return dealt.groupBy("nd_block").applyInArrow(_links(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
