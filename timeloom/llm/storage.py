@@ -35,16 +35,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.timeloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more. Spark's cleaner is asked, too, to drop the
+    shuffle files of jobs that are over, which it else does whenever the driver happens to collect its garbage."""
+    for df in tables:
+        spark = df.sparkSession
+        _delete(spark, df.timeloom_path)
+        _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != df.timeloom_path]
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table that ``materialise`` wrote in this session. Call after the results are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     mine = [p for s, p in _WRITTEN if s is spark]
     for path in mine:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
     _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if s is not spark]
     return len(mine)
 

@@ -1,16 +1,18 @@
 """Operator 8, suffix-array dedup: repeated byte strings of ``LENGTH`` bytes or more, by distributed prefix doubling.
 
-A position's rank is a fingerprint of the bytes that it is ranked by; equal ranks mean equal bytes, and grouping by rank is
+A position's rank is a fingerprint of the bytes that it is ranked by; equal ranks mean equal bytes, and grouping by rank does
 what sorting the rank pairs does in a suffix array. Ranks are compared at growing lengths, and positions leave as soon as
-they are unique or known to repeat past the threshold:
+they are unique or known to repeat past the threshold. Positions are ranked in runs:
 
-1. ``GRAM`` bytes, at sampled positions: each string of ``LENGTH`` bytes is ranked by the smallest hashed gram in it, so that
-   equal strings share that gram at the same place. Unique grams, with all strings they stand for, are out.
-2. All strings of a gram together: where the whole stretch they cover occurs again, all of them repeat.
-3. Of the rest, ``GRAM + HALF`` bytes to the left and to the right of the gram's start: one side must repeat.
-4. Of the rest, each string of ``LENGTH`` bytes by itself, against those of one representative of each repeated stretch.
+* A run is the strings of ``LENGTH`` bytes that share their smallest hashed gram of ``GRAM`` bytes, so that equal strings are in
+  runs of equal grams, at the same place. What all strings of a run have in common (first the gram) is its core,
+  what they cover together its stretch.
+* Runs whose core is unique are unique and leave. Runs whose stretch occurs again repeat as a whole and leave. The rest
+  is cut into shorter runs, which have longer cores, at ``WIDTHS`` strings each, and ranked again; the last ones
+  are single strings, where core and stretch are the same ``LENGTH`` bytes. Of runs that repeat, one
+  representative goes on where a run of the same core does.
 
-Nothing is sampled from the result: every string has its gram, and every repeat is found. A hot passage makes one row per
+Nothing is sampled from the result: every string is in a run, and every repeat is found. A hot passage makes one row per
 place and is counted by partial aggregation; no pairs are made.
 
 Texts are UTF-8 bytes; matches stay within documents. Defined cases: a null text is empty; texts shorter than ``LENGTH``
@@ -28,10 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import documents, map_batches, materialise
+from .storage import discard, documents, map_batches, materialise
 
-LENGTH, GRAM = 200, 32
-HALF = (LENGTH - GRAM) // 2
+LENGTH, GRAM = 200, 64
+#: Strings in a run, round by round.
+WIDTHS = (LENGTH - GRAM + 1, 18, 3, 1)
 #: Documents with repeats up to which their ids are broadcast to the texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
 _POSITION = 28
@@ -99,17 +102,32 @@ def anchors(grams: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np
     return at[first], first, np.concatenate([first[1:] - 1, [windows - 1]])
 
 
-_ANCHORS = "sd_doc long, sd_text long, pos int, lo int, hi int, g long, left long, right long, whole long"
+_RUNS = "sd_doc long, sd_text long, pos int, lo int, hi int, at int, core long, stretch long, wanted boolean"
+_PLACE = ["sd_doc", "sd_text", "pos", "lo", "hi", "at"]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+def _batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.bool_()]
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0)] * len(kinds)
+    return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _RUNS.split(", ")])
+
+
+def _text_key(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def _stretches(prints: Prints, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Fingerprints of what the strings lo to hi cover, and of where the gram stands there."""
+    return _signed(prints.of(lo, hi + LENGTH, (pos - lo) * LENGTH + hi - lo))
+
+
+def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in names]
+        rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = (text.as_py() or "").encode()
             if len(data) < LENGTH:
@@ -119,52 +137,40 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = Prints(data)
             grams = prints.runs(GRAM)
             pos, lo, hi = anchors(grams, len(data) - LENGTH + 1)
-            left, right = np.zeros((2, len(pos)), np.uint64)
-            has_left, has_right = pos >= HALF, pos + GRAM + HALF <= len(data)
-            left[has_left] = prints.of(pos[has_left] - HALF, pos[has_left] + GRAM)
-            right[has_right] = prints.of(pos[has_right], pos[has_right] + GRAM + HALF)
-            whole = prints.of(lo, hi + LENGTH, pos - lo)
-            key = np.int64(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-            row = (np.full(len(pos), doc), np.full(len(pos), key), pos, lo, hi, _signed(grams[pos]), _signed(left), _signed(right), _signed(whole))
-            for own, x in zip(parts, row, strict=True):
-                own.append(x)
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 4]
-        yield pa.record_batch([pa.array(np.concatenate(p).astype(k.to_pandas_dtype()) if p else [], k) for p, k in zip(parts, kinds, strict=True)], names)
-
-
-_STRINGS = "g long, f long, sd_doc long, sd_text long, s int, wanted boolean"
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string of the anchors that came with a text."""
-    for batch in batches:
-        for doc, text, listed in zip(batch["sd_doc"].to_pylist(), batch["text"], batch["listed"], strict=True):
-            data = (text.as_py() or "").encode()
-            key = xxhash.xxh3_64_intdigest(data) - (1 << 63)
-            own = [x for x in listed.as_py() if x["sd_text"] == key]
-            if not own:
-                continue
-            prints = Prints(data)
-            g, f, s, wanted = [], [], [], []
-            for x in own:
-                # strings with HALF bytes to the left of the gram need the left side to repeat, others the right one
-                split = x["pos"] - HALF
-                lo = x["lo"] if x["by_left"] else max(x["lo"], split + 1)
-                hi = x["hi"] if x["by_right"] else min(x["hi"], split)
-                at = np.arange(lo, hi + 1)
-                if len(at):
-                    f.append(prints.of(at, at + LENGTH, x["pos"] - at))
-                    s.append(at)
-                    g.append(np.full(len(at), x["g"]))
-                    wanted.append(np.full(len(at), x["wanted"]))
-            if not g:
-                continue
-            n = sum(map(len, g))
-            yield pa.record_batch(
-                [pa.array(np.concatenate(g), pa.int64()), pa.array(_signed(np.concatenate(f)), pa.int64()), pa.array(np.full(n, doc), pa.int64()),
-                 pa.array(np.full(n, key), pa.int64()), pa.array(np.concatenate(s).astype(np.int32), pa.int32()), pa.array(np.concatenate(wanted), pa.bool_())],
-                [x.split()[0] for x in _STRINGS.split(", ")],
-            )
+            n = len(pos)
+            rows.append((np.full(n, doc), np.full(n, _text_key(data)), pos, lo, hi, np.zeros(n), _signed(grams[pos]), _stretches(prints, pos, lo, hi), np.ones(n, bool)))
+        yield _batch(rows)
+
+
+def _shorter_runs(width: int, new: int):
+    """Cuts runs of ``width`` strings into runs of ``new`` ones. ``at``: bytes from a run's last string to the gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, listed in zip(batch["sd_doc"].to_pylist(), batch["text"], batch["listed"], strict=True):
+                data = (text.as_py() or "").encode()
+                key = _text_key(data)
+                own = [x for x in listed.as_py() if x["sd_text"] == key]
+                if not own:
+                    continue
+                prints = Prints(data)
+                pos, lo, hi, at = (np.array([x[c] for x in own]) for c in ("pos", "lo", "hi", "at"))
+                wanted = np.array([x["wanted"] for x in own])
+                parts = -(-width // new)
+                k = np.tile(np.arange(parts) * new, len(own))
+                size = np.minimum(new, width - k)
+                pos, lo, hi, at, wanted = (np.repeat(x, parts) for x in (pos, lo, hi, at, wanted))
+                at = at + k
+                some = (pos - at >= lo) & (pos - at - size + 1 <= hi)
+                pos, lo, hi, at, wanted, size = (x[some] for x in (pos, lo, hi, at, wanted, size))
+                core = _signed(prints.of(pos - at, pos - at - size + 1 + LENGTH, at))
+                lo, hi = np.maximum(lo, pos - at - size + 1), np.minimum(hi, pos - at)
+                n = len(pos)
+                rows.append((np.full(n, doc), np.full(n, key), pos, lo, hi, at, core, _stretches(prints, pos, lo, hi), wanted))
+            yield _batch(rows)
+
+    return run
 
 
 def _with_texts(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -181,35 +187,34 @@ def _id() -> Column:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Stretches (sd_doc, sd_text, s, e) in bytes, which together cover what repeats; ``sd_text`` is a hash of the text."""
-    rows = materialise(map_batches(docs.select(_id().alias("sd_doc"), "text"), _place, _ANCHORS), "repeat-anchors")
-    shared = rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    rows = materialise(rows.join(shared, "g"), "repeat-grams")
-    # stretches that occur again as a whole, with a representative of each
-    place = F.struct("sd_doc", "sd_text", "pos", "lo", "hi", "left", "right")
-    again = rows.groupBy("g", "whole").agg(F.count("*").alias("c"), F.min(place).alias("p")).filter("c > 1")
-    again = materialise(again.select("g", F.col("whole").alias("w"), "p"), "repeat-stretches")
-    covered = rows.join(again.select(F.col("g").alias("ag"), "w"), (F.col("g") == F.col("ag")) & (F.col("whole") == F.col("w")), "left")
-    known = covered.filter("ag is not null").select("sd_doc", "sd_text", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
-    rest = covered.filter("ag is null").select(*rows.columns)
-    # of the others, sides that occur again
-    for side in ("left", "right"):
-        twice = rows.filter(f"{side} <> 0").groupBy("g", side).agg(F.count("*").alias("c")).filter("c > 1")
-        twice = twice.select(F.col("g").alias("sg"), F.col(side).alias("side"), F.lit(True).alias(f"by_{side}"))
-        rest = rest.join(twice, (F.col("g") == F.col("sg")) & (F.col(side) == F.col("side")), "left").drop("sg", "side")
-    rest = rest.fillna(False, ["by_left", "by_right"]).filter("by_left or by_right")
-    rest = materialise(rest.drop("whole"), "repeat-rest")
-    partners = again.select("g", "p.*")
-    for side in ("left", "right"):
-        asked = rest.filter(f"by_{side}").select(F.col("g").alias("sg"), F.col(side).alias("side")).distinct().withColumn(f"by_{side}", F.lit(True))
-        partners = partners.join(asked, (F.col("g") == F.col("sg")) & (F.col(side) == F.col("side")), "left").drop("sg", "side")
-    partners = partners.fillna(False, ["by_left", "by_right"]).filter("by_left or by_right")
-    columns = ["g", "sd_text", "pos", "lo", "hi", "by_left", "by_right", "wanted"]
-    both = rest.withColumn("wanted", F.lit(True)).select("sd_doc", *columns).unionByName(partners.withColumn("wanted", F.lit(False)).select("sd_doc", *columns))
-    listed = materialise(both.distinct().groupBy("sd_doc").agg(F.collect_list(F.struct(*columns)).alias("listed")), "repeat-listed")
-    strings = materialise(map_batches(_with_texts(docs, listed), _strings, _STRINGS), "repeat-strings")
-    twice = strings.groupBy("g", "f").agg(F.count("*").alias("c")).filter("c > 1").select("g", "f")
-    found = strings.filter("wanted").join(twice, ["g", "f"]).select("sd_doc", "sd_text", "s", (F.col("s") + LENGTH).alias("e"))
-    return known.unionByName(found)
+    runs = materialise(map_batches(docs.select(_id().alias("sd_doc"), "text"), _first_runs, _RUNS), "repeat-runs")
+    known = []
+    for width, new in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
+        shared = runs.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+        alive = materialise(runs.join(shared, "core"), "repeat-alive")
+        discard(runs)
+        again = alive.groupBy("core", "stretch").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("p")).filter("c > 1")
+        again = materialise(again.select(F.col("core").alias("ac"), F.col("stretch").alias("st"), "p"), "repeat-again")
+        rated = alive.join(again.select("ac", "st"), (F.col("core") == F.col("ac")) & (F.col("stretch") == F.col("st")), "left")
+        rated = materialise(rated.select(*_PLACE, "core", "wanted", F.col("ac").isNotNull().alias("done")), "repeat-rated")
+        discard(alive)
+        known.append(materialise(rated.filter("done and wanted").select("sd_doc", "sd_text", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")), "repeat-known"))
+        if new is None:
+            discard(rated, again)
+            break
+        rest = rated.filter("not done and wanted")
+        asked = rest.select(F.col("core").alias("asked")).distinct()
+        others = rated.filter("not done and not wanted").select("core", *_PLACE).unionByName(again.select(F.col("ac").alias("core"), "p.*"))
+        others = others.join(asked, F.col("core") == F.col("asked"), "left_semi").withColumn("wanted", F.lit(False))
+        listed = rest.select("core", *_PLACE, "wanted").unionByName(others).groupBy("sd_doc")
+        listed = materialise(listed.agg(F.collect_list(F.struct("sd_text", "pos", "lo", "hi", "at", "wanted")).alias("listed")), "repeat-listed")
+        discard(rated, again)
+        runs = materialise(map_batches(_with_texts(docs, listed), _shorter_runs(width, new), _RUNS), "repeat-runs")
+        discard(listed)
+    out = known[0]
+    for more in known[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _cut(data: bytes, stretches: list[dict]) -> tuple[bytes, int, int]:
@@ -229,7 +234,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n, removed, spans = [], [], [], []
         for text, listed in zip(batch["text"], batch["listed"], strict=True):
             data = (text.as_py() or "").encode()
-            key = xxhash.xxh3_64_intdigest(data) - (1 << 63) if listed.is_valid else 0
+            key = _text_key(data) if listed.is_valid else 0
             left, gone, runs = _cut(data, [x for x in listed.as_py() or () if x["sd_text"] == key])
             kept.append(left)
             n.append(len(data))
