@@ -27,7 +27,7 @@ TERM = "term"
 NEAR_WORDS, MIN_LETTERS, MIN_CONTEXTS = 8, 4, 3
 #: Thresholds of disclosure: P(entity | word), bits; at the last probability a word is removed instead of generalised.
 MIN_PROBABILITY, MIN_BITS, REMOVE_PROBABILITY = 0.5, 6.0, 0.9
-#: Rows with disclosing words up to which they are broadcast to the texts; beyond, texts are shuffled to them.
+#: Rows of candidates, or of documents with disclosing words, up to which they are broadcast; beyond, what they are joined with is shuffled.
 BROADCAST_ROWS = 100_000
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -145,7 +145,7 @@ def _all_base() -> Column:
 
 
 def near_words(found: DataFrame) -> DataFrame:
-    """A row per (document, entity, word near it, context): the words of ``NEAR_WORDS`` at either side."""
+    """A row per document, entity and word near it, with the words beside that: ``NEAR_WORDS`` at either side."""
     hits = found.filter(" or ".join(f"size(pi_{k}) > 0" for k in KINDS)).select("doc_id", "pi_text", F.explode(_all_base()).alias("p"))
     width = NEAR_WORDS * 24
     before = F.substring(F.col("pi_text"), F.greatest(F.lit(1), F.col("p.s") - width + 1), F.least(F.col("p.s"), F.lit(width)))
@@ -156,9 +156,10 @@ def near_words(found: DataFrame) -> DataFrame:
         F.concat_ws(":", "p.k", F.lower("p.v")).alias("entity"),
         F.explode(F.array(F.slice(F.reverse(words(before)), 1, NEAR_WORDS), F.slice(words(after), 1, NEAR_WORDS))).alias("w"),
     )
-    context = lambda i: F.concat_ws(" ", F.coalesce(F.get("w", i - 1), F.lit("^")), F.coalesce(F.get("w", i + 1), F.lit("^")))
-    each = sides.select("doc_id", "entity", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), context(i).alias("context")))).alias("x"))
-    return each.select("doc_id", "entity", F.col("x.term").alias("term"), F.col("x.context").alias("context")).filter(F.col("term").rlike(f"^{_WORD}$"))
+    beside = lambda i: F.coalesce(F.get("w", i), F.lit("^"))
+    word = lambda x, i: F.struct(x.alias("term"), beside(i - 1).alias("before"), beside(i + 1).alias("after"))
+    each = sides.select("doc_id", "entity", F.explode(F.transform("w", word)).alias("x"))
+    return each.select("doc_id", "entity", "x.*").filter(F.col("term").rlike(f"^{_WORD}$"))
 
 
 def _doc_words(docs: DataFrame) -> DataFrame:
@@ -166,10 +167,18 @@ def _doc_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("term"))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """The table, written, and to be broadcast if its rows, which are counted, are few enough; else both sides are shuffled."""
+    table = materialise(table, "pii-few")
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """(term, entity, probability, bits, remove) of the words that are over the thresholds; None if no word has enough contexts."""
     near = materialise(near_words(found), "pii-near")
-    pairs = near.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both"))
+    # near copies of a passage differ in a word here and there; contexts are distinct if they differ at both sides
+    contexts = F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts")
+    pairs = near.groupBy("term", "entity").agg(contexts, F.countDistinct("doc_id").alias("both"))
     # a word stands in at least as many documents as it stands near entities in: common words are out before texts are read for counts
     seen = near.groupBy("term").agg(F.countDistinct("doc_id").alias("seen"))
     pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(seen, "term").filter(F.col("both") >= MIN_PROBABILITY * F.col("seen")).drop("seen")
@@ -178,7 +187,7 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     total = docs.count()
     of_entity = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
-    words = _doc_words(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    words = _doc_words(docs).join(_few(pairs.select("term").distinct()), "term", "left_semi")
     of_term = words.groupBy("term").agg(F.count("*").alias("with_term"))
     p = F.col("both") / F.col("with_term")
     rated = pairs.join(of_term, "term").join(of_entity, "entity").withColumns({"probability": p, "bits": F.log2(p * F.lit(float(total)) / F.col("with_entity"))})
@@ -194,13 +203,11 @@ def find_all(docs: DataFrame) -> DataFrame:
     if over is None:
         return found.withColumns(none)
     terms = over.groupBy("term").agg(F.max("remove").alias("remove"))
-    held = _doc_words(docs).join(terms, "term").groupBy("doc_id")
+    held = _doc_words(docs).join(_few(terms), "term").groupBy("doc_id")
     held = held.agg(F.array_sort(F.collect_set("term")).alias("pi_terms"), F.array_sort(F.collect_set(F.when(F.col("remove"), F.col("term")))).alias("pi_removed"))
-    held = materialise(held.withColumnRenamed("doc_id", "pi_doc"), "pii-terms")
-    n = held.count()
-    if n == 0:
+    held = _few(held.withColumnRenamed("doc_id", "pi_doc"))
+    if held.isEmpty():
         return found.withColumns(none)
-    held = F.broadcast(held) if n <= BROADCAST_ROWS else held
     df = find_base(docs.join(held, docs["doc_id"] == held["pi_doc"], "left").drop("pi_doc"))
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join("pi_terms", "|"), F.lit(")(?![\\p{L}\\p{N}])"))
     gaps, hits = _gaps_and_hits(F.col("pi_text"), pattern, F.coalesce(F.size("pi_terms") > 0, F.lit(False)))
