@@ -6,6 +6,7 @@ import html
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words of the tokenizers.
 PRONOUNS = "he she it they them him her his hers its their theirs this that these those we us our and but so because which who".split()
@@ -63,7 +64,7 @@ def html_unescape(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape_all(text):
     """Every entity that HTML names; in batches of Arrow."""
     return text.map(html.unescape, na_action="ignore")
