@@ -88,7 +88,9 @@ def word_pop(lines: DataFrame) -> DataFrame:
     start = F.when(F.col("i") == 0, F.col("ls_")).otherwise(F.greatest("start_ms", "ls_"))
     rows = rows.withColumn("s_", start)
     end = F.least(F.greatest(F.coalesce("next_", "le_"), F.col("s_") + 50), "le_")
-    marked = F.array_join(F.transform("all_", lambda x, j: F.when(j == F.col("i"), F.concat(F.lit("*"), T.caption_escape(x), F.lit("*"))).otherwise(T.caption_escape(x))), " ")
+    shown = lambda x: F.concat(F.lit(f"{{\\c{POP}&\\fscx108\\fscy108}}"), T.caption_escape(x), F.lit(f"{{\\c{BASE}&\\fscx100\\fscy100}}"))
+    marked = F.array_join(F.transform("all_", lambda x, j: F.when(j == F.col("i"), shown(x)).otherwise(T.caption_escape(x))), " ")
+    marked = F.concat(F.lit(f"{{\\c{BASE}&}}"), marked)
     return rows.select("source_id", "line", "i", F.col("s_").alias("start_ms"), end.alias("end_ms"), marked.alias("text"))
 
 
@@ -101,11 +103,74 @@ def cue_events(segments: DataFrame) -> DataFrame:
     return rows.select("source_id", "seq", "start_ms", F.greatest(F.col("end_ms"), F.col("start_ms") + 300).alias("end_ms"), F.when(F.size("ws_") > 6, two).otherwise(T.caption_escape(F.col("text"))).alias("text"))
 
 
-# The caption colours, and the style header's fields.
-POP, BASE = "&H00F0FF", "&HFFFFFF"
+# The caption colours (alpha, blue, green, red), the output's size and rates, and the caption file's header.
+POP, BASE, OUTLINE, SHADOW = "&H0000D7FF", "&H00FFFFFF", "&H00101010", "&HA0000000"
+OUT_W, OUT_H, OUT_FPS, AUDIO_RATE = 1080, 1920, 30, 44100
+FONT = "Liberation Sans"
+HEADER = """[Script Info]
+ScriptType: v4.00+
+PlayResX: {width}
+PlayResY: {height}
+WrapStyle: 2
+ScaledBorderAndShadow: yes
+YCbCr Matrix: TV.709
+
+[V4+ Styles]
+Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding
+Style: Clip,{font},{size},{base},{pop},{outline},{shadow},-1,0,0,0,100,100,0,0,1,4,2,2,80,80,{margin},1
+
+[Events]
+Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
+"""
 
 
 def dialogue(events: DataFrame) -> DataFrame:
     """A dialogue line of a caption file per event."""
     line = F.concat(F.lit("Dialogue: 0,"), T.caption_time(F.col("start_ms")), F.lit(","), T.caption_time(F.col("end_ms")), F.lit(",Clip,,0,0,0,,"), F.col("text"))
     return events.withColumn("dialogue", line)
+
+
+def caption_files(events: DataFrame, order: list[str], size: int = 76, margin: int = 420) -> DataFrame:
+    """A caption file per source: the header, then its dialogue lines in order."""
+    head = HEADER.format(width=OUT_W, height=OUT_H, font=FONT, size=size, base=BASE, pop=POP, outline=OUTLINE, shadow=SHADOW, margin=margin)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "dialogue"))), lambda x: F.concat(x["dialogue"], F.lit("\n")))
+    return dialogue(events).groupBy("source_id").agg(F.concat(F.lit(head), F.array_join(lines, "")).alias("captions"))
+
+
+def join_graph(timeline: DataFrame, knobs: Knobs = KNOBS) -> DataFrame:
+    """The part of a media graph that joins a clip's pieces, as text: time bases, hard cuts within a member, crossfades between
+    members. (clip_id, n_inputs, n_members, graph); inputs are numbered as the pieces stand in the timeline."""
+    part = Window.partitionBy("clip_id")
+    w = part.orderBy("member", "seq")
+    rows = timeline.withColumns({"i_": F.row_number().over(w) - 1, "m_": F.dense_rank().over(part.orderBy("member")) - 1})
+    pins = F.format_string(f"[%d:v]settb=1/{OUT_FPS},fps={OUT_FPS}[v%d];[%d:a]asettb=1/{AUDIO_RATE}[a%d]", "i_", "i_", "i_", "i_")
+    first = rows.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i_", pins.alias("t")))), lambda x: x["t"]), ";").alias("pins_"), F.count("*").alias("n_inputs"))
+    cuts = rows.groupBy("clip_id", "m_").agg(F.sort_array(F.collect_list("i_")).alias("is_"), F.sum(F.col("src_end_ms") - F.col("src_start_ms")).alias("len_"))
+    chain = F.array_join(F.transform("is_", lambda i: F.concat(F.lit("[v"), i.cast("string"), F.lit("][a"), i.cast("string"), F.lit("]"))), "")
+    n, one = F.size("is_"), F.get("is_", F.lit(0)).cast("string")
+    concat = F.when(n > 1, F.concat(chain, F.format_string("concat=n=%d:v=1:a=1[cv%d][ca%d];", n, "m_", "m_"))).otherwise(F.lit(""))
+    src = lambda k: F.when(n > 1, F.concat(F.lit(f"[c{k}"), F.col("m_").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(f"[{k}"), one, F.lit("]")))
+    member = F.concat(concat, src("v"), F.format_string(f"settb=1/{OUT_FPS},format=yuv420p,setsar=1[mv%d];", "m_"), src("a"), F.format_string(f"asettb=1/{AUDIO_RATE}[ma%d]", "m_"))
+    # a member starts where the earlier ones end, less a crossfade each
+    before = F.sum("len_").over(part.orderBy("m_").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.greatest(before - knobs.crossfade_ms * F.col("m_"), F.lit(0)) / 1000.0
+    label = lambda k: F.when(F.col("m_") == 1, F.lit(f"[m{k}0]")).otherwise(F.format_string(f"[{k}x%d]", F.col("m_") - 1))
+    fade = knobs.crossfade_ms / 1000
+    video = F.concat(label("v"), F.format_string(f"[mv%d]xfade=transition=fade:duration={fade}:offset=%.3f[vx%d];", "m_", at, "m_"))
+    cross = F.concat(video, label("a"), F.format_string(f"[ma%d]acrossfade=d={fade}[ax%d]", "m_", "m_"))
+    cuts = cuts.withColumns({"member_": member, "cross_": F.when(F.col("m_") > 0, cross)})
+    told = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("m_", F.col(c).alias("t"))))), lambda x: x["t"])
+    rest = cuts.groupBy("clip_id").agg(told("member_").alias("a_"), told("cross_").alias("b_"), F.count("*").alias("n_members"))
+    return first.join(rest, "clip_id").select("clip_id", "n_inputs", "n_members", F.array_join(F.concat(F.array("pins_"), "a_", "b_"), ";").alias("graph"))
+
+
+def follow_chain(crop, height, expr) -> F.Column:
+    """The crop that follows a position, scaled and padded to the output."""
+    size = f"{OUT_W}:{OUT_H}"
+    return F.concat(F.format_string("crop=w=%d:h=%d:x='", crop, height), F.coalesce(expr, F.lit("(in_w-out_w)/2")), F.lit(f"':y=0,scale={size}:force_original_aspect_ratio=decrease,pad={size}:(ow-iw)/2:(oh-ih)/2:black"))
+
+
+def envelope(success: F.Column, error: F.Column, hint: F.Column, fields: F.Column) -> F.Column:
+    """A result as JSON, success first, with an estimate of its tokens."""
+    body = F.to_json(F.struct(success.alias("success"), error.alias("error"), hint.alias("hint"), fields.alias("fields"), F.array().cast("array<string>").alias("progress")))
+    return F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"token_estimate":'), T.token_estimate(body).cast("string"), F.lit("}"))

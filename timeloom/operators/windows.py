@@ -118,8 +118,8 @@ def map_times(points: DataFrame, timeline: DataFrame, at: str = "t_ms") -> DataF
 
 
 def map_cues(segments: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Cues on the output timeline: start and end less 10 ms are mapped each; cues with an end in dropped air, or inverted, go."""
-    ends = segments.select(F.col("source_id").alias("clip_id"), "seq", "text", F.posexplode(F.array(F.col("start_ms"), F.col("end_ms") - 10)).alias("side", "t_ms"))
+    """Cues on the output timeline: start and end less 10 ms (but not before the start) are mapped each; cues with an end in dropped air, or inverted, go."""
+    ends = segments.select(F.col("source_id").alias("clip_id"), "seq", "text", F.posexplode(F.array(F.col("start_ms"), F.greatest(F.col("end_ms") - 10, F.col("start_ms")))).alias("side", "t_ms"))
     t = timeline.select("clip_id", F.col("seq").alias("t_seq"), "src_start_ms", "src_end_ms", "out_start_ms")
     met = point_join(ends, t, ["clip_id"], "t_ms", ("src_start_ms", "src_end_ms")).withColumn("out", F.col("out_start_ms") + F.col("t_ms") - F.col("src_start_ms"))
     first = lambda side: F.min_by(F.when(F.col("side") == side, F.col("out")), F.when(F.col("side") == side, F.col("t_seq")))

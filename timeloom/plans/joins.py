@@ -83,9 +83,9 @@ def map_cues(spark, sf):
     return W.map_cues(A.segments(spark, sf), A.timeline(spark, sf)).select("clip_id", "seq", "start_ms", "end_ms")
 
 
-MAP_CUES_SQL = f"""WITH {SEG_SQL}, {TIMELINE_SQL}, m AS (SELECT g.source_id AS clip_id, g.seq, a.out_start_ms + g.start_ms - a.src_start_ms AS start_ms, b.out_start_ms + g.end_ms - 10 - b.src_start_ms AS end_ms
+MAP_CUES_SQL = f"""WITH {SEG_SQL}, {TIMELINE_SQL}, m AS (SELECT g.source_id AS clip_id, g.seq, a.out_start_ms + g.start_ms - a.src_start_ms AS start_ms, b.out_start_ms + greatest(g.end_ms - 10, g.start_ms) - b.src_start_ms AS end_ms
   FROM seg g JOIN tl a ON g.source_id = a.clip_id AND a.src_start_ms <= g.start_ms AND g.start_ms < a.src_end_ms
-  JOIN tl b ON g.source_id = b.clip_id AND b.src_start_ms <= g.end_ms - 10 AND g.end_ms - 10 < b.src_end_ms) SELECT * FROM m WHERE end_ms > start_ms"""
+  JOIN tl b ON g.source_id = b.clip_id AND b.src_start_ms <= greatest(g.end_ms - 10, g.start_ms) AND greatest(g.end_ms - 10, g.start_ms) < b.src_end_ms) SELECT * FROM m WHERE end_ms > start_ms"""
 
 
 def overlap_metrics(spark, sf):
@@ -114,7 +114,18 @@ f(source_id, rn, g, s, e, id, label, score, reason, n) AS (
 fused AS (SELECT source_id, id AS candidate_id, s AS start_ms, e AS end_ms, label, score, reason, CAST(n AS BIGINT) AS n_fused FROM f QUALIFY row_number() OVER (PARTITION BY source_id, g ORDER BY rn DESC) = 1)"""
 FUSE_SQL = f"WITH RECURSIVE {CAND_SQL}, {FUSE_CTE} SELECT source_id, candidate_id, start_ms, end_ms, label, score, reason, n_fused FROM fused"
 
+def clip_text(spark, sf):
+    words = W.map_words(A.dense_words(spark, sf), A.timeline(spark, sf))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "seq", "w"))), lambda x: x["w"])
+    return words.groupBy("source_id").agg(F.count("*").alias("n_words"), F.md5(F.array_join(text, " ")).alias("text_md5"))
+
+
+CLIP_TEXT_SQL = f"""WITH {WORDS_SQL}, {TIMELINE_SQL}, m AS (SELECT w.source_id, w.seq, w, greatest(w.start_ms, t.src_start_ms) - t.src_start_ms + t.out_start_ms AS s
+  FROM words w JOIN tl t ON w.source_id = t.clip_id AND 2 * t.src_start_ms <= w.start_ms + w.end_ms AND w.start_ms + w.end_ms < 2 * t.src_end_ms)
+SELECT source_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY s, seq)) AS text_md5 FROM m GROUP BY source_id"""
+
 QUERIES = {
+    "clip_text": (clip_text, CLIP_TEXT_SQL),
     "chunk_bounds": (chunk_bounds, CHUNK_BOUNDS_SQL), "transcript_chunks": (transcript_chunks, CHUNKS_SQL), "slice_segments": (slice_segments, SLICE_SQL), "span_text": (span_text, SPAN_TEXT_SQL),
     "words_in_span": (words_in_span, WORDS_IN_SPAN_SQL), "map_words": (map_words, MAP_WORDS_SQL), "map_times": (map_times, MAP_TIMES_SQL), "map_cues": (map_cues, MAP_CUES_SQL),
     "overlap_metrics": (overlap_metrics, OVERLAP_SQL), "fuse_overlaps": (fuse_overlaps, FUSE_SQL),

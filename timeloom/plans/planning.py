@@ -14,7 +14,7 @@ from ..operators import windows as W
 from . import adapter as A
 from .adapter import CAND_SQL, SEG_SQL, WORDS_SQL
 from .joins import FUSE_CTE, TEXT_CTE
-from .scalars import ASS, PARAMS_SQL
+from .scalars import _ERROR, ASS, PARAMS_SQL, VALIDATE_SQL
 from .sequences import CAPTION_LINES_SQL
 
 CLIP_COLUMNS = ["members", "n_members", "est_duration_ms", "source_start_ms", "source_end_ms", "score", "reason", "label"]
@@ -190,7 +190,7 @@ wl AS (SELECT l.source_id, line, i, w, start_ms, end_ms FROM lw_ l JOIN words w
 ev AS (SELECT *, first_value(start_ms) OVER o AS ls, greatest(last_value(end_ms) OVER (PARTITION BY source_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), first_value(start_ms) OVER o + 300) AS le, lead(start_ms) OVER o AS nx FROM wl WINDOW o AS (PARTITION BY source_id, line ORDER BY i)),
 ee AS (SELECT *, CASE WHEN i = 0 THEN ls ELSE greatest(start_ms, ls) END AS s FROM ev),
 tx AS (SELECT e.source_id, e.line, e.i, e.s AS start_ms, least(greatest(coalesce(e.nx, e.le), e.s + 50), e.le) AS end_ms,
-  (SELECT string_agg(CASE WHEN x.i = e.i THEN '*' || {_ESC} || '*' ELSE {_ESC} END, ' ' ORDER BY x.i) FROM wl x WHERE x.source_id = e.source_id AND x.line = e.line) AS text FROM ee e)
+  '{{\\c&H00FFFFFF&}}' || (SELECT string_agg(CASE WHEN x.i = e.i THEN '{{\\c&H0000D7FF&\\fscx108\\fscy108}}' || {_ESC} || '{{\\c&H00FFFFFF&\\fscx100\\fscy100}}' ELSE {_ESC} END, ' ' ORDER BY x.i) FROM wl x WHERE x.source_id = e.source_id AND x.line = e.line) AS text FROM ee e)
 SELECT *, 'Dialogue: 0,' || {ASS('start_ms')} || ',' || {ASS('end_ms')} || ',Clip,,0,0,0,,' || text AS dialogue FROM tx"""
 
 
@@ -204,7 +204,38 @@ w AS (SELECT *, list_filter(string_split_regex(t, '[ \\t\\n\\r]+'), lambda x: x
 o AS (SELECT source_id, seq, start_ms, end_ms, CASE WHEN len(ws) > 6 THEN array_to_string(ws[1:(len(ws) + 1) // 2], ' ') || chr(92) || 'N' || array_to_string(ws[(len(ws) + 1) // 2 + 1:], ' ') ELSE t END AS text FROM w)
 SELECT source_id, seq, start_ms, end_ms, md5('Dialogue: 0,' || {ASS('start_ms')} || ',' || {ASS('end_ms')} || ',Clip,,0,0,0,,' || text) AS dialogue_md5 FROM o"""
 
+def caption_files(spark, sf):
+    return TL.caption_files(TL.word_pop(_line_words(spark, sf)), ["line", "i"]).select("source_id", F.length("captions").cast("bigint").alias("n"), F.md5("captions").alias("captions_md5"))
+
+
+_HEAD = TL.HEADER.format(width=TL.OUT_W, height=TL.OUT_H, font=TL.FONT, size=76, base=TL.BASE, pop=TL.POP, outline=TL.OUTLINE, shadow=TL.SHADOW, margin=420)
+CAPTION_FILES_SQL = WORD_POP_SQL[: WORD_POP_SQL.rindex("SELECT *, ")] + f""", dl AS (SELECT source_id, line, i, 'Dialogue: 0,' || {ASS('start_ms')} || ',' || {ASS('end_ms')} || ',Clip,,0,0,0,,' || text || chr(10) AS d FROM tx),
+fl AS (SELECT source_id, '{_HEAD}' || string_agg(d, '' ORDER BY line, i) AS c FROM dl GROUP BY source_id) SELECT source_id, CAST(length(c) AS BIGINT) AS n, md5(c) AS captions_md5 FROM fl"""
+
+
+def join_graphs(spark, sf):
+    """Media graphs as text; rows only."""
+    return TL.join_graph(build_timeline(spark, sf))
+
+
+def follow_chains(spark, sf):
+    from .sequences import crop_expr
+
+    e = crop_expr(spark, sf)
+    return e.select("clip_id", TL.follow_chain(F.lit(404), F.lit(720), F.col("expr")).alias("chain"))
+
+
+def envelopes(spark, sf):
+    c = C.validate(A.raw_candidates(spark, sf), F.lit(A.TIMELINE_MS))
+    ok = F.col("error_code").isNull()
+    return c.select("candidate_id", TL.envelope(ok, F.col("error_code"), F.when(~ok, F.lit("fix it")), F.struct("source_id")).alias("result"))
+
+
+ENVELOPES_SQL = VALIDATE_SQL[: VALIDATE_SQL.index("r AS (")] + f"""r AS (SELECT *, {_ERROR} AS error_code FROM raw), b AS (SELECT candidate_id, CASE WHEN error_code IS NULL THEN '{{"success":true,' ELSE '{{"success":false,"error":"' || error_code || '","hint":"fix it",' END || '"fields":{{"source_id":' || source_id || '}},"progress":[]}}' AS b FROM r)
+SELECT candidate_id, b[:-2] || ',"token_estimate":' || greatest(1, length(b) // 4) || '}}' AS result FROM b"""
+
 QUERIES = {
+    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, None), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL),
     "plan_auto": (plan_auto, AUTO_SQL), "plan_fused": (fused_plan, FUSED_PLAN_SQL), "plan_by_label": (plan_by_label, BY_LABEL_SQL), "plan_montage": (plan_montage, MONTAGE_SQL), "fit_budget": (fit_budget, FIT_BUDGET_SQL),
     "dominant_label": (dominant_label, DOMINANT_SQL), "plan_by_topic": (plan_by_topic, None), "top_phrases": (top_phrases, PHRASES_SQL), "plan_supercut": (plan_supercut, SUPERCUT_SQL),
     "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL), "word_pop_events": (word_pop_events, WORD_POP_SQL), "cue_events": (cue_events, CUE_SQL),
