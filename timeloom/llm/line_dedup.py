@@ -84,9 +84,10 @@ def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     if it was null), ``ld_lines`` (before dropping) and ``ld_dropped``."""
     keys = map_batches(docs.select("doc_id", "text"), _keys(min_chars), "ld_doc long, ld_key binary")
     keys = materialise(keys, "line-keys")
-    # A hot key's rows on the left are split at run time: the join has nothing but exchanges below it.
+    # both sides are tables, so the join has nothing but exchanges below it and a hot key's rows are split at run time
+    shared = materialise(shared_lines(keys, min_docs), "line-shared")
     drops = (
-        keys.join(shared_lines(keys, min_docs), "ld_key")
+        keys.join(shared, "ld_key")
         .filter(~F.col("ld_doc").eqNullSafe(F.col("ld_keeper")))
         .groupBy("ld_doc")
         .agg(F.collect_set("ld_key").alias("ld_drops"))
