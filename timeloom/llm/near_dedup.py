@@ -174,7 +174,9 @@ def family_edges(nodes: DataFrame) -> DataFrame:
     """
     sketches = nodes.select("nd_id", "nd_bytes")
     rows = nodes.select("nd_id", F.explode("nd_bands").alias("nd_band"))
+    # joins of tables, not of aggregates, have a hot key's rows split at run time; so it is below
     hubs = rows.groupBy("nd_band").agg(F.count("*").alias("c"), F.min("nd_id").alias("nd_hub")).filter("c > 1").drop("c")
+    hubs = materialise(hubs, "near-hubs")
     met = materialise(rows.join(hubs, "nd_band").filter("nd_id <> nd_hub"), "near-met")
     both = met.select("nd_id", "nd_hub").distinct().join(sketches.withColumnRenamed("nd_bytes", "nd_x"), "nd_id")
     both = both.join(sketches.select(F.col("nd_id").alias("nd_hub"), F.col("nd_bytes").alias("nd_y")), "nd_hub")
@@ -265,12 +267,13 @@ def links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> Dat
 def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     features = materialise(map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _features(width), _FEATURES), "near-features")
-    copies = features.filter("nd_set is not null").groupBy("nd_set").agg(F.min("doc_id").alias("nd_id"))
+    copies = materialise(features.filter("nd_set is not null").groupBy("nd_set").agg(F.min("doc_id").alias("nd_id")), "near-copies")
     nodes = copies.filter("nd_id is not null").join(features, (copies["nd_set"] == features["nd_set"]) & (copies["nd_id"] == features["doc_id"]))
     nodes = materialise(nodes.select("nd_id", "nd_bands", "nd_bytes").dropDuplicates(["nd_id"]), "near-nodes")
     families = materialise(components(family_edges(nodes)), "near-families")
     linked = materialise(components(links(docs, families, width, percent)), "near-classes")
     first = copies.join(linked, copies["nd_id"] == linked["id"], "left").select(F.col("nd_set").alias("nd_key"), F.coalesce("component", "nd_id").alias("nd_first"))
+    first = materialise(first, "near-first")
     out = features.join(first, features["nd_set"] == first["nd_key"], "left")
     component = F.when(F.col("nd_set").isNull(), F.col("doc_id")).otherwise(F.col("nd_first"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
