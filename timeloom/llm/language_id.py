@@ -47,8 +47,10 @@ def bucket_of(doc_id) -> F.Column:
 
 def learning_sample(docs: DataFrame) -> dict[str, str]:
     """A bounded text per language. At most some hundred documents a language reach the driver, however many there are."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id")) != 1))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.filter(F.col("lang").isNotNull() & (bucket_of(F.col("doc_id")) != 1))
+    # counted without a look at the texts, so that their column is not read for it
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.filter(F.col("text").isNotNull())
     if not counts:
         return {}
     # a share of the hash range that holds four times what is taken, so that ranking sees few rows
