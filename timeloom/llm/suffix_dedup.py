@@ -190,9 +190,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     runs = materialise(map_batches(docs.select(_id().alias("sd_doc"), "text"), _first_runs, _RUNS), "repeat-runs")
     known = []
     for width, new in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
-        shared = runs.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+        # the cores are written first: a join of two tables has a hot core's rows split at run time
+        shared = materialise(runs.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "repeat-cores")
         alive = materialise(runs.join(shared, "core"), "repeat-alive")
-        discard(runs)
+        discard(runs, shared)
         again = alive.groupBy("core", "stretch").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("p")).filter("c > 1")
         again = materialise(again.select(F.col("core").alias("ac"), F.col("stretch").alias("st"), "p"), "repeat-again")
         rated = alive.join(again.select("ac", "st"), (F.col("core") == F.col("ac")) & (F.col("stretch") == F.col("st")), "left")
