@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequence as S
 from ..operators import windows as W
 from . import adapter as A
-from .adapter import LONG_SQL, SAMPLES_SQL, TIMELINE_SQL, WORDS_SQL
+from .adapter import SAMPLES_SQL, TIMELINE_SQL, WORDS_SQL
 
 
 def _rolling(spark, sf):
