@@ -1,21 +1,22 @@
 import os
+from types import SimpleNamespace
 
 from timeloom.llm import storage as S
 
 
-def test_tables_go_to_the_shared_folder_and_are_deleted(spark, tmp_path):
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        assert S.shared_dir(spark) == f"file://{tmp_path}/shared"
-        a, b = (S.materialise(spark.range(5), n) for n in ("one", "two"))
-        assert sorted(x.split("-")[0] for x in os.listdir(tmp_path / "shared")) == ["one", "two"] and a.count() == b.count() == 5
-        S.discard(a)
-        assert [x.split("-")[0] for x in os.listdir(tmp_path / "shared")] == ["two"] and b.count() == 5
-        S.release(spark)
-        assert os.listdir(tmp_path / "shared") == []
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held) if held else spark.conf.unset("spark.checkpoint.dir")
+def test_the_folder_that_the_cluster_names():
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: {"spark.checkpoint.dir": "hdfs://x/shared/"}.get(key, default)))
+    assert S.shared_dir(named) == "hdfs://x/shared"
+
+
+def test_tables_are_written_and_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "shared_dir", lambda spark: f"file://{tmp_path}")
+    a, b = (S.materialise(spark.range(5), n) for n in ("one", "two"))
+    assert sorted(x.split("-")[0] for x in os.listdir(tmp_path)) == ["one", "two"] and a.count() == b.count() == 5
+    S.discard(a)
+    assert [x.split("-")[0] for x in os.listdir(tmp_path)] == ["two"] and b.count() == 5
+    S.release(spark)
+    assert os.listdir(tmp_path) == []
 
 
 def test_batches_are_bounded_by_bytes(spark):
