@@ -13,17 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn: every round links a node's neighbours to the smallest one, so that paths
     shrink to stars in a number of rounds logarithmic in the nodes. Each round is written to the shared folder; nothing
-    but a count and a checksum reaches the driver. A hot node's edges are split at run time as skewed joins are.
+    but a count and a checksum reaches the driver. A hot node's edges are joined with a table, and so are split at run time.
     """
     held = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(held)
     while before[0]:
         both = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.filter("m < a").select("a", F.col("m").alias("b"))
         large = materialise(large.unionByName(own).filter("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))
         held = materialise(small.unionByName(own).filter("a <> b").distinct(), "small-star")

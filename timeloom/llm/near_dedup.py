@@ -288,3 +288,19 @@ def drop_near_copies(docs: DataFrame, width: int = WORDS, percent: int = PERCENT
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir).select("doc_id", "text"), width=2)
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(g) AS h FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(h) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN n USING (doc_id)
+"""

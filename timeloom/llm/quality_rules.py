@@ -142,3 +142,21 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
     rated = apply_policy(ledger(documents(spark, sf_dir)))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+_BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+OP10_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, ws[i] || chr(31) || ws[i + 1] || chr(31) || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         length(array_to_string(ws, '')) - length(regexp_replace(array_to_string(ws, ''), '\\p{{L}}+', '', 'g')) AS n_letters, length(array_to_string(ws, '')) - length(regexp_replace(array_to_string(ws, ''), '\\p{{Lu}}+', '', 'g')) AS n_upper,
+         coalesce(list_max(list_transform(ws, lambda s: length(s))), 0) AS longest_word FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {mask_of("base-1")} <> 0 AS base_failed, fail_bits & {mask_of(DEFAULT_POLICY)} = 0 AS kept, fail_bits FROM b
+"""

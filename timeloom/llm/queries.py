@@ -11,10 +11,10 @@ from .language_id import op2_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op5_packing
 from .pii import op7_pii
-from .quality_rules import op10_quality_rules
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .suffix_dedup import op8_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
