@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_WORDS_PER_LINE, WORDS_PER_LINE
@@ -189,16 +189,14 @@ def budgeted(df: DataFrame, keys: list[str], max_ms: int) -> DataFrame:
 
     Ties go by (start, end, id). What a key has chosen is bounded by ``max_ms`` over the shortest length.
     """
-    order = F.struct((-F.col("score")).alias("o"), "start_ms", "end_ms", "candidate_id")
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("rows_"))
+    order = ["start_ms", "end_ms", "candidate_id"]
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o_"), *order, *rest))).alias("rows_"))
+    kind = rows.schema["rows_"].dataType.simpleString()
     length = "(x.end_ms - x.start_ms)"
     chosen = F.expr(
-        f"aggregate(rows_, named_struct('total', 0L, 'ids', CAST(array() AS array<bigint>)), (acc, x) -> IF(acc.total + {length} > {max_ms}, acc, "
-        f"named_struct('total', acc.total + {length}, 'ids', concat(acc.ids, array(x.candidate_id)))), acc -> acc.ids)"
+        f"aggregate(rows_, named_struct('total', 0L, 'took', CAST(array() AS {kind})), (acc, x) -> IF(acc.total + {length} > {max_ms}, acc, "
+        f"named_struct('total', acc.total + {length}, 'took', concat(acc.took, array(x)))), acc -> acc.took)"
     )
-    return df.join(rows.select(*keys, F.explode(chosen).alias("candidate_id")), [*keys, "candidate_id"])
-
-
-def mode_of(column: str, order: Column) -> Column:
-    """For ``groupBy`` on rows with a count ``n_`` per value: the most frequent, the first seen of equals."""
-    return F.max_by(column, F.struct("n_", -order))
+    # the rows travel in the array, so nothing is joined back
+    return rows.select(*keys, F.explode(chosen).alias("x_")).select(*[c if c in keys else F.col(f"x_.{c}").alias(c) for c in df.columns])
