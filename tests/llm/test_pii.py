@@ -82,6 +82,17 @@ def test_disclosing_words(spark):
     assert rows[4].spans == "term:13:21"
 
 
+def test_names_beside_their_entity(spark):
+    ends = [("Ask", "often"), ("Our", "for"), ("Mister", "as"), ("When", "behind")]
+    beside = [f"{a} Zimbalist <zimba@example.org> {b} closing" for a, b in ends] + [f"{a} mail me@x.org (Quibbleson) {b}" for a, b in ends]
+    named = [f"{a} Alicia Johnsonov <aj@example.org> {b}" for a, b in ends]
+    signed = [f"Bertram Oddfellow\nbo@example.org\nAcmecorp {b}" for _, b in ends]
+    repeated = ["Rarity once@example.org and once@example.org or once@example.org"] * 5
+    docs = frame(spark, [*beside, *named, *signed, *repeated, *corpus()])
+    over = {r.term for r in P.disclosures(docs, P.find_base(docs)).collect()}
+    assert {"zimbalist", "quibbleson", "alicia", "johnsonov", "bertram", "oddfellow"} <= over and not {"rarity", "quibble"} & over
+
+
 def test_joined_by_shuffle_and_removed(spark, monkeypatch):
     monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(P, "REMOVE_PROBABILITY", 0.7)

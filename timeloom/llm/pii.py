@@ -11,7 +11,8 @@ quantifiers and start a match only where one can start, which changes no result.
 
 Defined cases: a null text is an empty one; spans count code points, ends are exclusive; overlapping spans of several
 kinds are all reported, and the sanitised text replaces what they cover together by the tag of the first; copies of one
-passage are one context, so that mere copying discloses nothing; a null ``doc_id`` counts for no document.
+passage (the entity with ``NEAR_WORDS`` at either side) are one context, so that mere copying discloses nothing, while
+near copies that differ there are contexts of their own; a null ``doc_id`` counts for no document.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def _all_base() -> Column:
 
 
 def near_words(found: DataFrame) -> DataFrame:
-    """A row per document, entity and word near it, with the words beside that: ``NEAR_WORDS`` at either side."""
+    """A row per document, entity and word near it, with the words beside that and a fingerprint of the passage: ``NEAR_WORDS`` at either side."""
     hits = found.filter(" or ".join(f"size(pi_{k}) > 0" for k in KINDS)).select("doc_id", "pi_text", F.explode(_all_base()).alias("p"))
     width = NEAR_WORDS * 24
     before = F.substring(F.col("pi_text"), F.greatest(F.lit(1), F.col("p.s") - width + 1), F.least(F.col("p.s"), F.lit(width)))
@@ -154,12 +155,13 @@ def near_words(found: DataFrame) -> DataFrame:
     sides = hits.select(
         "doc_id",
         F.concat_ws(":", "p.k", F.lower("p.v")).alias("entity"),
-        F.explode(F.array(F.slice(F.reverse(words(before)), 1, NEAR_WORDS), F.slice(words(after), 1, NEAR_WORDS))).alias("w"),
+        F.array(F.slice(F.reverse(words(before)), 1, NEAR_WORDS), F.slice(words(after), 1, NEAR_WORDS)).alias("sides"),
     )
+    sides = sides.select("doc_id", "entity", F.xxhash64("sides").alias("passage"), F.explode("sides").alias("w"))
     beside = lambda i: F.coalesce(F.get("w", i), F.lit("^"))
     word = lambda x, i: F.struct(x.alias("term"), beside(i - 1).alias("before"), beside(i + 1).alias("after"))
-    each = sides.select("doc_id", "entity", F.explode(F.transform("w", word)).alias("x"))
-    return each.select("doc_id", "entity", "x.*").filter(F.col("term").rlike(f"^{_WORD}$"))
+    each = sides.select("doc_id", "entity", "passage", F.explode(F.transform("w", word)).alias("x"))
+    return each.select("doc_id", "entity", "passage", "x.*").filter(F.col("term").rlike(f"^{_WORD}$"))
 
 
 def _doc_words(docs: DataFrame) -> DataFrame:
@@ -176,9 +178,12 @@ def _few(table: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """(term, entity, probability, bits, remove) of the words that are over the thresholds; None if no word has enough contexts."""
     near = materialise(near_words(found), "pii-near")
-    # near copies of a passage differ in a word here and there; contexts are distinct if they differ at both sides
-    contexts = F.least(F.countDistinct("before"), F.countDistinct("after")).alias("contexts")
-    pairs = near.groupBy("term", "entity").agg(contexts, F.countDistinct("doc_id").alias("both"))
+    # contexts are distinct if they differ at both sides, or if whole passages of several documents differ: beside its entity, or
+    # in a fixed name, a word has the same neighbour everywhere. A document gives one passage, so that copies give one together
+    beside = near.groupBy("term", "entity").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("beside"))
+    passages = near.filter("doc_id is not null").groupBy("term", "entity", "doc_id").agg(F.min("passage").alias("passage"))
+    passages = passages.groupBy("term", "entity").agg(F.countDistinct("passage").alias("passages"), F.countDistinct("doc_id").alias("both"))
+    pairs = passages.join(beside, ["term", "entity"]).withColumn("contexts", F.greatest("beside", "passages")).drop("beside", "passages")
     # a word stands in at least as many documents as it stands near entities in: common words are out before texts are read for counts
     seen = near.groupBy("term").agg(F.countDistinct("doc_id").alias("seen"))
     pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(seen, "term").filter(F.col("both") >= MIN_PROBABILITY * F.col("seen")).drop("seen")
