@@ -93,6 +93,25 @@ def test_names_beside_their_entity(spark):
     assert {"zimbalist", "quibbleson", "alicia", "johnsonov", "bertram", "oddfellow"} <= over and not {"rarity", "quibble"} & over
 
 
+def test_short_and_punctuated_names_and_user_names(spark):
+    ends = [("Ask", "often"), ("Our", "for"), ("Mister", "as"), ("When", "behind")]
+    texts = [f"{a} is at ended@example.org {b} said Punctus." for a, b in ends] + [f"{a} of lee@example.org {b}: Lyu, or -Dashel-" for a, b in ends]
+    texts += [f"{a} zh@example.org {b} \u674e\u56db" for a, b in ends] + [f"{a} un@example.org {b} user99x" for a, b in ends]
+    docs = frame(spark, [*texts, *corpus()])
+    over = {r.term: r.probability for r in P.disclosures(docs, P.find_base(docs)).collect()}
+    names = {"punctus", "lyu", "dashel", "\u674e\u56db", "user99x"}
+    assert names <= over.keys() and all(over[x] == 1 for x in names)
+    found = P.sanitise(docs).filter("doc_id in (0, 4, 8, 12)").orderBy("doc_id").collect()
+    assert not [x for r in found for x in names if x in r.text.lower()]
+
+
+def test_words_that_a_window_cuts_are_none(spark):
+    x = "me@x.org"
+    texts = [f"{'a' * 300} {x} {'b' * 300}", f"annotated {'.' * 185} {x} {'.' * 185} annotated", f"one{'.' * 189}{x}{'.' * 189}two", f"three {x}\u0301four five", f"a four{'.' * 188}{x}"]
+    near = {r.doc_id: r.words for r in P.near_words(P.find_base(frame(spark, texts))).groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("words")).collect()}
+    assert near.get(0) is None and near.get(1) is None and near[3] == ["five", "three"] and near[4] == ["a", "four"][1:]
+
+
 def test_joined_by_shuffle_and_removed(spark, monkeypatch):
     monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(P, "REMOVE_PROBABILITY", 0.7)

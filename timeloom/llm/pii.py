@@ -24,8 +24,8 @@ from .storage import documents, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words at each side of an entity that are rated; the shortest; distinct contexts that a word needs with an entity.
-NEAR_WORDS, MIN_LETTERS, MIN_CONTEXTS = 8, 4, 3
+#: Words at each side of an entity that are rated; characters they may take each; distinct contexts that a word needs with an entity.
+NEAR_WORDS, WORD_WIDTH, MIN_CONTEXTS = 8, 24, 3
 #: Thresholds of disclosure: P(entity | word), bits; at the last probability a word is removed instead of generalised.
 MIN_PROBABILITY, MIN_BITS, REMOVE_PROBABILITY = 0.5, 6.0, 0.9
 #: Rows of candidates, or of documents with disclosing words, up to which they are broadcast; beyond, what they are joined with is shuffled.
@@ -39,7 +39,9 @@ PATTERNS = {
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-_WORD = f"\\p{{L}}{{{MIN_LETTERS},}}"
+# A word is a whole run of letters, marks and digits with a letter in it, of any length.
+_RUN = "[\\p{L}\\p{M}\\p{N}]"
+_WORD = f"(?<!{_RUN})[\\p{{M}}\\p{{N}}]*+\\p{{L}}{_RUN}*+"
 SPAN = "array<struct<s:int,e:int>>"
 
 
@@ -148,10 +150,14 @@ def _all_base() -> Column:
 def near_words(found: DataFrame) -> DataFrame:
     """A row per document, entity and word near it, with the words beside that and a fingerprint of the passage: ``NEAR_WORDS`` at either side."""
     hits = found.filter(" or ".join(f"size(pi_{k}) > 0" for k in KINDS)).select("doc_id", "pi_text", F.explode(_all_base()).alias("p"))
-    width = NEAR_WORDS * 24
-    before = F.substring(F.col("pi_text"), F.greatest(F.lit(1), F.col("p.s") - width + 1), F.least(F.col("p.s"), F.lit(width)))
-    after = F.substring(F.col("pi_text"), F.col("p.e") + 1, F.lit(width))
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[\\p{L}\\p{N}@._-]+"), F.lit(0))
+    # windows reach one character into the entity and one further off: a run of letters that they cut is no word
+    width, at, end = NEAR_WORDS * WORD_WIDTH, F.col("p.s"), F.col("p.e")
+    before = F.substring(F.col("pi_text"), F.greatest(F.lit(1), at - width), F.least(at, F.lit(width + 1)) + 1)
+    before = F.when(at > width, F.regexp_replace(before, f"^{_RUN}++", "")).otherwise(before)
+    before = F.regexp_replace(before, f"(?<!{_RUN}){_RUN}++\\z", "")
+    after = F.regexp_replace(F.substring(F.col("pi_text"), end, F.lit(width + 2)), f"^{_RUN}++", "")
+    after = F.when(F.length("pi_text") > end + width, F.regexp_replace(after, f"(?<!{_RUN}){_RUN}++\\z", "")).otherwise(after)
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0))
     sides = hits.select(
         "doc_id",
         F.concat_ws(":", "p.k", F.lower("p.v")).alias("entity"),
@@ -161,11 +167,11 @@ def near_words(found: DataFrame) -> DataFrame:
     beside = lambda i: F.coalesce(F.get("w", i), F.lit("^"))
     word = lambda x, i: F.struct(x.alias("term"), beside(i - 1).alias("before"), beside(i + 1).alias("after"))
     each = sides.select("doc_id", "entity", "passage", F.explode(F.transform("w", word)).alias("x"))
-    return each.select("doc_id", "entity", "passage", "x.*").filter(F.col("term").rlike(f"^{_WORD}$"))
+    return each.select("doc_id", "entity", "passage", "x.*")
 
 
 def _doc_words(docs: DataFrame) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"(?<![\\p{{L}}\\p{{N}}]){_WORD}(?![\\p{{L}}\\p{{N}}])"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0)))
     return docs.select("doc_id", F.explode(words).alias("term"))
 
 
@@ -214,7 +220,7 @@ def find_all(docs: DataFrame) -> DataFrame:
     if held.isEmpty():
         return found.withColumns(none)
     df = find_base(docs.join(held, docs["doc_id"] == held["pi_doc"], "left").drop("pi_doc"))
-    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join("pi_terms", "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+    pattern = F.concat(F.lit(f"(?iu)(?<!{_RUN})(?:"), F.array_join("pi_terms", "|"), F.lit(f")(?!{_RUN})"))
     gaps, hits = _gaps_and_hits(F.col("pi_text"), pattern, F.coalesce(F.size("pi_terms") > 0, F.lit(False)))
     df = df.withColumn("pi_g", gaps).withColumn("pi_h", hits)
     df = df.withColumn("pi_term", F.zip_with(_spans(F.col("pi_g"), F.col("pi_h")), "pi_h", lambda p, v: F.struct(p["s"].alias("s"), p["e"].alias("e"), v.alias("v"))))
