@@ -4,11 +4,13 @@ import random
 
 import pytest
 
-from timeloom.config import KNOBS, constrained
+from timeloom.config import DROP_MS, KNOBS, constrained
 from timeloom.operators import candidates as C
 from timeloom.operators import planning as P
 from timeloom.operators import timeline as TL
 from timeloom.operators import windows as W
+from timeloom.plans import adapter as A
+from timeloom.plans import planning
 
 CAND = "source_id long, candidate_id long, start_ms long, end_ms long, label string, score double, reason string"
 
@@ -75,6 +77,39 @@ def test_keep_segments_matches_a_plain_version(spark):
     assert got == want
 
 
+def test_all_candidates_and_words_match_a_plain_version(spark, small):
+    by_source, at, sils = {}, {}, {}
+    for r in A.candidates(spark, small).collect():
+        by_source.setdefault(r.source_id, []).append(r)
+    for r in A.dense_words(spark, small).orderBy("source_id", "seq").collect():
+        if r.source_id in at and r.start_ms - at[r.source_id] >= 300:
+            sils.setdefault(r.source_id, []).append((at[r.source_id], r.start_ms))
+        at[r.source_id] = max(at.get(r.source_id, 0), r.end_ms)
+    kept, timeline, trimmed = set(), set(), set()
+    for clip, own in by_source.items():
+        out, raw, prior = [], 0, 0
+        for member, c in enumerate(sorted(own, key=lambda c: (-c.score, c.candidate_id))):
+            start = c.start_ms % 60_000
+            end = start + min(c.end_ms - c.start_ms, 40_000)
+            raw += end - start
+            trim, pad = C.LABELS[c.label][1], C.LABELS[c.label][4]
+            touching = [x for x in sils.get(clip, []) if x[1] > start and x[0] < end]
+            out += [(clip, member, i, s, e) for i, (s, e) in enumerate(brute_keep(start, end, touching, DROP_MS.get(trim, 500), pad))]
+        kept.update(out)
+        members = []
+        for _, member, i, s, e in out:
+            if 45_000 - prior > 250:
+                members += [member] if member not in members else []
+                timeline.add((clip, member, i, s, s + min(e - s, 45_000 - prior), prior - 150 * (len(members) - 1)))
+            prior += e - s
+        n = sum(e - s for x, _, _, s, e, _ in timeline if x == clip)
+        trimmed.add((clip, raw, n, max(raw - n, 0)))
+    assert max(member for _, member, *_ in kept) >= 3
+    assert {tuple(r) for r in planning.keep_segments_all(spark, small).collect()} == kept
+    assert {tuple(r) for r in planning.build_timeline_all(spark, small).collect()} == timeline
+    assert {tuple(r) for r in planning.trimmed_all(spark, small).collect()} == trimmed
+
+
 def test_timeline_crossfade_and_budget(spark):
     kept = [(1, 0, 0, 0, 10_000), (1, 0, 1, 12_000, 20_000), (1, 1, 0, 50_000, 60_000), (1, 2, 0, 70_000, 90_000)]
     rows = TL.build_timeline(spark.createDataFrame(kept, "clip_id long, member long, seq long, src_start_ms long, src_end_ms long"), 30_000).orderBy("member", "seq").collect()

@@ -117,23 +117,32 @@ SUPERCUT_SQL = f"""WITH RECURSIVE {CAND_SQL}, {SEG_SQL}, {TEXT_CTE}, {_PHRASES},
 {_budget(['source_id'], 'hits', '')} {_rolled(['source_id'], ', any_value(phrase) AS phrase')}"""
 
 
-def _spans(spark, sf):
-    """Members of a clip: the three best of each source that lie in its words' time, with its label's trim."""
+def _all_spans(spark, sf):
+    """Members of a clip: all of each source's, best first, that lie in its words' time, with its label's trim."""
     c = A.candidates(spark, sf).withColumns({"start_ms": F.col("start_ms") % 60_000, "len_": F.least(F.col("end_ms") - F.col("start_ms"), F.lit(40_000))})
     c = c.withColumn("end_ms", F.col("start_ms") + F.col("len_"))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "candidate_id")) - 1
-    c = C.with_label_params(c.withColumn("member", rank.cast("bigint")).filter("member < 3"))
+    c = C.with_label_params(c.withColumn("member", rank.cast("bigint")))
     return c.select(F.col("source_id").alias("clip_id"), "member", "start_ms", "end_ms", TL.drop_ms(F.col("trim")).cast("bigint").alias("drop_ms"), "pad_ms")
 
 
-def _silences(spark, sf):
-    """Gaps between words: one word in three is left out, two of five of those in a row."""
-    words = A.dense_words(spark, sf).filter("seq % 11 < 7")
+def _spans(spark, sf):
+    """The three best members of a clip, as in the SQL; ``_all_spans`` has all."""
+    return _all_spans(spark, sf).filter("member < 3")
+
+
+def _met(spans, words):
+    """Gaps between words, by the members that they touch."""
     s = TL.silences_of(words)
-    met = W.interval_join(_spans(spark, sf).select("clip_id", "member", "start_ms", "end_ms"), s.withColumnRenamed("source_id", "clip_id"), ["clip_id"], ("start_ms", "end_ms"), ("sil_start", "sil_end"))
+    met = W.interval_join(spans.select("clip_id", "member", "start_ms", "end_ms"), s.withColumnRenamed("source_id", "clip_id"), ["clip_id"], ("start_ms", "end_ms"), ("sil_start", "sil_end"))
     return met.select("clip_id", "member", "sil_start", "sil_end")
 
 
+def _silences(spark, sf):
+    """Gaps between words: one word in three is left out, two of five of those in a row."""
+    return _met(_spans(spark, sf), A.dense_words(spark, sf).filter("seq % 11 < 7"))
+
+
 _KEPT = f"""{CAND_SQL}, {WORDS_SQL}, {PARAMS_SQL}, sp AS (SELECT source_id AS clip_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, candidate_id) - 1 AS member, start_ms % 60000 AS start_ms,
     start_ms % 60000 + least(end_ms - start_ms, 40000) AS end_ms, CASE trim WHEN 'very_tight' THEN 600 WHEN 'tight' THEN 800 WHEN 'medium' THEN 1100 ELSE 1800 END AS drop_ms, pad_ms FROM cand JOIN params ON l = label QUALIFY member < 3),
 gp AS (SELECT source_id, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ss, start_ms AS se FROM words WHERE seq % 11 < 7),
@@ -172,6 +181,20 @@ TRIMMED_SQL = f"""WITH {_BUILT}, a AS (SELECT clip_id, CAST(sum(end_ms - start_m
 SELECT clip_id, raw_ms, kept_ms, CAST(greatest(raw_ms - kept_ms, 0) AS BIGINT) AS trimmed_ms FROM a JOIN b USING (clip_id)"""
 
 
+def keep_segments_all(spark, sf):
+    """All candidates of each source and all words. No SQL: that of ``keep_segments`` stops at three members."""
+    spans = _all_spans(spark, sf)
+    return TL.keep_segments(spans, _met(spans, A.dense_words(spark, sf)))
+
+
+def build_timeline_all(spark, sf):
+    return TL.build_timeline(keep_segments_all(spark, sf), 45_000)
+
+
+def trimmed_all(spark, sf):
+    return TL.trimmed(_all_spans(spark, sf), build_timeline_all(spark, sf))
+
+
 def _line_words(spark, sf):
     lines = S.caption_lines(A.dense_words(spark, sf), "dual_speaker").select("source_id", F.col("seq").alias("line"), "start_ms", "end_ms", "n_words", "text")
     words = A.dense_words(spark, sf).select("source_id", "seq", "w", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
@@ -238,5 +261,6 @@ QUERIES = {
     "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, None), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL),
     "plan_auto": (plan_auto, AUTO_SQL), "plan_fused": (fused_plan, FUSED_PLAN_SQL), "plan_by_label": (plan_by_label, BY_LABEL_SQL), "plan_montage": (plan_montage, MONTAGE_SQL), "fit_budget": (fit_budget, FIT_BUDGET_SQL),
     "dominant_label": (dominant_label, DOMINANT_SQL), "plan_by_topic": (plan_by_topic, None), "top_phrases": (top_phrases, PHRASES_SQL), "plan_supercut": (plan_supercut, SUPERCUT_SQL),
-    "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL), "word_pop_events": (word_pop_events, WORD_POP_SQL), "cue_events": (cue_events, CUE_SQL),
+    "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL),
+    "keep_segments_all": (keep_segments_all, None), "build_timeline_all": (build_timeline_all, None), "trimmed_seconds_all": (trimmed_all, None), "word_pop_events": (word_pop_events, WORD_POP_SQL), "cue_events": (cue_events, CUE_SQL),
 }
