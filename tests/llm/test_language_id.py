@@ -1,3 +1,5 @@
+import pickle
+import random
 import zlib
 
 import numpy as np
@@ -33,6 +35,22 @@ def test_phrases_match_brute_force():
     assert [x for x, _ in model.predict(texts)] == ["a", "und", "b", "b", "a", "a", "b"]
 
 
+def test_every_letter_of_the_samples_has_its_own_code():
+    rnd = random.Random(3)
+    low, high = [chr(0x4E00 + i) for i in range(400)], [chr(0xC000 + i) for i in range(60)]
+    many = "".join(rnd.choice(low) for _ in range(3000))
+    samples = {"a": many + "".join(high), "b": many + "".join(reversed(high)), "c": "the cat sat on the mat", "d": "abc " + "".join(high[:30]) * 3}
+    model = L.Model(samples).prepare()
+    kinds = [(type(s).__name__, own is not None) for s, own in model.steps]
+    assert kinds == [("SparseSteps", True)] * 2 + [("DenseSteps", True)] * 2
+    texts = ["".join(high[5:40]), "".join(reversed(high[5:40])), "the cat", many[100:1500] + "the cat" + high[3], "", "".join(rnd.choice(low + high + ["x", " ", "\u0e01"]) for _ in range(1300))]
+    got = model.phrases([L.encode(t, model.codes) for t in texts])
+    # letters that no sample has are all one character, which none of them holds
+    assert got.tolist() == [[brute_phrases(t, samples[x]) for x in model.langs] for t in texts]
+    assert [x for x, _ in model.predict(texts)][:3] == ["a", "b", "c"]
+    assert pickle.loads(pickle.dumps(model)).phrases([L.encode(t, model.codes) for t in texts]).tolist() == got.tolist()
+
+
 def test_split_and_bounds(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = docs.withColumn("b", L.bucket_of(docs["doc_id"])).collect()

@@ -3,7 +3,7 @@
 For every language a suffix automaton of a bounded sample of labelled text is built. A text is parsed into phrases,
 each the longest match in that language's sample; the language that needs the fewest phrases, normalised by the
 sample's size (Ziv and Merhav: phrases * log2(sample) / characters), wins. The automata are flattened to
-tables in which a step that ends a phrase says so, and whole batches are parsed in step, one character of every
+tables, or sorted transitions where a sample has many letters, in which a step that ends a phrase says so, and whole batches are parsed in step, one character of every
 block at a time; blocks of ``BLOCK`` characters end a phrase.
 
 Learning reads rows whose crc32(doc_id as text) mod 3 is not 1, with a language and a text, from which it takes at most
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ UNKNOWN = "und"
 #: Codes of the end of a block, of what is no letter, and of letters of no sample.
 _PAD, _GAP, _OTHER = 0, 1, 2
 _SHIFT = 29
+#: Codes of a sample up to which its table has a column for each; beyond, its transitions are searched.
+DENSE_WIDTH = 256
 
 
 def bucket_of(doc_id) -> F.Column:
@@ -74,14 +76,15 @@ class Alphabet:
     """Codes of characters after lower-casing."""
 
     def __init__(self, samples: list[str]):
-        letters = sorted({c for s in samples for c in s.lower() if c.isalpha()})[:250]
+        letters = sorted({c for s in samples for c in s.lower() if c.isalpha()})
         self.letters = letters
         self.size = len(letters) + 3
+        self.dtype = np.min_scalar_type(self.size - 1)
         self.code_of = {c: i + 3 for i, c in enumerate(letters)}
 
     def table(self) -> np.ndarray:
         """A code for each code point. Letters are those that Python says are."""
-        out = np.full(0x110000, _GAP, np.uint8)
+        out = np.full(0x110000, _GAP, self.dtype)
         for start in range(0, 0x110000, 256):
             if start in range(0xD800, 0xE000, 256):
                 continue
@@ -97,7 +100,7 @@ def encode(text: str, table: np.ndarray) -> np.ndarray:
     return table[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
 
 
-def parse_table(codes: bytes, width: int) -> np.ndarray:
+def parse_table(codes: Sequence[int], width: int) -> np.ndarray:
     """For state s and code c, at [s * width + c]: the next state times ``width``, and above bit 29 the phrases that end."""
     out, _, _ = suffix_automaton([codes])
     first = np.zeros(width, np.int32)
@@ -115,13 +118,64 @@ def parse_table(codes: bytes, width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+class DenseSteps:
+    """Steps of lanes by a table; states are multiples of its width."""
+
+    def __init__(self, codes: np.ndarray, width: int):
+        self.table = parse_table(codes.tolist(), width)
+
+    def __call__(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = self.table.take(state + codes)
+        return step & ((1 << _SHIFT) - 1), step >> _SHIFT
+
+
+class SparseSteps:
+    """The same steps by a search of the transitions, of which there are at most three a character of the sample."""
+
+    def __init__(self, codes: np.ndarray, width: int):
+        out, _, _ = suffix_automaton([codes.tolist()])
+        self.width = width
+        self.first = np.zeros(width, np.int32)
+        self.known = np.zeros(width, bool)
+        for c, to in out[0].items():
+            self.first[c], self.known[c] = to, True
+        edges = sorted((state * width + c, to) for state, own in enumerate(out) if state for c, to in own.items())
+        self.keys = np.array([k for k, _ in edges] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([to for _, to in edges] + [0], np.int32)
+
+    def __call__(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known[codes]
+        to, ended = self.first[codes], (state > 0).astype(np.int32)
+        inner = np.flatnonzero(known & (state > 0))
+        keys = state[inner].astype(np.int64) * self.width + codes[inner]
+        at = np.searchsorted(self.keys, keys)
+        found = self.keys[at] == keys
+        to[inner[found]], ended[inner[found]] = self.to[at[found]], 0
+        ended += ~known & (codes != _PAD)  # a character that the sample lacks is a phrase
+        return to, ended
+
+
+def steps_of(codes: np.ndarray, width: int) -> tuple[DenseSteps | SparseSteps, np.ndarray | None]:
+    """Steps in a sample, and what its codes are there (None: the same): those it lacks are ``_OTHER``."""
+    if width <= DENSE_WIDTH:
+        return DenseSteps(codes, width), None
+    own = np.unique(codes)
+    own = own[own > _OTHER]
+    to_own = np.full(width, _OTHER, np.min_scalar_type(len(own) + 2))
+    to_own[: _OTHER + 1] = range(_OTHER + 1)
+    to_own[own] = np.arange(len(own)) + _OTHER + 1
+    kind = DenseSteps if len(own) + 3 <= DENSE_WIDTH else SparseSteps
+    return kind(to_own[codes], len(own) + 3), to_own
+
+
 class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.alphabet = Alphabet([samples[x] for x in self.langs])
         table = self.alphabet.table()
-        self.samples = [encode(samples[x], table).tobytes() for x in self.langs]
-        self.weights = np.array([math.log2(max(2, len(s))) for s in self.samples])
+        coded = [encode(samples[x], table) for x in self.langs]
+        self.samples = [c.tobytes() for c in coded]
+        self.weights = np.array([math.log2(max(2, len(c))) for c in coded])
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "letters": self.alphabet, "samples": self.samples, "weights": self.weights}
@@ -132,16 +186,16 @@ class Model:
 
     def prepare(self) -> Model:
         self.codes = self.alphabet.table()
-        self.tables = [parse_table(s, self.alphabet.size) for s in self.samples]
+        self.steps = [steps_of(np.frombuffer(s, self.alphabet.dtype), self.alphabet.size) for s in self.samples]
         return self
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each coded text in each language."""
         blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
-        lanes = np.zeros((sum(blocks), BLOCK + 1), np.uint8)
+        lanes = np.zeros((sum(blocks), BLOCK + 1), self.alphabet.dtype)
         at = 0
         for t, n in zip(texts, blocks, strict=True):
-            padded = np.zeros(n * BLOCK, np.uint8)
+            padded = np.zeros(n * BLOCK, self.alphabet.dtype)
             padded[: len(t)] = t
             lanes[at : at + n, :BLOCK] = padded.reshape(n, BLOCK)
             at += n
@@ -152,17 +206,16 @@ class Model:
         running = np.searchsorted(-lengths[order], -np.arange(BLOCK + 1), side="right")
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         of_text = np.repeat(np.arange(len(texts)), blocks)[order]
-        mask = (1 << _SHIFT) - 1
-        for k, table in enumerate(self.tables):
+        for k, (stepped, to_own) in enumerate(self.steps):
             state = np.zeros(len(lanes), np.int32)
             ended = np.zeros(len(lanes), np.int32)
             for i in range(BLOCK + 1):
                 n = running[i]
                 if not n:
                     break
-                step = table.take(state[:n] + steps[i, :n])
-                state[:n] = step & mask
-                ended[:n] += step >> _SHIFT
+                codes = steps[i, :n] if to_own is None else to_own[steps[i, :n]]
+                state[:n], more = stepped(state[:n], codes)
+                ended[:n] += more
             out[:, k] = np.bincount(of_text, ended, len(texts))
         return out
 
