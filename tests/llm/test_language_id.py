@@ -61,6 +61,13 @@ def test_split_and_bounds(spark, small):
         assert len(text) <= L.CHARS_PER_LANGUAGE and any(text.startswith(t[:50]) for t in allowed[lang])
 
 
+def test_a_language_of_mostly_null_texts_is_learned(spark):
+    texts = [None if i % 1000 else f"only text {i}" for i in range(8000)]
+    docs = frame(spark, texts, ["en"] * len(texts))
+    allowed = {r.text for r in docs.filter("text is not null").withColumn("b", L.bucket_of(docs["doc_id"])).filter("b <> 1").collect()}
+    assert allowed and set(L.learning_sample(docs)["en"].split("\n")) == allowed
+
+
 def test_held_out_accuracy(spark, small):
     out = L.op2_language_id(spark, small)
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}

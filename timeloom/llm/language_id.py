@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -60,12 +61,22 @@ def learning_sample(docs: DataFrame) -> dict[str, str]:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * DOCS_PER_LANGUAGE / n))).otherwise(share)
     spread = F.xxhash64("doc_id", F.lit(17))
-    near = rows.select("lang", "text", spread.alias("li_h")).filter(F.shiftrightunsigned("li_h", 1) / F.lit(float(1 << 63)) <= share)
+    hashed = rows.select("lang", "text", spread.alias("li_h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("li_h", "text"))
-    taken = near.withColumn("li_r", rank).filter(F.col("li_r") <= DOCS_PER_LANGUAGE).select("lang", "li_h", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text"))
+
+    def first(near: DataFrame) -> list:
+        best = near.withColumn("li_r", rank).filter(F.col("li_r") <= DOCS_PER_LANGUAGE)
+        return best.select("lang", "li_h", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text")).collect()
+
+    taken = first(hashed.filter(F.shiftrightunsigned("li_h", 1) / F.lit(float(1 << 63)) <= share))
+    # null texts were counted too: a language that has most of them may miss documents in its share, and is ranked whole
+    got = Counter(r.lang for r in taken)
+    short = [lang for lang, n in counts.items() if n > 4 * DOCS_PER_LANGUAGE and got[lang] < DOCS_PER_LANGUAGE]
+    if short:
+        taken = [r for r in taken if r.lang not in short] + first(hashed.filter(F.col("lang").isin(short)))
     limit = min(CHARS_PER_LANGUAGE, CHARS_PER_LANGUAGE * LANGUAGES_AT_FULL // len(counts))
     texts: dict[str, list[str]] = {}
-    for r in sorted(taken.collect(), key=lambda r: (r.lang, r.li_h, r.text)):
+    for r in sorted(taken, key=lambda r: (r.lang, r.li_h, r.text)):
         own = texts.setdefault(r.lang, [])
         if r.text not in own:
             own.append(r.text)
