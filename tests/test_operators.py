@@ -1,16 +1,18 @@
 """Values of the operators on small inputs, and plain versions over random ones."""
 
 import random
+import re
 
 import pytest
 
 from timeloom.config import DROP_MS, KNOBS, constrained
+from timeloom.functions import text as T
 from timeloom.operators import candidates as C
 from timeloom.operators import planning as P
 from timeloom.operators import timeline as TL
 from timeloom.operators import windows as W
 from timeloom.plans import adapter as A
-from timeloom.plans import planning
+from timeloom.plans import planning, scalars
 
 CAND = "source_id long, candidate_id long, start_ms long, end_ms long, label string, score double, reason string"
 
@@ -110,6 +112,20 @@ def test_all_candidates_and_words_match_a_plain_version(spark, small):
     assert {tuple(r) for r in planning.trimmed_all(spark, small).collect()} == trimmed
 
 
+def test_all_documents_match_a_plain_version(spark, small):
+    docs = A.table(spark, small, "documents").select("doc_id", "text").collect()
+    opening, words = {}, {}
+    for r in docs:
+        text = r.text or ""
+        first = re.sub("[^a-z']", "", text.strip(" ").split(" ")[0].lower())
+        opening[r.doc_id] = (first, "reference" if first in T.PRONOUNS else "intro" if r.doc_id * 977 % 20000 < 8000 else "")
+        own = sorted(set(re.findall("[a-z']{3,}", text.lower())) - set(T.STOPWORDS))
+        words[r.doc_id] = (len(own), " ".join(own))
+    assert {r.doc_id: (r.first_word, r.warning) for r in scalars.cold_open_all(spark, small).collect()} == opening
+    assert {r.doc_id: (r.n, r.words) for r in scalars.content_words_all(spark, small).collect()} == words
+    assert max(n for n, _ in words.values()) > 50 and len(words) == len(docs)
+
+
 def test_timeline_crossfade_and_budget(spark):
     kept = [(1, 0, 0, 0, 10_000), (1, 0, 1, 12_000, 20_000), (1, 1, 0, 50_000, 60_000), (1, 2, 0, 70_000, 90_000)]
     rows = TL.build_timeline(spark.createDataFrame(kept, "clip_id long, member long, seq long, src_start_ms long, src_end_ms long"), 30_000).orderBy("member", "seq").collect()

@@ -110,6 +110,18 @@ CONTENT_WORDS_SQL = f"""WITH w AS (SELECT doc_id, list_sort(list_filter(list_dis
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws[1:50], ' ') AS first_50 FROM w"""
 
 
+def cold_open_all(spark, sf):
+    """Documents of all languages. No SQL: that of ``cold_open`` reads English ones only."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.first_word(F.col("text")).alias("first_word"), T.cold_open(F.col("text"), F.col("doc_id") * 977 % 20000).alias("warning"))
+
+
+def content_words_all(spark, sf):
+    """All words of documents of all languages. No SQL: that of ``content_words`` stops at 50 words of English ones."""
+    w = F.array_sort(T.content_words(F.col("text")))
+    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("bigint").alias("n"), F.array_join(w, " ").alias("words"))
+
+
 def label_params(spark, sf):
     return C.with_label_params(A.candidates(spark, sf).withColumn("label", F.when(F.col("candidate_id") % 5 == 0, F.lit("unknown")).otherwise(F.col("label")))).select(
         "candidate_id", "label", "reframe", "trim", "caption_style", "silence_db", "pad_ms", "max_ms")
@@ -206,6 +218,7 @@ SELECT source_id, string_agg(DISTINCT lower(w), ',' ORDER BY lower(w)) AS marker
 QUERIES = {
     "hhmmss": (hhmmss, HHMMSS_SQL), "caption_times": (caption_times, CAPTION_TIMES_SQL), "deep_links": (deep_links, DEEP_LINKS_SQL), "valid_urls": (valid_urls, VALID_URLS_SQL),
     "project_and_safe_names": (names, NAMES_SQL), "classify_errors": (classify_errors, CLASSIFY_SQL), "cold_open": (cold_open, COLD_OPEN_SQL), "content_words": (content_words, CONTENT_WORDS_SQL),
+    "cold_open_all": (cold_open_all, None), "content_words_all": (content_words_all, None),
     "label_params": (label_params, LABEL_PARAMS_SQL), "html_text": (html_text, HTML_SQL), "html_entities": (html_entities, None), "human_sizes": (human_sizes, HUMAN_SQL), "crop_dims": (crop_dims, CROP_SQL),
     "iso_times": (iso_times, ISO_SQL), "validate_candidates": (validate_candidates, VALIDATE_SQL), "validate_batches": (validate_batches, BATCHES_SQL), "transcript_markers": (markers, MARKERS_SQL),
 }
