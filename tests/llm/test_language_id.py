@@ -89,6 +89,11 @@ def test_defined_cases(spark):
     assert L.keep_known(frame(spark, [])).count() == 0
 
 
+def test_no_model_keeps_texts_with_letters(spark):
+    texts = ["some text", None, "12 34 !?", "\u4e2d\u6587", "", "held out"]
+    assert [r.doc_id for r in L.keep_known(frame(spark, texts, [None] * 6)).orderBy("doc_id").collect()] == [0, 3, 5]
+
+
 @pytest.mark.parametrize("text", ["中文字", "ß"])
 def test_unknown_letters_tie(text):
     model = L.Model({"b": "abc", "a": "abc"}).prepare()

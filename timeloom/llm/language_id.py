@@ -284,9 +284,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are ``und``; a null ``lang`` gets the prediction."""
-    out = predict(docs, learn(docs)).filter(F.col("li_lang") != UNKNOWN)
+    """``docs`` without the documents that are ``und``; a null ``lang`` gets the prediction. With nothing to learn from, only texts that are null or without letters go."""
+    model = learn(docs)
     field = lambda c: F.col("li_row").getField(c)
+    out = predict(docs, model)
+    out = out.filter(F.col("li_lang") != UNKNOWN) if model.langs else out.filter(field("text").rlike("\\p{L}"))
     return out.select(*[(F.coalesce(field(c), "li_lang") if c == "lang" else field(c)).alias(c) for c in docs.columns])
 
 
