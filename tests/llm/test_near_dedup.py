@@ -54,9 +54,10 @@ def family(seed, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_matches_brute_force(spark, small, width, monkeypatch):
+@pytest.mark.parametrize(("width", "hubs"), [(2, 2), (5, 2), (2, 1)])
+def test_matches_brute_force(spark, small, width, hubs, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_DOCS", 30)
+    monkeypatch.setattr(N, "HUBS", hubs)
     made = family(1, 120, 100, 14) + family(2, 60, 40, 6) + family(3, 40, 300, 40) + family(4, 30, 6, 2)
     docs = frame(spark, [*TEXTS, *made, "A b\tC", "a B c"]).select("doc_id", "text").union(spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id + 1000", "text"))
     want = brute([(r.doc_id, r.text) for r in docs.collect()], width)
@@ -90,3 +91,34 @@ def test_null_and_repeated_ids(spark):
     got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert N.classes(frame(spark, []), 2).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    near, far = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven eight nine"
+    rows = [(5, near + " u"), (5, far), (2, near), (8, far), (8, "alone in the world")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in N.classes(docs, 2).collect()}
+    assert got == {(5, 20): (2, False), (5, 8): (5, True), (2, 19): (2, True), (8, 8): (5, False), (8, 3): (8, True)}
+    kept = {(r.doc_id, r.text) for r in N.drop_near_copies(docs, 2).collect()}
+    assert kept == {(5, far), (2, near), (8, "alone in the world")}
+
+
+def test_blocks_let_all_classes_meet(spark, monkeypatch):
+    """Pairs of different classes meet in some block; the largest class is not compared with itself."""
+    from timeloom.llm.storage import Workspace
+
+    monkeypatch.setattr(N, "BLOCK_DOCS", 7)
+    rows = [(1, i, 0 if i < 60 else i // 3) for i in range(100)] + [(2, i, i) for i in range(200, 205)]
+    df = spark.createDataFrame(rows, "nd_band long, nd_id long, nd_class long")
+    with Workspace(spark) as w:
+        dealt = N._dealt(df, "nd_band", N.F.lit(0), w).collect()
+    blocks = defaultdict(list)
+    for r in dealt:
+        blocks[r.nd_block].append(r)
+    met = set()
+    for own in blocks.values():
+        near = N._meets(np.array([r.nd_class for r in own]), np.array([r.nd_main for r in own]))
+        met |= {(own[i].nd_id, own[j].nd_id) for i, j in zip(*np.nonzero(near), strict=True)}
+    want = {(a, b) for k, a, x in rows for l, b, y in rows if k == l and x != y}
+    assert met == want and max(map(len, blocks.values())) < 40
+    assert sum(r.nd_main for r in dealt) == 60 * -(-40 // 7)

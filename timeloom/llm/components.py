@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import Workspace
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b) as longs -> (id, component), component being the smallest id that is reachable.
+    """``edges`` (a, b) as longs -> a written table (id, component), component being the smallest id that is reachable.
 
     Large and small stars in turn: every round links a node's neighbours to the smallest one, so that paths
-    shrink to stars in a number of rounds logarithmic in the nodes. Each round is written to the shared folder; nothing
-    but a count and a checksum reaches the driver. A hot node's edges are joined with a table, and so are split at run time.
+    shrink to stars in a number of rounds logarithmic in the nodes. Each round is written to the shared folder, and the one
+    before it deleted; nothing but a count and a checksum reaches the driver. A hot node's edges are joined with a table, and
+    so are split at run time.
     """
-    held = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(held)
-    while before[0]:
-        both = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = least.filter("m < a").select("a", F.col("m").alias("b"))
-        large = materialise(large.unionByName(own).filter("a <> b").distinct(), "large-star")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = least.select("a", F.col("m").alias("b"))
-        held = materialise(small.unionByName(own).filter("a <> b").distinct(), "small-star")
-        after = _state(held)
-        if after == before:
-            break
-        before = after
-    roots = held.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
-    return held.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    with Workspace(edges.sparkSession) as w:
+        held = w.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        before = _state(held)
+        while before[0]:
+            both = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = w.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+            large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            own = least.filter("m < a").select("a", F.col("m").alias("b"))
+            large = w.write(large.unionByName(own).filter("a <> b").distinct(), "large-star")
+            w.free(held, least)
+            least = w.write(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            own = least.select("a", F.col("m").alias("b"))
+            held = w.write(small.unionByName(own).filter("a <> b").distinct(), "small-star")
+            w.free(large, least)
+            after = _state(held)
+            if after == before:
+                break
+            before = after
+        roots = held.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
+        out = w.write(held.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots), "components")
+        return w.result(out, out)
 
 
 def _state(edges: DataFrame) -> tuple:

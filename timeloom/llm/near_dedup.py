@@ -5,15 +5,24 @@ until every bin is filled (Dahlgaard, Knudsen and Thorup 2017); each coordinate
 probability of their Jaccard similarity, and the share that agrees is concentrated about it. Bands of coordinates
 give candidates, and every link is verified on the full sets.
 
-Copies of one set are one node from the start. Pairs are never emitted from a bucket: its members are compared, by
-their sketches, with the bucket's smallest member, and those unlike it with each other in blocks that return
-spanning forests; this joins documents to families. In a family, blocks of documents meet block by block on
-their full sets, and a block pair returns a spanning forest of the links it finds. Links across families would need two
-documents over the threshold to share no band: at the threshold 1 pair in 8 million.
+Copies of one set are one node from the start. Links are then found in two steps, neither of which makes all pairs of a bucket:
+
+* Hubs. Every member of a bucket meets its smallest member by sketch; each document is verified against the most similar hub it has,
+  and what is linked becomes one class. That is repeated once with a second hub. A family of near copies is a class
+  after it, at a cost in proportion to its members.
+* Blocks. Buckets that hold several classes are dealt to blocks of bounded size in which members of different classes meet
+  by sketch; the largest class of a bucket is not compared with itself. Documents with a close one of another class form
+  families, whose blocks compare full sets in the same way and return a spanning forest of links.
+
+What is left quadratic are documents of one bucket that are in different classes after the hubs, in tasks of bounded size.
+Links that are missed are those without a common band, 1 in 8 million at the threshold, and those whose sketches
+look less similar than ``MARGIN`` standard errors under the threshold, fewer still.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a document with fewer words than a shingle is one shingle. Defined cases:
 a document without words or text has an empty set and is linked with nothing; a null ``doc_id`` has a null component and is
-kept; rows that repeat a ``doc_id`` get the same component if their texts do; an empty table gives an empty table.
+kept; rows that repeat a ``doc_id`` with different texts are documents of their own, each with the class of its text; equal rows
+share their fate; an empty table gives an empty table; texts of any length are read whole; further columns pass through
+``drop_near_copies`` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import documents, map_batches, materialise
+from .storage import Workspace, documents, map_batches
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 WORDS, PERCENT = 5, 80
-#: Estimated similarity from which documents of a bucket are of one family, and from which a member need not meet others
-#: than the bucket's smallest document: two documents over 0.8 are at most 0.2 apart, the rest is room for the sketch's error.
-JOIN, LEAVE = 0.35, 0.75
+#: Standard errors of the sketch under the threshold from which on a pair is verified.
+MARGIN = 6
+#: Hubs that a bucket's members meet before blocks are made.
+HUBS = 2
 #: Documents and shingles in a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 250_000
 #: Rows of small buckets that go to one call, about.
@@ -102,14 +112,20 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_FEATURES = "doc_id long, n_shingles long, nd_set binary, nd_bands array<long>, nd_bytes binary"
+def close_from(percent: int) -> float:
+    """The estimated similarity from which on a pair may be over the threshold."""
+    p = percent / 100
+    return p - MARGIN * (p * (1 - p) / COORDINATES) ** 0.5
+
+
+_FEATURES = "doc_id long, nd_text long, n_shingles long, nd_set binary, nd_bands array<long>, nd_bytes binary"
 
 
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, bands, tails = [], [], [], []
-            for text in batch.column(1):
+            for text in batch["text"]:
                 items = shingles(text.as_py(), width)
                 n.append(len(items))
                 if len(items):
@@ -122,8 +138,8 @@ def _features(width: int):
                     bands.append(None)
                     tails.append(None)
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
-                ["doc_id", "n_shingles", "nd_set", "nd_bands", "nd_bytes"],
+                [batch["doc_id"], batch["nd_text"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
+                ["doc_id", "nd_text", "n_shingles", "nd_set", "nd_bands", "nd_bytes"],
             )
 
     return run
@@ -134,87 +150,226 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("nd_x", "nd_y"))
-            same = (one == two).mean(axis=1)
-            est = (same - 1 / 256) / (1 - 1 / 256)
+            est = _similarity((one == two).mean(axis=1))
         else:
             est = np.empty(0)
         yield pa.record_batch([batch["nd_id"], batch["nd_hub"], pa.array(est, pa.float64())], ["nd_id", "nd_hub", "nd_est"])
 
 
-def _forests(key: tuple, table: pa.Table) -> pa.Table:
-    """Of bucket blocks, a few of them a group: a spanning forest each of the pairs whose sketches are alike."""
-    table = table.combine_chunks()
-    block, ids = table["nd_block"].to_numpy(), table["nd_id"].to_numpy()
-    order = np.lexsort((ids, block))
-    block, ids = block[order], ids[order]
-    tails = np.frombuffer(b"".join(table["nd_bytes"].to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
-    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
-    a, b = [], []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own, free = tails[lo:hi], np.ones(hi - lo, bool)
-        for start in range(hi - lo):
-            if not free[start]:
-                continue
-            free[start], todo = False, [start]
-            while todo and free.any():
-                same = (own == own[todo.pop()]).mean(axis=1)
-                new = np.flatnonzero(free & ((same - 1 / 256) / (1 - 1 / 256) >= JOIN))
-                free[new] = False
-                todo += new.tolist()
-                a += ids[lo + new].tolist()
-                b += [int(ids[lo + start])] * len(new)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def family_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between documents of a bucket that are alike enough to be of one family.
-
-    First every member meets the bucket's smallest one. Those that are not close to it then meet each other, in
-    blocks of bounded size that return forests: a bucket never yields more edges than rows.
-    """
-    sketches = nodes.select("nd_id", "nd_bytes")
-    rows = nodes.select("nd_id", F.explode("nd_bands").alias("nd_band"))
-    # joins of tables, not of aggregates, have a hot key's rows split at run time; so it is below
-    hubs = rows.groupBy("nd_band").agg(F.count("*").alias("c"), F.min("nd_id").alias("nd_hub")).filter("c > 1").drop("c")
-    hubs = materialise(hubs, "near-hubs")
-    met = materialise(rows.join(hubs, "nd_band").filter("nd_id <> nd_hub"), "near-met")
-    both = met.select("nd_id", "nd_hub").distinct().join(sketches.withColumnRenamed("nd_bytes", "nd_x"), "nd_id")
-    both = both.join(sketches.select(F.col("nd_id").alias("nd_hub"), F.col("nd_bytes").alias("nd_y")), "nd_hub")
-    rated = materialise(map_batches(both, _estimate, "nd_id long, nd_hub long, nd_est double"), "near-rated")
-    alike = rated.filter(F.col("nd_est") >= JOIN).select(F.col("nd_id").alias("a"), F.col("nd_hub").alias("b"))
-
-    left = met.join(rated.filter(F.col("nd_est") < LEAVE), ["nd_id", "nd_hub"])
-    left = materialise(left.select("nd_band", "nd_id", (F.col("nd_est") < JOIN).alias("nd_free")), "near-left")
-    size = left.groupBy("nd_band").agg(F.count("*").alias("c"), F.max("nd_free").alias("nd_any"))
-    size = size.filter("c > 1 and nd_any").select("nd_band", F.ceil(F.col("c") / BLOCK_DOCS).cast("int").alias("nd_blocks"))
-    dealt = _block_pairs(left.join(size, "nd_band"), "nd_band", "nd_id").select("nd_block", "nd_id").join(sketches, "nd_id")
-    groups = max(1, -(-left.count() // GROUP_ROWS))
-    dealt = dealt.withColumn("nd_group", F.pmod("nd_block", F.lit(groups)))
-    return alike.unionByName(dealt.groupBy("nd_group").applyInArrow(_forests, "a long, b long"))
-
-
-def _block_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Rows of a key dealt to ``nd_blocks`` blocks, once for each pair of blocks that theirs is in: ``nd_block`` names the pair."""
-    df = df.withColumn("nd_k", F.pmod(F.xxhash64(member), F.col("nd_blocks")).cast("int"))
-    pair = lambda j: F.xxhash64(key, F.least(j, F.col("nd_k")), F.greatest(j, F.col("nd_k")))
-    return df.withColumn("nd_block", F.explode(F.transform(F.sequence(F.lit(0), F.col("nd_blocks") - 1), pair)))
+def _similarity(same: np.ndarray) -> np.ndarray:
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
+def nodes_of(features: DataFrame, w: Workspace) -> DataFrame:
+    """A row per set: ``nd_id``, the document and text that stand for it (``nd_doc``, the smallest, and ``nd_text``), its bands and sketch."""
+    sets = features.filter("nd_set is not null and doc_id is not null").groupBy("nd_set")
+    first = F.min(F.struct(F.col("doc_id").alias("nd_doc"), "nd_text"))
+    sets = w.write(sets.agg(first.alias("p"), F.first("nd_bands").alias("nd_bands"), F.first("nd_bytes").alias("nd_bytes")).select("nd_set", "p.*", "nd_bands", "nd_bytes"), "near-sets")
+    # a doc_id that stands for several sets, its rows having different texts, names none of them
+    several = w.write(sets.groupBy("nd_doc").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("nd_doc").alias("nd_several")), "near-several")
+    if several.isEmpty():
+        return sets.withColumn("nd_id", F.col("nd_doc"))
+    nodes = sets.join(several, F.col("nd_doc") == F.col("nd_several"), "left")
+    nodes = nodes.withColumn("nd_id", F.when(F.col("nd_several").isNull(), F.col("nd_doc")).otherwise(F.xxhash64("nd_set")))
+    return w.write(nodes.drop("nd_several"), "near-nodes")
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [shingles(t.as_py(), width).view(np.int64) for t in batch["text"]]
-            yield pa.record_batch([batch["nd_id"], batch["nd_family"], pa.array(items, pa.list_(pa.int64()))], ["nd_id", "nd_family", "nd_items"])
+            yield pa.record_batch([batch["nd_id"], pa.array(items, pa.list_(pa.int64()))], ["nd_id", "nd_items"])
+
+    return run
+
+
+class Search:
+    """What the steps of one search for links share."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int, w: Workspace):
+        self.docs, self.nodes, self.width, self.percent, self.w = docs, nodes, width, percent, w
+        self.sketches = nodes.select("nd_id", "nd_bytes")
+        self.close = close_from(percent)
+        self.links: list[DataFrame] = []
+        self.classes: DataFrame | None = None
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(nd_id, nd_items) of the nodes in ``ids``. Of equal rows one is read."""
+        wanted = self.w.write(self.nodes.select("nd_id", "nd_doc", "nd_text").join(ids.distinct(), "nd_id"), "near-wanted")
+        small = wanted.count() <= BROADCAST_IDS
+        texts = self.docs.select(F.col("doc_id").alias("nd_doc"), "nd_text", "text")
+        texts = texts.join(F.broadcast(wanted) if small else wanted, ["nd_doc", "nd_text"]).select("nd_id", "text")
+        return self.w.write(map_batches(texts, _sets(self.width), "nd_id long, nd_items array<long>").dropDuplicates(["nd_id"]), "near-items")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are linked, by their full sets."""
+        sets = self.sets_of(pairs.select(F.col("a").alias("nd_id")).unionByName(pairs.select(F.col("b").alias("nd_id"))))
+        one = sets.select(F.col("nd_id").alias("a"), F.col("nd_items").alias("nd_x"))
+        two = sets.select(F.col("nd_id").alias("b"), F.col("nd_items").alias("nd_y"))
+        both = pairs.join(one, "a").join(two, "b").withColumn("nd_both", F.size(F.array_intersect("nd_x", "nd_y")).cast("bigint"))
+        union = F.size("nd_x") + F.size("nd_y") - F.col("nd_both")
+        found = self.w.write(both.filter(100 * F.col("nd_both") >= self.percent * union).select("a", "b"), "near-links")
+        self.w.free(sets)
+        return found
+
+    def add(self, links: DataFrame) -> None:
+        self.links.append(links)
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.unionByName(more)
+        self.classes = self.w.adopt(components(every))
+
+    def with_class(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``nd_class``, the class of ``nd_id`` as far as it is known."""
+        held = self.classes.select(F.col("id").alias("nd_id"), "component")
+        return rows.join(held, "nd_id", "left").withColumn("nd_class", F.coalesce("component", "nd_id")).drop("component")
+
+    def meet(self, members: DataFrame) -> DataFrame:
+        """Every member (nd_id) meets its bucket's hub (nd_hub): (nd_id, nd_hub, nd_est), each pair once."""
+        pairs = members.filter("nd_id <> nd_hub").select("nd_id", "nd_hub").distinct()
+        both = pairs.join(self.sketches.withColumnRenamed("nd_bytes", "nd_x"), "nd_id")
+        both = both.join(self.sketches.select(F.col("nd_id").alias("nd_hub"), F.col("nd_bytes").alias("nd_y")), "nd_hub")
+        rated = map_batches(both, _estimate, "nd_id long, nd_hub long, nd_est double")
+        return self.w.write(rated.filter(F.col("nd_est") >= self.close), "near-rated")
+
+    def best(self, rated: DataFrame) -> DataFrame:
+        """The most similar hub of each document."""
+        best = F.max_by("nd_hub", F.struct("nd_est", -F.col("nd_hub")))
+        return rated.groupBy("nd_id").agg(best.alias("b")).select(F.col("nd_id").alias("a"), "b")
+
+
+def find_links(search: Search) -> DataFrame | None:
+    """(id, component) of all documents with links; None if there is no bucket."""
+    w = search.w
+    rows = search.nodes.select("nd_id", F.explode("nd_bands").alias("nd_band"))
+    # joins of tables, not of aggregates, have a hot key's rows split at run time; so it is below
+    hubs = w.write(rows.groupBy("nd_band").agg(F.count("*").alias("c"), F.min("nd_id").alias("nd_hub")).filter("c > 1").drop("c"), "near-hubs")
+    members = w.write(rows.join(hubs, "nd_band"), "near-members")
+    w.free(hubs)
+    met = []
+    for _ in range(HUBS):
+        met.append(search.meet(members))
+        search.add(search.verified(search.best(met[-1])))
+        members = _mixed(search, members)
+        if members.isEmpty():
+            break
+    # who met a hub that may be linked with it, and is not in its class yet
+    close = [search.with_class(m).join(search.classes.select(F.col("id").alias("nd_hub"), "component"), "nd_hub", "left") for m in met]
+    close = [c.filter(F.col("nd_class") != F.coalesce("component", "nd_hub")).select(F.col("nd_id").alias("a"), F.col("nd_hub").alias("b")) for c in close]
+    edges = close[0]
+    for more in close[1:]:
+        edges = edges.unionByName(more)
+    if not members.isEmpty():
+        dealt = _dealt(members, "nd_band", F.lit(0), w).join(search.sketches, "nd_id")
+        groups = max(1, -(-members.count() // GROUP_ROWS))
+        dealt = dealt.withColumn("nd_group", F.pmod("nd_block", F.lit(groups)))
+        edges = edges.unionByName(dealt.groupBy("nd_group").applyInArrow(_close_pairs(search.close), "a long, b long"))
+    families = w.adopt(components(w.write(edges, "near-close")))
+    if not families.isEmpty():
+        ids = w.write(search.with_class(families.select(F.col("id").alias("nd_id"), F.col("component").alias("nd_family"))), "near-families")
+        sets = search.sets_of(ids.select("nd_id"))
+        dealt = _dealt(sets.join(ids, "nd_id"), "nd_family", F.size("nd_items"), w)
+        search.add(w.write(dealt.groupBy("nd_block").applyInArrow(_links(search.percent), "a long, b long"), "near-links"))
+    return search.classes
+
+
+def _mixed(search: Search, members: DataFrame) -> DataFrame:
+    """The members, but the hub, of buckets that still hold several classes besides it, with the smallest member
+    of another class than the hub's as the next one."""
+    w = search.w
+    hub_class = search.classes.select(F.col("id").alias("nd_hub"), F.col("component").alias("nd_hub_class"))
+    rows = search.with_class(members.filter("nd_id <> nd_hub").select("nd_band", "nd_id", "nd_hub")).join(hub_class, "nd_hub", "left")
+    rows = w.write(rows.withColumn("nd_other", F.when(F.col("nd_class") != F.coalesce("nd_hub_class", "nd_hub"), F.col("nd_id"))).select("nd_band", "nd_id", "nd_class", "nd_other"), "near-classed")
+    size = rows.groupBy("nd_band").agg(F.min("nd_class").alias("lo"), F.max("nd_class").alias("hi"), F.min("nd_other").alias("nd_hub"))
+    size = w.write(size.filter("lo <> hi").select("nd_band", "nd_hub"), "near-mixed")
+    out = w.write(rows.join(size, "nd_band").select("nd_band", "nd_id", "nd_hub", "nd_class"), "near-members")
+    w.free(rows, size)
+    return out
+
+
+def _dealt(rows: DataFrame, key: str, weight: Column, w: Workspace) -> DataFrame:
+    """Rows (nd_id, nd_class) of a key dealt to pairs of blocks, named by ``nd_block``, so that all members of different classes meet.
+
+    The largest class of a key has blocks of its own (``nd_main``), which meet the blocks of the rest but not each other."""
+    size = rows.groupBy(key, "nd_class").agg(F.count("*").alias("d"), F.sum(weight).alias("s"))
+    load = F.greatest(F.col("d") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)
+    size = size.select(key, "nd_class", load.alias("load")).groupBy(key).agg(F.max(F.struct("load", "nd_class")).alias("m"), F.sum("load").alias("all"))
+    parted = F.col("all") > 1
+    size = size.select(
+        key,
+        F.when(parted, F.col("m.nd_class")).alias("nd_most"),
+        F.when(parted, F.ceil("m.load")).otherwise(F.lit(0)).cast("int").alias("nd_q"),
+        F.greatest(F.lit(1), F.when(parted, F.ceil(F.col("all") - F.col("m.load"))).otherwise(F.lit(1))).cast("int").alias("nd_r"),
+    )
+    size = w.write(size, "near-size")
+    rows = rows.join(size, key).withColumn("nd_main", F.coalesce(F.col("nd_class") == F.col("nd_most"), F.lit(False)))
+    rows = rows.withColumn("nd_k", F.pmod(F.xxhash64("nd_id"), F.when(F.col("nd_main"), F.col("nd_q")).otherwise(F.col("nd_r"))).cast("int"))
+    among = lambda j: F.xxhash64(key, F.lit(0), F.least(j, F.col("nd_k")), F.greatest(j, F.col("nd_k")))
+    across = lambda main, rest: F.xxhash64(key, F.lit(1), main, rest)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<bigint>")
+    of_main = F.transform(upto("nd_r"), lambda j: across(F.col("nd_k"), j))
+    of_rest = F.concat(F.transform(upto("nd_r"), among), F.when(F.col("nd_q") > 0, F.transform(upto("nd_q"), lambda j: across(j, F.col("nd_k")))).otherwise(none))
+    rows = rows.withColumn("nd_block", F.explode(F.when(F.col("nd_main"), of_main).otherwise(of_rest)))
+    return rows.drop("nd_most", "nd_q", "nd_r", "nd_k", key)
+
+
+def _forest(near: np.ndarray, ids: np.ndarray, a: list[int], b: list[int]) -> None:
+    """Adds a spanning forest of the graph ``near`` (a symmetric boolean matrix)."""
+    free = near.any(axis=1)
+    for start in np.flatnonzero(free):
+        if not free[start]:
+            continue
+        free[start], todo = False, [start]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & free)
+            free[new] = False
+            todo += new.tolist()
+            a += ids[new].tolist()
+            b += [int(ids[at])] * len(new)
+
+
+def _meets(classes: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Which members of a block are to be compared: those of different classes; in a block of the largest class, that with the rest."""
+    out = classes[:, None] != classes[None, :]
+    return out & (main[:, None] != main[None, :]) if main.any() else out
+
+
+def _close_pairs(close: float):
+    """Of bucket blocks, a few of them a group: spanning forests of the members of different classes whose sketches are alike."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, ids = table["nd_block"].to_numpy(), table["nd_id"].to_numpy()
+        order = np.lexsort((ids, block))
+        block, ids = block[order], ids[order]
+        classes, main = table["nd_class"].to_numpy()[order], np.array(table["nd_main"].to_pylist(), bool)[order]
+        tails = np.frombuffer(b"".join(table["nd_bytes"].to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            meets = _meets(classes[lo:hi], main[lo:hi])
+            if not meets.any():
+                continue
+            own = tails[lo:hi]
+            for i in range(hi - lo):
+                others = np.flatnonzero(meets[i, i + 1 :]) + i + 1
+                meets[i, i + 1 :] = False
+                meets[i, others] = _similarity((own[others] == own[i]).mean(axis=1)) >= close
+                meets[i + 1 :, i] = meets[i, i + 1 :]
+            _forest(meets, ids[lo:hi], a, b)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _links(percent: int):
-    """Of a block pair: a spanning forest of the links, each checked on the full sets."""
+    """Of a block: a spanning forest of the links between classes, each checked on the full sets."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["nd_id"].to_numpy()
+        ids, classes, main = table["nd_id"].to_numpy(), table["nd_class"].to_numpy(), np.array(table["nd_main"].to_pylist(), bool)
         column = table["nd_items"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -233,57 +388,41 @@ def _links(percent: int):
             part = part[some]
             both[np.ix_(some, some)] += part @ part.T
         union = sizes[:, None] + sizes[None, :] - both
-        linked = 100 * both >= percent * union
-        of = np.full(len(ids), -1)
         a, b = [], []
-        for start in np.argsort(ids):
-            if of[start] >= 0:
-                continue
-            of[start], todo = start, [start]
-            while todo:
-                new = np.flatnonzero(linked[todo.pop()] & (of < 0))
-                of[new] = start
-                todo += new.tolist()
-                a += ids[new].tolist()
-                b += [int(ids[start])] * len(new)
+        _forest((100 * both >= percent * union) & _meets(classes, main), ids, a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect what is linked in each family."""
-    n = families.count()
-    ids = families.select(F.col("id").alias("nd_id"), F.col("component").alias("nd_family"))
-    texts = docs.select(F.col("doc_id").alias("nd_doc"), "text")
-    joined = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, texts["nd_doc"] == ids["nd_id"]).select("nd_id", "nd_family", "text")
-    sets = materialise(map_batches(joined, _sets(width), "nd_id long, nd_family long, nd_items array<long>").dropDuplicates(["nd_id"]), "near-sets")
-    size = sets.groupBy("nd_family").agg(F.count("*").alias("d"), F.sum(F.size("nd_items")).alias("s"))
-    size = size.select("nd_family", F.ceil(F.greatest(F.col("d") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("nd_blocks"))
-    dealt = _block_pairs(sets.join(size, "nd_family"), "nd_family", "nd_id").select("nd_block", "nd_id", "nd_items")
-    return dealt.groupBy("nd_block").applyInArrow(_links(percent), "a long, b long")
+def _classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``classes`` with ``nd_text``, the hash of the row's text."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("nd_text"), "text")
+    with Workspace(docs.sparkSession) as w:
+        features = w.write(map_batches(docs, _features(width), _FEATURES), "near-features")
+        nodes = nodes_of(features, w)
+        linked = find_links(Search(docs, nodes, width, percent, w))
+        member = nodes.select("nd_set", "nd_id", "nd_doc").join(linked, nodes["nd_id"] == linked["id"])
+        member = w.write(member.select("nd_set", "nd_doc", "component"), "near-classes")
+        smallest = w.write(member.groupBy("component").agg(F.min("nd_doc").alias("nd_first")), "near-smallest")
+        first = member.join(smallest, "component").select(F.col("nd_set").alias("nd_linked"), "nd_first")
+        first = nodes.select("nd_set", "nd_doc").join(first, F.col("nd_set") == F.col("nd_linked"), "left")
+        first = w.write(first.select(F.col("nd_set").alias("nd_key"), F.coalesce("nd_first", "nd_doc").alias("nd_first")), "near-first")
+        out = features.join(first, features["nd_set"] == first["nd_key"], "left")
+        component = F.when(F.col("nd_set").isNull(), F.col("doc_id")).otherwise(F.col("nd_first"))
+        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "nd_text")
+        return w.result(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), features, first)
 
 
 def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    features = materialise(map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _features(width), _FEATURES), "near-features")
-    copies = materialise(features.filter("nd_set is not null").groupBy("nd_set").agg(F.min("doc_id").alias("nd_id")), "near-copies")
-    nodes = copies.filter("nd_id is not null").join(features, (copies["nd_set"] == features["nd_set"]) & (copies["nd_id"] == features["doc_id"]))
-    nodes = materialise(nodes.select("nd_id", "nd_bands", "nd_bytes").dropDuplicates(["nd_id"]), "near-nodes")
-    families = materialise(components(family_edges(nodes)), "near-families")
-    linked = materialise(components(links(docs, families, width, percent)), "near-classes")
-    first = copies.join(linked, copies["nd_id"] == linked["id"], "left").select(F.col("nd_set").alias("nd_key"), F.coalesce("component", "nd_id").alias("nd_first"))
-    first = materialise(first, "near-first")
-    out = features.join(first, features["nd_set"] == first["nd_key"], "left")
-    component = F.when(F.col("nd_set").isNull(), F.col("doc_id")).otherwise(F.col("nd_first"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _classified(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest ``doc_id``."""
-    gone = classes(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("nd_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["nd_gone"], "left_anti")
+    gone = _classified(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("nd_gone"), F.col("nd_text").alias("nd_gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["nd_gone"]) & (F.xxhash64(docs["text"]) == gone["nd_gone_text"]), "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,13 +13,17 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a temporary folder of this machine serves local mode
+    (tests); on a cluster that is an error, as executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         folder = tempfile.TemporaryDirectory(prefix="timeloom-")
@@ -28,25 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def _home(spark: SparkSession) -> str:
+    """All tables of an application are in one folder, which one delete removes."""
+    return f"{shared_dir(spark)}/timeloom-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut, and
-    a later loss of executors costs no recomputation. ``release`` removes what was written."""
+    a later loss of executors costs no recomputation. ``release`` removes what was written, also by a job that failed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.timeloom_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that nothing reads any more. Spark's cleaner is asked, too, to drop the
-    shuffle files of jobs that are over, which it else does whenever the driver happens to collect its garbage."""
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        _delete(spark, df.timeloom_path)
-        _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != df.timeloom_path]
+        _forget(df.sparkSession, df.timeloom_path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+    _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Asks Spark's cleaner to drop the shuffle files of jobs that are over, which it else does whenever the driver happens to
+    collect its garbage. For operators of many rounds."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -61,15 +77,60 @@ def release(spark: SparkSession) -> int:
     for path in mine:
         _delete(spark, path)
     _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if s is not spark]
+    if mine and not _WRITTEN:
+        _delete(spark, _home(spark))
     return len(mine)
 
 
+class Workspace:
+    """The intermediate tables of one call of an operator: all go at the end, also after a failure, but those that its result reads.
+
+    ``with Workspace(spark) as w: ...; return w.result(df, table, ...)``
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held, self.kept = spark, {}, set()
+
+    def __enter__(self) -> Workspace:
+        self.mark = len(_WRITTEN)
+        return self
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return self.adopt(materialise(df, name))
+
+    def adopt(self, table: DataFrame) -> DataFrame:
+        self.held[table.timeloom_path] = table
+        return table
+
+    def free(self, *tables: DataFrame) -> None:
+        for t in tables:
+            del self.held[t.timeloom_path]
+        discard(*tables)
+
+    def result(self, df: DataFrame, *tables: DataFrame) -> DataFrame:
+        """``df``, which reads ``tables``: these stay until ``release``."""
+        self.kept |= {t.timeloom_path for t in tables}
+        return df
+
+    def __exit__(self, failed, *_) -> None:
+        if failed:
+            for s, p in _WRITTEN[self.mark :]:
+                if s is self.spark:
+                    _forget(s, p)
+            return
+        for path in self.held.keys() - self.kept:
+            _forget(self.spark, path)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session has a smaller bound.
 BATCH_BYTES = 4 << 20
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes: a worker's memory follows neither row counts nor long texts."""
+    """``mapInArrow`` with batches bounded by bytes: a worker's memory follows neither row counts nor long texts.
+
+    Spark reads the bound when a query runs, not when it is built, so the session's ``maxBytesPerBatch`` stays lowered to
+    ``BATCH_BYTES``; a session with a smaller bound keeps its own."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     held = conf.get(key)
     if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
