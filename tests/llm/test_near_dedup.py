@@ -58,6 +58,7 @@ def family(seed, n, words, edits):
 def test_matches_brute_force(spark, small, width, hubs, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_DOCS", 30)
     monkeypatch.setattr(N, "HUBS", hubs)
+    monkeypatch.setattr(N, "GROUP_ROWS", 50)
     made = family(1, 120, 100, 14) + family(2, 60, 40, 6) + family(3, 40, 300, 40) + family(4, 30, 6, 2)
     docs = frame(spark, [*TEXTS, *made, "A b\tC", "a B c"]).select("doc_id", "text").union(spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id + 1000", "text"))
     want = brute([(r.doc_id, r.text) for r in docs.collect()], width)

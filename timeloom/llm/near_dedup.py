@@ -8,7 +8,7 @@ give candidates, and every link is verified on the full sets.
 Copies of one set are one node from the start. Links are then found in two steps, neither of which makes all pairs of a bucket:
 
 * Hubs. Every member of a bucket meets its smallest member by sketch; each document is verified against the most similar hub it has,
-  and what is linked becomes one class. That is repeated once with a second hub. A family of near copies is a class
+  and what is linked becomes one class. Where many rows are left, that is repeated with a second hub. A family of near copies is a class
   after it, at a cost in proportion to its members.
 * Blocks. Buckets that hold several classes are dealt to blocks of bounded size in which members of different classes meet
   by sketch; the largest class of a bucket is not compared with itself. Documents with a close one of another class form
@@ -43,11 +43,11 @@ COORDINATES = BANDS * ROWS
 WORDS, PERCENT = 5, 80
 #: Standard errors of the sketch under the threshold from which on a pair is verified.
 MARGIN = 6
-#: Hubs that a bucket's members meet before blocks are made.
+#: Hubs that a bucket's members meet before blocks are made, the second one if more rows than ``GROUP_ROWS`` are left.
 HUBS = 2
 #: Documents and shingles in a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 250_000
-#: Rows of small buckets that go to one call, about.
+#: Rows of small buckets that go to one call, about; as many are left to blocks without a further hub.
 GROUP_ROWS = 20_000
 #: Documents up to which ids are broadcast to fetch their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
@@ -213,6 +213,8 @@ class Search:
         return found
 
     def add(self, links: DataFrame) -> None:
+        if self.links and links.isEmpty():
+            return
         self.links.append(links)
         every = self.links[0]
         for more in self.links[1:]:
@@ -238,8 +240,8 @@ class Search:
         return rated.groupBy("nd_id").agg(best.alias("b")).select(F.col("nd_id").alias("a"), "b")
 
 
-def find_links(search: Search) -> DataFrame | None:
-    """(id, component) of all documents with links; None if there is no bucket."""
+def find_links(search: Search) -> DataFrame:
+    """(id, component) of all documents with links."""
     w = search.w
     rows = search.nodes.select("nd_id", F.explode("nd_bands").alias("nd_band"))
     # joins of tables, not of aggregates, have a hot key's rows split at run time; so it is below
@@ -251,7 +253,8 @@ def find_links(search: Search) -> DataFrame | None:
         met.append(search.meet(members))
         search.add(search.verified(search.best(met[-1])))
         members = _mixed(search, members)
-        if members.isEmpty():
+        left = members.count()
+        if left <= GROUP_ROWS:
             break
     # who met a hub that may be linked with it, and is not in its class yet
     close = [search.with_class(m).join(search.classes.select(F.col("id").alias("nd_hub"), "component"), "nd_hub", "left") for m in met]
@@ -259,9 +262,9 @@ def find_links(search: Search) -> DataFrame | None:
     edges = close[0]
     for more in close[1:]:
         edges = edges.unionByName(more)
-    if not members.isEmpty():
+    if left:
         dealt = _dealt(members, "nd_band", F.lit(0), w).join(search.sketches, "nd_id")
-        groups = max(1, -(-members.count() // GROUP_ROWS))
+        groups = max(1, -(-left // GROUP_ROWS))
         dealt = dealt.withColumn("nd_group", F.pmod("nd_block", F.lit(groups)))
         edges = edges.unionByName(dealt.groupBy("nd_group").applyInArrow(_close_pairs(search.close), "a long, b long"))
     families = w.adopt(components(w.write(edges, "near-close")))
