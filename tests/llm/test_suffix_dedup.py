@@ -52,7 +52,7 @@ def made(seed):
 
 
 def same(spark, texts):
-    out = S.cut_repeats(frame(spark, texts)).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS h").collect()
+    out = S.cut_repeats(frame(spark, texts)).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(coalesce(kept, X''), 256) AS h").collect()
     got = {r.doc_id: tuple(r)[1:] for r in out}
     want = dict(enumerate(brute(texts)))
     assert got.keys() == want.keys()
@@ -70,6 +70,29 @@ def test_by_shuffle_and_empty(spark, monkeypatch):
     assert S.cut_repeats(frame(spark, [])).count() == 0
 
 
+def test_texts_of_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT", 333)
+    rnd = random.Random(12)
+    long = " ".join("".join(rnd.choices("abcdefg", k=5)) for _ in range(900))
+    same(spark, [*made(5), long, long[700:2000] + "x" + long[2100:], "q" * 3000])
+
+
+def test_a_very_long_text(spark):
+    """20 MB: five segments, of which two passages repeat."""
+    rnd = np.random.default_rng(4)
+    data = rnd.integers(97, 123, 20_000_000, dtype=np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, data), (2, data[4_194_000:4_194_900]), (3, "-" + data[9_000_000:9_000_400])], "doc_id long, text string")
+    out = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.cut_repeats(docs).select("row", "n_bytes", "n_removed", "n_spans").collect()}
+    assert out == {1: (20_000_000, 1300, 2), 2: (900, 900, 1), 3: (401, 400, 1)}
+
+
+def test_columns_with_clashing_names_pass(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, True, "k", 7), (2, text + " more", None, "l", 8)], "doc_id long, text string, sd_null boolean, kept string, row long")
+    got = sorted(S.remove_repeats(docs).collect())
+    assert [tuple(r) for r in got] == [(1, "", True, "k", 7), (2, " more", None, "l", 8)]
+
+
 def test_repeated_rows_and_texts(spark):
     text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text + " tail"), (2, None), (3, "é" * 99 + "xy" + "é" * 100)], "doc_id long, text string")

@@ -1,8 +1,9 @@
-"""Operator 8, suffix-array dedup: repeated byte strings of ``LENGTH`` bytes or more, by distributed prefix doubling.
+"""Operator 8, suffix-array dedup: repeated byte strings of ``LENGTH`` bytes or more, by fingerprints of growing length.
 
-A position's rank is a fingerprint of the bytes that it is ranked by; equal ranks mean equal bytes, and grouping by rank does
-what sorting the rank pairs does in a suffix array. Ranks are compared at growing lengths, and positions leave as soon as
-they are unique or known to repeat past the threshold. Positions are ranked in runs:
+This is not the prefix doubling of the literature, in which every byte position has a row that is sorted in every round: its
+rows are some 16 bytes a byte and round, far over the disk that the operator may use (the README has figures). What is kept of
+it is that positions are ranked by equal contents at growing lengths and leave as soon as they are unique or known to repeat past
+the threshold. In place of positions, runs of them are ranked, and a rank is a fingerprint, so that grouping takes the place of sorting:
 
 * A run is the strings of ``LENGTH`` bytes that share their smallest hashed gram of ``GRAM`` bytes, so that equal strings are in
   runs of equal grams, at the same place. What all strings of a run have in common (first the gram) is its core,
@@ -13,11 +14,14 @@ they are unique or known to repeat past the threshold. Positions are ranked in r
   representative goes on where a run of the same core does.
 
 Nothing is sampled from the result: every string is in a run, and every repeat is found. A hot passage makes one row per
-place and is counted by partial aggregation; no pairs are made.
+place and is counted by partial aggregation; no pairs are made. Stretches are equal if two 64-bit fingerprints of all
+their bytes, by independent functions, are: a byte is removed wrongly only if both collide, within runs of one core.
 
-Texts are UTF-8 bytes; matches stay within documents. Defined cases: a null text is empty; texts shorter than ``LENGTH``
+Texts are UTF-8 bytes; matches stay within documents. Texts of any length are read, in segments of ``SEGMENT`` bytes and the strings that
+begin there, so that memory does not follow them. Defined cases: a null text is empty; texts shorter than ``LENGTH``
 keep everything; rows that repeat a ``doc_id`` are places of their own; a null ``doc_id`` is a document like any
-other; in ``remove_repeats`` a character that is cut apart goes as a whole, and U+FFFD with it.
+other; in ``remove_repeats`` a character that is cut apart goes as a whole, and U+FFFD with it, and further columns
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -26,18 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, documents, map_batches, materialise
+from .storage import Workspace, documents, map_batches, sweep
 
 LENGTH, GRAM = 200, 64
 #: Strings in a run, round by round.
 WIDTHS = (LENGTH - GRAM + 1, 18, 3, 1)
 #: Documents with repeats up to which their ids are broadcast to the texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
-_POSITION = 28
+#: Bytes of a text that are fingerprinted at once; with a string more, they fit in ``_POSITION`` bits.
+SEGMENT = 1 << 22
+_POSITION = 23
+#: More than any run reaches to either side of its first string.
+_REACH = 4 * LENGTH
 _NULL_ID = -(1 << 63)
 
 
@@ -47,35 +56,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x2545F4914F6CDD1D
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Of two functions: what stands for each byte, and an odd base.
+_BYTES = tuple(_mix(np.arange(i, i + 256, dtype=np.uint64) * _GOLDEN) for i in (1, 1001))
+_BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as texts are long."""
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as segments are long."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 17)
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_BASE, inverse))
+            inverse = pow(self.base, -1, 1 << 64)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (self.base, inverse))
         return self.up, self.down
 
 
-_POWERS = _Powers()
+_POWERS = tuple(_Powers(b) for b in _BASES)
 
 
 class Prints:
-    """Fingerprints of any stretches of a text, from prefix sums."""
+    """Fingerprints of any stretches of a segment, from prefix sums, by one of the two functions."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, function: int = 0):
         self.n = len(data)
-        up, self.down = _POWERS.upto(self.n + 1)
+        up, self.down = _POWERS[function].upto(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * up[: self.n], out=self.sums[1:])
+        np.cumsum(_BYTES[function][np.frombuffer(data, np.uint8)] * up[: self.n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -102,7 +114,7 @@ def anchors(grams: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np
     return at[first], first, np.concatenate([first[1:] - 1, [windows - 1]])
 
 
-_RUNS = "sd_doc long, sd_text long, pos int, lo int, hi int, at int, core long, stretch long, wanted boolean"
+_RUNS = "sd_doc long, sd_text long, pos int, lo int, hi int, at int, core long, stretch long, check long, wanted boolean"
 _PLACE = ["sd_doc", "sd_text", "pos", "lo", "hi", "at"]
 
 
@@ -111,7 +123,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.bool_()]
     columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0)] * len(kinds)
     return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _RUNS.split(", ")])
 
@@ -120,54 +132,70 @@ def _text_key(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def _stretches(prints: Prints, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Fingerprints of what the strings lo to hi cover, and of where the gram stands there."""
-    return _signed(prints.of(lo, hi + LENGTH, (pos - lo) * LENGTH + hi - lo))
+def _stretches(one: Prints, two: Prints, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of what the strings lo to hi cover, and of where the gram stands there."""
+    salt = (pos - lo) * LENGTH + hi - lo
+    return _signed(one.of(lo, hi + LENGTH, salt)), _signed(two.of(lo, hi + LENGTH, salt))
 
 
-def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = (text.as_py() or "").encode()
-            if len(data) < LENGTH:
-                continue
-            if len(data) >> _POSITION:
-                raise ValueError(f"a text of {len(data)} bytes is longer than {1 << _POSITION}")
-            prints = Prints(data)
-            grams = prints.runs(GRAM)
-            pos, lo, hi = anchors(grams, len(data) - LENGTH + 1)
-            n = len(pos)
-            rows.append((np.full(n, doc), np.full(n, _text_key(data)), pos, lo, hi, np.zeros(n), _signed(grams[pos]), _stretches(prints, pos, lo, hi), np.ones(n, bool)))
-        yield _batch(rows)
-
-
-def _shorter_runs(width: int, new: int):
+def _first_runs(segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = (text.as_py() or "").encode()
+                key = _text_key(data)
+                for base in range(0, len(data) - LENGTH + 1, segment):
+                    part = data[base : base + segment + LENGTH - 1]
+                    one, two = Prints(part, 0), Prints(part, 1)
+                    grams = one.runs(GRAM)
+                    pos, lo, hi = anchors(grams, len(part) - LENGTH + 1)
+                    n = len(pos)
+                    same = _stretches(one, two, pos, lo, hi)
+                    rows.append((np.full(n, doc), np.full(n, key), pos + base, lo + base, hi + base, np.zeros(n), _signed(grams[pos]), *same, np.ones(n, bool)))
+            yield _batch(rows)
+
+    return run
+
+
+def _listed(column: pa.Array, names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For every row of a column of lists of structs, the fields as arrays; a null is an empty list."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    fields = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+    for start, end in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends.astype(int), strict=True):
+        yield tuple(f[start:end] for f in fields)
+
+
+def _shorter_runs(width: int, new: int, segment: int):
     """Cuts runs of ``width`` strings into runs of ``new`` ones. ``at``: bytes from a run's last string to the gram."""
 
+    def cut(part: bytes, doc: int, key: int, base: int, pos, lo, hi, at, wanted) -> tuple[np.ndarray, ...]:
+        one, two = Prints(part, 0), Prints(part, 1)
+        parts = -(-width // new)
+        k = np.tile(np.arange(parts) * new, len(pos))
+        size = np.minimum(new, width - k)
+        pos, lo, hi, at, wanted = (np.repeat(x, parts) for x in (pos - base, lo - base, hi - base, at, wanted))
+        at = at + k
+        some = (pos - at >= lo) & (pos - at - size + 1 <= hi)
+        pos, lo, hi, at, wanted, size = (x[some] for x in (pos, lo, hi, at, wanted, size))
+        core = _signed(one.of(pos - at, pos - at - size + 1 + LENGTH, at))
+        lo, hi = np.maximum(lo, pos - at - size + 1), np.minimum(hi, pos - at)
+        n = len(pos)
+        return np.full(n, doc), np.full(n, key), pos + base, lo + base, hi + base, at, core, *_stretches(one, two, pos, lo, hi), wanted
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, listed in zip(batch["sd_doc"].to_pylist(), batch["text"], batch["listed"], strict=True):
+            for doc, text, listed in zip(batch["sd_doc"].to_pylist(), batch["text"], _listed(batch["listed"], ["sd_text", "pos", "lo", "hi", "at", "wanted"]), strict=True):
                 data = (text.as_py() or "").encode()
                 key = _text_key(data)
-                own = [x for x in listed.as_py() if x["sd_text"] == key]
-                if not own:
-                    continue
-                prints = Prints(data)
-                pos, lo, hi, at = (np.array([x[c] for x in own]) for c in ("pos", "lo", "hi", "at"))
-                wanted = np.array([x["wanted"] for x in own])
-                parts = -(-width // new)
-                k = np.tile(np.arange(parts) * new, len(own))
-                size = np.minimum(new, width - k)
-                pos, lo, hi, at, wanted = (np.repeat(x, parts) for x in (pos, lo, hi, at, wanted))
-                at = at + k
-                some = (pos - at >= lo) & (pos - at - size + 1 <= hi)
-                pos, lo, hi, at, wanted, size = (x[some] for x in (pos, lo, hi, at, wanted, size))
-                core = _signed(prints.of(pos - at, pos - at - size + 1 + LENGTH, at))
-                lo, hi = np.maximum(lo, pos - at - size + 1), np.minimum(hi, pos - at)
-                n = len(pos)
-                rows.append((np.full(n, doc), np.full(n, key), pos, lo, hi, at, core, _stretches(prints, pos, lo, hi), wanted))
+                own = listed[0] == key
+                pos, lo, hi, at = (x[own].astype(np.int64) for x in listed[1:5])
+                wanted, at_segment = listed[5][own].astype(bool), lo // segment
+                for s in np.unique(at_segment).tolist():
+                    base, here = max(0, s * segment - _REACH), at_segment == s
+                    rows.append(cut(data[base : (s + 1) * segment + _REACH], doc, key, base, *(x[here] for x in (pos, lo, hi, at, wanted))))
             yield _batch(rows)
 
     return run
@@ -185,59 +213,65 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID).cast("bigint"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, w: Workspace) -> DataFrame:
     """Stretches (sd_doc, sd_text, s, e) in bytes, which together cover what repeats; ``sd_text`` is a hash of the text."""
-    runs = materialise(map_batches(docs.select(_id().alias("sd_doc"), "text"), _first_runs, _RUNS), "repeat-runs")
+    runs = w.write(map_batches(docs.select(_id().alias("sd_doc"), "text"), _first_runs(SEGMENT), _RUNS), "repeat-runs")
     known = []
     for width, new in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
         # the cores are written first: a join of two tables has a hot core's rows split at run time
-        shared = materialise(runs.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "repeat-cores")
-        alive = materialise(runs.join(shared, "core"), "repeat-alive")
-        discard(runs, shared)
-        again = alive.groupBy("core", "stretch").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("p")).filter("c > 1")
-        again = materialise(again.select(F.col("core").alias("ac"), F.col("stretch").alias("st"), "p"), "repeat-again")
-        rated = alive.join(again.select("ac", "st"), (F.col("core") == F.col("ac")) & (F.col("stretch") == F.col("st")), "left")
-        rated = materialise(rated.select(*_PLACE, "core", "wanted", F.col("ac").isNotNull().alias("done")), "repeat-rated")
-        discard(alive)
-        known.append(materialise(rated.filter("done and wanted").select("sd_doc", "sd_text", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")), "repeat-known"))
+        shared = w.write(runs.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "repeat-cores")
+        alive = w.write(runs.join(shared, "core"), "repeat-alive")
+        w.free(runs, shared)
+        again = alive.groupBy("core", "stretch", "check").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("p")).filter("c > 1")
+        again = w.write(again.select(F.col("core").alias("ac"), F.col("stretch").alias("st"), F.col("check").alias("ck"), "p"), "repeat-again")
+        same = (F.col("core") == F.col("ac")) & (F.col("stretch") == F.col("st")) & (F.col("check") == F.col("ck"))
+        rated = alive.join(again.select("ac", "st", "ck"), same, "left")
+        rated = w.write(rated.select(*_PLACE, "core", "wanted", F.col("ac").isNotNull().alias("done")), "repeat-rated")
+        w.free(alive)
+        known.append(w.write(rated.filter("done and wanted").select("sd_doc", "sd_text", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")), "repeat-known"))
         if new is None:
-            discard(rated, again)
+            w.free(rated, again)
             break
         rest = rated.filter("not done and wanted")
         asked = rest.select(F.col("core").alias("asked")).distinct()
         others = rated.filter("not done and not wanted").select("core", *_PLACE).unionByName(again.select(F.col("ac").alias("core"), "p.*"))
         others = others.join(asked, F.col("core") == F.col("asked"), "left_semi").withColumn("wanted", F.lit(False))
         listed = rest.select("core", *_PLACE, "wanted").unionByName(others).groupBy("sd_doc")
-        listed = materialise(listed.agg(F.collect_list(F.struct("sd_text", "pos", "lo", "hi", "at", "wanted")).alias("listed")), "repeat-listed")
-        discard(rated, again)
-        runs = materialise(map_batches(_with_texts(docs, listed), _shorter_runs(width, new), _RUNS), "repeat-runs")
-        discard(listed)
+        listed = w.write(listed.agg(F.collect_list(F.struct("sd_text", "pos", "lo", "hi", "at", "wanted")).alias("listed")), "repeat-listed")
+        w.free(rated, again)
+        runs = w.write(map_batches(_with_texts(docs, listed), _shorter_runs(width, new, SEGMENT), _RUNS), "repeat-runs")
+        w.free(listed)
+        sweep(docs.sparkSession)
     out = known[0]
     for more in known[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _cut(data: bytes, stretches: list[dict]) -> tuple[bytes, int, int]:
+def _cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
     """What is left, how many bytes went and in how many runs."""
-    if not stretches:
+    if not len(starts):
         return data, 0, 0
-    edge = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edge, [x["s"] for x in stretches], 1)
-    np.add.at(edge, [x["e"] for x in stretches], -1)
-    gone = np.cumsum(edge)[:-1] > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    first = np.concatenate([[True], starts[1:] > ends[:-1]])
+    s = starts[first]
+    e = ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
+    at, left = 0, []
+    for i, j in zip(s.tolist(), e.tolist(), strict=True):
+        left.append(data[at:i])
+        at = j
+    return b"".join([*left, data[at:]]), int((e - s).sum()), len(s)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, n, removed, spans = [], [], [], []
-        for text, listed in zip(batch["text"], batch["listed"], strict=True):
+        for text, (keys, starts, ends) in zip(batch["text"], _listed(batch["listed"], ["sd_text", "s", "e"]), strict=True):
             data = (text.as_py() or "").encode()
-            key = _text_key(data) if listed.is_valid else 0
-            left, gone, runs = _cut(data, [x for x in listed.as_py() or () if x["sd_text"] == key])
-            kept.append(left)
+            own = keys == _text_key(data) if len(keys) else np.zeros(0, bool)
+            left, gone, runs = _cut(data, starts[own].astype(np.int64), ends[own].astype(np.int64))
+            kept.append(left if text.is_valid else None)
             n.append(len(data))
             removed.append(gone)
             spans.append(runs)
@@ -248,30 +282,32 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs``: the columns but the text as the struct ``row``, the bytes that are ``kept``, ``n_bytes`` (before), ``n_removed``, ``n_spans``."""
-    found = repeats(docs).groupBy("sd_doc").agg(F.collect_list(F.struct("sd_text", "s", "e")).alias("listed"))
-    found = materialise(found, "repeat-found")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _id().alias("sd_id"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
-    if found.count() > BROADCAST_IDS:
-        joined = rows.join(found, F.col("sd_id") == F.col("sd_doc"), "left")
-        return map_batches(joined.select("row", "text", "listed"), _kept, schema)
-    # texts without repeats stay where they are
-    ids = F.broadcast(found.select("sd_doc"))
-    some = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_semi").join(found, F.col("sd_id") == F.col("sd_doc"))
-    none = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_anti").withColumn("listed", F.lit(None).cast(found.schema["listed"].dataType))
-    return map_batches(some.select("row", "text", "listed"), _kept, schema).unionByName(map_batches(none.select("row", "text", "listed"), _kept, schema))
+    """For every row of ``docs``: the columns but the text as the struct ``row``, the bytes that are ``kept`` (null for a null text),
+    ``n_bytes`` (before), ``n_removed``, ``n_spans``."""
+    with Workspace(docs.sparkSession) as w:
+        found = repeats(docs, w).groupBy("sd_doc").agg(F.collect_list(F.struct("sd_text", "s", "e")).alias("listed"))
+        found = w.write(found, "repeat-found")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _id().alias("sd_id"), "text")
+        kind = rows.schema["row"].dataType.simpleString()
+        schema = f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
+        if found.count() > BROADCAST_IDS:
+            joined = rows.join(found, F.col("sd_id") == F.col("sd_doc"), "left")
+            return w.result(map_batches(joined.select("row", "text", "listed"), _kept, schema), found)
+        # texts without repeats stay where they are
+        ids = F.broadcast(found.select("sd_doc"))
+        some = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_semi").join(found, F.col("sd_id") == F.col("sd_doc"))
+        none = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_anti").withColumn("listed", F.lit(None).cast(found.schema["listed"].dataType))
+        out = map_batches(some.select("row", "text", "listed"), _kept, schema).unionByName(map_batches(none.select("row", "text", "listed"), _kept, schema))
+        return w.result(out, found)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes removed from ``text``; null texts stay null."""
-    known = docs.withColumn("sd_null", F.col("text").isNull())
-    out = cut_repeats(known)
-    text = F.when(~F.col("row.sd_null"), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    out = cut_repeats(docs)
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
     return out.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = cut_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
