@@ -59,3 +59,17 @@ def test_space_is_bounded(most):
     for n in range(1, 400):
         w.add(n, np.arange(n * 37 % 250 + 1, dtype="<u4"))
         assert len(w.open) <= most and all(f < 100 for f, _ in w.open)
+
+
+def test_long_white_space_is_the_librarys():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = P.Tokens.of(public_tokenizers.path("byte_bpe_50k.json"))
+    long = " " * 1_000_000
+    for text in (long, "a" + long, "\n" * 1_000_000 + "x", "one " + " \t" * 30_000 + "two  three", "é\u3000\u4e2d" + "\u00a0" * 20_000 + " b", " " * 5_000_000, "word " * 400_000, "x" * 1_000_000):
+        assert tokens.ids(text)[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts_are_packed(spark):
+    texts = [" " * 1_500_000 + "x", "many words " * 60_000, None]
+    tokens = P.Tokens.of(public_tokenizers.path("byte_bpe_50k.json"))
+    check(P.pack(frame(spark, texts)).collect(), {i: tokens.ids(t).tolist() for i, t in enumerate(texts)})

@@ -8,12 +8,15 @@ of a bounded number of windows. So memory is bounded by ``OPEN_WINDOWS`` windows
 and only the pieces' descriptions are shuffled, never tokens or texts.
 
 Defined cases: a null or empty text has the end token alone; a text of any length is cut as often as needed;
-documents with equal ids are packed each by itself; an empty table gives no piece. Ids are those of the tokenizers
-file, added tokens included; the tiktoken library makes them from the same vocabulary (tests hold them against tokenizers).
+documents with equal ids are packed each by itself; a null ``doc_id`` stays null; an empty table gives no piece; only
+``doc_id`` and ``text`` are read. Ids are those of the tokenizers file, added tokens included; the tiktoken library makes them
+from the same vocabulary (tests hold them against tokenizers). Its splitter gives up on very long white space: texts with such go
+through the encoder of operator 1, which splits without backtracking.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, default_path
-from .storage import documents, map_batches, materialise
+from .bpe import Encoder, Vocabulary, default_path, pack_tables
+from .storage import Workspace, documents, map_batches
 
 CAPACITY = 1024
 OPEN_WINDOWS = 64
 MIN_CUT = 16
 END_ID = 0
+#: White space of this length goes to the encoder of operator 1.
+_LONG_SPACE = re.compile(r"\s{10000}")
 #: Left-over windows that are merged in one group, about.
 MERGE_GROUP = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -49,6 +54,7 @@ class Tokens:
         vocab = Vocabulary(path)
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks={b: i for i, b in vocab.tokens.items()}, special_tokens=vocab.added)
         self.added = set(vocab.added)
+        self.path, self.encoder = path, None
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -57,7 +63,13 @@ class Tokens:
         return cls._held[path]
 
     def ids(self, text: str | None) -> np.ndarray:
-        found = self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=()) if text else ()
+        if not text:
+            found = ()
+        elif _LONG_SPACE.search(text):
+            self.encoder = self.encoder or Encoder(pack_tables(Vocabulary(self.path)))
+            found = np.frombuffer(self.encoder.encode(text), "<u4")
+        else:
+            found = self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
         out = np.empty(len(found) + 1, "<u4")
         out[:-1] = found
         out[-1] = END_ID
@@ -153,14 +165,15 @@ def _merge(capacity: int):
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """A row per piece: which tokens of which document stand in which sequence, and where."""
-    placed = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _place(path or default_path(), capacity, open_windows), PIECES)
-    placed = materialise(placed, "packed")
-    left = placed.filter("open")
-    n = left.select("sequence_id").distinct().count()
-    groups = max(1, round(n / MERGE_GROUP))
-    grouped = left.withColumn("pk_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
-    merged = grouped.groupBy("pk_group").applyInPandas(_merge(capacity), PIECES)
-    return placed.filter("not open").unionByName(merged).drop("open")
+    with Workspace(docs.sparkSession) as w:
+        placed = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), _place(path or default_path(), capacity, open_windows), PIECES)
+        placed = w.write(placed, "packed")
+        left = placed.filter("open")
+        n = left.select("sequence_id").distinct().count()
+        groups = max(1, round(n / MERGE_GROUP))
+        grouped = left.withColumn("pk_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+        merged = grouped.groupBy("pk_group").applyInPandas(_merge(capacity), PIECES)
+        return w.result(placed.filter("not open").unionByName(merged).drop("open"), placed)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
