@@ -54,3 +54,17 @@ def test_junk_goes_and_prose_stays(spark):
     loud = " ".join(f"LOUD{i} TEXT!!" for i in range(80))
     kept = [r.kept for r in Q.apply_policy(Q.ledger(frame(spark, [prose, junk, loud]))).orderBy("doc_id").collect()]
     assert kept == [True, False, False]
+
+
+def test_very_long_texts(spark):
+    """More windows than 2 ** 16, with repeats far apart, and a text of one word many times."""
+    words = [f"w{i}" for i in range(300_000)]
+    words[250_000:250_010] = words[10:20]
+    texts = [" ".join(words), "again " * 400_000, "x" * 2_000_000]
+    for r in Q.apply_policy(Q.ledger(frame(spark, texts))).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(texts[r.doc_id])
+
+
+def test_published_policies_stay(spark):
+    assert "duplicate_lines" in Q.POLICIES["web-1"] and set(Q.POLICIES["web-1"]) - set(Q.POLICIES["web-2"]) == {"duplicate_lines"}
+    assert [r.policy for r in Q.apply_policy(Q.ledger(frame(spark, ["a"]))).collect()] == ["web-2"]
