@@ -41,3 +41,40 @@ def test_frequencies_cover_all_documents(spark):
     found, total = L.word_frequencies(frame(spark, LINES))
     assert total == len(LINES) and found[b"mit"] == 4 and b"" not in found
     assert L.scan(frame(spark, [])).count() == 0
+
+
+def brute_templates(text):
+    """Labels and score by trying every template at every position."""
+    words = L.words_of(text)
+    found, best = set(), 0.0
+    for label, t in L.TEMPLATES:
+        plain, mandatory, at = [], [], None
+        for w in t.split():
+            at = len(plain) if w.startswith("[") else at
+            plain.append(w.strip("[]").encode())
+            if w.endswith("]"):
+                mandatory.append((at, plain[at:]))
+        for shift in range(-len(plain), len(words)):
+            if all(shift + s >= 0 and words[shift + s : shift + s + len(ws)] == ws for s, ws in mandatory):
+                found.add(label)
+                best = max(best, sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(plain)) / len(plain))
+    return found, best
+
+
+def notices():
+    """Whole, cut and altered notices, among other words and twice over."""
+    plain = [re.sub(r"[\[\]]", "", t) for _, t in L.TEMPLATES]
+    out = []
+    for i, t in enumerate(plain):
+        words = t.split()
+        out += [t, f"Some code. {t.title()}! And more", " ".join(words[2:]), " ".join(words[:-2]), " ".join([*words[:3], "other", *words[3:]]), f"{t} or {plain[(i + 5) % len(plain)]}", f"{words[0]} {t}"]
+    return [*out, " ".join(plain), " ".join(plain * 40)]
+
+
+def test_labels_and_score_match_brute_force(spark, small):
+    docs = frame(spark, [*LINES, *notices()]).select("doc_id", "text").union(spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in L.scan(docs).collect():
+        labels, best = brute_templates(texts[r.doc_id])
+        base = {x for x in r.base_labels.split(",") if x}
+        assert r.labels == ",".join(sorted(labels | base)) and abs(r.score - max(best, 1.0 if base else 0.0)) < 1e-12, texts[r.doc_id][:200]

@@ -2,14 +2,14 @@
 
 A first pass counts in how many documents each licence word stands; every document counts, and the result has at most one
 row per word of the templates. Each template is then indexed under its words of the highest inverse document frequency
-(IDF), with their positions. A file's licence words of the highest IDF are looked up there, the postings of a
-template are intersected by relative position (position in the file less position in the template), and each
+(IDF), with their positions. All words of a file that are keys of the index, which are the licence words of the highest IDF, are looked
+up there, rarest first; the postings of a template are intersected by relative position (position in the file less position in the template), and each
 alignment is accepted only if the template's mandatory key phrases stand word for word where it puts them.
 
 Short base phrases go through the same index: each is looked up under its rarest word and verified in place.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case. Defined cases: a null or empty text has
-no words, no label and score 0; a phrase at several places counts each; overlapping places of different
+no words, no label and score 0; repeated rows are scanned each by itself; only ``doc_id`` and ``text`` are read; a phrase at several places counts each; overlapping places of different
 phrases all count; texts of any length are read whole, in time proportional to their words.
 """
 
@@ -49,8 +49,8 @@ TEMPLATES = [
     ("mpl", "this source code form is [subject to the terms of the mozilla public license v 2 0]"),
     ("unlicense", "[this is free and unencumbered software released into the public domain]"),
 ]
-#: Words of a template that it is indexed under, and licence words of a file that are looked up.
-ANCHORS, LOOKED_UP = 2, 64
+#: Words of a template that it is indexed under. A file must hold all of them.
+ANCHORS = 2
 
 # Bytes to words: all but 0-9, a-z, A-Z and bytes of other characters is a space, A-Z is lower-cased.
 _WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -107,7 +107,7 @@ class Index:
         there = self.keys & set(words)
         if not there:
             return [], set(), 0.0
-        looked_up = sorted(there, key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
+        looked_up = sorted(there, key=lambda w: (-self.idf[w], w))
         at: dict[bytes, list[int]] = {w: [] for w in there}
         for i, w in enumerate(words):
             if w in at:
