@@ -26,8 +26,10 @@ def brute(rows, min_chars=40, min_docs=5):
     return out
 
 
-def test_matches_brute_force(spark):
-    texts = TEXTS + [f"intro {i}\n  {LONG.upper() if i % 2 else LONG}\t\n{LONG}\nend" for i in range(7)] + [LONG[:39] + "\nx"] * 6 + ["é" * 40] * 5 + ["é" * 39] * 5
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_matches_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(L, "BROADCAST_IDS", broadcast)
+    texts = TEXTS + [f"intro {i}\n  {LONG.upper() if i % 2 else LONG}\t\n{LONG}\nend" for i in range(7)] + [LONG[:39] + "\nx"] * 6 + ["é" * 40] * 5 + ["é" * 39] * 5 + [f"{LONG}\n" * 20_000 + "line " * 200_000]
     docs = frame(spark, texts)
     got = {r.ld_row.doc_id: (r.ld_text, r.ld_lines, r.ld_dropped) for r in L.drop_shared(docs).collect()}
     assert got == brute(list(enumerate(texts)))

@@ -9,7 +9,7 @@ than ``min_chars`` code points never drop a line. Of a key that ``min_docs`` doc
 go except those of the largest ``doc_id`` that holds it.
 
 Defined cases: a null or empty text is one empty line; a null ``doc_id`` counts for no document and keeps no
-shared line; rows that repeat a ``doc_id`` count as one document and each is reassembled; an empty table gives an
+shared line; texts of any length are read whole; rows that repeat a ``doc_id`` count as one document and each is reassembled; an empty table gives an
 empty table; further columns pass through ``dedup_lines`` unchanged, whatever their names.
 """
 
@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import documents, map_batches, materialise
+from .storage import Workspace, documents, map_batches
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Documents with lines to drop up to which their ids are broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_IDS = 500_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -82,20 +84,29 @@ def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` but ``text`` as one struct ``ld_row``, with ``ld_text`` (what is left of the text, null
     if it was null), ``ld_lines`` (before dropping) and ``ld_dropped``."""
-    keys = map_batches(docs.select("doc_id", "text"), _keys(min_chars), "ld_doc long, ld_key binary")
-    keys = materialise(keys, "line-keys")
-    # both sides are tables, so the join has nothing but exchanges below it and a hot key's rows are split at run time
-    shared = materialise(shared_lines(keys, min_docs), "line-shared")
-    drops = (
-        keys.join(shared, "ld_key")
-        .filter(~F.col("ld_doc").eqNullSafe(F.col("ld_keeper")))
-        .groupBy("ld_doc")
-        .agg(F.collect_set("ld_key").alias("ld_drops"))
-    )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("ld_row"), F.col("doc_id").alias("ld_id"), F.col("text").alias("ld_text"))
-    joined = rows.join(drops, rows["ld_id"].eqNullSafe(drops["ld_doc"]), "left").select("ld_row", "ld_text", "ld_drops")
-    kind = joined.schema["ld_row"].dataType.simpleString()
-    return map_batches(joined, _reassemble(min_chars), f"ld_row {kind}, ld_text string, ld_lines long, ld_dropped long")
+    with Workspace(docs.sparkSession) as w:
+        keys = map_batches(docs.select("doc_id", "text"), _keys(min_chars), "ld_doc long, ld_key binary")
+        keys = w.write(keys, "line-keys")
+        # both sides are tables, so the join has nothing but exchanges below it and a hot key's rows are split at run time
+        shared = w.write(shared_lines(keys, min_docs), "line-shared")
+        drops = (
+            keys.join(shared, "ld_key")
+            .filter(~F.col("ld_doc").eqNullSafe(F.col("ld_keeper")))
+            .groupBy("ld_doc")
+            .agg(F.collect_set("ld_key").alias("ld_drops"))
+        )
+        drops = w.write(drops, "line-drops")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("ld_row"), F.col("doc_id").alias("ld_id"), F.col("text").alias("ld_text"))
+        kind = rows.schema["ld_row"].dataType.simpleString()
+        whole = lambda df: map_batches(df.select("ld_row", "ld_text", "ld_drops"), _reassemble(min_chars), f"ld_row {kind}, ld_text string, ld_lines long, ld_dropped long")
+        same = F.col("ld_id").eqNullSafe(F.col("ld_doc"))
+        if drops.count() > BROADCAST_IDS:
+            return w.result(whole(rows.join(drops, same, "left")), drops)
+        # texts without shared lines stay where they are
+        ids = F.broadcast(drops.select("ld_doc"))
+        some = rows.join(ids, same, "left_semi").join(drops, same)
+        none = rows.join(ids, same, "left_anti").withColumn("ld_drops", F.array().cast("array<binary>"))
+        return w.result(whole(some).unionByName(whole(none)), drops)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
