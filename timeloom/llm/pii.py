@@ -7,12 +7,15 @@ entity wherever they stand; they become ``term`` spans and are generalised, or r
 
 Only DataFrame functions are used. Matching is linear in a text: the patterns are written with possessive
 quantifiers and start a match only where one can start, which changes no result. Per entity at most
-``2 * NEAR_WORDS`` rows are made, never pairs of a document's words; counts are combined before each shuffle.
+``2 * NEAR_WORDS`` rows are made, never pairs of a document's words; counts are combined before each shuffle. The words near an
+entity are looked for in a stretch of text that is widened until it holds ``NEAR_WORDS`` whole words, however long these are.
 
 Defined cases: a null text is an empty one; spans count code points, ends are exclusive; overlapping spans of several
 kinds are all reported, and the sanitised text replaces what they cover together by the tag of the first; copies of one
 passage (the entity with ``NEAR_WORDS`` at either side) are one context, so that mere copying discloses nothing, while
-near copies that differ there are contexts of their own; a null ``doc_id`` counts for no document.
+near copies that differ there are contexts of their own; a null ``doc_id`` counts for no document, but disclosing words
+are replaced in its text as in any other; texts of any length are read whole; in ``sanitise`` further columns pass through
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import documents, materialise
+from .storage import Workspace, documents
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words at each side of an entity that are rated; characters they may take each; distinct contexts that a word needs with an entity.
-NEAR_WORDS, WORD_WIDTH, MIN_CONTEXTS = 8, 24, 3
+#: Words at each side of an entity that are rated; distinct contexts that a word needs with an entity.
+NEAR_WORDS, MIN_CONTEXTS = 8, 3
+#: Characters beside an entity that are read until they hold as many words; the last is more than a text has.
+REACHES = (192, 1536, 12288, 98304, 1 << 30)
 #: Thresholds of disclosure: P(entity | word), bits; at the last probability a word is removed instead of generalised.
 MIN_PROBABILITY, MIN_BITS, REMOVE_PROBABILITY = 0.5, 6.0, 0.9
 #: Rows of candidates, or of documents with disclosing words, up to which they are broadcast; beyond, what they are joined with is shuffled.
@@ -147,21 +152,36 @@ def _all_base() -> Column:
     return F.concat(*[F.transform(f"pi_{k}", _labelled(F.lit(k).alias("k"), "v")) for k in KINDS])
 
 
+def _near(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0))
+
+
+def _beside(text: Column, start: Column, end: Column, left: bool, step: int = 0) -> Column:
+    """The words at one side of an entity, nearest first. A stretch reaches one character into the entity and one further off: a
+    run of letters that these cut is no word of it."""
+    width = REACHES[step]
+    if left:
+        cut = start > width
+        x = F.substring(text, F.greatest(F.lit(1), start - width), F.least(start, F.lit(width + 1)) + 1)
+        x = F.when(cut, F.regexp_replace(x, f"^{_RUN}++", "")).otherwise(x)
+        words = F.reverse(_near(F.regexp_replace(x, f"(?<!{_RUN}){_RUN}++\\z", "")))
+    else:
+        cut = F.length(text) - end > width
+        x = F.regexp_replace(F.substring(text, end, F.lit(width + 2)), f"^{_RUN}++", "")
+        words = _near(F.when(cut, F.regexp_replace(x, f"(?<!{_RUN}){_RUN}++\\z", "")).otherwise(x))
+    if step + 1 == len(REACHES):
+        return F.slice(words, 1, NEAR_WORDS)
+    further = _beside(text, start, end, left, step + 1)
+    return _let(words, lambda found: F.when(~cut | (F.size(found) >= NEAR_WORDS), F.slice(found, 1, NEAR_WORDS)).otherwise(further))
+
+
 def near_words(found: DataFrame) -> DataFrame:
     """A row per document, entity and word near it, with the words beside that and a fingerprint of the passage: ``NEAR_WORDS`` at either side."""
     hits = found.filter(" or ".join(f"size(pi_{k}) > 0" for k in KINDS)).select("doc_id", "pi_text", F.explode(_all_base()).alias("p"))
-    # windows reach one character into the entity and one further off: a run of letters that they cut is no word
-    width, at, end = NEAR_WORDS * WORD_WIDTH, F.col("p.s"), F.col("p.e")
-    before = F.substring(F.col("pi_text"), F.greatest(F.lit(1), at - width), F.least(at, F.lit(width + 1)) + 1)
-    before = F.when(at > width, F.regexp_replace(before, f"^{_RUN}++", "")).otherwise(before)
-    before = F.regexp_replace(before, f"(?<!{_RUN}){_RUN}++\\z", "")
-    after = F.regexp_replace(F.substring(F.col("pi_text"), end, F.lit(width + 2)), f"^{_RUN}++", "")
-    after = F.when(F.length("pi_text") > end + width, F.regexp_replace(after, f"(?<!{_RUN}){_RUN}++\\z", "")).otherwise(after)
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0))
     sides = hits.select(
         "doc_id",
         F.concat_ws(":", "p.k", F.lower("p.v")).alias("entity"),
-        F.array(F.slice(F.reverse(words(before)), 1, NEAR_WORDS), F.slice(words(after), 1, NEAR_WORDS)).alias("sides"),
+        F.array(*[_beside(F.col("pi_text"), F.col("p.s"), F.col("p.e"), left) for left in (True, False)]).alias("sides"),
     )
     sides = sides.select("doc_id", "entity", F.xxhash64("sides").alias("passage"), F.explode("sides").alias("w"))
     beside = lambda i: F.coalesce(F.get("w", i), F.lit("^"))
@@ -175,15 +195,15 @@ def _doc_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("term"))
 
 
-def _few(table: DataFrame) -> DataFrame:
+def _few(table: DataFrame, w: Workspace) -> DataFrame:
     """The table, written, and to be broadcast if its rows, which are counted, are few enough; else both sides are shuffled."""
-    table = materialise(table, "pii-few")
+    table = w.write(table, "pii-few")
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(term, entity, probability, bits, remove) of the words that are over the thresholds; None if no word has enough contexts."""
-    near = materialise(near_words(found), "pii-near")
+def _rated(docs: DataFrame, found: DataFrame, w: Workspace) -> tuple[DataFrame, DataFrame] | None:
+    """The words over the thresholds, and (doc_id, term) of all documents that hold a word of enough contexts; None if there is none."""
+    near = w.write(near_words(found), "pii-near")
     # contexts are distinct if they differ at both sides, or if whole passages of several documents differ: beside its entity, or
     # in a fixed name, a word has the same neighbour everywhere. A document gives one passage, so that copies give one together
     beside = near.groupBy("term", "entity").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("beside"))
@@ -193,38 +213,52 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     # a word stands in at least as many documents as it stands near entities in: common words are out before texts are read for counts
     seen = near.groupBy("term").agg(F.countDistinct("doc_id").alias("seen"))
     pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(seen, "term").filter(F.col("both") >= MIN_PROBABILITY * F.col("seen")).drop("seen")
-    pairs = materialise(pairs, "pii-pairs")
+    pairs = w.write(pairs, "pii-pairs")
     if pairs.isEmpty():
         return None
     total = docs.count()
     of_entity = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
-    words = _doc_words(docs).join(_few(pairs.select("term").distinct()), "term", "left_semi")
-    of_term = words.groupBy("term").agg(F.count("*").alias("with_term"))
+    held = w.write(_doc_words(docs).join(_few(pairs.select("term").distinct(), w), "term", "left_semi"), "pii-held")
+    of_term = held.groupBy("term").agg(F.count("*").alias("with_term"))
     p = F.col("both") / F.col("with_term")
     rated = pairs.join(of_term, "term").join(of_entity, "entity").withColumns({"probability": p, "bits": F.log2(p * F.lit(float(total)) / F.col("with_entity"))})
     over = rated.filter((F.col("probability") >= MIN_PROBABILITY) & (F.col("bits") >= MIN_BITS))
-    return over.select("term", "entity", "probability", "bits", (F.col("probability") >= REMOVE_PROBABILITY).alias("remove"))
+    over = over.select("term", "entity", "probability", "bits", (F.col("probability") >= REMOVE_PROBABILITY).alias("remove"))
+    return w.write(over, "pii-over"), held
+
+
+def disclosures(docs: DataFrame) -> DataFrame | None:
+    """(term, entity, probability, bits, remove) of the words that are over the thresholds; None if no word has enough contexts."""
+    with Workspace(docs.sparkSession) as w:
+        rated = _rated(docs, find_base(docs.select("doc_id", "text")), w)
+        return rated and w.result(rated[0], rated[0])
 
 
 def find_all(docs: DataFrame) -> DataFrame:
-    """``find_base`` with ``pi_term``: spans (s, e, v) of disclosing words, and ``pi_removed``, those among them to remove."""
-    found = find_base(docs)
-    over = disclosures(docs, found)
+    """A row for each of ``docs``: its columns as the struct ``pi_row``, ``doc_id``, what ``find_base`` adds, ``pi_term``: spans (s, e, v) of
+    disclosing words, and ``pi_removed``, those among them to remove."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("pi_row"), "doc_id", "text")
     none = {"pi_term": F.array().cast("array<struct<s:int,e:int,v:string>>"), "pi_removed": F.array().cast("array<string>")}
-    if over is None:
-        return found.withColumns(none)
-    terms = over.groupBy("term").agg(F.max("remove").alias("remove"))
-    held = _doc_words(docs).join(_few(terms), "term").groupBy("doc_id")
-    held = held.agg(F.array_sort(F.collect_set("term")).alias("pi_terms"), F.array_sort(F.collect_set(F.when(F.col("remove"), F.col("term")))).alias("pi_removed"))
-    held = _few(held.withColumnRenamed("doc_id", "pi_doc"))
-    if held.isEmpty():
-        return found.withColumns(none)
-    df = find_base(docs.join(held, docs["doc_id"] == held["pi_doc"], "left").drop("pi_doc"))
-    pattern = F.concat(F.lit(f"(?iu)(?<!{_RUN})(?:"), F.array_join("pi_terms", "|"), F.lit(f")(?!{_RUN})"))
-    gaps, hits = _gaps_and_hits(F.col("pi_text"), pattern, F.coalesce(F.size("pi_terms") > 0, F.lit(False)))
-    df = df.withColumn("pi_g", gaps).withColumn("pi_h", hits)
-    df = df.withColumn("pi_term", F.zip_with(_spans(F.col("pi_g"), F.col("pi_h")), "pi_h", lambda p, v: F.struct(p["s"].alias("s"), p["e"].alias("e"), v.alias("v"))))
-    return df.withColumn("pi_removed", F.coalesce("pi_removed", none["pi_removed"])).drop("pi_g", "pi_h", "pi_terms")
+    with Workspace(docs.sparkSession) as w:
+        rated = _rated(docs, find_base(docs.select("doc_id", "text")), w)
+        if rated is None:
+            return find_base(rows).withColumns(none)
+        over, words = rated
+        terms = over.groupBy("term").agg(F.max("remove").alias("remove"))
+        held = words.join(_few(terms, w), "term").groupBy("doc_id")
+        held = held.agg(F.array_sort(F.collect_set("term")).alias("pi_terms"), F.array_sort(F.collect_set(F.when(F.col("remove"), F.col("term")))).alias("pi_removed"))
+        written = w.write(held.withColumnRenamed("doc_id", "pi_doc"), "pi-held")
+        n = written.count()
+        if not n:
+            return find_base(rows).withColumns(none)
+        held = F.broadcast(written) if n <= BROADCAST_ROWS else written
+        df = find_base(rows.join(held, rows["doc_id"].eqNullSafe(held["pi_doc"]), "left").drop("pi_doc"))
+        pattern = F.concat(F.lit(f"(?iu)(?<!{_RUN})(?:"), F.array_join("pi_terms", "|"), F.lit(f")(?!{_RUN})"))
+        gaps, hits = _gaps_and_hits(F.col("pi_text"), pattern, F.coalesce(F.size("pi_terms") > 0, F.lit(False)))
+        df = df.withColumn("pi_g", gaps).withColumn("pi_h", hits)
+        df = df.withColumn("pi_term", F.zip_with(_spans(F.col("pi_g"), F.col("pi_h")), "pi_h", lambda p, v: F.struct(p["s"].alias("s"), p["e"].alias("e"), v.alias("v"))))
+        df = df.withColumn("pi_removed", F.coalesce("pi_removed", none["pi_removed"])).drop("pi_g", "pi_h", "pi_terms")
+        return w.result(df, written)
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -253,9 +287,9 @@ def sanitised(found: DataFrame) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with sanitised texts; null texts stay null, ``n_chars``, where there is one, is counted anew."""
     df = find_all(docs)
-    df = df.withColumn("pi_new", F.when(F.col("text").isNotNull(), sanitised(df)))
+    df = df.select("pi_row", F.when(F.col("pi_row.text").isNotNull(), sanitised(df)).alias("pi_new"))
     new = {"text": F.col("pi_new"), "n_chars": F.length("pi_new").cast("bigint")}
-    return df.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return df.select(*[(new[c] if c in new else F.col("pi_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
