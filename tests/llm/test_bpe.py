@@ -72,3 +72,17 @@ def test_columns_round_trip(spark):
     assert out.columns == [*df.columns, "ids", "decoded"]
     assert all(r.decoded == (r.text or "") for r in out.collect())
     assert bpe.encode_column(frame(spark, [])).count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([("a b", "in", 1, "row", [7])], "text string, in_ string, out_ long, row_ string, ids array<int>")
+    out = bpe.encode_column(df)
+    r = out.first()
+    assert out.columns == df.columns and (r.text, r.in_, r.out_, r.row_) == ("a b", "in", 1, "row") and len(r.ids) == 2
+    assert bpe.decode_column(out.select("ids")).first().decoded == "a b"
+
+
+def test_very_long_pieces(library, encoder):
+    for t in (" " * 1_000_000, "x" * 300_000, "many words " * 50_000, "\n" * 300_000 + "é\u4e2d"):
+        ids = encoder.encode(t)
+        assert list(array("I", ids)) == library.encode(t, add_special_tokens=False).ids and encoder.decode(ids) == t

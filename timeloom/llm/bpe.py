@@ -12,7 +12,8 @@ Latin-1 use a plain regular expression with those classes, others the tokenizers
 
 Defined cases: a null text is encoded as an empty one (no ids, decoded to ""); a piece of any length takes time in
 proportion; results of pieces are kept in a bounded table per worker, which changes no result; added tokens that stand
-in a text are encoded as their ids.
+in a text are encoded as their ids; repeated rows are encoded each by itself. ``encode_column`` and ``decode_column`` pass all further
+columns through, whatever their names; a column that has the name of the new one is replaced, as ``withColumn`` does.
 """
 
 from __future__ import annotations
@@ -309,9 +310,11 @@ def _mapped(df: DataFrame, column: str, new: str, kind: str, arrow: pa.DataType,
         for batch in batches:
             yield pa.record_batch([batch["row_"], pa.array([of(encoder, x.as_py()) for x in batch["in_"]], arrow)], ["row_", "out_"])
 
-    boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != new]).alias("row_"), F.col(column).alias("in_"))
+    others = [F.col(f"`{c}`") for c in df.columns if c != new] or [F.lit(0).alias("none_")]
+    boxed = df.select(F.struct(*others).alias("row_"), F.col(f"`{column}`").alias("in_"))
     out = map_batches(boxed, run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, out_ {kind}")
-    return out.select("row_.*", F.col("out_").alias(new))
+    names = [*df.columns, new] if new not in df.columns else df.columns
+    return out.select(*[(F.col("out_") if c == new else F.col("row_").getField(c)).alias(c) for c in names])
 
 
 def encode_column(df: DataFrame, column: str = "text", new: str = "ids", path: str | None = None) -> DataFrame:
