@@ -98,3 +98,33 @@ def test_no_model_keeps_texts_with_letters(spark):
 def test_unknown_letters_tie(text):
     model = L.Model({"b": "abc", "a": "abc"}).prepare()
     assert model.predict([text]) == [("a", 0.5)]
+
+
+def scripts():
+    """Three languages of over 500 letters each, of scripts of their own, and one that mixes them."""
+    rnd = random.Random(21)
+    letters = {"x": [chr(0x4E00 + i) for i in range(600)], "y": [chr(0x5E00 + i) for i in range(600)], "z": [chr(0xAC00 + i) for i in range(600)]}
+    words = {lang: ["".join(rnd.choices(own, k=rnd.randint(2, 4))) for _ in range(900)] for lang, own in letters.items()}
+    words["mixed"] = ["".join(rnd.choice(rnd.choice(list(letters.values()))) for _ in range(3)) for _ in range(900)]
+    return [(lang, " ".join(rnd.choices(own, k=60))) for _ in range(120) for lang, own in words.items()]
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    rows = scripts()
+    docs = frame(spark, [t for _, t in rows], [lang for lang, _ in rows])
+    out = L.predict(docs, L.learn(docs)).collect()
+    assert all(r.li_lang == rows[r.li_row.doc_id][0] for r in out) and min(r.li_score for r in out) > 0.5
+
+
+def test_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    texts = [f"text of {i % 9} words" for i in range(90)] + ["more words"] * 30
+    langs = [f"l{i % 9}" for i in range(90)] + ["l7"] * 30
+    assert list(L.learning_sample(frame(spark, texts, langs)))[0:1] and "l7" in L.learning_sample(frame(spark, texts, langs))
+    assert len(L.learning_sample(frame(spark, texts, langs))) == 3
+
+
+def test_very_long_texts(spark):
+    docs = frame(spark, ["the cat sat on the mat " * 100_000, "le chat est sur le tapis " * 100_000, " " * 3_000_000, *["the cat sat on the mat", "le chat est sur le tapis"] * 20], ["en", "fr", None, *["en", "fr"] * 20])
+    got = {r.li_row.doc_id: r.li_lang for r in L.predict(docs, L.learn(docs)).collect()}
+    assert (got[0], got[1], got[2]) == ("en", "fr", "und")

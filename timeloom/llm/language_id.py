@@ -3,15 +3,17 @@
 For every language a suffix automaton of a bounded sample of labelled text is built. A text is parsed into phrases,
 each the longest match in that language's sample; the language that needs the fewest phrases, normalised by the
 sample's size (Ziv and Merhav: phrases * log2(sample) / characters), wins. The automata are flattened to
-tables, or sorted transitions where a sample has many letters, in which a step that ends a phrase says so, and whole batches are parsed in step, one character of every
-block at a time; blocks of ``BLOCK`` characters end a phrase.
+tables, or sorted transitions where a sample has many letters, in which a step that ends a phrase says so, and whole batches are
+parsed in step, one character of every block at a time; blocks of ``BLOCK`` characters end a phrase.
 
 Learning reads rows whose crc32(doc_id as text) mod 3 is not 1, with a language and a text, from which it takes at most
 ``DOCS_PER_LANGUAGE`` documents, of the smallest hashes, and ``CHARS_PER_LANGUAGE`` characters a language (fewer where there
-are more than ``LANGUAGES_AT_FULL`` languages). Predictions read the text alone.
+are more than ``LANGUAGES_AT_FULL`` languages). Of more than ``MOST_LANGUAGES`` languages those with the most rows are learned, of equal
+counts those that sort first. Predictions read the text alone.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the name that sorts first; with
-nothing to learn from, every text is ``und``; a null ``doc_id`` is neither learned from nor held out. Upper and lower case
+nothing to learn from, every text is ``und``; texts of any length are read whole; repeated rows are predicted each by itself; further
+columns pass through whatever their names; a null ``doc_id`` is neither learned from nor held out. Upper and lower case
 are alike; all that is no letter is one character; letters of no sample match nothing in any language.
 """
 
@@ -34,6 +36,7 @@ from .storage import documents, map_batches
 CHARS_PER_LANGUAGE = 48_000
 DOCS_PER_LANGUAGE = 96
 LANGUAGES_AT_FULL = 6
+MOST_LANGUAGES = 512
 BLOCK = 512
 UNKNOWN = "und"
 #: Codes of the end of a block, of what is no letter, and of letters of no sample.
@@ -49,17 +52,17 @@ def bucket_of(doc_id) -> F.Column:
 
 
 def learning_sample(docs: DataFrame) -> dict[str, str]:
-    """A bounded text per language. At most some hundred documents a language reach the driver, however many there are."""
+    """A bounded text per language. At most ``DOCS_PER_LANGUAGE`` documents of ``MOST_LANGUAGES`` languages reach the driver."""
     labelled = docs.filter(F.col("lang").isNotNull() & (bucket_of(F.col("doc_id")) != 1))
     # counted without a look at the texts, so that their column is not read for it
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r.n for r in counts.collect()}
     rows = labelled.filter(F.col("text").isNotNull())
     if not counts:
         return {}
     # a share of the hash range that holds four times what is taken, so that ranking sees few rows
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * DOCS_PER_LANGUAGE / n))).otherwise(share)
+    share = [(lang, min(1.0, 4 * DOCS_PER_LANGUAGE / n)) for lang, n in counts.items()]
+    share = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, li_share double"))
     spread = F.xxhash64("doc_id", F.lit(17))
     hashed = rows.select("lang", "text", spread.alias("li_h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("li_h", "text"))
@@ -68,7 +71,7 @@ def learning_sample(docs: DataFrame) -> dict[str, str]:
         best = near.withColumn("li_r", rank).filter(F.col("li_r") <= DOCS_PER_LANGUAGE)
         return best.select("lang", "li_h", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text")).collect()
 
-    taken = first(hashed.filter(F.shiftrightunsigned("li_h", 1) / F.lit(float(1 << 63)) <= share))
+    taken = first(hashed.join(share, "lang").filter(F.shiftrightunsigned("li_h", 1) / F.lit(float(1 << 63)) <= F.col("li_share")))
     # null texts were counted too: a language that has most of them may miss documents in its share, and is ranked whole
     got = Counter(r.lang for r in taken)
     short = [lang for lang, n in counts.items() if n > 4 * DOCS_PER_LANGUAGE and got[lang] < DOCS_PER_LANGUAGE]
