@@ -4,11 +4,15 @@
 walks nested boxes, ``read_track`` decodes the sample tables, and ``describe`` gives codec, duration and the
 byte ranges of the keyframes without decoding a sample. Reading works on any file of the format
 with one track of interest: sizes of 0 and of 64 bits, ``stco`` or ``co64``, ``stsz`` with and without a
-common size, several ``stsc`` runs, and a missing ``stss`` (every sample is then a keyframe).
+common size, several ``stsc`` runs, a missing ``stss`` (every sample is then a keyframe), and fragmented files, whose
+samples are in the runs (``trun``) of ``moof`` boxes.
+
+Every size, count, index and range is held against the file before it is used, so that a broken file costs no more
+than its own size; boxes nest ``DEEPEST`` deep at most, and are walked without recursion.
 
 Defined cases: a null text is the empty payload, 64 zero bytes; equal texts give equal files (no clock, no
-row number is stored); a broken container raises ``ContainerError`` from the readers, and ``describe_column``
-returns its message in ``error`` and null figures.
+row number is stored); a file that is broken or has no track raises ``ContainerError`` from the readers, and ``describe_column``
+returns its message in ``error`` and null figures; further columns pass through, whatever their names, repeated rows each by itself.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ UNIT = 64
 TIMESCALE = 8000
 SAMPLES_PER_CHUNK = 256
 KEYFRAME_EVERY = 32
-#: Boxes that hold boxes.
-NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+#: Boxes that hold boxes, and how deep they may.
+NESTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+DEEPEST = 32
 
 
 class ContainerError(ValueError):
@@ -90,10 +95,15 @@ def store_payload(payload: bytes) -> bytes:
     return b"".join((_FTYP, moov(first), struct.pack(">I4s", len(payload) + 8, b"mdat"), payload))
 
 
-def walk_boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
+def walk_boxes(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
     """(depth, kind, start of the body, end) of every box, parents before what they hold."""
-    end = len(data) if end is None else end
-    while start < end:
+    start, ends = 0, [len(data)]
+    while True:
+        while ends and start == ends[-1]:
+            ends.pop()
+        if not ends:
+            return
+        end = ends[-1]
         if end - start < 8:
             raise ContainerError(f"{end - start} bytes at {start} are no box")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -105,10 +115,40 @@ def walk_boxes(data: bytes, start: int = 0, end: int | None = None, depth: int =
         stop = end if size == 0 else start + size
         if not body <= stop <= end:
             raise ContainerError(f"the box at {start} says it has {size} bytes")
-        yield depth, kind, body, stop
+        yield len(ends) - 1, kind, body, stop
         if kind in NESTS:
-            yield from walk_boxes(data, body, stop, depth + 1)
-        start = stop
+            if len(ends) > DEEPEST:
+                raise ContainerError(f"boxes are nested more than {DEEPEST} deep")
+            ends.append(stop)
+            start = body
+        else:
+            start = stop
+
+
+class Body:
+    """What is in a box; reading past its end is a ``ContainerError``."""
+
+    def __init__(self, data: bytes, kind: bytes, start: int, end: int):
+        self.data, self.kind, self.start, self.end = data, kind.decode("latin-1"), start, end
+
+    def read(self, form: str, at: int) -> tuple:
+        if self.start + at + struct.calcsize(f">{form}") > self.end:
+            raise ContainerError(f"{self.kind} is cut off")
+        return struct.unpack_from(f">{form}", self.data, self.start + at)
+
+    def flags(self) -> int:
+        return self.read("I", 0)[0] & 0xFFFFFF
+
+    def rows(self, form: str, at: int, n: int) -> Iterator[tuple]:
+        """``n`` rows from ``at`` on."""
+        first, size = self.start + at, n * struct.calcsize(f">{form}")
+        if first + size > self.end:
+            raise ContainerError(f"{self.kind} counts {n} rows and is cut off")
+        return struct.iter_unpack(f">{form}", self.data[first : first + size])
+
+    def table(self, form: str) -> list[tuple]:
+        """The rows of a full box that counts them."""
+        return list(self.rows(form, 8, self.read("I", 4)[0]))
 
 
 @dataclass
@@ -117,20 +157,19 @@ class Track:
     handler: str
     timescale: int
     ticks: int
-    sizes: list[int] | tuple[int, int]  # each, or (common size, count)
+    sizes: list[int]
     chunks: list[tuple[int, int]]  # byte offset, samples
     keyframes: list[int] | None  # from 0; None: all
 
     @property
     def count(self) -> int:
-        return self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)
+        return len(self.sizes)
 
     def ranges(self) -> list[tuple[int, int]]:
         """(offset, length) of every sample."""
         out, at = [], 0
         for offset, n in self.chunks:
-            for i in range(at, at + n):
-                length = self.sizes[0] if isinstance(self.sizes, tuple) else self.sizes[i]
+            for length in self.sizes[at : at + n]:
                 out.append((offset, length))
                 offset += length
             at += n
@@ -139,63 +178,132 @@ class Track:
     def chunk_ranges(self) -> list[tuple[int, int]]:
         out, at = [], 0
         for offset, n in self.chunks:
-            out.append((offset, self.sizes[0] * n if isinstance(self.sizes, tuple) else sum(self.sizes[at : at + n])))
+            out.append((offset, sum(self.sizes[at : at + n])))
             at += n
         return out
 
 
+def _boxes(data: bytes) -> tuple[list[dict[bytes, Body]], dict[int, Body], list[tuple[int, dict[bytes, list[Body]]]]]:
+    """The boxes of each track, ``trex`` by track, and (start of its moof, boxes) of each track fragment."""
+    tracks, extends, fragments, path, moof = [], {}, [], [], 0
+    for depth, kind, start, end in walk_boxes(data):
+        del path[depth:]
+        path.append(kind)
+        box = Body(data, kind, start, end)
+        if path == [b"moov", b"trak"]:
+            tracks.append({})
+        elif path[:2] == [b"moov", b"trak"]:
+            tracks[-1].setdefault(kind, box)
+        elif path == [b"moov", b"mvex", b"trex"]:
+            extends[box.read("I", 4)[0]] = box
+        elif path == [b"moof"]:
+            moof = start - 8
+        elif path == [b"moof", b"traf"]:
+            fragments.append((moof, {}))
+        elif path[:2] == [b"moof", b"traf"]:
+            fragments[-1][1].setdefault(kind, []).append(box)
+    return tracks, extends, fragments
+
+
+def _handler(boxes: dict[bytes, Body]) -> str:
+    return boxes[b"hdlr"].read("4s", 8)[0].decode("latin-1") if b"hdlr" in boxes else ""
+
+
 def read_track(data: bytes, handler: str | None = None) -> Track:
-    """The first track (of that handler) with its sample tables decoded."""
-    found: dict[bytes, int] = {}
-    for _, kind, body, _stop in walk_boxes(data):
-        if kind == b"trak":
-            if found.get(b"stbl") and (handler is None or _handler(data, found) == handler):
-                break
-            found = {}
-        found[kind] = body
-    missing = [k.decode() for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz") if k not in found]
-    if missing or not (b"stco" in found or b"co64" in found):
-        raise ContainerError(f"no track with {', '.join(missing) or 'stco'}")
-    if handler is not None and _handler(data, found) != handler:
-        raise ContainerError(f"no track of {handler}")
-    try:
-        return _decode(data, found)
-    except (struct.error, ZeroDivisionError) as e:
-        raise ContainerError(f"a sample table is cut off: {e}") from None
-
-
-def _handler(data: bytes, found: dict[bytes, int]) -> str:
-    return data[found[b"hdlr"] + 8 : found[b"hdlr"] + 12].decode("latin-1")
-
-
-def _table(data: bytes, at: int, form: str) -> list[tuple]:
-    """The rows of a full box that counts them."""
-    n, width = struct.unpack_from(">I", data, at + 4)[0], struct.calcsize(f">{form}")
-    if at + 8 + n * width > len(data):
-        raise ContainerError(f"a table of {n} rows is cut off")
-    return list(struct.iter_unpack(f">{form}", data[at + 8 : at + 8 + n * width]))
-
-
-def _decode(data: bytes, found: dict[bytes, int]) -> Track:
-    at = found[b"mdhd"]
-    scale, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    codec = data[found[b"stsd"] + 12 : found[b"stsd"] + 16].decode("latin-1")
-    common, count = struct.unpack_from(">II", data, found[b"stsz"] + 4)
-    if common:
-        sizes = (common, count)
+    """The first track with sample tables (of that handler), these decoded and held against the file."""
+    tracks, extends, fragments = _boxes(data)
+    for boxes in tracks:
+        if b"stbl" in boxes and (handler is None or _handler(boxes) == handler):
+            break
     else:
-        sizes = list(struct.unpack_from(f">{count}I", data, found[b"stsz"] + 12))
-    offsets = [x for (x,) in (_table(data, found[b"stco"], "I") if b"stco" in found else _table(data, found[b"co64"], "Q"))]
-    runs = _table(data, found[b"stsc"], "III")
+        raise ContainerError(f"no track{f' of {handler}' if handler else ''}")
+    missing = [k.decode() for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz") if k not in boxes]
+    if missing or not (b"stco" in boxes or b"co64" in boxes):
+        raise ContainerError(f"a track without {', '.join(missing) or 'stco'}")
+    track = _decode(boxes, len(data))
+    number = boxes[b"tkhd"].read("I", 20 if boxes[b"tkhd"].read("B", 0)[0] == 1 else 12)[0] if b"tkhd" in boxes else 0
+    _add_fragments(track, number, extends.get(number), [f for f in fragments if _of_track(f[1]) == number], len(data))
+    for offset, n in track.chunk_ranges():
+        if not 0 <= offset <= offset + n <= len(data):
+            raise ContainerError(f"{n} bytes at {offset} are not in the file")
+    return track
+
+
+def _decode(boxes: dict[bytes, Body], size: int) -> Track:
+    mdhd = boxes[b"mdhd"]
+    scale, ticks = mdhd.read("Iq", 20) if mdhd.read("B", 0)[0] == 1 else mdhd.read("II", 12)
+    if ticks < 0:  # all ones: unknown
+        ticks = 0
+    codec = boxes[b"stsd"].read("4s", 12)[0].decode("latin-1")
+    stsz = boxes[b"stsz"]
+    common, count = stsz.read("II", 4)
+    if common * count > size:
+        raise ContainerError(f"{count} samples of {common} bytes are not in the file")
+    sizes = [common] * count if common else [x for (x,) in stsz.rows("I", 12, count)]
+    offsets = [x for (x,) in (boxes[b"stco"].table("I") if b"stco" in boxes else boxes[b"co64"].table("Q"))]
+    runs = boxes[b"stsc"].table("III")
+    firsts = [first for first, *_ in runs]
+    afters = [*firsts[1:], len(offsets) + 1] if runs else []
+    if offsets and firsts[:1] != [1] or any(a >= b for a, b in zip(firsts, afters, strict=True)):
+        raise ContainerError("stsc is not in order, or names chunks that there are not")
     chunks = []
-    for (first, per, _), (after, *_) in zip(runs, [*runs[1:], (len(offsets) + 1,)], strict=True):
+    for (first, per, _), after in zip(runs, afters, strict=True):
         chunks += [(o, per) for o in offsets[first - 1 : after - 1]]
     if sum(n for _, n in chunks) != count:
         raise ContainerError("the chunks do not hold the samples that are counted")
-    if sum(n for n, _ in _table(data, found[b"stts"], "II")) != count:
+    if sum(n for n, _ in boxes[b"stts"].table("II")) != count:
         raise ContainerError("the times are not those of the samples")
-    keys = [x - 1 for (x,) in _table(data, found[b"stss"], "I")] if b"stss" in found else None
-    return Track(codec, _handler(data, found), scale, ticks, sizes, chunks, keys)
+    keys = [x - 1 for (x,) in boxes[b"stss"].table("I")] if b"stss" in boxes else None
+    if keys and not (keys[0] >= 0 and keys[-1] < count and all(a < b for a, b in zip(keys, keys[1:], strict=False))):
+        raise ContainerError("stss is not in order, or names samples that there are not")
+    return Track(codec, _handler(boxes), scale, ticks, sizes, chunks, keys)
+
+
+def _of_track(boxes: dict[bytes, list[Body]]) -> int:
+    if b"tfhd" not in boxes:
+        raise ContainerError("a track fragment without tfhd")
+    return boxes[b"tfhd"][0].read("I", 4)[0]
+
+
+def _add_fragments(track: Track, number: int, trex: Body | None, fragments: list, size: int) -> None:
+    """The samples of a track's fragments: each run is a chunk. A sample is a keyframe unless its flags say otherwise."""
+    if not fragments:
+        return
+    defaults = trex.read("III", 12) if trex else (0, 0, 0)  # duration, size, flags
+    keys = list(range(track.count)) if track.keyframes is None else track.keyframes
+    lasts = 0
+    for moof, boxes in fragments:
+        tfhd = boxes[b"tfhd"][0]
+        flags, at, own, base = tfhd.flags(), 8, list(defaults), moof
+        if flags & 0x1:
+            base, at = tfhd.read("Q", at)[0], at + 8
+        at += 4 if flags & 0x2 else 0
+        for i, bit in enumerate((0x8, 0x10, 0x20)):
+            if flags & bit:
+                own[i], at = tfhd.read("I", at)[0], at + 4
+        offset = base
+        for trun in boxes.get(b"trun", ()):
+            n, flags, at = trun.read("I", 4)[0], trun.flags(), 8
+            if flags & 0x1:
+                offset, at = base + trun.read("i", at)[0], at + 4
+            first = own[2]
+            if flags & 0x4:
+                first, at = trun.read("I", at)[0], at + 4
+            held = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if not held and n > size:
+                raise ContainerError(f"a run of {n} samples is longer than the file")
+            rows = trun.rows("I" * len(held), at, n) if held else ((),) * n
+            was = track.count
+            for i, row in enumerate(rows):
+                said = dict(zip(held, row, strict=True))
+                lasts += said.get(0x100, own[0])
+                track.sizes.append(said.get(0x200, own[1]))
+                if not said.get(0x400, first if i == 0 else own[2]) & 0x10000:
+                    keys.append(was + i)
+            track.chunks.append((offset, n))
+            offset += sum(track.sizes[was:])
+    track.ticks = max(track.ticks, lasts)
+    track.keyframes = keys
 
 
 def load_payload(data: bytes) -> bytes:
@@ -219,8 +327,9 @@ def feature_of(about: dict) -> str:
     return f"codec={about['codec'].strip()};duration={about['duration_ticks']}/{about['timescale']};samples={about['n_samples']};keyframes={len(keys)};ranges={ends};sha={all_of}"
 
 
-def describe_column(files: DataFrame, column: str) -> DataFrame:
-    """``files`` with ``codec, timescale, duration_ticks, n_samples, keyframes, error`` for the containers in ``column``."""
+def describe_column(files: DataFrame, column: str, new: str = "media") -> DataFrame:
+    """``files`` with the struct ``new`` of ``codec, timescale, duration_ticks, n_samples, keyframes, error`` for the containers in
+    ``column``. A column that has that name is replaced, as ``withColumn`` does."""
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +348,11 @@ def describe_column(files: DataFrame, column: str) -> DataFrame:
                     rows.append({"error": str(e)})
             yield pa.record_batch([batch["row_"], pa.array(rows, kind)], ["row_", "about_"])
 
-    boxed = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row_"), F.col(column).cast("binary").alias("media_"))
+    boxed = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row_"), F.col(f"`{column}`").cast("binary").alias("media_"))
     about = "struct<codec:string,timescale:bigint,duration_ticks:bigint,n_samples:bigint,keyframes:array<struct<offset:bigint,length:bigint>>,error:string>"
     out = map_batches(boxed, run, f"row_ {boxed.schema['row_'].dataType.simpleString()}, about_ {about}")
-    return out.select("row_.*", "about_.*")
+    names = [*files.columns, new] if new not in files.columns else files.columns
+    return out.select(*[(F.col("about_") if c == new else F.col("row_").getField(c)).alias(c) for c in names])
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
