@@ -107,6 +107,15 @@ class Workspace:
             del self.held[t.timeloom_path]
         discard(*tables)
 
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written; all else that was written since the workspace began goes."""
+        out = materialise(df, name)
+        for s, p in _WRITTEN[self.mark :]:
+            if s is self.spark and p != out.timeloom_path:
+                self.held.pop(p, None)
+                _forget(s, p)
+        return self.adopt(out)
+
     def result(self, df: DataFrame, *tables: DataFrame) -> DataFrame:
         """``df``, which reads ``tables``: these stay until ``release``."""
         self.kept |= {t.timeloom_path for t in tables}
