@@ -15,7 +15,7 @@ from timeloom.llm.line_dedup import dedup_lines
 from timeloom.llm.near_dedup import drop_near_copies
 from timeloom.llm.packing import pack
 from timeloom.llm.pii import sanitise
-from timeloom.llm.storage import documents, materialise
+from timeloom.llm.storage import Workspace, documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Workspace(spark) as w:
+        for name, stage in STAGES[:-1]:
+            docs = w.settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        return w.result(STAGES[-1][1](spark, docs, sf_dir), docs)
