@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom.config import DROP_MS, KNOBS, constrained
 from timeloom.functions import text as T
@@ -107,9 +108,9 @@ def test_all_candidates_and_words_match_a_plain_version(spark, small):
         n = sum(e - s for x, _, _, s, e, _ in timeline if x == clip)
         trimmed.add((clip, raw, n, max(raw - n, 0)))
     assert max(member for _, member, *_ in kept) >= 3
-    assert {tuple(r) for r in planning.keep_segments_all(spark, small).collect()} == kept
-    assert {tuple(r) for r in planning.build_timeline_all(spark, small).collect()} == timeline
-    assert {tuple(r) for r in planning.trimmed_all(spark, small).collect()} == trimmed
+    assert {tuple(r) for r in planning.keep_segments(spark, small).collect()} == kept
+    assert {tuple(r) for r in planning.build_timeline(spark, small).collect()} == timeline
+    assert {tuple(r) for r in planning.trimmed(spark, small).collect()} == trimmed
 
 
 def test_all_documents_match_a_plain_version(spark, small):
@@ -121,8 +122,8 @@ def test_all_documents_match_a_plain_version(spark, small):
         opening[r.doc_id] = (first, "reference" if first in T.PRONOUNS else "intro" if r.doc_id * 977 % 20000 < 8000 else "")
         own = sorted(set(re.findall("[a-z']{3,}", text.lower())) - set(T.STOPWORDS))
         words[r.doc_id] = (len(own), " ".join(own))
-    assert {r.doc_id: (r.first_word, r.warning) for r in scalars.cold_open_all(spark, small).collect()} == opening
-    assert {r.doc_id: (r.n, r.words) for r in scalars.content_words_all(spark, small).collect()} == words
+    assert {r.doc_id: (r.first_word, r.warning) for r in scalars.cold_open(spark, small).collect()} == opening
+    assert {r.doc_id: (r.n, r.words) for r in scalars.content_words(spark, small).collect()} == words
     assert max(n for n, _ in words.values()) > 50 and len(words) == len(docs)
 
 
@@ -169,3 +170,43 @@ def test_plans(spark):
     topics = {tuple(sorted(r.members.split(","))) for r in P.plan_by_topic(c).collect()}
     assert ("3",) in topics
     assert {r.label: r.members for r in P.plan_by_label(c).collect()} == {"quote": "1,3", "joke": "2"}
+
+
+def test_points_at_one_time_stay(spark):
+    points = spark.createDataFrame([(1, 500, "a"), (1, 500, "b"), (1, 500, "b"), (1, 9_000, "c"), (2, 500, "d"), (1, None, "e")], "clip_id long, t_ms long, v string")
+    line = spark.createDataFrame([(1, 0, 0, 1000, 70), (1, 1, 200, 2000, 5000)], "clip_id long, seq long, src_start_ms long, src_end_ms long, out_start_ms long")
+    got = sorted((r.v, r.out_ms or 0) for r in W.map_times(points, line).collect())
+    assert got == [("a", 570), ("b", 570), ("b", 570), ("c", 0), ("d", 0), ("e", 0)]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    rows = spark.createDataFrame([("\t https://x.org/a \r\n\xa0",), ("https://x.org/a b",), ("  ",)], "s string")
+    got = rows.select(T.valid_url(F.col("s")).alias("u"), T.project_name(F.col("s")).alias("p"), T.strip(F.col("s")).alias("s"), T.last_error(F.concat(F.lit("ERROR: one\r\n two\x0b\t"), "s")).alias("e")).collect()
+    assert [r.u for r in got] == [True, False, False] and got[2].p == "default" and got[0].s == "https://x.org/a" and got[0].e == "ERROR: one"
+
+
+def test_topics_match_a_plain_search(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(1, i, i * 1000, i * 1000 + 900, "quote", float(rnd.randrange(4)), "", " ".join(rnd.choices("alpha beta gamma delta kappa omega sigma theta lambda zeta".split(), k=rnd.randint(0, 3)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "source_id long, candidate_id long, start_ms long, end_ms long, label string, score double, reason string, text string")
+    got = {r.candidate_id: r.topic for r in P.topics(df).collect()}
+    known, want = [], {}
+    for r in sorted(rows, key=lambda r: (-r[5], r[2], r[3], r[1])):
+        own = set(r[7].split())
+        at = next((i for i, seen in enumerate(known) if own and seen and len(own & seen) >= 0.2 * len(own | seen)), len(known))
+        known += [set()] if at == len(known) else []
+        known[at] |= own
+        want[r[1]] = at
+    assert got == want
+
+
+def test_submitted_candidates(spark):
+    good = '"start": 1, "end": "9.5", "label": " QUOTE\\u00a0"'
+    raws = ["{%s}" % good, '{%s, "score": true, "cues": {}}' % good, '{%s, "cues": false}' % good, '{%s, "cues": "x"}' % good, '{%s, "score": "7"}' % good, '{%s, "score": []}' % good, "7", None, '{"start": [1], "end": 9}', '{"start": 1, "end": "inf"}']
+    from timeloom.operators import candidates as CD
+
+    rows = CD.validate(CD.parse_candidates(spark.createDataFrame(list(enumerate(raws)), "i long, raw string")), F.lit(60_000)).orderBy("i").collect()
+    assert [r.error_code for r in rows] == [None, None, None, "bad_cues", None, "bad_score", "not_object", "not_object", "not_numeric", "not_finite"]
+    assert [(r.start_ms, r.end_ms, r.label, r.score) for r in rows[:2]] == [(1000, 9500, "quote", 5.0), (1000, 9500, "quote", 1.0)] and rows[4].score == 7.0

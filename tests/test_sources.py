@@ -110,3 +110,11 @@ def test_sinks(spark, tmp_path):
     K.write_manifest(spark.createDataFrame([(5, "b"), (2, "a")], "source_start_ms long, clip string"), str(tmp_path / "m"), "b_1")
     doc = json.loads(next((tmp_path / "m").glob("part-*")).read_text())
     assert [c["clip"] for c in doc["clips"]] == ["a", "b"] and doc["batch_id"] == "b_1"
+
+
+def test_every_entity_of_cues_is_resolved(spark):
+    text = "WEBVTT\n\n00:00:01.000 --> 00:00:03.000\ncaf&eacute;<00:00:02.000><c> isn&#8217;t &lt;b&gt; &amp;amp; &hearts;</c>\n\n00:00:04.000 --> 00:00:05.000\n&nbsp;plain &copy &#x41;\x1e \n"
+    cues = C.vtt_cues(spark.createDataFrame([(1, text)], "source_id long, raw string"))
+    words = [(r.w, r.start_ms) for r in C.vtt_words(cues).orderBy("start_ms").collect()]
+    assert words == [("café", 1000), ("isn’t", 2000), ("<b>", 2250), ("&amp;", 2500), ("♥", 2750)]
+    assert [r.text for r in C.vtt_segments(cues).orderBy("start_ms").collect()] == ["café isn’t <b> &amp; ♥", "plain © A"]

@@ -30,6 +30,16 @@ ERROR_RULES = [
 MARKERS = "(?i)\\[(?:laughter|laughs|applause|music|cheering|crosstalk)\\]"
 
 
+# What counts as white space at the ends of a string, and what ends a line.
+SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+LINE_END = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}++|(?<!{SPACE}){SPACE}++\\z", "")
+
+
 def hhmmss(ms: Column) -> Column:
     """H:MM:SS, or M:SS below an hour; negative times are 0, fractions are cut."""
     s = F.greatest(ms, F.lit(0)).cast("bigint")
@@ -77,12 +87,12 @@ def safe_name(text: Column, fallback: str = "file") -> Column:
 
 
 def valid_url(url: Column) -> Column:
-    return F.coalesce(F.trim(url).rlike("(?i)^https?://[^\\s]+$"), F.lit(False))
+    return F.coalesce(strip(url).rlike("(?i)^https?://[^\\s]+$"), F.lit(False))
 
 
 def project_name(name: Column, default: str = "default") -> Column:
     """The name, the default for a blank one, null for one that is not allowed."""
-    name = F.trim(F.coalesce(name, F.lit("")))
+    name = strip(F.coalesce(name, F.lit("")))
     return F.when(name == "", F.lit(default)).when(name.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,62}$"), name)
 
 
@@ -95,7 +105,7 @@ def classify_error(text: Column) -> Column:
 
 def last_error(text: Column, limit: int = 400) -> Column:
     """The last line that speaks of an error, else the last that is not blank."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip), lambda x: x != "")
     errors = F.filter(lines, lambda x: x.contains("ERROR") | x.contains("error"))
     return F.substring(F.coalesce(F.get(errors, F.size(errors) - 1), F.get(lines, F.size(lines) - 1), F.lit("no output")), 1, limit)
 

@@ -6,26 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LABEL, KNOBS, LABELS, Knobs
+from ..functions.text import strip
 from .folds import fold, islands
 
-ERROR_ORDER = ("not_numeric", "inverted", "outside", "too_short", "too_long", "unknown_label")
+ERROR_ORDER = ("not_object", "not_numeric", "not_finite", "inverted", "outside", "too_short", "too_long", "unknown_label", "bad_score", "bad_cues")
+
+
+def parse_candidates(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """Submitted candidates, JSON in ``raw``, as the columns that ``validate`` reads, with ``first_error`` and ``last_error``: what is
+    wrong with the JSON itself, to be told before and after the other rules. Seconds become whole milliseconds; numbers may be strings."""
+    df = rows.withColumn("v_", F.try_parse_json(raw))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v_", path, "variant"))
+    # truth values are numbers; lists, objects and other strings are none
+    number = lambda path: F.when(kind(path) == "BOOLEAN", F.try_variant_get("v_", path, "boolean").cast("double")).otherwise(strip(F.try_variant_get("v_", path, "string")).try_cast("double"))
+    df = df.withColumns({"s_": number("$.start"), "e_": number("$.end"), "n_": number("$.score"), "object_": F.coalesce(F.schema_of_variant("v_").startswith("OBJECT"), F.lit(False))})
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    first = F.when(~F.col("object_"), "not_object").when(F.col("s_").isNull() | F.col("e_").isNull(), "not_numeric").when(~(finite("s_") & finite("e_")), "not_finite")
+    cues = F.coalesce(kind("$.cues").startswith("OBJECT") | kind("$.cues").isin("VOID") | F.try_variant_get("v_", "$.cues", "string").isin("", "0", "false", "[]"), F.lit(True))
+    last = F.when(F.col("n_").isNull() & kind("$.score").isNotNull(), "bad_score").when(~cues, "bad_cues")
+    ms = lambda c: F.when(finite(c), F.round(F.col(c) * 1000).cast("bigint"))
+    text = lambda path: F.try_variant_get("v_", path, "string")
+    out = df.withColumns({"first_error": first, "last_error": last, "start_ms": ms("s_"), "end_ms": ms("e_"), "label": text("$.label"), "score": F.col("n_"), "reason": text("$.reason")})
+    return out.drop("v_", "s_", "e_", "n_", "object_")
 
 
 def validate(raw: DataFrame, duration_ms: Column, knobs: Knobs = KNOBS) -> DataFrame:
     """``raw`` with the label trimmed and in lower case, the score defaulted to 5 and clamped, the reason cut to 400, and
-    ``error_code``: the first rule that a row breaks, or null."""
+    ``error_code``: the first rule that a row breaks, or null; ``parse_candidates`` may have told of rules before and after these."""
     length = F.col("end_ms") - F.col("start_ms")
-    label = F.lower(F.trim(F.coalesce(F.col("label"), F.lit(""))))
+    label = F.lower(strip(F.coalesce(F.col("label"), F.lit(""))))
+    told = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     code = (
-        F.when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), F.lit("not_numeric"))
+        F.when(told("first_error").isNotNull(), told("first_error"))
+        .when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), F.lit("not_numeric"))
         .when(length <= 0, F.lit("inverted"))
         .when((F.col("start_ms") < 0) | (F.col("end_ms") > duration_ms + 1000), F.lit("outside"))
         .when(length < knobs.candidate_min_ms, F.lit("too_short"))
         .when(length > knobs.candidate_max_ms, F.lit("too_long"))
         .when(~label.isin(list(LABELS)), F.lit("unknown_label"))
+        .otherwise(told("last_error"))
     )
     score = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce(F.col("score"), F.lit(5.0))))
-    return raw.withColumns({"error_code": code, "label": label, "score": score, "reason": F.substring(F.trim(F.coalesce("reason", F.lit(""))), 1, 400)})
+    return raw.withColumns({"error_code": code, "label": label, "score": score, "reason": F.substring(strip(F.coalesce("reason", F.lit(""))), 1, 400)})
 
 
 def validate_batches(validated: DataFrame, batch: str, index: str, knobs: Knobs = KNOBS) -> DataFrame:

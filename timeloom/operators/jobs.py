@@ -95,6 +95,14 @@ def disk_needed(estimated: Column) -> Column:
     return (2 * estimated + 300 * 1024 * 1024).cast("bigint")
 
 
+def frame_times(usage: DataFrame) -> DataFrame:
+    """When the frames that a request took are: its start and a frame's length further each, to the nearest 10 ms: (source_id, seq, i, t_ms)."""
+    rate = F.greatest(F.lit(100), F.least(F.col("fps_m"), F.lit(4000)))
+    each = usage.withColumn("rate_", rate).filter("take > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("take") - 1)))
+    at = F.expr("((start_ms * rate_ + i * 1000000 + 5 * rate_) div (10 * rate_)) * 10")
+    return each.select("source_id", "seq", "i", at.cast("bigint").alias("t_ms"))
+
+
 def frame_usage(requests: DataFrame, knobs: Knobs = KNOBS) -> DataFrame:
     """Frames that each request of a source takes of its budget, in order: (wanted, take, used).
 

@@ -106,6 +106,7 @@ def cue_events(segments: DataFrame) -> DataFrame:
 # The caption colours (alpha, blue, green, red), the output's size and rates, and the caption file's header.
 POP, BASE, OUTLINE, SHADOW = "&H0000D7FF", "&H00FFFFFF", "&H00101010", "&HA0000000"
 OUT_W, OUT_H, OUT_FPS, AUDIO_RATE = 1080, 1920, 30, 44100
+BLUR_W, BLUR_H, BLUR_SIGMA, FIT_LIFT = 270, 480, 8, 140
 FONT = "Liberation Sans"
 HEADER = """[Script Info]
 ScriptType: v4.00+
@@ -170,6 +171,37 @@ def follow_chain(crop, height, expr) -> F.Column:
     return F.concat(F.format_string("crop=w=%d:h=%d:x='", crop, height), F.coalesce(expr, F.lit("(in_w-out_w)/2")), F.lit(f"':y=0,scale={size}:force_original_aspect_ratio=decrease,pad={size}:(ow-iw)/2:(oh-ih)/2:black"))
 
 
+def fit_chain(source, out) -> F.Column:
+    """The whole frame over a blurred, darkened copy of itself; nothing is cropped away."""
+    parts = [
+        (source, F.lit("split=2[fb_bg][fb_fg]")),
+        (F.lit("[fb_bg]"), F.lit(f"scale={BLUR_W}:{BLUR_H}:force_original_aspect_ratio=increase,crop={BLUR_W}:{BLUR_H},gblur=sigma={BLUR_SIGMA},scale={OUT_W}:{OUT_H},eq=brightness=-0.10,setsar=1[fb_bgb]")),
+        (F.lit("[fb_fg]"), F.lit(f"scale={OUT_W}:-2,setsar=1[fb_fgs]")),
+        (F.lit("[fb_bgb][fb_fgs]"), F.concat(F.lit(f"overlay=(W-w)/2:(H-h)/2-{FIT_LIFT}:format=auto,setsar=1,format=yuv420p"), out)),
+    ]
+    return F.concat_ws(";", *[F.concat(pins, steps) for pins, steps in parts])
+
+
+def sample_grid(timeline: DataFrame, per_s: int = 2, most: int = 240) -> DataFrame:
+    """(clip_id, seq, t_ms): the times at which kept stretches are looked at, evenly from each start; the first ``most`` of a clip, in order."""
+    step = 1000 // per_s
+    looks = F.floor((F.col("src_end_ms") - F.col("src_start_ms")) * per_s / 1000) + 1
+    w = Window.partitionBy("clip_id").orderBy("seq")
+    rows = timeline.withColumn("n_", looks).withColumn("before_", F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("n_", F.least("n_", most - F.col("before_"))).filter("n_ > 0")
+    rows = rows.select("clip_id", "seq", "src_start_ms", "src_end_ms", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_") - 1)).alias("i_"))
+    return rows.select("clip_id", "seq", F.least(F.col("src_start_ms") + F.col("i_") * step, "src_end_ms").alias("t_ms"))
+
+
+def face_samples(timeline: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The grid with ``x_pm``, the centre of the largest box that was found at that time (of equals the leftmost), or null.
+
+    ``boxes``: (clip_id, t_ms, left_pm, width_pm, height_pm), what a detector found, in per mille of the frame."""
+    area = F.col("width_pm") * F.col("height_pm")
+    best = boxes.groupBy("clip_id", "t_ms").agg(F.max_by(F.col("left_pm") + F.expr("width_pm div 2"), F.struct(area.alias("a"), (-F.col("left_pm")).alias("l"))).alias("x_pm"))
+    return sample_grid(timeline).join(best, ["clip_id", "t_ms"], "left").select("clip_id", "seq", "t_ms", "x_pm")
+
+
 def envelope(success: F.Column, error: F.Column, hint: F.Column, fields: F.Column) -> F.Column:
     """A result as JSON, success first, with an estimate of its tokens."""
     body = F.to_json(F.struct(success.alias("success"), error.alias("error"), hint.alias("hint"), fields.alias("fields"), F.array().cast("array<string>").alias("progress")))

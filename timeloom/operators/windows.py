@@ -111,10 +111,11 @@ def map_words(words: DataFrame, timeline: DataFrame) -> DataFrame:
 def map_times(points: DataFrame, timeline: DataFrame, at: str = "t_ms") -> DataFrame:
     """``points`` with ``out_ms``: where their time is on the output timeline, or null."""
     t = timeline.select("clip_id", F.col("seq").alias("t_seq"), "src_start_ms", "src_end_ms", "out_start_ms")
-    met = point_join(points, t, ["clip_id"], at, ("src_start_ms", "src_end_ms"), "left")
-    rank = F.row_number().over(Window.partitionBy("clip_id", at).orderBy("t_seq"))
-    met = met.withColumn("rank_", rank).filter("rank_ = 1")
-    return met.select(*points.columns, (F.col("out_start_ms") + F.col(at) - F.col("src_start_ms")).alias("out_ms"))
+    # distinct times are mapped and joined back: points of a clip at one time stay as many as they are
+    met = point_join(points.select("clip_id", at).distinct(), t, ["clip_id"], at, ("src_start_ms", "src_end_ms"))
+    out = F.col("out_start_ms") + F.col(at) - F.col("src_start_ms")
+    met = met.groupBy("clip_id", at).agg(F.min_by(out, "t_seq").alias("out_ms"))
+    return points.join(met, ["clip_id", at], "left").select(*points.columns, "out_ms")
 
 
 def map_cues(segments: DataFrame, timeline: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ SUPERCUT_SQL = f"""WITH RECURSIVE {CAND_SQL}, {SEG_SQL}, {TEXT_CTE}, {_PHRASES},
 {_budget(['source_id'], 'hits', '')} {_rolled(['source_id'], ', any_value(phrase) AS phrase')}"""
 
 
-def _all_spans(spark, sf):
+def _spans(spark, sf):
     """Members of a clip: all of each source's, best first, that lie in its words' time, with its label's trim."""
     c = A.candidates(spark, sf).withColumns({"start_ms": F.col("start_ms") % 60_000, "len_": F.least(F.col("end_ms") - F.col("start_ms"), F.lit(40_000))})
     c = c.withColumn("end_ms", F.col("start_ms") + F.col("len_"))
@@ -126,11 +126,6 @@ def _all_spans(spark, sf):
     return c.select(F.col("source_id").alias("clip_id"), "member", "start_ms", "end_ms", TL.drop_ms(F.col("trim")).cast("bigint").alias("drop_ms"), "pad_ms")
 
 
-def _spans(spark, sf):
-    """The three best members of a clip, as in the SQL; ``_all_spans`` has all."""
-    return _all_spans(spark, sf).filter("member < 3")
-
-
 def _met(spans, words):
     """Gaps between words, by the members that they touch."""
     s = TL.silences_of(words)
@@ -139,13 +134,13 @@ def _met(spans, words):
 
 
 def _silences(spark, sf):
-    """Gaps between words: one word in three is left out, two of five of those in a row."""
-    return _met(_spans(spark, sf), A.dense_words(spark, sf).filter("seq % 11 < 7"))
+    """Gaps between words."""
+    return _met(_spans(spark, sf), A.dense_words(spark, sf))
 
 
 _KEPT = f"""{CAND_SQL}, {WORDS_SQL}, {PARAMS_SQL}, sp AS (SELECT source_id AS clip_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, candidate_id) - 1 AS member, start_ms % 60000 AS start_ms,
-    start_ms % 60000 + least(end_ms - start_ms, 40000) AS end_ms, CASE trim WHEN 'very_tight' THEN 600 WHEN 'tight' THEN 800 WHEN 'medium' THEN 1100 ELSE 1800 END AS drop_ms, pad_ms FROM cand JOIN params ON l = label QUALIFY member < 3),
-gp AS (SELECT source_id, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ss, start_ms AS se FROM words WHERE seq % 11 < 7),
+    start_ms % 60000 + least(end_ms - start_ms, 40000) AS end_ms, CASE trim WHEN 'very_tight' THEN 600 WHEN 'tight' THEN 800 WHEN 'medium' THEN 1100 ELSE 1800 END AS drop_ms, pad_ms FROM cand JOIN params ON l = label),
+gp AS (SELECT source_id, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ss, start_ms AS se FROM words),
 sl AS (SELECT clip_id, member, ss, se FROM sp JOIN gp ON clip_id = source_id AND se > start_ms AND ss < end_ms WHERE se - ss >= 300),
 e1 AS (SELECT sp.*, coalesce((SELECT max(least(greatest(sp.start_ms, se - sp.pad_ms), sp.end_ms)) FROM sl WHERE sl.clip_id = sp.clip_id AND sl.member = sp.member AND ss <= sp.start_ms AND sp.start_ms < se), start_ms) AS a FROM sp),
 e2 AS (SELECT e1.*, coalesce((SELECT max(greatest(least(e1.end_ms, ss + e1.pad_ms), e1.a)) FROM sl WHERE sl.clip_id = e1.clip_id AND sl.member = e1.member AND ss < e1.end_ms AND e1.end_ms <= se), end_ms) AS b FROM e1),
@@ -181,20 +176,6 @@ TRIMMED_SQL = f"""WITH {_BUILT}, a AS (SELECT clip_id, CAST(sum(end_ms - start_m
 SELECT clip_id, raw_ms, kept_ms, CAST(greatest(raw_ms - kept_ms, 0) AS BIGINT) AS trimmed_ms FROM a JOIN b USING (clip_id)"""
 
 
-def keep_segments_all(spark, sf):
-    """All candidates of each source and all words. No SQL: that of ``keep_segments`` stops at three members."""
-    spans = _all_spans(spark, sf)
-    return TL.keep_segments(spans, _met(spans, A.dense_words(spark, sf)))
-
-
-def build_timeline_all(spark, sf):
-    return TL.build_timeline(keep_segments_all(spark, sf), 45_000)
-
-
-def trimmed_all(spark, sf):
-    return TL.trimmed(_all_spans(spark, sf), build_timeline_all(spark, sf))
-
-
 def _line_words(spark, sf):
     lines = S.caption_lines(A.dense_words(spark, sf), "dual_speaker").select("source_id", F.col("seq").alias("line"), "start_ms", "end_ms", "n_words", "text")
     words = A.dense_words(spark, sf).select("source_id", "seq", "w", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
@@ -248,6 +229,29 @@ def follow_chains(spark, sf):
     return e.select("clip_id", TL.follow_chain(F.lit(404), F.lit(720), F.col("expr")).alias("chain"))
 
 
+def fit_chains(spark, sf):
+    c = A.candidates(spark, sf).select("candidate_id")
+    pin = lambda k: F.concat(F.lit(f"[{k}"), F.col("candidate_id").cast("string"), F.lit("]"))
+    return c.select("candidate_id", TL.fit_chain(pin("v"), pin("f")).alias("chain"))
+
+
+FIT_CHAINS_SQL = f"""WITH {CAND_SQL} SELECT candidate_id, '[v' || candidate_id || ']split=2[fb_bg][fb_fg];[fb_bg]scale=270:480:force_original_aspect_ratio=increase,crop=270:480,gblur=sigma=8,scale=1080:1920,eq=brightness=-0.10,setsar=1[fb_bgb];'
+  || '[fb_fg]scale=1080:-2,setsar=1[fb_fgs];[fb_bgb][fb_fgs]overlay=(W-w)/2:(H-h)/2-140:format=auto,setsar=1,format=yuv420p[f' || candidate_id || ']' AS chain FROM cand"""
+
+
+def face_samples(spark, sf):
+    """Two boxes at each sample of a source that found something, and a second size for every third."""
+    s = A.samples(spark, sf).filter("x_pm is not null")
+    box = lambda dx, w, h: F.struct((F.col("x_pm") + dx).alias("left_pm"), F.lit(w).cast("bigint").alias("width_pm"), h.cast("bigint").alias("height_pm"))
+    boxes = s.select("clip_id", "t_ms", F.explode(F.array(box(0, 100, F.lit(200)), box(7, 120, F.when(F.col("x_pm") % 3 == 0, 10).otherwise(300)))).alias("b")).select("clip_id", "t_ms", "b.*")
+    return TL.face_samples(A.timeline(spark, sf), boxes)
+
+
+FACE_SQL = f"""WITH {A.SAMPLES_SQL}, {A.TIMELINE_SQL}, gr AS (SELECT clip_id, seq, unnest(range((src_end_ms - src_start_ms) * 2 // 1000 + 1)) AS i, src_start_ms, src_end_ms FROM tl),
+nb AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY seq, i) AS k FROM gr), g AS (SELECT clip_id, seq, least(src_start_ms + i * 500, src_end_ms) AS t_ms FROM nb WHERE k <= 240)
+SELECT g.clip_id, g.seq, g.t_ms, CASE WHEN x_pm % 3 = 0 THEN x_pm + 50 ELSE x_pm + 67 END AS x_pm FROM g LEFT JOIN (SELECT * FROM smp WHERE x_pm IS NOT NULL) s ON s.clip_id = g.clip_id AND s.t_ms = g.t_ms"""
+
+
 def envelopes(spark, sf):
     c = C.validate(A.raw_candidates(spark, sf), F.lit(A.TIMELINE_MS))
     ok = F.col("error_code").isNull()
@@ -258,9 +262,9 @@ ENVELOPES_SQL = VALIDATE_SQL[: VALIDATE_SQL.index("r AS (")] + f"""r AS (SELECT
 SELECT candidate_id, b[:-2] || ',"token_estimate":' || greatest(1, length(b) // 4) || '}}' AS result FROM b"""
 
 QUERIES = {
-    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, None), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL),
+    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, None), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL), "fit_chains": (fit_chains, FIT_CHAINS_SQL), "face_samples": (face_samples, FACE_SQL),
     "plan_auto": (plan_auto, AUTO_SQL), "plan_fused": (fused_plan, FUSED_PLAN_SQL), "plan_by_label": (plan_by_label, BY_LABEL_SQL), "plan_montage": (plan_montage, MONTAGE_SQL), "fit_budget": (fit_budget, FIT_BUDGET_SQL),
     "dominant_label": (dominant_label, DOMINANT_SQL), "plan_by_topic": (plan_by_topic, None), "top_phrases": (top_phrases, PHRASES_SQL), "plan_supercut": (plan_supercut, SUPERCUT_SQL),
     "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL),
-    "keep_segments_all": (keep_segments_all, None), "build_timeline_all": (build_timeline_all, None), "trimmed_seconds_all": (trimmed_all, None), "word_pop_events": (word_pop_events, WORD_POP_SQL), "cue_events": (cue_events, CUE_SQL),
+    "word_pop_events": (word_pop_events, WORD_POP_SQL), "cue_events": (cue_events, CUE_SQL),
 }

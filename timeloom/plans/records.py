@@ -156,6 +156,15 @@ u AS (SELECT *, CAST(least(sum(least(wanted, 20)) OVER (PARTITION BY source_id O
 SELECT source_id, seq, wanted, used - coalesce(lag(used) OVER (PARTITION BY source_id ORDER BY seq), 0) AS take, used FROM u"""
 
 
+def frame_times(spark, sf):
+    c = A.candidates(spark, sf)
+    return J.frame_times(J.frame_usage(c.select("source_id", F.col("candidate_id").alias("seq"), "start_ms", "end_ms", (F.col("candidate_id") * 71 % 5000).alias("fps_m"))))
+
+
+FRAME_TIMES_SQL = FRAMES_SQL[: FRAMES_SQL.rindex("SELECT source_id, seq, wanted")].replace("AS wanted FROM cand)", "AS wanted, start_ms, greatest(100, least(candidate_id * 71 % 5000, 4000)) AS rate FROM cand)") + """, t AS (SELECT *, used - coalesce(lag(used) OVER (PARTITION BY source_id ORDER BY seq), 0) AS take FROM u),
+e AS (SELECT *, unnest(range(take)) AS i FROM t) SELECT source_id, seq, i, CAST((start_ms * rate + i * 1000000 + 5 * rate) // (10 * rate) * 10 AS BIGINT) AS t_ms FROM e"""
+
+
 def list_library(spark, sf):
     projects = table(spark, sf, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("project"))
     return L.list_projects(projects, _sources(spark, sf), _clips(spark, sf), _exports(spark, sf))
@@ -329,7 +338,7 @@ SELECT clip_id, clip_id IN (SELECT clip_id FROM sp) AS has_spike, clip_id IN (SE
 QUERIES = {
     "queue_depth": (queue_depth, QUEUE_SQL), "live_jobs": (live_jobs, LIVE_SQL), "pending_fetch": (pending_fetch, PENDING_SQL), "latest_failure": (latest_failure, FAILURE_SQL), "claim_next": (claim_next, CLAIM_SQL),
     "reconcile": (reconcile, RECONCILE_SQL), "fail_jobs": (fail_jobs, FAIL_SQL), "job_view": (job_view, VIEW_SQL), "enqueue_renders": (enqueue_renders, ENQUEUE_SQL), "expired_sources": (expired_sources, EXPIRED_SQL),
-    "expired_exports": (expired_exports, EXPORTS_SQL), "frame_budget": (frame_budget, FRAMES_SQL), "list_library": (list_library, LIBRARY_SQL), "clip_members": (clip_members, MEMBERS_SQL), "library_index": (library_index, INDEX_SQL),
+    "expired_exports": (expired_exports, EXPORTS_SQL), "frame_budget": (frame_budget, FRAMES_SQL), "frame_times": (frame_times, FRAME_TIMES_SQL), "list_library": (list_library, LIBRARY_SQL), "clip_members": (clip_members, MEMBERS_SQL), "library_index": (library_index, INDEX_SQL),
     "source_by_url": (source_by_url, BY_URL_SQL), "clear_clips": (clear_clips, CLEAR_SQL), "append_unique": (append_unique, APPEND_SQL), "caption_langs": (caption_langs, LANGS_SQL), "size_estimate": (size_estimate, SIZE_SQL),
     "dimensions": (dimensions, DIMENSIONS_SQL), "publishable": (publishable, PUBLISHABLE_SQL), "manifest": (manifest, MANIFEST_SQL), "summary": (summary, SUMMARY_SQL), "gallery": (gallery, GALLERY_SQL),
     "folder_sizes": (folder_sizes, FOLDERS_SQL), "listing": (listing, LISTING_SQL), "returned_candidates": (returned_candidates, RETURNED_SQL), "two_cue_agreement": (two_cue_agreement, AGREEMENT_SQL),

@@ -92,34 +92,21 @@ SELECT event_id, CASE {" ".join(f"WHEN regexp_matches(log, '(?i){p}') THEN '{n}'
 
 
 def cold_open(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.first_word(F.col("text")).alias("first_word"), T.cold_open(F.col("text"), F.col("doc_id") * 977 % 20000).alias("warning"))
 
 
-COLD_OPEN_SQL = f"""WITH w AS (SELECT doc_id, regexp_replace(lower(string_split(trim(text), ' ')[1]), '[^a-z'']', '', 'g') AS first_word FROM documents WHERE lang = 'en')
+COLD_OPEN_SQL = f"""WITH w AS (SELECT doc_id, regexp_replace(lower(string_split(trim(text), ' ')[1]), '[^a-z'']', '', 'g') AS first_word FROM documents)
 SELECT doc_id, first_word, CASE WHEN first_word IN ({_PRON}) THEN 'reference' WHEN doc_id * 977 % 20000 < 8000 THEN 'intro' ELSE '' END AS warning FROM w"""
 
 
 def content_words(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'")
     w = F.array_sort(T.content_words(F.col("text")))
-    return d.select("doc_id", F.size(w).cast("bigint").alias("n"), F.array_join(F.slice(w, 1, 50), " ").alias("first_50"))
-
-
-CONTENT_WORDS_SQL = f"""WITH w AS (SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z'']{{3,}}')), lambda x: x NOT IN ({_WORDS}))) AS ws FROM documents WHERE lang = 'en')
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws[1:50], ' ') AS first_50 FROM w"""
-
-
-def cold_open_all(spark, sf):
-    """Documents of all languages. No SQL: that of ``cold_open`` reads English ones only."""
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", T.first_word(F.col("text")).alias("first_word"), T.cold_open(F.col("text"), F.col("doc_id") * 977 % 20000).alias("warning"))
+    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("bigint").alias("n"), F.array_join(w, " ").alias("words"))
 
 
-def content_words_all(spark, sf):
-    """All words of documents of all languages. No SQL: that of ``content_words`` stops at 50 words of English ones."""
-    w = F.array_sort(T.content_words(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("bigint").alias("n"), F.array_join(w, " ").alias("words"))
+CONTENT_WORDS_SQL = f"""WITH w AS (SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z'']{{3,}}')), lambda x: x NOT IN ({_WORDS}))) AS ws FROM documents)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws, ' ') AS words FROM w"""
 
 
 def label_params(spark, sf):
@@ -196,6 +183,28 @@ VALIDATE_SQL = f"""WITH {RAW_SQL}, r AS (SELECT candidate_id, start_ms, end_ms,
 SELECT candidate_id, {_ERROR} AS error_code, label, least(10.0::DOUBLE, greatest(0.0::DOUBLE, score)) AS score FROM r"""
 
 
+#: What stands in a submitted candidate instead of a good field, by ``k % 16``.
+_BAD = {1: ("'[1, 2]'", "not_object"), 2: ("'{\"start\": \"x\", \"end\": 5}'", "not_numeric"), 3: ("'{\"start\": 1}'", "not_numeric"), 4: ("'{\"start\": \"NaN\", \"end\": 5}'", "not_finite"), 5: ("'{\"start\": 5, \"end\": \"Infinity\"}'", "not_finite"),
+        6: ("'{broken'", "not_object"), 7: ("'{\"start\": 1, \"end\": 9, \"label\": \"quote\", \"score\": null}'", "bad_score"), 8: ("'{\"start\": 1, \"end\": 9, \"label\": \" Quote\\\\t\", \"score\": \"high\"}'", "bad_score"), 9: ("'{\"start\": 1, \"end\": 9, \"label\": \"joke\", \"cues\": [1]}'", "bad_cues")}
+
+
+def submitted_candidates(spark, sf):
+    """Candidates as JSON, some of them not as they should be."""
+    c = A.raw_candidates(spark, sf)
+    good = F.concat(F.lit('{"start": "'), (F.col("start_ms") / 1000).cast("string"), F.lit('", "end": '), (F.col("end_ms") / 1000).cast("string"), F.lit(', "label": " '), F.upper("label"), F.lit('", "score": '), F.col("score").cast("string"), F.lit(', "reason": " r\\t", "cues": {"text": true}}'))
+    raw = good
+    for k, (text, _) in _BAD.items():
+        raw = F.when(F.col("k") % 16 == k, F.expr(text)).otherwise(raw)
+    rows = C.validate(C.parse_candidates(c.select("candidate_id", raw.alias("raw"))), F.lit(A.TIMELINE_MS))
+    ok = F.col("error_code").isNull()
+    return rows.select("candidate_id", "error_code", *[F.when(ok, F.col(c)).alias(c) for c in ("start_ms", "end_ms", "label", "score", "reason")])
+
+
+SUBMITTED_SQL = f"""WITH {RAW_SQL}, r AS (SELECT *, CASE k % 16 {" ".join(f"WHEN {k} THEN '{code}'" for k, (_, code) in _BAD.items())} ELSE {_ERROR} END AS error_code FROM raw)
+SELECT candidate_id, error_code, CASE WHEN error_code IS NULL THEN start_ms END AS start_ms, CASE WHEN error_code IS NULL THEN end_ms END AS end_ms, CASE WHEN error_code IS NULL THEN label END AS label,
+  CASE WHEN error_code IS NULL THEN least(10.0::DOUBLE, greatest(0.0::DOUBLE, score)) END AS score, CASE WHEN error_code IS NULL THEN 'r' END AS reason FROM r"""
+
+
 def validate_batches(spark, sf):
     raw = A.raw_candidates(spark, sf).withColumn("batch", F.concat_ws("-", "source_id", F.expr("candidate_id % 3")))
     return C.validate_batches(C.validate(raw, F.lit(A.TIMELINE_MS)), "batch", "candidate_id")
@@ -218,7 +227,6 @@ SELECT source_id, string_agg(DISTINCT lower(w), ',' ORDER BY lower(w)) AS marker
 QUERIES = {
     "hhmmss": (hhmmss, HHMMSS_SQL), "caption_times": (caption_times, CAPTION_TIMES_SQL), "deep_links": (deep_links, DEEP_LINKS_SQL), "valid_urls": (valid_urls, VALID_URLS_SQL),
     "project_and_safe_names": (names, NAMES_SQL), "classify_errors": (classify_errors, CLASSIFY_SQL), "cold_open": (cold_open, COLD_OPEN_SQL), "content_words": (content_words, CONTENT_WORDS_SQL),
-    "cold_open_all": (cold_open_all, None), "content_words_all": (content_words_all, None),
     "label_params": (label_params, LABEL_PARAMS_SQL), "html_text": (html_text, HTML_SQL), "html_entities": (html_entities, None), "human_sizes": (human_sizes, HUMAN_SQL), "crop_dims": (crop_dims, CROP_SQL),
-    "iso_times": (iso_times, ISO_SQL), "validate_candidates": (validate_candidates, VALIDATE_SQL), "validate_batches": (validate_batches, BATCHES_SQL), "transcript_markers": (markers, MARKERS_SQL),
+    "iso_times": (iso_times, ISO_SQL), "validate_candidates": (validate_candidates, VALIDATE_SQL), "submitted_candidates": (submitted_candidates, SUBMITTED_SQL), "validate_batches": (validate_batches, BATCHES_SQL), "transcript_markers": (markers, MARKERS_SQL),
 }

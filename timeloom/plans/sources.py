@@ -38,9 +38,9 @@ def _vtt(spark, sf, inline: bool):
     cue = _turns(spark, sf).groupBy("source_id", "e").agg(F.min("start_ms").alias("t0"), F.max("end_ms").alias("t1"), words.alias("ws"))
     if inline:
         body = F.array_join(F.transform("ws", lambda x, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("<"), _stamp(x["start_ms"]), F.lit("><c> "))), x["w"], F.when(i == 0, F.lit("")).otherwise(F.lit("</c>")))), "")
-        body = F.concat(F.lit("carry over\n"), body, F.when(F.size("ws") == 1, F.concat(F.lit("<"), _stamp(F.col("t0")), F.lit(">"))).otherwise(F.lit("")))
+        body = F.concat(F.lit("carry over &copy;\n"), body, F.when(F.size("ws") == 1, F.concat(F.lit("<"), _stamp(F.col("t0")), F.lit(">"))).otherwise(F.lit("")))
     else:
-        body = F.concat(F.lit("<i>a &amp; b</i> "), F.array_join(F.transform("ws", lambda x: x["w"]), "\n"))
+        body = F.concat(F.lit("<i>a &amp; b</i> caf&eacute;&#8217;s&nbsp;&hellip; "), F.array_join(F.transform("ws", lambda x: x["w"]), "\n"))
     text = F.concat(F.when(F.col("e") % 2 == 0, F.lit("\n")).otherwise(F.concat(F.col("e").cast("string"), F.lit("\n"))), _stamp(F.col("t0")), F.lit(" --> "), _stamp(F.col("t1")), F.lit(" align:start\n"), body, F.lit("\n"))
     rows = cue.select("source_id", "e", text.alias("x")).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e", "x"))), lambda x: x["x"]), "").alias("t"))
     return C.vtt_cues(rows.select("source_id", F.concat(F.lit("WEBVTT\nKind: captions\n"), "t").alias("raw")))
@@ -50,7 +50,7 @@ def vtt_segments(spark, sf):
     return C.vtt_segments(_vtt(spark, sf, False)).select("source_id", "start_ms", "end_ms", "text")
 
 
-VTT_SQL = f"""WITH {WORDS_SQL} SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, 'a & b ' || string_agg(w, ' ' ORDER BY seq) AS text FROM words GROUP BY source_id, seq // 12"""
+VTT_SQL = f"""WITH {WORDS_SQL} SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, 'a & b café’s … ' || string_agg(w, ' ' ORDER BY seq) AS text FROM words GROUP BY source_id, seq // 12"""
 
 
 def vtt_words(spark, sf):

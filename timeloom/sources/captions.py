@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_unescape
+from ..functions.text import html_unescape_all, strip
 from ..operators.sequence import dedup_segments, dedup_words, group_words
 
 JSON3 = "struct<events: array<struct<tStartMs: bigint, dDurationMs: bigint, segs: array<struct<utf8: string, tOffsetMs: bigint>>>>>"
@@ -60,12 +60,19 @@ def vtt_cues(files: DataFrame) -> DataFrame:
     return cues.select("source_id", "cue", at(1).alias("start_ms"), at(2).alias("end_ms"), F.col("l_").alias("body"))
 
 
-def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(html_unescape(F.regexp_replace(text, TAG, "")), "\\s+", " "))
+#: Stands between the pieces of a cue while its entities are resolved, all in one call; what is like it in a text is white space.
+_BETWEEN = "\x1e"
+
+
+def _plain(pieces: Column) -> Column:
+    """Pieces of a cue without tags, entities and runs of white space."""
+    bare = F.transform(pieces, lambda x: F.regexp_replace(F.translate(x, _BETWEEN, " "), TAG, ""))
+    whole = html_unescape_all(F.array_join(bare, _BETWEEN))
+    return F.transform(F.split(whole, _BETWEEN), lambda x: strip(F.regexp_replace(x, "[\\s\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", " ")))
 
 
 def vtt_segments(cues: DataFrame) -> DataFrame:
-    rows = cues.select("source_id", F.col("cue").alias("seq"), "start_ms", "end_ms", _plain(F.array_join("body", "\n")).alias("text")).filter("text <> ''")
+    rows = cues.select("source_id", F.col("cue").alias("seq"), "start_ms", "end_ms", F.get(_plain(F.array(F.array_join("body", "\n"))), F.lit(0)).alias("text")).filter("text <> ''")
     return dedup_segments(rows)
 
 
@@ -74,7 +81,8 @@ def vtt_words(cues: DataFrame) -> DataFrame:
     timed = F.array_join(F.filter("body", lambda x: x.rlike(f"<{STAMP}>")), "\n")
     rows = cues.withColumn("t_", timed).filter("t_ <> ''")
     rows = rows.withColumns({"p_": F.split("t_", f"<{STAMP}>"), "s_": F.regexp_extract_all("t_", F.lit(f"<({STAMP})>"), F.lit(1))})
-    chunks = F.transform("p_", lambda x, i: F.struct(F.when(i == 0, F.col("start_ms")).otherwise(_ms(F.get("s_", i - 1))).alias("s"), _plain(x).alias("x")))
+    rows = rows.withColumn("p_", _plain(F.col("p_")))
+    chunks = F.transform("p_", lambda x, i: F.struct(F.when(i == 0, F.col("start_ms")).otherwise(_ms(F.get("s_", i - 1))).alias("s"), x.alias("x")))
     rows = rows.withColumn("c_", F.filter(chunks, lambda c: c["x"] != ""))
     ends = F.transform("c_", lambda c, i: F.struct(c["s"].alias("s"), F.greatest(F.coalesce(F.get("c_", i + 1)["s"], F.col("end_ms")) - c["s"], F.lit(120)).alias("d"), F.split(c["x"], " ").alias("ws")))
     each = rows.select("source_id", "cue", F.posexplode(ends).alias("i_", "c")).select("source_id", "cue", "i_", F.col("c.s").alias("s"), F.col("c.d").alias("d"), F.size("c.ws").alias("n"), F.posexplode("c.ws").alias("j", "w"))
