@@ -118,3 +118,17 @@ def test_every_entity_of_cues_is_resolved(spark):
     words = [(r.w, r.start_ms) for r in C.vtt_words(cues).orderBy("start_ms").collect()]
     assert words == [("café", 1000), ("isn’t", 2000), ("<b>", 2250), ("&amp;", 2500), ("♥", 2750)]
     assert [r.text for r in C.vtt_segments(cues).orderBy("start_ms").collect()] == ["café isn’t <b> &amp; ♥", "plain © A"]
+
+
+def test_json_and_yaml_records(spark, tmp_path):
+    schema = "title string, n long, parts array<string>"
+    assert K.load_yaml(spark, str(tmp_path / "none"), schema).count() == 0 and K.load_json(spark, str(tmp_path / "none"), schema).count() == 0
+    (tmp_path / "r" / "a").mkdir(parents=True)
+    for name, text in {"a/x.yaml": "title: one\nn: 3\nparts:\n- p\n- q\n", "y.yml": "", "z.json": '{"title": "two",\n "n": 4}', "bad.json": "{no", "a/n.json": "null"}.items():
+        (tmp_path / "r" / name).write_text(text)
+    got = [(r.title, r.n, r.parts) for r in K.load_yaml(spark, str(tmp_path / "r"), schema).collect()]
+    assert got == [("one", 3, ["p", "q"])]
+    assert [(r.title, r.n, r.parts) for r in K.load_json(spark, str(tmp_path / "r"), schema).collect()] == [("two", 4, None)]
+    (tmp_path / "r" / "broken.yaml").write_text("a: [1")
+    with pytest.raises(Exception, match="malformed YAML in .*broken.yaml"):
+        K.load_yaml(spark, str(tmp_path / "r"), schema).collect()

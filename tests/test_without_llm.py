@@ -16,6 +16,16 @@ def test_entry_imports_without_it(tmp_path):
     assert out.returncode == 0, out.stderr
 
 
+def test_the_rest_passes_without_it(tmp_path):
+    """Tests of the library proper, in a copy without both folders and the pipeline."""
+    for folder in ("timeloom", "tests"):
+        shutil.copytree(f"{ROOT}/{folder}", tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    names = ["tests/test_entry.py", "tests/test_sources.py", "tests/test_streaming.py"]
+    out = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", *names], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False)
+    assert out.returncode == 0, out.stdout[-2000:]
+
+
 def test_nothing_else_imports_it():
     for folder, _, names in os.walk(f"{ROOT}/timeloom"):
         if "/llm" in folder:

@@ -90,6 +90,26 @@ def expired_exports(exports: DataFrame, now_ms: int) -> DataFrame:
     return exports.filter(F.col("created_ms") + F.col("ttl_hours") * 3_600_000 < now_ms)
 
 
+def live_clients(clients: DataFrame, now_ms: int, ttl_ms: int, most: int = 256) -> DataFrame:
+    """Clients (client_id, created_ms, is_static) that are kept: the static ones, and of the others that are within their age the
+    newest, ``most`` with the static ones. Of equal times the larger id is the newer."""
+    fresh = clients.filter(~F.col("is_static") & (now_ms - F.col("created_ms") <= ttl_ms))
+    static = clients.filter("is_static")
+    room = F.broadcast(static.agg(F.greatest(F.lit(0), most - F.count("*")).alias("room_")))
+    newest = fresh.orderBy(F.desc("created_ms"), F.desc("client_id")).limit(most)
+    # at most ``most`` rows are numbered
+    newest = newest.withColumn("r_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("created_ms"), F.desc("client_id"))))
+    return static.unionByName(newest.join(room, F.col("r_") <= F.col("room_")).select(*clients.columns))
+
+
+def first_answer(attempts: DataFrame) -> DataFrame:
+    """Of each source's attempts (source_id, attempt, answer, n_found) the first that found something, else the last: (source_id, attempt, answer, n_found)."""
+    found = F.coalesce(F.col("n_found") > 0, F.lit(False))
+    best = F.struct("attempt", "answer", "n_found")
+    picked = attempts.groupBy("source_id").agg(F.min_by(F.when(found, best), F.when(found, F.col("attempt"))).alias("a"), F.max_by(best, "attempt").alias("b"))
+    return picked.select("source_id", F.coalesce("a", "b").alias("x")).select("source_id", "x.*")
+
+
 def disk_needed(estimated: Column) -> Column:
     """Bytes that a download needs: twice the estimate, and 300 MiB."""
     return (2 * estimated + 300 * 1024 * 1024).cast("bigint")

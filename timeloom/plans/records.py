@@ -8,8 +8,11 @@ from ..functions import text as T
 from ..operators import jobs as J
 from ..operators import library as L
 from ..operators import sequence as S
+from ..sources import sinks as K
+from ..streaming.stateful import TRANSITIONS, job_transitions
 from . import adapter as A
 from .adapter import CAND_SQL, table
+from .scratch import scratch
 from .sequences import _LOUD
 
 NOW = 1_900_000_000_000
@@ -335,7 +338,73 @@ AGREEMENT_SQL = f"""WITH {_LOUD}, ru AS (SELECT *, row_number() OVER (PARTITION
 sp AS (SELECT clip_id FROM ru WHERE is_loud GROUP BY clip_id, g HAVING max(t_ms) - min(t_ms) >= 500), k AS (SELECT DISTINCT clip_id FROM smp)
 SELECT clip_id, clip_id IN (SELECT clip_id FROM sp) AS has_spike, clip_id IN (SELECT clip_id FROM smp WHERE x_pm % 40 = 0) AS has_marker, clip_id IN (SELECT clip_id FROM sp) AND clip_id IN (SELECT clip_id FROM smp WHERE x_pm % 40 = 0) AS two_cues FROM k"""
 
+def live_clients(spark, sf):
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return J.live_clients(c.select(k.alias("client_id"), (k * 7919 % 100_003).alias("created_ms"), (k % 601 == 0).alias("is_static")), 100_003, 90_000)
+
+
+CLIENTS_SQL = """WITH c AS (SELECT c_custkey AS client_id, c_custkey * 7919 % 100003 AS created_ms, c_custkey % 601 = 0 AS is_static FROM customer)
+SELECT * FROM c WHERE is_static UNION ALL SELECT client_id, created_ms, is_static FROM (SELECT *, row_number() OVER (ORDER BY created_ms DESC, client_id DESC) AS r FROM c WHERE NOT is_static AND 100003 - created_ms <= 90000)
+WHERE r <= greatest(0, 256 - (SELECT count(*) FROM c WHERE is_static))"""
+
+
+def first_answer(spark, sf):
+    e = A.raw_candidates(spark, sf).select("source_id", F.col("candidate_id").alias("attempt"), F.col("reason").alias("answer"), (F.col("k") % 4 - 2).alias("n_found"))
+    return J.first_answer(e)
+
+
+ANSWER_SQL = f"""WITH {A.RAW_SQL}, a AS (SELECT source_id, candidate_id AS attempt, reason AS answer, k % 4 - 2 AS n_found FROM raw),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n_found <= 0, CASE WHEN n_found > 0 THEN attempt ELSE -attempt END) AS n FROM a) SELECT source_id, attempt, answer, n_found FROM r WHERE n = 1"""
+
+
+def saved_records(spark, sf):
+    """Candidates saved by label, one label replaced by a second save, and all read back."""
+    c = A.candidates(spark, sf).select("candidate_id", "score", "label")
+    path = scratch(spark, "records")
+    K.save_records(c, path, ["label"])
+    K.save_records(c.filter("label = 'story'").withColumn("score", F.col("score") + 100), path, ["label"])
+    return K.load_records(spark, path, "candidate_id long, score double, label string")
+
+
+SAVED_SQL = f"WITH {CAND_SQL} SELECT candidate_id, score + CASE WHEN label = 'story' THEN 100 ELSE 0 END AS score, label FROM cand"
+
+
+def receipts_tail(spark, sf):
+    """Receipts appended twice; the last fifty are the feature."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", k * 37 % 1_000_003, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+    rows = o.select(at.alias("ts"), F.concat(F.lit("t"), k.cast("string")).alias("tool"), F.lit("{}").alias("args"), F.when(k % 2 == 0, "ok").otherwise("failed").alias("result"), F.lit("").alias("backup"))
+    path = scratch(spark, "receipts")
+    for part in (0, 1):
+        K.append_receipts(rows.filter(k % 2 == part), path)
+    return K.read_receipts(spark, path).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "tool", "result")
+
+
+RECEIPTS_SQL = """SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(o_orderkey * 37 % 1000003 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS at, 't' || o_orderkey AS tool, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS result FROM orders ORDER BY at DESC, tool LIMIT 50"""
+
+
+def job_stream(spark, sf):
+    """Three kinds of job histories as a stream, its transitions written by the stream and read back."""
+    path = scratch(spark, "stream")
+    schema = table(spark, sf, "customer").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
+    k = F.col("c_custkey")
+    told = lambda *x: F.array(*map(F.lit, x))
+    steps = F.when(k % 3 == 0, told("queued", "running", "done", "running")).when(k % 3 == 1, told("running", "queued", "failed")).otherwise(told("queued", "done"))
+    events = stream.select(k.cast("bigint").alias("job_id"), F.posexplode(steps).alias("i", "status")).select("job_id", "status", F.timestamp_seconds("i").alias("ts"))
+    run = job_transitions(events).writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    run.awaitTermination()
+    return spark.read.schema(TRANSITIONS).parquet(path).select("job_id", "old", "new", "accepted")
+
+
+STREAM_SQL = """WITH m(kind, old, new, accepted) AS (VALUES (0, '', 'queued', true), (0, 'queued', 'running', true), (0, 'running', 'done', true), (0, 'done', 'running', false),
+  (1, '', 'running', false), (1, '', 'queued', true), (1, 'queued', 'failed', true), (2, '', 'queued', true), (2, 'queued', 'done', false))
+SELECT CAST(c_custkey AS BIGINT) AS job_id, old, new, accepted FROM customer JOIN m ON kind = c_custkey % 3"""
+
 QUERIES = {
+    "live_clients": (live_clients, CLIENTS_SQL), "first_answer": (first_answer, ANSWER_SQL), "saved_records": (saved_records, SAVED_SQL), "receipts_tail": (receipts_tail, RECEIPTS_SQL), "job_stream": (job_stream, STREAM_SQL),
     "queue_depth": (queue_depth, QUEUE_SQL), "live_jobs": (live_jobs, LIVE_SQL), "pending_fetch": (pending_fetch, PENDING_SQL), "latest_failure": (latest_failure, FAILURE_SQL), "claim_next": (claim_next, CLAIM_SQL),
     "reconcile": (reconcile, RECONCILE_SQL), "fail_jobs": (fail_jobs, FAIL_SQL), "job_view": (job_view, VIEW_SQL), "enqueue_renders": (enqueue_renders, ENQUEUE_SQL), "expired_sources": (expired_sources, EXPIRED_SQL),
     "expired_exports": (expired_exports, EXPORTS_SQL), "frame_budget": (frame_budget, FRAMES_SQL), "frame_times": (frame_times, FRAME_TIMES_SQL), "list_library": (list_library, LIBRARY_SQL), "clip_members": (clip_members, MEMBERS_SQL), "library_index": (library_index, INDEX_SQL),
