@@ -379,10 +379,10 @@ def receipts_tail(spark, sf):
     path = scratch(spark, "receipts")
     for part in (0, 1):
         K.append_receipts(rows.filter(k % 2 == part), path)
-    return K.read_receipts(spark, path).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "tool", "result")
+    return K.read_receipts(spark, path).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("told_at"), "tool", "result")
 
 
-RECEIPTS_SQL = """SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(o_orderkey * 37 % 1000003 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS at, 't' || o_orderkey AS tool, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS result FROM orders ORDER BY at DESC, tool LIMIT 50"""
+RECEIPTS_SQL = """SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(o_orderkey * 37 % 1000003 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS told_at, 't' || o_orderkey AS tool, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS result FROM orders ORDER BY told_at DESC, tool LIMIT 50"""
 
 
 def job_stream(spark, sf):
