@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Knobs:
-    """Call-time settings; ``constrained()`` gives those of small machines."""
+    """Call-time settings; ``constrained()`` gives those of small machines. The defaults are fixed values."""
 
     window_ms: int = 600_000
     overlap_ms: int = 120_000
