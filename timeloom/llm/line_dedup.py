@@ -102,9 +102,9 @@ def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         same = F.col("ld_id").eqNullSafe(F.col("ld_doc"))
         if drops.count() > BROADCAST_IDS:
             return w.result(whole(rows.join(drops, same, "left")), drops)
-        # texts without shared lines stay where they are
+        # texts without shared lines stay where they are; lists of lines are never broadcast, however few, as they grow with the input
         ids = F.broadcast(drops.select("ld_doc"))
-        some = rows.join(ids, same, "left_semi").join(drops, same)
+        some = rows.join(ids, same, "left_semi").join(drops.hint("merge"), same)
         none = rows.join(ids, same, "left_anti").withColumn("ld_drops", F.array().cast("array<binary>"))
         return w.result(whole(some).unionByName(whole(none)), drops)
 
