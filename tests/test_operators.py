@@ -210,3 +210,48 @@ def test_submitted_candidates(spark):
     rows = CD.validate(CD.parse_candidates(spark.createDataFrame(list(enumerate(raws)), "i long, raw string")), F.lit(60_000)).orderBy("i").collect()
     assert [r.error_code for r in rows] == [None, None, None, "bad_cues", None, "bad_score", "not_object", "not_object", "not_numeric", "not_finite"]
     assert [(r.start_ms, r.end_ms, r.label, r.score) for r in rows[:2]] == [(1000, 9500, "quote", 5.0), (1000, 9500, "quote", 1.0)] and rows[4].score == 7.0
+
+
+def test_folds_over_many_chunks(spark):
+    rows = [(1, i, 100 * i, 100 * i + 90, rnd) for i, rnd in enumerate(random.Random(3).choices("abc", k=1000))]
+    words = spark.createDataFrame(rows, "source_id long, seq long, start_ms long, end_ms long, w string")
+    from timeloom.operators import sequence as S
+
+    want = [r for i, r in enumerate(rows)]
+    last, kept = None, []
+    for r in want:
+        if last is None or last[4] != r[4] or r[2] - last[2] >= 250:
+            last = r
+            kept.append(r[1])
+    assert [r.seq for r in S.dedup_words(words, 250).orderBy("seq").collect()] == kept and len(kept) > 200
+    smooth = [(1, 1, 500 * i, float(rnd)) for i, rnd in enumerate(random.Random(4).choices(range(1000), k=300))]
+    x, t, out = smooth[0][3], 0, []
+    for _, _, t_ms, to in smooth:
+        most = 90.0 * max(t_ms - t, 1) / 1000.0 if out else 0.0
+        x, t = x + max(-most, min(to - x, most)), t_ms
+        out.append((t_ms, x))
+    got = [(r.t_ms, r.x) for r in S.pan_capped(spark.createDataFrame(smooth, "clip_id long, shot long, t_ms long, smooth double")).orderBy("t_ms").collect()]
+    assert [t for t, _ in got] == [t for t, _ in out] and [x for _, x in got] == pytest.approx([x for _, x in out])
+
+
+def test_budgets_of_many_equal_lengths(spark):
+    from timeloom.operators import sequence as S
+
+    rnd = random.Random(5)
+    rows = [(k, i, s, s + rnd.choice([5_000, 7_000, 7_001, 20_000, 61_000, 59_000]), "quote", rnd.choice([None, 1.0, 2.0, 3.0]) if k == 2 else float(rnd.randrange(9)), "r") for k in (1, 2, 3) for i, s in enumerate(rnd.choices(range(9), k=300))]
+    want = set()
+    for k in (1, 2, 3):
+        total = 0
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[5] is not None, -(r[5] or 0.0), r[2], r[3], r[1])):
+            if total + r[3] - r[2] <= 60_000:
+                total += r[3] - r[2]
+                want.add((k, r[1]))
+    for least in (1, 5_000):
+        assert {(r.source_id, r.candidate_id) for r in S.budgeted(cands(spark, rows), ["source_id"], 60_000, least).collect()} == want
+
+
+def test_topics_of_several_sources_in_one_task(spark):
+    rows = [(s, i, i, i + 9, "quote", 1.0, "", t) for s in (None, 1, 2) for i, t in enumerate(["alpha beta", "gamma delta", "alpha beta", None])]
+    got = {(r.source_id, r.candidate_id): r.topic for r in P.topics(cands(spark, rows, ", text string")).collect()}
+    assert got == {(s, i): t for s in (None, 1, 2) for i, t in enumerate([0, 1, 0, 2])}
+    assert P.topics(cands(spark, [], ", text string")).collect() == []

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Kept rows that are appended to before a chunk is closed, so that a fold does not copy all it has kept at every step.
+CHUNK = 64
+
+
+def appended(acc: str, row: str) -> str:
+    """The fields ``done`` (full chunks) and ``cur`` of an accumulator, with ``row`` after the rows of ``acc``."""
+    room = f"size({acc}.cur) < {CHUNK}"
+    return f"'done', IF({room}, {acc}.done, concat({acc}.done, array({acc}.cur))), 'cur', IF({room}, concat({acc}.cur, array({row})), array({row}))"
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, before: Column | None = None) -> DataFrame:
     """``df`` with ``island``, which grows by one where ``breaks`` holds for a row.
 
@@ -25,7 +35,7 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, be
 def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], first: str, joins: str, merged: str) -> DataFrame:
     """Folds the rows of each key in order, in expressions over ``p``, the last kept row, and ``x``, the next one.
 
-    ``first`` makes a kept row of ``x``; where ``joins`` holds, ``p`` becomes ``merged``, else ``p`` is done and ``x`` is the
+    Kept rows are held in chunks of ``CHUNK``. ``first`` makes a kept row of ``x``; where ``joins`` holds, ``p`` becomes ``merged``, else ``p`` is done and ``x`` is the
     next. Returns the keys and the kept rows' fields. ``order`` must be total, for equal results at every run.
     """
     rest = [c for c in fields if c not in order]
@@ -34,10 +44,10 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], fi
     rows = rows.withColumn("rows_", F.expr(f"array_sort(rows_, (a, b) -> CASE {by} ELSE 0 END)"))
     start = first.replace("x.", "rows_[0].")
     kind = rows.select(F.expr(start).alias("s")).schema["s"].dataType.simpleString()
-    step = f"CASE WHEN {_of(joins)} THEN named_struct('done', acc.done, 'p', {_of(merged)}) ELSE named_struct('done', concat(acc.done, array(acc.p)), 'p', {first}) END"
+    step = f"CASE WHEN {_of(joins)} THEN named_struct('done', acc.done, 'cur', acc.cur, 'p', {_of(merged)}) ELSE named_struct({appended('acc', 'acc.p')}, 'p', {first}) END"
     folded = F.expr(
-        f"aggregate(slice(rows_, 2, size(rows_)), named_struct('done', CAST(array() AS array<{kind}>), 'p', CAST({start} AS {kind})), "
-        f"(acc, x) -> CAST({step} AS struct<done:array<{kind}>,p:{kind}>), acc -> concat(acc.done, array(acc.p)))"
+        f"aggregate(slice(rows_, 2, size(rows_)), named_struct('done', CAST(array() AS array<array<{kind}>>), 'cur', CAST(array() AS array<{kind}>), 'p', CAST({start} AS {kind})), "
+        f"(acc, x) -> CAST({step} AS struct<done:array<array<{kind}>>,cur:array<{kind}>,p:{kind}>), acc -> concat(flatten(acc.done), acc.cur, array(acc.p)))"
     )
     return rows.select(*keys, F.explode(folded).alias("p_")).select(*keys, "p_.*")
 

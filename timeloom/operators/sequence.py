@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_WORDS_PER_LINE, WORDS_PER_LINE
-from .folds import fold, islands
+from .folds import appended, fold, islands
 
 _ORDER = ["start_ms", "end_ms", "seq"]
 
@@ -69,11 +69,12 @@ def moving_average(shot_rows: DataFrame, column: str = "x_pm", side: int = 2) ->
 def pan_capped(smoothed: DataFrame, per_s: float = 90.0) -> DataFrame:
     """``x``: the smoothed target, approached by at most ``per_s`` a second from the last output; a recurrence within each shot."""
     rows = smoothed.groupBy("clip_id", "shot").agg(F.array_sort(F.collect_list(F.struct("t_ms", "smooth"))).alias("rows_"))
-    limit = f"({per_s}D * greatest(s.t_ms - acc.t_ms, 1L) / 1000D)"
-    step = f"acc.x + greatest(-{limit}, least(s.smooth - acc.x, {limit}))"
+    limit = f"({per_s}D * greatest(s.t_ms - acc.p.t_ms, 1L) / 1000D)"
+    step = f"named_struct('t_ms', s.t_ms, 'x', acc.p.x + greatest(-{limit}, least(s.smooth - acc.p.x, {limit})))"
+    kind = "struct<t_ms:bigint,x:double>"
     scan = F.expr(
-        "aggregate(slice(rows_, 2, size(rows_)), named_struct('t_ms', rows_[0].t_ms, 'x', rows_[0].smooth, 'out', array(named_struct('t_ms', rows_[0].t_ms, 'x', rows_[0].smooth))), "
-        f"(acc, s) -> named_struct('t_ms', s.t_ms, 'x', {step}, 'out', concat(acc.out, array(named_struct('t_ms', s.t_ms, 'x', {step})))), acc -> acc.out)"
+        f"aggregate(slice(rows_, 2, size(rows_)), named_struct('done', CAST(array() AS array<array<{kind}>>), 'cur', CAST(array() AS array<{kind}>), 'p', CAST(named_struct('t_ms', rows_[0].t_ms, 'x', rows_[0].smooth) AS {kind})), "
+        f"(acc, s) -> CAST(named_struct({appended('acc', 'acc.p')}, 'p', {step}) AS struct<done:array<array<{kind}>>,cur:array<{kind}>,p:{kind}>), acc -> concat(flatten(acc.done), acc.cur, array(acc.p)))"
     )
     return rows.select("clip_id", "shot", F.explode(scan).alias("o")).select("clip_id", "shot", "o.*")
 
@@ -184,14 +185,20 @@ def enable_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("clip_id").agg(F.array_join(ordered, "+").alias("expr"))
 
 
-def budgeted(df: DataFrame, keys: list[str], max_ms: int) -> DataFrame:
+def budgeted(df: DataFrame, keys: list[str], max_ms: int, min_ms: int = 1) -> DataFrame:
     """Greedy choice by score: each that still fits is taken, others are skipped; the rows that were chosen.
 
-    Ties go by (start, end, id). What a key has chosen is bounded by ``max_ms`` over the shortest length.
+    Ties go by (start, end, id). ``min_ms``: no row is shorter. Where a row is taken, all better ones of its very length were
+    taken too, as they met no larger total; so of each length only the best ``max_ms / length`` of a key can matter. The others
+    go before the shuffle, and what is collected of a key is at most ``max_ms * ln(max_ms / min_ms)`` rows, however many it has.
     """
     order = ["start_ms", "end_ms", "candidate_id"]
+    length = F.col("end_ms") - F.col("start_ms")
+    best = Window.partitionBy(*keys, "len_").orderBy((-F.col("score")).asc(), *order)
+    df_ = df.filter(length <= max_ms).withColumn("len_", length).withColumn("rank_", F.row_number().over(best))
+    few = df_.filter((F.col("rank_") <= max_ms // max(1, min_ms)) & (F.col("rank_") * F.col("len_") <= max_ms))
     rest = [c for c in df.columns if c not in (*keys, *order)]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o_"), *order, *rest))).alias("rows_"))
+    rows = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o_"), *order, *rest))).alias("rows_"))
     kind = rows.schema["rows_"].dataType.simpleString()
     length = "(x.end_ms - x.start_ms)"
     chosen = F.expr(

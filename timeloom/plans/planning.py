@@ -218,10 +218,22 @@ fl AS (SELECT source_id, '{_HEAD}' || string_agg(d, '' ORDER BY line, i) AS c FR
 
 
 def join_graphs(spark, sf):
-    """Media graphs as text; rows only."""
+    """Media graphs as text."""
     return TL.join_graph(build_timeline(spark, sf))
 
 
+JOIN_GRAPHS_SQL = f"""WITH {_BUILT}, jr AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY member, seq) - 1 AS i, dense_rank() OVER (PARTITION BY clip_id ORDER BY member) - 1 AS m FROM tline),
+jp AS (SELECT clip_id, count(*) AS n_inputs, string_agg('[' || i || ':v]settb=1/{TL.OUT_FPS},fps={TL.OUT_FPS}[v' || i || '];[' || i || ':a]asettb=1/{TL.AUDIO_RATE}[a' || i || ']', ';' ORDER BY i) AS pins FROM jr GROUP BY clip_id),
+jc AS (SELECT clip_id, m, count(*) AS n, min(i) AS one, sum(src_end_ms - src_start_ms) AS len, string_agg('[v' || i || '][a' || i || ']', '' ORDER BY i) AS chain FROM jr GROUP BY clip_id, m),
+ja AS (SELECT *, CAST(greatest(sum(len) OVER (PARTITION BY clip_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 150 * m, 0) AS BIGINT) AS off,
+  CASE WHEN n > 1 THEN chain || 'concat=n=' || n || ':v=1:a=1[cv' || m || '][ca' || m || '];[cv' || m || ']' ELSE '[v' || one || ']' END || 'settb=1/{TL.OUT_FPS},format=yuv420p,setsar=1[mv' || m || '];'
+    || CASE WHEN n > 1 THEN '[ca' || m || ']' ELSE '[a' || one || ']' END || 'asettb=1/{TL.AUDIO_RATE}[ma' || m || ']' AS part FROM jc),
+jx AS (SELECT *, CASE WHEN m = 1 THEN '[mv0]' ELSE '[vx' || (m - 1) || ']' END || '[mv' || m || ']xfade=transition=fade:duration=0.15:offset=' || (off // 1000) || '.' || lpad(CAST(off % 1000 AS VARCHAR), 3, '0') || '[vx' || m || '];'
+    || CASE WHEN m = 1 THEN '[ma0]' ELSE '[ax' || (m - 1) || ']' END || '[ma' || m || ']acrossfade=d=0.15[ax' || m || ']' AS fade FROM ja),
+jm AS (SELECT clip_id, count(*) AS n_members, string_agg(part, ';' ORDER BY m) AS parts, string_agg(fade, ';' ORDER BY m) FILTER (WHERE m > 0) AS fades FROM jx GROUP BY clip_id)
+SELECT clip_id, n_inputs, n_members, pins || ';' || parts || coalesce(';' || fades, '') AS graph FROM jp JOIN jm USING (clip_id)"""
+
+
 def follow_chains(spark, sf):
     from .sequences import crop_expr
 
@@ -262,7 +274,7 @@ ENVELOPES_SQL = VALIDATE_SQL[: VALIDATE_SQL.index("r AS (")] + f"""r AS (SELECT
 SELECT candidate_id, b[:-2] || ',"token_estimate":' || greatest(1, length(b) // 4) || '}}' AS result FROM b"""
 
 QUERIES = {
-    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, None), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL), "fit_chains": (fit_chains, FIT_CHAINS_SQL), "face_samples": (face_samples, FACE_SQL),
+    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, JOIN_GRAPHS_SQL), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL), "fit_chains": (fit_chains, FIT_CHAINS_SQL), "face_samples": (face_samples, FACE_SQL),
     "plan_auto": (plan_auto, AUTO_SQL), "plan_fused": (fused_plan, FUSED_PLAN_SQL), "plan_by_label": (plan_by_label, BY_LABEL_SQL), "plan_montage": (plan_montage, MONTAGE_SQL), "fit_budget": (fit_budget, FIT_BUDGET_SQL),
     "dominant_label": (dominant_label, DOMINANT_SQL), "plan_by_topic": (plan_by_topic, None), "top_phrases": (top_phrases, PHRASES_SQL), "plan_supercut": (plan_supercut, SUPERCUT_SQL),
     "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL),

@@ -14,15 +14,18 @@ def _turns(spark, sf):
     return A.dense_words(spark, sf).withColumn("e", F.expr("seq div 12"))
 
 
-def json3_words(spark, sf):
+def _json3(spark, sf):
     """Events of twelve words each, with a window event and a blank segment."""
     w = F.transform(F.array_sort(F.collect_list(F.struct("seq", "w", "start_ms"))), lambda x: x)
     ev = _turns(spark, sf).groupBy("source_id", "e").agg(F.min("start_ms").alias("t0"), F.max("end_ms").alias("t1"), w.alias("ws"))
     segs = F.concat(F.transform("ws", lambda x: F.struct(F.concat(F.lit(" "), x["w"]).alias("utf8"), (x["start_ms"] - F.col("t0")).alias("tOffsetMs"))), F.array(F.struct(F.lit(" \n").alias("utf8"), F.lit(0).cast("bigint").alias("tOffsetMs"))))
     ev = ev.select("source_id", "e", F.struct(F.col("t0").alias("tStartMs"), (F.col("t1") - F.col("t0")).alias("dDurationMs"), segs.alias("segs")).alias("ev"))
     raw = ev.groupBy("source_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("e", F.to_json("ev").alias("j")))), lambda x: F.from_json(x["j"], "struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string,tOffsetMs:bigint>>>")).alias("events"))).alias("raw"))
-    raw = raw.withColumn("raw", F.replace("raw", F.lit('{"events":['), F.lit('{"wireMagic":"pb3","events":[{"tStartMs":0,"wWinId":1},')))
-    return C.json3_words(raw).select("source_id", "w", "start_ms", "end_ms")
+    return raw.withColumn("raw", F.replace("raw", F.lit('{"events":['), F.lit('{"wireMagic":"pb3","events":[{"tStartMs":0,"wWinId":1},')))
+
+
+def json3_words(spark, sf):
+    return C.json3_words(_json3(spark, sf)).select("source_id", "w", "start_ms", "end_ms")
 
 
 JSON3_SQL = f"""WITH {WORDS_SQL} SELECT source_id, w, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY source_id, seq // 12 ORDER BY seq), end_ms) AS end_ms FROM words"""
@@ -43,23 +46,36 @@ def _vtt(spark, sf, inline: bool):
         body = F.concat(F.lit("<i>a &amp; b</i> caf&eacute;&#8217;s&nbsp;&hellip; "), F.array_join(F.transform("ws", lambda x: x["w"]), "\n"))
     text = F.concat(F.when(F.col("e") % 2 == 0, F.lit("\n")).otherwise(F.concat(F.col("e").cast("string"), F.lit("\n"))), _stamp(F.col("t0")), F.lit(" --> "), _stamp(F.col("t1")), F.lit(" align:start\n"), body, F.lit("\n"))
     rows = cue.select("source_id", "e", text.alias("x")).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e", "x"))), lambda x: x["x"]), "").alias("t"))
-    return C.vtt_cues(rows.select("source_id", F.concat(F.lit("WEBVTT\nKind: captions\n"), "t").alias("raw")))
+    return rows.select("source_id", F.concat(F.lit("WEBVTT\nKind: captions\n"), "t").alias("raw"))
 
 
 def vtt_segments(spark, sf):
-    return C.vtt_segments(_vtt(spark, sf, False)).select("source_id", "start_ms", "end_ms", "text")
+    return C.vtt_segments(C.vtt_cues(_vtt(spark, sf, False))).select("source_id", "start_ms", "end_ms", "text")
 
 
 VTT_SQL = f"""WITH {WORDS_SQL} SELECT source_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, 'a & b café’s … ' || string_agg(w, ' ' ORDER BY seq) AS text FROM words GROUP BY source_id, seq // 12"""
 
 
 def vtt_words(spark, sf):
-    return C.vtt_words(_vtt(spark, sf, True)).select("source_id", "w", "start_ms", "end_ms")
+    return C.vtt_words(C.vtt_cues(_vtt(spark, sf, True))).select("source_id", "w", "start_ms", "end_ms")
 
 
 VTT_WORDS_SQL = f"""WITH {WORDS_SQL} SELECT source_id, w, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY source_id, seq // 12 ORDER BY seq), end_ms) AS end_ms FROM words"""
 
 
+def transcripts(spark, sf):
+    """Files of both kinds, by turns word-timed, with stamps in the cues, and plain: words where a source has them, else its segments."""
+    turn = lambda raw, kind, k: raw.filter(F.col("source_id") % 3 == k).select("source_id", F.lit(kind).alias("kind"), "raw")
+    files = turn(_json3(spark, sf), "json3", 0).unionByName(turn(_vtt(spark, sf, True), "vtt", 1)).unionByName(turn(_vtt(spark, sf, False), "vtt", 2))
+    words, segments = C.transcript(files)
+    plain = segments.filter(F.col("source_id") % 3 == 2)
+    return words.select("source_id", F.col("w").alias("text"), "start_ms", "end_ms").unionByName(plain.select("source_id", "text", "start_ms", "end_ms"))
+
+
+TRANSCRIPTS_SQL = f"""{JSON3_SQL.replace("SELECT source_id, w,", "SELECT * FROM (SELECT source_id, w AS text,")}) WHERE source_id % 3 < 2
+UNION ALL SELECT source_id, 'a & b café’s … ' || string_agg(w, ' ' ORDER BY seq) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words WHERE source_id % 3 = 2 GROUP BY source_id, seq // 12"""
+
+
 def silence_log(spark, sf):
     """Three silences a candidate, the last one without an end, and noise in between."""
     c = A.candidates(spark, sf).select("candidate_id", "start_ms", "end_ms")
@@ -98,5 +114,5 @@ PROBE_SQL = """SELECT c_custkey AS source_id, CASE WHEN ok THEN c_name END AS ti
 FROM (SELECT *, c_custkey % 3 = 0 OR c_custkey % 7 <> 1 AS ok FROM customer)"""
 
 QUERIES = {
-    "json3_words": (json3_words, JSON3_SQL), "vtt_segments": (vtt_segments, VTT_SQL), "vtt_words": (vtt_words, VTT_WORDS_SQL), "silence_log": (silence_log, SILENCE_SQL), "rms_log": (rms_log, RMS_SQL), "probe_json": (probe_json, PROBE_SQL),
+    "json3_words": (json3_words, JSON3_SQL), "vtt_segments": (vtt_segments, VTT_SQL), "vtt_words": (vtt_words, VTT_WORDS_SQL), "transcripts": (transcripts, TRANSCRIPTS_SQL), "silence_log": (silence_log, SILENCE_SQL), "rms_log": (rms_log, RMS_SQL), "probe_json": (probe_json, PROBE_SQL),
 }

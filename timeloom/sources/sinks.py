@@ -89,7 +89,12 @@ def read_receipts(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
     return rows.filter(F.col("broken").isNull() & F.col("tool").isNotNull()).drop("broken").orderBy(F.desc("ts"), "tool").limit(limit)
 
 
+def write_manifests(rows: DataFrame, path: str) -> None:
+    """A JSON document per ``batch_id``, its clips nested in time: a batch, which is one request's clips, is a group of its own."""
+    clips = F.array_sort(F.collect_list(F.struct("source_start_ms", *[c for c in rows.columns if c not in ("source_start_ms", "batch_id")])))
+    rows.groupBy("batch_id").agg(clips.alias("clips")).write.mode("overwrite").json(path)
+
+
 def write_manifest(rows: DataFrame, path: str, batch_id: str) -> None:
-    """A manifest: one JSON document per batch, its clips nested in time."""
-    clips = F.array_sort(F.collect_list(F.struct("source_start_ms", *[c for c in rows.columns if c != "source_start_ms"])))
-    rows.groupBy().agg(clips.alias("clips")).select(F.lit(batch_id).alias("batch_id"), "clips").write.mode("overwrite").json(path)
+    """The manifest of one batch."""
+    write_manifests(rows.withColumn("batch_id", F.lit(batch_id)), path)
