@@ -255,3 +255,21 @@ def test_topics_of_several_sources_in_one_task(spark):
     got = {(r.source_id, r.candidate_id): r.topic for r in P.topics(cands(spark, rows, ", text string")).collect()}
     assert got == {(s, i): t for s in (None, 1, 2) for i, t in enumerate([0, 1, 0, 2])}
     assert P.topics(cands(spark, [], ", text string")).collect() == []
+
+
+def test_fixed_decimals_are_those_of_halves_to_even(spark):
+    xs = [0.0, 0.25, 0.75, 12.25, 12.35, -0.25, -3.75, -0.04, 99.95, 1e6 + 0.05, 404.0, 1234.5678, 2 / 3]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.fixed(F.col("x"), 1).alias("a"), T.fixed(F.col("x"), 3).alias("b")).collect()
+    exact = [r for r in got if r.x not in (12.35, 99.95, 1e6 + 0.05)]
+    assert [(r.a, r.b) for r in exact] == [(f"{r.x:.1f}", f"{r.x:.3f}") for r in exact]
+    assert spark.range(1).select(T.fixed(F.lit(None).cast("double"), 1)).first()[0] is None
+
+
+def test_piecewise_terms(spark):
+    from timeloom.operators import sequence as S
+
+    rows = [(1, 0, 10.25, False), (1, 960, 10.25, True), (1, 1000, 200.0, False), (1, 1500, 155.0, False), (2, 0, 7.75, False)]
+    got = {r.clip_id: (r.n_points, r.expr) for r in S.piecewise(spark.createDataFrame(rows, "clip_id long, t_ms long, x double, is_hold boolean")).collect()}
+    assert got[2] == (1, "7.8")
+    gates = ["(gte(t,0.000)*lt(t,0.960)*(10.2+0.000*(t-0.000)))", "(gte(t,0.960)*lt(t,1.000)*(10.2+4743.750*(t-0.960)))", "(gte(t,1.000)*lt(t,1.500)*(200.0+-90.000*(t-1.000)))", "(gte(t,1.500)*155.0)"]
+    assert got[1] == (4, f"clip({'+'.join(gates)},0,in_w-out_w)")

@@ -160,6 +160,13 @@ def stable_id(prefix: str, *keys: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 8))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A double with so many decimals, halves to the even digit, as text; whole numbers are formatted, so that no engine's own rounding shows."""
+    one = 10**places
+    n = F.bround(F.abs(x) * one).cast("bigint")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / one).cast("string"), F.lit("."), F.lpad((n % one).cast("string"), places, "0"))
+
+
 def iso(ms: Column) -> Column:
     """UTC, to the second; whatever the session's zone."""
     return F.date_format(F.timestamp_add("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

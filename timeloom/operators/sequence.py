@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_WORDS_PER_LINE, WORDS_PER_LINE
+from ..functions import text as T
 from .folds import appended, fold, islands
 
 _ORDER = ["start_ms", "end_ms", "seq"]
@@ -169,11 +170,11 @@ def piecewise(points: DataFrame) -> DataFrame:
     """A piecewise linear position as text: a flat sum of half-open gates. ``points``: (clip_id, t_ms, x, is_hold)."""
     w = Window.partitionBy("clip_id").orderBy("t_ms", F.desc("is_hold"))
     rows = points.withColumns({"t1": F.lead("t_ms").over(w), "x1": F.lead("x").over(w), "i_": F.row_number().over(w), "n_": F.count("*").over(Window.partitionBy("clip_id"))})
-    t0, t1 = F.col("t_ms") / 1000.0, F.col("t1") / 1000.0
-    slope = (F.col("x1") - F.col("x")) / ((F.col("t1") - F.col("t_ms")) / 1000.0)
-    gate = F.format_string("(gte(t,%.3f)*lt(t,%.3f)*(%.1f+%.3f*(t-%.3f)))", t0, t1, F.col("x"), slope, t0)
-    last = F.format_string("(gte(t,%.3f)*%.1f)", t0, F.col("x"))
-    rows = rows.withColumn("term_", F.when(F.col("i_") == F.col("n_"), F.when(F.col("n_") == 1, F.format_string("%.1f", F.col("x"))).otherwise(last)).when(F.col("t1") - F.col("t_ms") >= 1, gate))
+    t0, t1, x = T.fixed(F.col("t_ms") / 1000.0, 3), T.fixed(F.col("t1") / 1000.0, 3), T.fixed(F.col("x"), 1)
+    slope = T.fixed((F.col("x1") - F.col("x")) / ((F.col("t1") - F.col("t_ms")) / 1000.0), 3)
+    gate = F.format_string("(gte(t,%s)*lt(t,%s)*(%s+%s*(t-%s)))", t0, t1, x, slope, t0)
+    last = F.format_string("(gte(t,%s)*%s)", t0, x)
+    rows = rows.withColumn("term_", F.when(F.col("i_") == F.col("n_"), F.when(F.col("n_") == 1, x).otherwise(last)).when(F.col("t1") - F.col("t_ms") >= 1, gate))
     text = rows.groupBy("clip_id").agg(F.max("n_").alias("n_points"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("term_").isNotNull(), F.struct("i_", "term_")))), lambda x: x["term_"]), "+").alias("sum_"))
     return text.select("clip_id", "n_points", F.when(F.col("n_points") == 1, F.col("sum_")).otherwise(F.concat(F.lit("clip("), "sum_", F.lit(",0,in_w-out_w)"))).alias("expr"))
 

@@ -15,7 +15,7 @@ from . import adapter as A
 from .adapter import CAND_SQL, SEG_SQL, WORDS_SQL
 from .joins import FUSE_CTE, TEXT_CTE
 from .scalars import _ERROR, ASS, PARAMS_SQL, VALIDATE_SQL
-from .sequences import CAPTION_LINES_SQL
+from .sequences import CAPTION_LINES_SQL, FOLLOW_SQL, crop_expr
 
 CLIP_COLUMNS = ["members", "n_members", "est_duration_ms", "source_start_ms", "source_end_ms", "score", "reason", "label"]
 
@@ -235,10 +235,7 @@ SELECT clip_id, n_inputs, n_members, pins || ';' || parts || coalesce(';' || fad
 
 
 def follow_chains(spark, sf):
-    from .sequences import crop_expr
-
-    e = crop_expr(spark, sf)
-    return e.select("clip_id", TL.follow_chain(F.lit(404), F.lit(720), F.col("expr")).alias("chain"))
+    return crop_expr(spark, sf).select("clip_id", TL.follow_chain(F.lit(404), F.lit(720), F.col("expr")).alias("chain"))
 
 
 def fit_chains(spark, sf):
@@ -274,7 +271,7 @@ ENVELOPES_SQL = VALIDATE_SQL[: VALIDATE_SQL.index("r AS (")] + f"""r AS (SELECT
 SELECT candidate_id, b[:-2] || ',"token_estimate":' || greatest(1, length(b) // 4) || '}}' AS result FROM b"""
 
 QUERIES = {
-    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, JOIN_GRAPHS_SQL), "follow_chains": (follow_chains, None), "envelopes": (envelopes, ENVELOPES_SQL), "fit_chains": (fit_chains, FIT_CHAINS_SQL), "face_samples": (face_samples, FACE_SQL),
+    "caption_files": (caption_files, CAPTION_FILES_SQL), "join_graphs": (join_graphs, JOIN_GRAPHS_SQL), "follow_chains": (follow_chains, FOLLOW_SQL), "envelopes": (envelopes, ENVELOPES_SQL), "fit_chains": (fit_chains, FIT_CHAINS_SQL), "face_samples": (face_samples, FACE_SQL),
     "plan_auto": (plan_auto, AUTO_SQL), "plan_fused": (fused_plan, FUSED_PLAN_SQL), "plan_by_label": (plan_by_label, BY_LABEL_SQL), "plan_montage": (plan_montage, MONTAGE_SQL), "fit_budget": (fit_budget, FIT_BUDGET_SQL),
     "dominant_label": (dominant_label, DOMINANT_SQL), "plan_by_topic": (plan_by_topic, None), "top_phrases": (top_phrases, PHRASES_SQL), "plan_supercut": (plan_supercut, SUPERCUT_SQL),
     "keep_segments": (keep_segments, KEEP_SQL), "build_timeline": (build_timeline, BUILD_SQL), "trimmed_seconds": (trimmed, TRIMMED_SQL),

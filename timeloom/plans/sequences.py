@@ -156,10 +156,25 @@ SELECT clip_id, t_ms, round(x, 3) AS x FROM thin UNION ALL SELECT clip_id, 0, ro
 
 
 def crop_expr(spark, sf):
-    """The position as text; formats of doubles differ between engines, so rows only."""
+    """The position as text."""
     return S.piecewise(S.thinned(_snapped(spark, sf)))
 
 
+def _fixed(x, places):
+    one = 10**places
+    n = f"CAST(round_even(abs({x}) * {one}, 0) AS BIGINT)"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || ({n} // {one}) || '.' || lpad(CAST({n} % {one} AS VARCHAR), {places}, '0'))"
+
+
+_T0, _T1, _X = _fixed("(t_ms / 1000.0::DOUBLE)", 3), _fixed("(t1 / 1000.0::DOUBLE)", 3), _fixed("x", 1)
+_SLOPE = _fixed("((x1 - x) / ((t1 - t_ms) / 1000.0::DOUBLE))", 3)
+_CROP = f"""{_THIN}, pw AS (SELECT *, lead(t_ms) OVER o AS t1, lead(x) OVER o AS x1, row_number() OVER o AS i1, count(*) OVER (PARTITION BY clip_id) AS n FROM thin WINDOW o AS (PARTITION BY clip_id ORDER BY t_ms, is_hold DESC)),
+tm AS (SELECT clip_id, i1, n, CASE WHEN n = 1 THEN {_X} WHEN i1 = n THEN '(gte(t,' || {_T0} || ')*' || {_X} || ')'
+  WHEN t1 - t_ms >= 1 THEN '(gte(t,' || {_T0} || ')*lt(t,' || {_T1} || ')*(' || {_X} || '+' || {_SLOPE} || '*(t-' || {_T0} || ')))' END AS term FROM pw),
+crop AS (SELECT clip_id, n AS n_points, CASE WHEN n = 1 THEN s ELSE 'clip(' || s || ',0,in_w-out_w)' END AS expr FROM (SELECT clip_id, n, string_agg(term, '+' ORDER BY i1) AS s FROM tm GROUP BY clip_id, n))"""
+CROP_SQL = f"WITH RECURSIVE {_CROP} SELECT clip_id, n_points, expr FROM crop"
+
+
 def _empties(spark, sf):
     s = A.samples(spark, sf).filter((F.col("x_pm").isNull()) | (F.col("x_pm") % 70 > 20)).select("clip_id", "t_ms")
     return W.map_times(s, A.timeline(spark, sf)).filter("out_ms is not null").select("clip_id", "out_ms")
@@ -232,9 +247,12 @@ def crop_centres(spark, sf):
 CENTRES_SQL = f"""WITH {SAMPLES_SQL}, {TIMELINE_SQL} SELECT s.clip_id, t_ms - src_start_ms + out_start_ms AS out_ms, CAST(greatest(0, least(x_pm * 1280 // 1000 - 202, 876)) AS BIGINT) AS crop_x
 FROM smp s JOIN tl t ON s.clip_id = t.clip_id AND src_start_ms <= t_ms AND t_ms < src_end_ms WHERE x_pm IS NOT NULL"""
 
+#: The text of a crop that follows ``expr``.
+FOLLOW_SQL = f"""WITH RECURSIVE {_CROP} SELECT clip_id, 'crop=w=404:h=720:x=''' || expr || ''':y=0,scale=1080:1920:force_original_aspect_ratio=decrease,pad=1080:1920:(ow-iw)/2:(oh-ih)/2:black' AS chain FROM crop"""
+
 QUERIES = {
     "dedup_words": (dedup_words, DEDUP_WORDS_SQL), "dedup_segments": (dedup_segments, DEDUP_SEGMENTS_SQL), "group_words": (group_words, GROUP_WORDS_SQL), "caption_lines": (caption_lines, CAPTION_LINES_SQL),
     "shot_split": (shot_split, SHOTS_SQL), "moving_average": (moving_average, MOVING_SQL), "pan_cap": (pan_cap, PAN_SQL), "cut_snaps": (cut_snaps, SNAPS_SQL), "keypoints": (keypoints, KEYPOINTS_SQL),
-    "padded_keypoints": (padded_keypoints, PADDED_SQL), "crop_expr": (crop_expr, None), "fit_spans": (fit_spans, FIT_SQL), "enable_expr": (enable_expr, ENABLE_SQL), "coverage": (coverage, COVERAGE_SQL),
+    "padded_keypoints": (padded_keypoints, PADDED_SQL), "crop_expr": (crop_expr, CROP_SQL), "fit_spans": (fit_spans, FIT_SQL), "enable_expr": (enable_expr, ENABLE_SQL), "coverage": (coverage, COVERAGE_SQL),
     "span_statistics": (span_statistics, STATISTICS_SQL), "energy_spikes": (energy_spikes, SPIKES_SQL), "two_speakers": (two_speakers, TWO_SQL), "crop_centres": (crop_centres, CENTRES_SQL),
 }
