@@ -13,6 +13,7 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .media import op6_media_columns
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op5_packing
+from .periodic_runs import op12_periodic_runs
 from .pii import op7_pii
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .suffix_dedup import op8_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
