@@ -17,6 +17,7 @@ from .periodic_runs import op12_periodic_runs
 from .pii import op7_pii
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .suffix_dedup import op8_suffix_dedup
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
