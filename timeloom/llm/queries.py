@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .chat_format import OP11_SQL, op11_chat_format
 from .language_id import op2_language_id
 from .license_scan import op3_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_chat_format": op11_chat_format,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_chat_format": OP11_SQL}
