@@ -8,7 +8,7 @@ of a bounded number of windows. So memory is bounded by ``OPEN_WINDOWS`` windows
 and only the pieces' descriptions are shuffled, never tokens or texts.
 
 Defined cases: a null or empty text has the end token alone; a text of any length is cut as often as needed;
-documents with equal ids are packed each by itself; a null ``doc_id`` stays null; an empty table gives no piece; only
+documents with equal ids are packed each by itself; a null ``doc_id`` stays null, ids of all 64 bits stay as they are; an empty table gives no piece; only
 ``doc_id`` and ``text`` are read. Ids are those of the tokenizers file, added tokens included; the tiktoken library makes them
 from the same vocabulary (tests hold them against tokenizers). Its splitter gives up on very long white space: texts with such go
 through the encoder of operator 1, which splits without backtracking.
@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +33,8 @@ CAPACITY = 1024
 OPEN_WINDOWS = 64
 MIN_CUT = 16
 END_ID = 0
-#: White space of this length goes to the encoder of operator 1.
-_LONG_SPACE = re.compile(r"\s{10000}")
+#: White space of this length, at which tiktoken's splitter is quadratic, goes to the encoder of operator 1. It is looked for where a stretch begins only.
+_LONG_SPACE = re.compile(r"(?:^|\S)\s{256}")
 #: Left-over windows that are merged in one group, about.
 MERGE_GROUP = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -145,11 +144,14 @@ def _place(path: str, capacity: int, most: int):
 def _merge(capacity: int):
     """Whole left-over windows of a group into as few as best fit, largest first, needs."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.groupby("sequence_id")["length"].sum().sort_index().sort_values(ascending=False, kind="stable")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        # Arrow and not pandas, which would turn a column of ids with a null into floats
+        sizes: dict[int, int] = {}
+        for old, length in zip(rows["sequence_id"].to_pylist(), rows["length"].to_pylist(), strict=True):
+            sizes[old] = sizes.get(old, 0) + length
         by_room: dict[int, list[int]] = {}
         window_of, shift_of, windows = {}, {}, 0
-        for old, size in sizes.items():
+        for old, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
             room = next((r for r in range(size, capacity + 1) if by_room.get(r)), None)
             if room is None:
                 window, room, windows = windows, capacity, windows + 1
@@ -157,8 +159,13 @@ def _merge(capacity: int):
                 window = by_room[room].pop()
             window_of[old], shift_of[old] = window, capacity - room
             by_room.setdefault(room - size, []).append(window)
-        first = (1 << 62) | (int(key[0]) << 32)
-        return pdf.assign(offset=pdf["offset"] + pdf["sequence_id"].map(shift_of), sequence_id=pdf["sequence_id"].map(window_of) + first, open=False)[_COLUMNS]
+        first = (1 << 62) | (key[0].as_py() << 32)
+        old = rows["sequence_id"].to_pylist()
+        new = {
+            "sequence_id": pa.array([first + window_of[w] for w in old], pa.int64()), "open": pa.array([False] * len(old)),
+            "offset": pa.array([at + shift_of[w] for at, w in zip(rows["offset"].to_pylist(), old, strict=True)], pa.int64()),
+        }
+        return pa.table({c: new.get(c, rows[c]) for c in _COLUMNS})
 
     return run
 
@@ -172,7 +179,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ope
         n = left.select("sequence_id").distinct().count()
         groups = max(1, round(n / MERGE_GROUP))
         grouped = left.withColumn("pk_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
-        merged = grouped.groupBy("pk_group").applyInPandas(_merge(capacity), PIECES)
+        merged = grouped.groupBy("pk_group").applyInArrow(_merge(capacity), PIECES)
         return w.result(placed.filter("not open").unionByName(merged).drop("open"), placed)
 
 
