@@ -9,7 +9,8 @@ than ``min_chars`` code points never drop a line. Of a key that ``min_docs`` doc
 go except those of the largest ``doc_id`` that holds it.
 
 Defined cases: a null or empty text is one empty line; a null ``doc_id`` counts for no document and keeps no
-shared line; texts of any length are read whole; rows that repeat a ``doc_id`` count as one document and each is reassembled; an empty table gives an
+shared line; texts of any length are read whole; rows that repeat a ``doc_id`` count as one document and each is reassembled: lines to drop
+are listed by id and hash of the text, so that rows without an id, or many with one, are as many keys as they have texts; an empty table gives an
 empty table; further columns pass through ``dedup_lines`` unchanged, whatever their names.
 """
 
@@ -41,12 +42,13 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, texts, keys = [], [], []
+            for doc, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = {line_key(x, min_chars) for x in (text.as_py() or "").split("\n")} - {None}
                 ids += [doc] * len(found)
+                texts += [text_hash] * len(found)
                 keys += found
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["ld_doc", "ld_key"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(keys, pa.binary())], ["ld_doc", "ld_hash", "ld_key"])
 
     return run
 
@@ -85,25 +87,25 @@ def drop_shared(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """The columns of ``docs`` but ``text`` as one struct ``ld_row``, with ``ld_text`` (what is left of the text, null
     if it was null), ``ld_lines`` (before dropping) and ``ld_dropped``."""
     with Workspace(docs.sparkSession) as w:
-        keys = map_batches(docs.select("doc_id", "text"), _keys(min_chars), "ld_doc long, ld_key binary")
+        keys = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("ld_hash")), _keys(min_chars), "ld_doc long, ld_hash long, ld_key binary")
         keys = w.write(keys, "line-keys")
         # both sides are tables, so the join has nothing but exchanges below it and a hot key's rows are split at run time
         shared = w.write(shared_lines(keys, min_docs), "line-shared")
         drops = (
             keys.join(shared, "ld_key")
             .filter(~F.col("ld_doc").eqNullSafe(F.col("ld_keeper")))
-            .groupBy("ld_doc")
+            .groupBy("ld_doc", "ld_hash")
             .agg(F.collect_set("ld_key").alias("ld_drops"))
         )
         drops = w.write(drops, "line-drops")
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("ld_row"), F.col("doc_id").alias("ld_id"), F.col("text").alias("ld_text"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("ld_row"), F.col("doc_id").alias("ld_id"), F.xxhash64("text").alias("ld_of"), F.col("text").alias("ld_text"))
         kind = rows.schema["ld_row"].dataType.simpleString()
         whole = lambda df: map_batches(df.select("ld_row", "ld_text", "ld_drops"), _reassemble(min_chars), f"ld_row {kind}, ld_text string, ld_lines long, ld_dropped long")
-        same = F.col("ld_id").eqNullSafe(F.col("ld_doc"))
+        same = F.col("ld_id").eqNullSafe(F.col("ld_doc")) & (F.col("ld_of") == F.col("ld_hash"))
         if drops.count() > BROADCAST_IDS:
             return w.result(whole(rows.join(drops, same, "left")), drops)
         # texts without shared lines stay where they are; lists of lines are never broadcast, however few, as they grow with the input
-        ids = F.broadcast(drops.select("ld_doc"))
+        ids = F.broadcast(drops.select("ld_doc", "ld_hash"))
         some = rows.join(ids, same, "left_semi").join(drops.hint("merge"), same)
         none = rows.join(ids, same, "left_anti").withColumn("ld_drops", F.array().cast("array<binary>"))
         return w.result(whole(some).unionByName(whole(none)), drops)
