@@ -20,7 +20,7 @@ their bytes, by independent functions, are: a byte is removed wrongly only if bo
 Texts are UTF-8 bytes; matches stay within documents. Texts of any length are read, in segments of ``SEGMENT`` bytes and the strings that
 begin there, so that memory does not follow them. Defined cases: a null text is empty; texts shorter than ``LENGTH``
 keep everything; rows that repeat a ``doc_id`` are places of their own; a null ``doc_id`` is a document like any
-other; in ``remove_repeats`` a character that is cut apart goes as a whole, and U+FFFD with it, and further columns
+other; an empty table gives an empty table; in ``remove_repeats`` a character that is cut apart goes as a whole, and U+FFFD with it, and further columns
 pass through whatever their names.
 """
 
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +127,6 @@ def _batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _RUNS.split(", ")])
 
 
-def _text_key(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
-
-
 def _stretches(one: Prints, two: Prints, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two fingerprints of what the strings lo to hi cover, and of where the gram stands there."""
     salt = (pos - lo) * LENGTH + hi - lo
@@ -142,9 +137,8 @@ def _first_runs(segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
-                key = _text_key(data)
                 for base in range(0, len(data) - LENGTH + 1, segment):
                     part = data[base : base + segment + LENGTH - 1]
                     one, two = Prints(part, 0), Prints(part, 1)
@@ -187,12 +181,10 @@ def _shorter_runs(width: int, new: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, listed in zip(batch["sd_doc"].to_pylist(), batch["text"], _listed(batch["listed"], ["sd_text", "pos", "lo", "hi", "at", "wanted"]), strict=True):
+            for doc, key, text, listed in zip(batch["sd_doc"].to_pylist(), batch["sd_text"].to_pylist(), batch["text"], _listed(batch["listed"], ["pos", "lo", "hi", "at", "wanted"]), strict=True):
                 data = (text.as_py() or "").encode()
-                key = _text_key(data)
-                own = listed[0] == key
-                pos, lo, hi, at = (x[own].astype(np.int64) for x in listed[1:5])
-                wanted, at_segment = listed[5][own].astype(bool), lo // segment
+                pos, lo, hi, at = (x.astype(np.int64) for x in listed[:4])
+                wanted, at_segment = listed[4].astype(bool), lo // segment
                 for s in np.unique(at_segment).tolist():
                     base, here = max(0, s * segment - _REACH), at_segment == s
                     rows.append(cut(data[base : (s + 1) * segment + _REACH], doc, key, base, *(x[here] for x in (pos, lo, hi, at, wanted))))
@@ -202,20 +194,28 @@ def _shorter_runs(width: int, new: int, segment: int):
 
 
 def _with_texts(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Rows of ``listed`` (unique by ``sd_doc``) with the texts. The ids are broadcast, if they are few enough, to leave all other texts where they are."""
-    texts = docs.select(_id().alias("sd_doc"), "text")
+    """Rows of ``listed`` (unique by ``_KEY``) with the texts. The keys are broadcast, if they are few enough, to leave all other texts where they are."""
+    texts = docs.select(_id().alias("sd_doc"), _hash().alias("sd_text"), "text")
     if listed.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(listed.select("sd_doc")), "sd_doc", "left_semi")
-    return texts.join(listed, "sd_doc")
+        texts = texts.join(F.broadcast(listed.select(*_KEY)), _KEY, "left_semi")
+    return texts.join(listed, _KEY)
 
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID).cast("bigint"))
 
 
+def _hash() -> Column:
+    return F.xxhash64("text")
+
+
+#: What a row is known by: rows that share both have the same repeats, so that no key holds more than those of one text.
+_KEY = ["sd_doc", "sd_text"]
+
+
 def repeats(docs: DataFrame, w: Workspace) -> DataFrame:
     """Stretches (sd_doc, sd_text, s, e) in bytes, which together cover what repeats; ``sd_text`` is a hash of the text."""
-    runs = w.write(map_batches(docs.select(_id().alias("sd_doc"), "text"), _first_runs(SEGMENT), _RUNS), "repeat-runs")
+    runs = w.write(map_batches(docs.select(_id().alias("sd_doc"), "text", _hash().alias("sd_text")), _first_runs(SEGMENT), _RUNS), "repeat-runs")
     known = []
     for width, new in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
         # the cores are written first: a join of two tables has a hot core's rows split at run time
@@ -236,8 +236,9 @@ def repeats(docs: DataFrame, w: Workspace) -> DataFrame:
         asked = rest.select(F.col("core").alias("asked")).distinct()
         others = rated.filter("not done and not wanted").select("core", *_PLACE).unionByName(again.select(F.col("ac").alias("core"), "p.*"))
         others = others.join(asked, F.col("core") == F.col("asked"), "left_semi").withColumn("wanted", F.lit(False))
-        listed = rest.select("core", *_PLACE, "wanted").unionByName(others).groupBy("sd_doc")
-        listed = w.write(listed.agg(F.collect_list(F.struct("sd_text", "pos", "lo", "hi", "at", "wanted")).alias("listed")), "repeat-listed")
+        listed = rest.select(*_PLACE, "wanted").unionByName(others.select(*_PLACE, "wanted")).groupBy(*_KEY)
+        # a set: rows that share the key have the same runs, and each is cut once for every row
+        listed = w.write(listed.agg(F.collect_set(F.struct("pos", "lo", "hi", "at", "wanted")).alias("listed")), "repeat-listed")
         w.free(rated, again)
         runs = w.write(map_batches(_with_texts(docs, listed), _shorter_runs(width, new, SEGMENT), _RUNS), "repeat-runs")
         w.free(listed)
@@ -267,10 +268,9 @@ def _cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int,
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, n, removed, spans = [], [], [], []
-        for text, (keys, starts, ends) in zip(batch["text"], _listed(batch["listed"], ["sd_text", "s", "e"]), strict=True):
+        for text, (starts, ends) in zip(batch["text"], _listed(batch["listed"], ["s", "e"]), strict=True):
             data = (text.as_py() or "").encode()
-            own = keys == _text_key(data) if len(keys) else np.zeros(0, bool)
-            left, gone, runs = _cut(data, starts[own].astype(np.int64), ends[own].astype(np.int64))
+            left, gone, runs = _cut(data, starts.astype(np.int64), ends.astype(np.int64))
             kept.append(left if text.is_valid else None)
             n.append(len(data))
             removed.append(gone)
@@ -285,18 +285,19 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """For every row of ``docs``: the columns but the text as the struct ``row``, the bytes that are ``kept`` (null for a null text),
     ``n_bytes`` (before), ``n_removed``, ``n_spans``."""
     with Workspace(docs.sparkSession) as w:
-        found = repeats(docs, w).groupBy("sd_doc").agg(F.collect_list(F.struct("sd_text", "s", "e")).alias("listed"))
+        found = repeats(docs, w).groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("listed"))
         found = w.write(found, "repeat-found")
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _id().alias("sd_id"), "text")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _id().alias("sd_id"), _hash().alias("sd_of"), "text")
+        same = (F.col("sd_id") == F.col("sd_doc")) & (F.col("sd_of") == F.col("sd_text"))
         kind = rows.schema["row"].dataType.simpleString()
         schema = f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
         if found.count() > BROADCAST_IDS:
-            joined = rows.join(found, F.col("sd_id") == F.col("sd_doc"), "left")
+            joined = rows.join(found, same, "left")
             return w.result(map_batches(joined.select("row", "text", "listed"), _kept, schema), found)
         # texts without repeats stay where they are
-        ids = F.broadcast(found.select("sd_doc"))
-        some = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_semi").join(found, F.col("sd_id") == F.col("sd_doc"))
-        none = rows.join(ids, F.col("sd_id") == F.col("sd_doc"), "left_anti").withColumn("listed", F.lit(None).cast(found.schema["listed"].dataType))
+        ids = F.broadcast(found.select(*_KEY))
+        some = rows.join(ids, same, "left_semi").join(found, same)
+        none = rows.join(ids, same, "left_anti").withColumn("listed", F.lit(None).cast(found.schema["listed"].dataType))
         out = map_batches(some.select("row", "text", "listed"), _kept, schema).unionByName(map_batches(none.select("row", "text", "listed"), _kept, schema))
         return w.result(out, found)
 
