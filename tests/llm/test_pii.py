@@ -135,6 +135,7 @@ def brute_terms(rows):
     """term -> (entities over the thresholds, whether it is to be removed), by the definitions in plain Python."""
     letters = lambda x: [w for w in re.findall(r"[^\W_]+", x.lower()) if re.search(r"[^\W\d_]", w)]
     near, docs_of_entity, docs_of_term = defaultdict(list), defaultdict(set), defaultdict(set)
+    rows = [(d, t) for d, t in rows if d is not None]
     for d, text in rows:
         for w in set(letters(text or "")):
             docs_of_term[w].add(d)
@@ -159,7 +160,7 @@ def brute_terms(rows):
         assert all(len(x) == 1 for x in passages.values()) or len(passages) < P.MIN_CONTEXTS or len({min(map(repr, x)) for x in passages.values()}) >= P.MIN_CONTEXTS
         contexts = max(min(len({x[2] for x in seen}), len({x[3] for x in seen})), len({min(map(repr, x)) for x in passages.values()}))
         p = len(passages) / len(docs_of_term[w])
-        if contexts >= P.MIN_CONTEXTS and p >= P.MIN_PROBABILITY and math.log2(p * len(rows) / len(docs_of_entity[entity])) >= P.MIN_BITS:
+        if contexts >= P.MIN_CONTEXTS and p >= P.MIN_PROBABILITY and math.log2(p * len({d for d, _ in rows}) / len(docs_of_entity[entity])) >= P.MIN_BITS:
             out[w].add((entity, p >= P.REMOVE_PROBABILITY))
     return out
 

@@ -14,7 +14,7 @@ Defined cases: a null text is an empty one; spans count code points, ends are ex
 kinds are all reported, and the sanitised text replaces what they cover together by the tag of the first; copies of one
 passage (the entity with ``NEAR_WORDS`` at either side) are one context, so that mere copying discloses nothing, while
 near copies that differ there are contexts of their own; a null ``doc_id`` counts for no document, but disclosing words
-are replaced in its text as in any other; texts of any length are read whole; in ``sanitise`` further columns pass through
+are replaced in its text as in any other; rows that repeat a ``doc_id`` count as one document, so that a table that is repeated gives the same words; texts of any length are read whole; in ``sanitise`` further columns pass through
 whatever their names; an empty table gives an empty table.
 """
 
@@ -192,7 +192,7 @@ def near_words(found: DataFrame) -> DataFrame:
 
 def _doc_words(docs: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0)))
-    return docs.select("doc_id", F.explode(words).alias("term"))
+    return docs.select("doc_id", F.xxhash64("text").alias("pi_hash"), F.explode(words).alias("term"))
 
 
 def _few(table: DataFrame, w: Workspace) -> DataFrame:
@@ -202,12 +202,12 @@ def _few(table: DataFrame, w: Workspace) -> DataFrame:
 
 
 def _rated(docs: DataFrame, found: DataFrame, w: Workspace) -> tuple[DataFrame, DataFrame] | None:
-    """The words over the thresholds, and (doc_id, term) of all documents that hold a word of enough contexts; None if there is none."""
-    near = w.write(near_words(found), "pii-near")
+    """The words over the thresholds, and (doc_id, pi_hash, term) of all documents that hold a word of enough contexts; None if there is none."""
+    near = w.write(near_words(found.filter("doc_id is not null")), "pii-near")
     # contexts are distinct if they differ at both sides, or if whole passages of several documents differ: beside its entity, or
     # in a fixed name, a word has the same neighbour everywhere. A document gives one passage, so that copies give one together
     beside = near.groupBy("term", "entity").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("beside"))
-    passages = near.filter("doc_id is not null").groupBy("term", "entity", "doc_id").agg(F.min("passage").alias("passage"))
+    passages = near.groupBy("term", "entity", "doc_id").agg(F.min("passage").alias("passage"))
     passages = passages.groupBy("term", "entity").agg(F.countDistinct("passage").alias("passages"), F.countDistinct("doc_id").alias("both"))
     pairs = passages.join(beside, ["term", "entity"]).withColumn("contexts", F.greatest("beside", "passages")).drop("beside", "passages")
     # a word stands in at least as many documents as it stands near entities in: common words are out before texts are read for counts
@@ -216,10 +216,11 @@ def _rated(docs: DataFrame, found: DataFrame, w: Workspace) -> tuple[DataFrame,
     pairs = w.write(pairs, "pii-pairs")
     if pairs.isEmpty():
         return None
-    total = docs.count()
+    # documents are distinct ids, in all four counts: repeated rows and rows without an id change nothing
+    total = docs.select("doc_id").agg(F.countDistinct("doc_id")).head()[0]
     of_entity = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
     held = w.write(_doc_words(docs).join(_few(pairs.select("term").distinct(), w), "term", "left_semi"), "pii-held")
-    of_term = held.groupBy("term").agg(F.count("*").alias("with_term"))
+    of_term = held.groupBy("term").agg(F.countDistinct("doc_id").alias("with_term"))
     p = F.col("both") / F.col("with_term")
     rated = pairs.join(of_term, "term").join(of_entity, "entity").withColumns({"probability": p, "bits": F.log2(p * F.lit(float(total)) / F.col("with_entity"))})
     over = rated.filter((F.col("probability") >= MIN_PROBABILITY) & (F.col("bits") >= MIN_BITS))
@@ -237,22 +238,22 @@ def disclosures(docs: DataFrame) -> DataFrame | None:
 def find_all(docs: DataFrame) -> DataFrame:
     """A row for each of ``docs``: its columns as the struct ``pi_row``, ``doc_id``, what ``find_base`` adds, ``pi_term``: spans (s, e, v) of
     disclosing words, and ``pi_removed``, those among them to remove."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("pi_row"), "doc_id", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("pi_row"), "doc_id", F.xxhash64("text").alias("pi_of"), "text")
     none = {"pi_term": F.array().cast("array<struct<s:int,e:int,v:string>>"), "pi_removed": F.array().cast("array<string>")}
     with Workspace(docs.sparkSession) as w:
         rated = _rated(docs, find_base(docs.select("doc_id", "text")), w)
         if rated is None:
-            return find_base(rows).withColumns(none)
+            return find_base(rows.drop("pi_of")).withColumns(none)
         over, words = rated
         terms = over.groupBy("term").agg(F.max("remove").alias("remove"))
-        held = words.join(_few(terms, w), "term").groupBy("doc_id")
+        held = words.join(_few(terms, w), "term").groupBy("doc_id", "pi_hash")
         held = held.agg(F.array_sort(F.collect_set("term")).alias("pi_terms"), F.array_sort(F.collect_set(F.when(F.col("remove"), F.col("term")))).alias("pi_removed"))
         written = w.write(held.withColumnRenamed("doc_id", "pi_doc"), "pi-held")
         n = written.count()
         if not n:
-            return find_base(rows).withColumns(none)
+            return find_base(rows.drop("pi_of")).withColumns(none)
         held = F.broadcast(written) if n <= BROADCAST_ROWS else written
-        df = find_base(rows.join(held, rows["doc_id"].eqNullSafe(held["pi_doc"]), "left").drop("pi_doc"))
+        df = find_base(rows.join(held, rows["doc_id"].eqNullSafe(held["pi_doc"]) & (rows["pi_of"] == held["pi_hash"]), "left").drop("pi_doc", "pi_hash", "pi_of"))
         pattern = F.concat(F.lit(f"(?iu)(?<!{_RUN})(?:"), F.array_join("pi_terms", "|"), F.lit(f")(?!{_RUN})"))
         gaps, hits = _gaps_and_hits(F.col("pi_text"), pattern, F.coalesce(F.size("pi_terms") > 0, F.lit(False)))
         df = df.withColumn("pi_g", gaps).withColumn("pi_h", hits)
