@@ -271,7 +271,7 @@ def _add_fragments(track: Track, number: int, trex: Body | None, fragments: list
         return
     defaults = trex.read("III", 12) if trex else (0, 0, 0)  # duration, size, flags
     keys = list(range(track.count)) if track.keyframes is None else track.keyframes
-    lasts = 0
+    lasts = bare = 0
     for moof, boxes in fragments:
         tfhd = boxes[b"tfhd"][0]
         flags, at, own, base = tfhd.flags(), 8, list(defaults), moof
@@ -290,8 +290,10 @@ def _add_fragments(track: Track, number: int, trex: Body | None, fragments: list
             if flags & 0x4:
                 first, at = trun.read("I", at)[0], at + 4
             held = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-            if not held and n > size:
-                raise ContainerError(f"a run of {n} samples is longer than the file")
+            # such samples have no bytes of tables; together they are no more than the file has bytes
+            bare += 0 if held else n
+            if bare > size:
+                raise ContainerError(f"runs of {bare} samples are longer than the file")
             rows = trun.rows("I" * len(held), at, n) if held else ((),) * n
             was = track.count
             for i, row in enumerate(rows):
