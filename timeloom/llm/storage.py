@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: What ``materialise`` wrote and nothing has deleted yet, by path.
+_WRITTEN: dict[str, SparkSession] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +40,22 @@ def _home(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/timeloom-{spark.sparkContext.applicationId}"
 
 
+def _workspaces() -> list[Workspace]:
+    """The workspaces that are open in this thread, the innermost last."""
+    if not hasattr(_OPEN, "stack"):
+        _OPEN.stack = []
+    return _OPEN.stack
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut, and
-    a later loss of executors costs no recomputation. ``release`` removes what was written, also by a job that failed."""
+    a later loss of executors costs no recomputation. ``release`` removes what was written, also by a job that failed. Inside a
+    ``Workspace`` the table is one of its own."""
     spark = df.sparkSession
     path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
+    if _workspaces():
+        _workspaces()[-1].own.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.timeloom_path = path
@@ -57,7 +70,7 @@ def discard(*tables: DataFrame) -> None:
 
 def _forget(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
-    _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
+    _WRITTEN.pop(path, None)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -73,10 +86,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> int:
     """Delete every table that ``materialise`` wrote in this session. Call after the results are stored."""
-    mine = [p for s, p in _WRITTEN if s is spark]
+    mine = [p for p, s in list(_WRITTEN.items()) if s is spark]
     for path in mine:
-        _delete(spark, path)
-    _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if s is not spark]
+        _forget(spark, path)
     if mine and not _WRITTEN:
         _delete(spark, _home(spark))
     return len(mine)
@@ -86,35 +98,38 @@ class Workspace:
     """The intermediate tables of one call of an operator: all go at the end, also after a failure, but those that its result reads.
 
     ``with Workspace(spark) as w: ...; return w.result(df, table, ...)``
+
+    A workspace knows the paths that were written in it. What the result of a nested call reads is lent to the workspace around it, which deletes
+    it if it fails or settles, else hands it on. So calls in other threads, or that began before, keep their tables whatever happens here.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.held, self.kept = spark, {}, set()
+        self.spark, self.own, self.lent, self.kept = spark, set(), set(), set()
 
     def __enter__(self) -> Workspace:
-        self.mark = len(_WRITTEN)
+        _workspaces().append(self)
         return self
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return self.adopt(materialise(df, name))
 
     def adopt(self, table: DataFrame) -> DataFrame:
-        self.held[table.timeloom_path] = table
+        """``table``, which a nested call returned, as one of this workspace's own."""
+        self.lent.discard(table.timeloom_path)
+        self.own.add(table.timeloom_path)
         return table
 
     def free(self, *tables: DataFrame) -> None:
-        for t in tables:
-            del self.held[t.timeloom_path]
+        self.own -= {t.timeloom_path for t in tables}
         discard(*tables)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
-        """``df``, written; all else that was written since the workspace began goes."""
-        out = materialise(df, name)
-        for s, p in _WRITTEN[self.mark :]:
-            if s is self.spark and p != out.timeloom_path:
-                self.held.pop(p, None)
-                _forget(s, p)
-        return self.adopt(out)
+        """``df``, written; all else that was written in this workspace goes."""
+        out = self.write(df, name)
+        for path in (self.own | self.lent) - {out.timeloom_path}:
+            _forget(self.spark, path)
+        self.own, self.lent = {out.timeloom_path}, set()
+        return out
 
     def result(self, df: DataFrame, *tables: DataFrame) -> DataFrame:
         """``df``, which reads ``tables``: these stay until ``release``."""
@@ -122,13 +137,12 @@ class Workspace:
         return df
 
     def __exit__(self, failed, *_) -> None:
-        if failed:
-            for s, p in _WRITTEN[self.mark :]:
-                if s is self.spark:
-                    _forget(s, p)
-            return
-        for path in self.held.keys() - self.kept:
+        _workspaces().remove(self)
+        kept = set() if failed else self.kept | self.lent
+        for path in (self.own | self.lent) - kept:
             _forget(self.spark, path)
+        if _workspaces():
+            _workspaces()[-1].lent |= kept
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session has a smaller bound.
