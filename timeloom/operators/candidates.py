@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LABEL, KNOBS, LABELS, Knobs
 from ..functions.text import strip
-from .folds import fold, islands
+from .folds import CHUNK_MS, fold_chunks
 
 ERROR_ORDER = ("not_object", "not_numeric", "not_finite", "inverted", "outside", "too_short", "too_long", "unknown_label", "bad_score", "bad_cues")
 
@@ -80,17 +80,15 @@ def overlap_metrics(df: DataFrame) -> DataFrame:
     return out.withColumn("fuses", F.coalesce(2 * F.col("shared_ms") > F.when(F.col("shorter_ms") > 0, F.col("shorter_ms")), F.lit(False)))
 
 
-def fuse(df: DataFrame, cues: str | None = None, knobs: Knobs = KNOBS) -> DataFrame:
+def fuse(df: DataFrame, cues: str | None = None, knobs: Knobs = KNOBS, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Overlapping intervals of a source become one where they share more than half of the shorter one.
 
     Intervals are taken by (start, end, id), and each is fused into the last kept one or kept itself: the union, cut to the
     longest length, with the higher score, and label, reason and id of the winner (the earlier one of equals).
     Cues are merged, the winner's values first. Adds ``n_fused``, the intervals in each.
 
-    Fusion never crosses a point that no interval spans, so each source is split there first: what is folded in one piece is a
-    run of overlapping intervals, however hot the source.
+    What is folded in one piece is a chunk of a source's time, however hot the source.
     """
-    parts = islands(df, ["source_id"], ["start_ms", "end_ms", "candidate_id"], F.col("start_ms") >= F.col("before_end"), F.max("end_ms"))
     fields = ["start_ms", "end_ms", "candidate_id", "label", "score", "reason", *([cues] if cues else [])]
     wins = "p.score >= x.score"
     one = ", ".join(f"x.{c} AS {c}" for c in fields)
@@ -100,7 +98,7 @@ def fuse(df: DataFrame, cues: str | None = None, knobs: Knobs = KNOBS) -> DataFr
     shorter = "least(p.end_ms - p.start_ms, x.end_ms - x.start_ms)"
     start = "least(p.start_ms, x.start_ms)"
     fused = f"struct({start} AS start_ms, least(greatest(p.end_ms, x.end_ms), {start} + {knobs.candidate_max_ms}L) AS end_ms, {winner}{merged}, p.n_fused + 1L AS n_fused)"
-    return fold(
-        parts, ["source_id", "island"], ["start_ms", "end_ms", "candidate_id"], fields,
-        first=f"struct({one}, 1L AS n_fused)", joins=f"{inter} > 0 AND 2 * {inter} > {shorter}", merged=fused,
-    ).drop("island")
+    return fold_chunks(
+        df, ["source_id"], ["start_ms", "end_ms", "candidate_id"], fields,
+        first=f"struct({one}, 1L AS n_fused)", joins=f"{inter} > 0 AND 2 * {inter} > {shorter}", merged=fused, width=chunk_ms,
+    )

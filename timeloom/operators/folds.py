@@ -1,13 +1,20 @@
-"""Order-dependent folds: each row joins the last kept one, or starts the next."""
+"""Order-dependent folds: each row joins the last kept one, or starts the next.
+
+``fold_chunks`` folds a key of any size in chunks of its time, in parallel; ``fold`` folds a key, or an island of it, in one piece.
+"""
 
 from __future__ import annotations
 
+import atexit
 import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Milliseconds of a key that are folded in one piece.
+CHUNK_MS = 600_000
 #: Kept rows that are appended to before a chunk is closed, so that a fold does not copy all it has kept at every step.
 CHUNK = 64
 
@@ -52,6 +59,66 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], fi
     return rows.select(*keys, F.explode(folded).alias("p_")).select(*keys, "p_.*")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed and kept in the shared folder of ``spark.checkpoint.dir``, so that what follows does not compute it again and
+    survives lost executors. Only a local master gets a folder of its own where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        if not named:
+            folder = tempfile.TemporaryDirectory(prefix="timeloom-")
+            atexit.register(folder.cleanup)
+            named = f"file://{folder.name}"
+        context.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+def fold_chunks(df: DataFrame, keys: list[str], order: list[str], fields: list[str], first: str, joins: str, merged: str, width: int = CHUNK_MS) -> DataFrame:
+    """The rows of ``fold`` over whole keys, by speculation: chunks are folded in parallel and then mended.
+
+    A key is cut into chunks of ``width`` of its first order column, a time. Each chunk is folded as if it were the first.
+    What a chunk leaves as its last kept row is then handed to the next one. Where that row and the next chunk's first do not join, the guess
+    was right. Elsewhere the chunk is folded again from the row handed on, and only if its own last row comes out differently does the mending go on to
+    the chunk after it, in rounds that end when no last row changes. A round costs what the chunks that it mends cost. What is in memory at once is a chunk; no key and no island is. ``order`` must be total. Keys may be null.
+    """
+    rest = [c for c in fields if c not in order]
+    rows = df.select(F.struct(*keys).alias("key_"), F.floor(F.col(order[0]) / width).alias("chunk_"), F.struct(*order, *rest).alias("row_"))
+    rows = rows.groupBy("key_", "chunk_").agg(F.collect_list("row_").alias("rows_"))
+    by = " ".join(f"WHEN a.{c} < b.{c} THEN -1 WHEN a.{c} > b.{c} THEN 1" for c in order)
+    chunks = cut(rows.withColumn("rows_", F.expr(f"array_sort(rows_, (a, b) -> CASE {by} ELSE 0 END)")))
+    start = first.replace("x.", "rows_[0].")
+    kind = chunks.select(F.expr(start).alias("s")).schema["s"].dataType.simpleString()
+    last = f"aggregate(slice(rows_, {{0}}, size(rows_)), CAST({{1}} AS {kind}), (p, x) -> CAST(IF({joins}, {merged}, {first}) AS {kind}))"
+    meets = joins.replace("x.", "head_.")
+    meets = re.sub(r"(?<![A-Za-z_.])p(?=[.,) ])", "in_", meets)
+    none = F.lit(None).cast(kind)
+    state = chunks.select("key_", "chunk_", F.col("rows_")[0].alias("head_"), F.expr(last.format(2, start)).alias("guess_")).withColumns({"in_": none, "out_": F.col("guess_")})
+    state = cut(state)
+    before = Window.partitionBy("key_").orderBy("chunk_")
+    while True:
+        now = state.withColumns({"was_": F.col("in_"), "in_": F.lag("out_").over(before), "old_": F.col("out_")})
+        handed = ~F.col("in_").eqNullSafe(F.col("was_"))
+        again = handed & F.coalesce(F.expr(meets), F.lit(False))
+        kept = now.filter(~again).withColumn("out_", F.when(handed, F.col("guess_")).otherwise(F.col("out_")))
+        on = F.struct("key_", "chunk_")
+        mended = now.filter(again).withColumn("on_", on).join(chunks.select(on.alias("on_"), "rows_"), "on_").withColumn("out_", F.expr(last.format(1, "in_")))
+        columns = ["key_", "chunk_", "head_", "guess_", "in_", "out_", (~F.col("out_").eqNullSafe(F.col("old_"))).alias("moved_")]
+        state = cut(kept.select(*columns).unionByName(mended.select(*columns)))
+        if state.filter("moved_").isEmpty():
+            break
+    ends = state.select(F.struct("key_", "chunk_").alias("on_"), "in_", F.lead("chunk_").over(before).isNull().alias("end_"))
+    step = f"CASE WHEN {_of(joins)} THEN named_struct('done', acc.done, 'cur', acc.cur, 'p', {_of(merged)}) ELSE named_struct({appended('acc', 'acc.p')}, 'p', {first}) END"
+    folded = F.expr(
+        f"aggregate(IF(in_ IS NULL, slice(rows_, 2, size(rows_)), rows_), named_struct('done', CAST(array() AS array<array<{kind}>>), 'cur', CAST(array() AS array<{kind}>), 'p', CAST(coalesce(in_, {start}) AS {kind})), "
+        f"(acc, x) -> CAST({step} AS struct<done:array<array<{kind}>>,cur:array<{kind}>,p:{kind}>), acc -> concat(flatten(acc.done), acc.cur, IF(end_, array(acc.p), CAST(array() AS array<{kind}>))))"
+    )
+    # a chunk gives the rows that were done in it; its last one is the next chunk's to give, or its own at the end
+    out = chunks.withColumn("on_", F.struct("key_", "chunk_")).join(ends, "on_")
+    return out.select("key_", F.explode(folded).alias("p_")).select("key_.*", "p_.*")
+
+
 def _of(merged: str) -> str:
     """``p`` in terms of the accumulator."""
     return re.sub(r"(?<![A-Za-z_.])p(?=[.,) ])", "acc.p", merged)

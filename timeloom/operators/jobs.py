@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import KNOBS, REFRAME_MODES, Knobs
+from .scan import carried
 
 LIVE = ("queued", "running")
+#: Requests of a source that are summed up in one task.
+REQUESTS = 4096
 INTERRUPTED = "Interrupted by a restart."
 
 
@@ -132,7 +135,7 @@ def frame_usage(requests: DataFrame, knobs: Knobs = KNOBS) -> DataFrame:
     rate = F.greatest(F.lit(100), F.least(F.col("fps_m"), F.lit(4000)))
     wanted = F.ceil((F.col("end_ms") - F.col("start_ms")) * rate / 1_000_000)
     rows = requests.withColumn("wanted", wanted.cast("bigint")).withColumn("asked_", F.least("wanted", F.lit(knobs.frames_per_call)))
-    w = Window.partitionBy("source_id").orderBy("seq")
-    used = F.least(F.sum("asked_").over(w), F.lit(knobs.frame_budget)).cast("bigint")
-    rows = rows.withColumn("used", used)
-    return rows.withColumn("take", F.col("used") - F.coalesce(F.lag("used").over(w), F.lit(0))).drop("asked_")
+    rows = carried(rows, ["source_id"], ["seq"], REQUESTS, sums={"before_": F.col("asked_")})
+    left = lambda c: F.least(c, F.lit(knobs.frame_budget)).cast("bigint")
+    rows = rows.withColumn("used", left(F.col("before_") + F.col("asked_")))
+    return rows.withColumn("take", F.col("used") - left(F.col("before_"))).drop("asked_", "before_")

@@ -7,50 +7,46 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_WORDS_PER_LINE, WORDS_PER_LINE
 from ..functions import text as T
-from .folds import appended, fold, islands
+from .folds import CHUNK_MS, appended, fold_chunks, islands
+from .scan import BLOCK_MS
 
 _ORDER = ["start_ms", "end_ms", "seq"]
 
 
-def dedup_words(words: DataFrame, within_ms: int = 50) -> DataFrame:
+def dedup_words(words: DataFrame, within_ms: int = 50, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Drops a word that equals the last kept one and starts within ``within_ms`` of it."""
-    before = F.lag("start_ms").over(Window.partitionBy("source_id").orderBy(*_ORDER))
-    parts = islands(words.withColumn("gap_", F.col("start_ms") - before), ["source_id"], _ORDER, F.col("gap_") >= within_ms)
     one = "struct(x.start_ms AS start_ms, x.end_ms AS end_ms, x.seq AS seq, x.w AS w)"
     same = f"p.w = x.w AND abs(p.start_ms - x.start_ms) < {within_ms}"
-    return fold(parts, ["source_id", "island"], _ORDER, ["w"], first=one, joins=same, merged=one.replace("x.", "p.")).drop("island")
+    return fold_chunks(words, ["source_id"], _ORDER, ["w"], first=one, joins=same, merged=one.replace("x.", "p."), width=chunk_ms)
 
 
-def dedup_segments(segments: DataFrame, near_ms: int = 500, partial_ms: int = 2000) -> DataFrame:
+def dedup_segments(segments: DataFrame, near_ms: int = 500, partial_ms: int = 2000, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Collapses rolling captions: a contiguous repeat extends the last segment, a contiguous longer form replaces it."""
-    parts = islands(segments, ["source_id"], _ORDER, F.col("start_ms") - F.col("before_end") >= near_ms, F.max("end_ms"))
     one = "struct(x.start_ms AS start_ms, x.end_ms AS end_ms, x.seq AS seq, x.text AS text)"
     joins = f"x.start_ms - p.end_ms < {near_ms} AND (p.text = x.text OR (startswith(x.text, p.text) AND x.start_ms - p.start_ms < {partial_ms}))"
     merged = "IF(p.text = x.text, struct(p.start_ms AS start_ms, greatest(p.end_ms, x.end_ms) AS end_ms, p.seq AS seq, p.text AS text), " + one + ")"
-    return fold(parts, ["source_id", "island"], _ORDER, ["text"], first=one, joins=joins, merged=merged).drop("island")
+    return fold_chunks(segments, ["source_id"], _ORDER, ["text"], first=one, joins=joins, merged=merged, width=chunk_ms)
 
 
-def _grouped(words: DataFrame, gap_ms: int, breaks: str) -> DataFrame:
+def _grouped(words: DataFrame, breaks: str, chunk_ms: int) -> DataFrame:
     """Words joined with spaces, until ``breaks`` holds for the group ``p`` and the next word ``x``."""
-    before = F.lag("end_ms").over(Window.partitionBy("source_id").orderBy(*_ORDER))
-    parts = islands(words.withColumn("gap_", F.col("start_ms") - before), ["source_id"], _ORDER, F.col("gap_") > gap_ms)
     first = "struct(x.start_ms AS start_ms, x.end_ms AS end_ms, x.seq AS seq, 1L AS n_words, x.w AS text, x.w AS last)"
     merged = "struct(p.start_ms AS start_ms, x.end_ms AS end_ms, p.seq AS seq, p.n_words + 1L AS n_words, concat(p.text, ' ', x.w) AS text, x.w AS last)"
-    return fold(parts, ["source_id", "island"], _ORDER, ["w"], first=first, joins=f"NOT ({breaks})", merged=merged).drop("island", "last")
+    return fold_chunks(words, ["source_id"], _ORDER, ["w"], first=first, joins=f"NOT ({breaks})", merged=merged, width=chunk_ms).drop("last")
 
 
-def group_words(words: DataFrame) -> DataFrame:
+def group_words(words: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Sentence-like segments: broken at pauses over 1.2 s, spans over 12 s, 30 words, and ends of sentences after 4 s."""
     span = "x.end_ms - p.start_ms"
-    return _grouped(words, 1200, f"x.start_ms - p.end_ms > 1200 OR {span} > 12000 OR p.n_words >= 30 OR (right(p.last, 1) IN ('.', '?', '!') AND {span} > 4000)")
+    return _grouped(words, f"x.start_ms - p.end_ms > 1200 OR {span} > 12000 OR p.n_words >= 30 OR (right(p.last, 1) IN ('.', '?', '!') AND {span} > 4000)", chunk_ms)
 
 
-def caption_lines(words: DataFrame, style: str = "key_phrase") -> DataFrame:
+def caption_lines(words: DataFrame, style: str = "key_phrase", chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Caption lines: broken at the style's words, pauses over 0.7 s, spans over 3.5 s, 30 characters, and punctuation after two words."""
     most = WORDS_PER_LINE.get(style, DEFAULT_WORDS_PER_LINE)
-    return _grouped(words, 700, (
+    return _grouped(words, (
         f"p.n_words >= {most} OR x.start_ms - p.end_ms > 700 OR x.end_ms - p.start_ms > 3500 OR length(p.text) + 1 + length(x.w) > 30 "
-        "OR (right(p.last, 1) IN ('.', '?', '!', ',') AND p.n_words >= 2)"))
+        "OR (right(p.last, 1) IN ('.', '?', '!', ',') AND p.n_words >= 2)"), chunk_ms)
 
 
 def shots(samples: DataFrame, jump_pm: int = 120) -> DataFrame:
@@ -118,9 +114,14 @@ def padded_ends(points: DataFrame, durations: DataFrame) -> DataFrame:
 
 def fit_spans(samples: DataFrame, durations: DataFrame, step_ms: int = 500, bridge_ms: int = 800, min_ms: int = 1200) -> DataFrame:
     """Output-time spans in which nothing was found. ``samples``: (clip_id, out_ms) of empty samples."""
-    w = Window.partitionBy("clip_id").orderBy("out_ms")
-    runs = islands(samples.withColumn("gap_", F.col("out_ms") - F.lag("out_ms").over(w)), ["clip_id"], ["out_ms"], 2 * F.col("gap_") > 3 * step_ms)
-    spans = runs.groupBy("clip_id", "island").agg(F.min("out_ms").alias("start_ms"), (F.max("out_ms") + step_ms).alias("end_ms")).drop("island")
+    # runs are found in blocks of time first, so that what is sorted by clip are runs and not samples; runs that meet at a
+    # block's end are one run by the same rule
+    def runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+        gap = islands(rows, keys, ["first", "last"], 2 * (F.col("first") - F.col("before_end")) > 3 * step_ms, F.max("last"))
+        return gap.groupBy(*keys, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+
+    held = samples.select("clip_id", F.floor(F.col("out_ms") / BLOCK_MS).alias("block_"), F.col("out_ms").alias("first"), F.col("out_ms").alias("last"))
+    spans = runs(runs(held, ["clip_id", "block_"]), ["clip_id"]).select("clip_id", F.col("first").alias("start_ms"), (F.col("last") + step_ms).alias("end_ms"))
     bridged = islands(spans, ["clip_id"], ["start_ms"], F.col("start_ms") - F.col("before_end") > bridge_ms, F.max("end_ms"))
     merged = bridged.groupBy("clip_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
     return merged.join(durations, "clip_id").select("clip_id", "start_ms", F.least("end_ms", "duration_ms").alias("end_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DROP_MS, KNOBS, Knobs
 from ..functions import text as T
+from .scan import BLOCK_MS, carried
 
 
 def keep_segments(spans: DataFrame, silences: DataFrame, knobs: Knobs = KNOBS) -> DataFrame:
@@ -40,15 +41,21 @@ def keep_segments(spans: DataFrame, silences: DataFrame, knobs: Knobs = KNOBS) -
     return ends.select(*keys, F.posexplode("p_").alias("seq", "x")).select(*keys, F.col("seq").cast("bigint").alias("seq"), F.col("x.s").alias("src_start_ms"), F.col("x.e").alias("src_end_ms"))
 
 
+#: Members of a clip that are summed up in one task.
+MEMBERS = 1024
+
+
 def build_timeline(kept: DataFrame, budget_ms: int, knobs: Knobs = KNOBS) -> DataFrame:
     """Kept pieces laid end to end until the budget: the piece that passes it is cut, what follows goes, and members overlap by
     the crossfade. In closed form over running sums."""
-    w = Window.partitionBy("clip_id").orderBy("member", "seq")
-    prior = F.coalesce(F.sum(F.col("src_end_ms") - F.col("src_start_ms")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = min(budget_ms, knobs.clip_max_ms)
-    rows = kept.withColumn("prior_", prior).filter(budget - F.col("prior_") > knobs.min_segment_ms)
+    # a member's pieces are in one block, so the first of them is known there; members before a piece are counted by these
+    opens = F.row_number().over(Window.partitionBy("clip_id", "member").orderBy("seq")) == 1
+    rows = kept.withColumn("opens_", opens.cast("bigint"))
+    rows = carried(rows, ["clip_id"], ["member", "seq"], MEMBERS, sums={"prior_": F.col("src_end_ms") - F.col("src_start_ms"), "m_": F.col("opens_")})
+    rows = rows.filter(budget - F.col("prior_") > knobs.min_segment_ms).withColumn("m_", F.col("m_") + F.col("opens_") - 1)
     length = F.least(F.col("src_end_ms") - F.col("src_start_ms"), budget - F.col("prior_"))
-    rows = rows.withColumns({"src_end_ms": F.col("src_start_ms") + length, "m_": F.dense_rank().over(Window.partitionBy("clip_id").orderBy("member")) - 1})
+    rows = rows.withColumn("src_end_ms", F.col("src_start_ms") + length)
     out = (F.col("prior_") - knobs.crossfade_ms * F.col("m_")).cast("bigint")
     return rows.select("clip_id", "member", "seq", "src_start_ms", "src_end_ms", out.alias("out_start_ms"))
 
@@ -69,8 +76,7 @@ def drop_ms(trim) -> F.Column:
 
 def silences_of(words: DataFrame, least_ms: int = 300) -> DataFrame:
     """Gaps between the words of a source."""
-    w = Window.partitionBy("source_id").orderBy("start_ms", "end_ms", "seq")
-    rows = words.withColumn("before_", F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = carried(words, ["source_id"], ["start_ms", "end_ms", "seq"], BLOCK_MS, maxima={"before_": F.col("end_ms")})
     return rows.filter(F.col("start_ms") - F.col("before_") >= least_ms).select("source_id", F.col("before_").alias("sil_start"), F.col("start_ms").alias("sil_end"))
 
 

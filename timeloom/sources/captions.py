@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_unescape_all, strip
+from ..operators.scan import carried
 from ..operators.sequence import dedup_segments, dedup_words, group_words
 
+#: Lines of a file that are numbered in one task.
+LINES = 16_384
 JSON3 = "struct<events: array<struct<tStartMs: bigint, dDurationMs: bigint, segs: array<struct<utf8: string, tOffsetMs: bigint>>>>>"
 # The patterns of the text format.
 STAMP = "[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}"
@@ -46,14 +49,16 @@ def vtt_cues(files: DataFrame) -> DataFrame:
     lines = files.select("source_id", F.posexplode(F.split(F.replace("raw", F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "line"))
     timing = F.col("line").rlike(CUE)
     lines = lines.withColumns({"t_": timing, "blank_": F.trim("line").rlike("^\\s*$")})
-    lines = lines.withColumn("cue", F.sum(F.col("t_").cast("bigint")).over(Window.partitionBy("source_id").orderBy("pos"))).filter("cue > 0")
+    opens = F.col("t_").cast("bigint")
+    lines = carried(lines, ["source_id"], ["pos"], LINES, sums={"before_": opens}, totals={"cues_": opens})
+    lines = lines.withColumn("cue", F.col("before_") + opens).filter("cue > 0")
     body = F.array_sort(F.collect_list(F.when(~F.col("t_"), F.struct("pos", "line", "blank_"))))
-    cues = lines.groupBy("source_id", "cue").agg(F.max(F.when(F.col("t_"), F.col("line"))).alias("head"), body.alias("b_"))
+    cues = lines.groupBy("source_id", "cue").agg(F.max("cues_").alias("cues_"), F.max(F.when(F.col("t_"), F.col("line"))).alias("head"), body.alias("b_"))
     first_blank = F.array_min(F.transform(F.filter("b_", lambda x: x["blank_"]), lambda x: x["pos"]))
     cues = cues.withColumn("stop_", first_blank)
     kept = F.filter("b_", lambda x: F.col("stop_").isNull() | (x["pos"] < F.col("stop_")))
     cues = cues.withColumn("l_", F.transform(kept, lambda x: x["line"]))
-    more = F.lead("cue").over(Window.partitionBy("source_id").orderBy("cue")).isNotNull()
+    more = F.col("cue") < F.col("cues_")
     named = F.col("stop_").isNull() & more & F.coalesce(F.trim(F.get("l_", F.size("l_") - 1)).rlike("^[0-9]+$"), F.lit(False))
     cues = cues.withColumn("n_", named).withColumn("l_", F.when(F.col("n_"), F.slice("l_", F.lit(1), F.size("l_") - 1)).otherwise(F.col("l_")))
     at = lambda i: _ms(F.regexp_extract("head", CUE, i))
