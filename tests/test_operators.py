@@ -147,6 +147,34 @@ def test_interval_join_matches_a_plain_version(spark, how):
     assert got == sorted(want)
 
 
+DAY = 86_400_000
+
+
+@pytest.mark.parametrize("longest", [None, 1000, 10**12])
+def test_intervals_of_all_lengths(spark, longest):
+    """Seconds to months, empty and inverted ones, negative times: both ways of dealing them give the same pairs."""
+    rnd = random.Random(11)
+    lengths = [0, -5, 1, 1000, 60_000, 59_999, 3_600_000, DAY, 30 * DAY, 16 * 60_000, 256 * 60_000, 400 * DAY]
+    make = lambda n: [(rnd.randint(0, 1), i, s, s + rnd.choice(lengths)) for i, s in ((i, rnd.choice([rnd.randint(-DAY, 40 * DAY), 60_000 * rnd.randint(0, 60_000)])) for i in range(n))]
+    a, b = make(70), make(90)
+    left = spark.createDataFrame(a, "k long, i long, ls long, le long")
+    right = spark.createDataFrame(b, "k long, j long, rs long, re long")
+    got = sorted((r.i, r.j) for r in W.interval_join(left, right, ["k"], ("ls", "le"), ("rs", "re"), longest_ms=longest).collect())
+    assert got == sorted((i, j) for k, i, s, e in a for q, j, t, u in b if k == q and u > s and t < e)
+    got = sorted((r.i, r.j) for r in W.point_join(left, right, ["k"], "ls", ("rs", "re"), longest_ms=longest).collect())
+    assert got == sorted((i, j) for k, i, s, _ in a for q, j, t, u in b if k == q and t <= s < u)
+
+
+def test_a_cover_is_small(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s * 60_000 + 7, s * 60_000 + 7 + n) for s in (0, 1, 15, 16, 4_095, 4_097, 123_457) for n in (1, 60_000, 3_600_000, DAY, 30 * DAY)]
+    for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", W._cover(F.col("a"), F.col("b")).alias("c")).collect():
+        under = sorted(x for level, node in r.c for x in range(node * W.FANOUT**level, (node + 1) * W.FANOUT**level))
+        assert under == list(range(r.a // 60_000, (r.b - 1) // 60_000 + 1))
+        assert len(r.c) <= 2 * (W.FANOUT - 1) * W.LEVELS and (r.b - r.a < DAY or len(r.c) < (r.b - r.a) // 60_000 // 8)
+
+
 def test_chunks_and_knobs(spark):
     from pyspark.sql import functions as F
 

@@ -97,14 +97,16 @@ def fold_chunks(df: DataFrame, keys: list[str], order: list[str], fields: list[s
     state = chunks.select("key_", "chunk_", F.col("rows_")[0].alias("head_"), F.expr(last.format(2, start)).alias("guess_")).withColumns({"in_": none, "out_": F.col("guess_")})
     state = cut(state)
     before = Window.partitionBy("key_").orderBy("chunk_")
+    # maps cannot be compared, their text can
+    plain = lambda c: F.to_json(c) if "map<" in kind else F.col(c)
     while True:
         now = state.withColumns({"was_": F.col("in_"), "in_": F.lag("out_").over(before), "old_": F.col("out_")})
-        handed = ~F.col("in_").eqNullSafe(F.col("was_"))
+        handed = ~plain("in_").eqNullSafe(plain("was_"))
         again = handed & F.coalesce(F.expr(meets), F.lit(False))
         kept = now.filter(~again).withColumn("out_", F.when(handed, F.col("guess_")).otherwise(F.col("out_")))
         on = F.struct("key_", "chunk_")
         mended = now.filter(again).withColumn("on_", on).join(chunks.select(on.alias("on_"), "rows_"), "on_").withColumn("out_", F.expr(last.format(1, "in_")))
-        columns = ["key_", "chunk_", "head_", "guess_", "in_", "out_", (~F.col("out_").eqNullSafe(F.col("old_"))).alias("moved_")]
+        columns = ["key_", "chunk_", "head_", "guess_", "in_", "out_", (~plain("out_").eqNullSafe(plain("old_"))).alias("moved_")]
         state = cut(kept.select(*columns).unionByName(mended.select(*columns)))
         if state.filter("moved_").isEmpty():
             break

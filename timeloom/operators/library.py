@@ -34,8 +34,9 @@ def library_index(**kinds: DataFrame) -> DataFrame:
 
 
 def source_by_url(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """``requests`` (project, url) with the id of the source that was fetched before, the first by id; null for a new one."""
-    known = sources.groupBy("project", "url").agg(F.min("source_id").alias("source_id"))
+    """``requests`` (project, url) with the id of the source that was fetched before; null for a new one. Of several ``sources``
+    (project, url, path, source_id) it is the first by the path of its record, in the order of paths as texts."""
+    known = sources.groupBy("project", "url").agg(F.min_by("source_id", F.struct("path", "source_id")).alias("source_id"))
     return requests.join(known, ["project", "url"], "left")
 
 

@@ -9,6 +9,8 @@ from ..config import KNOBS, Knobs
 
 #: Width of the buckets that interval joins are dealt by.
 BUCKET_MS = 60_000
+#: Stretches of an output timeline are parts of valid candidates, so they are no longer than these.
+STRETCH_MS = KNOBS.candidate_max_ms
 
 
 def stride(knobs: Knobs = KNOBS) -> int:
@@ -46,27 +48,63 @@ def _buckets(start: Column, end: Column) -> Column:
     return F.sequence(F.floor(start / BUCKET_MS), last)
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lt: tuple[str, str], rt: tuple[str, str], how: str = "inner") -> DataFrame:
+#: Time buckets of a node's children in the tree of times, and levels of the tree: buckets of a minute, 16 minutes, 4 hours, 3 days.
+FANOUT, LEVELS = 16, 4
+#: Spans that may be longer than this are dealt to a tree of times instead of to all buckets that they touch.
+BUCKETED_MS = 15 * BUCKET_MS
+
+
+def _cover(start: Column, end: Column) -> Column:
+    """Nodes (level, node) that together hold the buckets which a span touches, each bucket under one of them: of a level
+    below the top at most two runs, each shorter than ``FANOUT``, or one shorter than two of them."""
+    low = F.floor(start / BUCKET_MS)
+    high = F.greatest(F.floor((end - 1) / BUCKET_MS), low) + 1
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(F.lit(level).alias("level"), x.alias("node")))).otherwise(none)
+    parts, open_ = [], F.lit(True)
+    for level in range(LEVELS):
+        up_low, up_high = F.ceil(low / FANOUT), F.floor(high / FANOUT)
+        wraps = (up_low < up_high) & F.lit(level + 1 < LEVELS)
+        mine = F.when(wraps, F.concat(run(level, low, up_low * FANOUT), run(level, up_high * FANOUT, high))).otherwise(run(level, low, high))
+        parts.append(F.when(open_, mine).otherwise(none))
+        low, high, open_ = up_low, up_high, open_ & wraps
+    return F.concat(*parts)
+
+
+def _ancestors(at: Column) -> Column:
+    """The node of each level that holds a point."""
+    bucket = F.floor(at / BUCKET_MS)
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.floor(bucket / FANOUT**level).alias("node")) for level in range(LEVELS)])
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lt: tuple[str, str], rt: tuple[str, str], how: str = "inner", longest_ms: int | None = None) -> DataFrame:
     """Pairs with equal keys whose half-open intervals overlap: ``r.end > l.start and r.start < l.end``.
 
-    Both sides are dealt to time buckets and equi-joined on them; a pair is taken only in the first bucket that both
-    touch. So a hot key spreads over its timeline, and no pair outside a common bucket is looked at. Columns of
-    the sides must differ but for the keys. ``how``: inner, or left.
+    ``longest_ms``: how long intervals of both sides are, as far as is known. Up to ``BUCKETED_MS`` both sides are dealt to the time buckets
+    that they touch and equi-joined on them; a pair is taken only in the first bucket that both touch. Else a pair is met where one side's
+    start lies in the other: starts are joined with intervals through a tree of times, by ``point_join``, so that an interval of a
+    month is a few rows for each level of the tree and not one for each of its minutes. Longer intervals than said cost rows, but change no
+    result. So a hot key spreads over its timeline, and only what shares a node is looked at. Columns of
+    the sides must differ but for the keys. ``how``: inner, or left (which is dealt to buckets).
     """
+    met = (F.col(rt[1]) > F.col(lt[0])) & (F.col(rt[0]) < F.col(lt[1]))
+    if how == "inner" and (longest_ms is None or longest_ms > BUCKETED_MS):
+        in_left = point_join(right, left, keys, rt[0], lt).filter(met)
+        in_right = point_join(left, right, keys, lt[0], rt).filter(met & (F.col(rt[0]) < F.col(lt[0])))
+        columns = [*left.columns, *[c for c in right.columns if c not in keys]]
+        return in_left.select(*columns).unionByName(in_right.select(*columns))
     ident = "ij_row"
     dealt = left.withColumn(ident, F.monotonically_increasing_id()) if how == "left" else left
     a = dealt.withColumn("ij_b", F.explode(_buckets(F.col(lt[0]), F.col(lt[1]))))
     b = right.withColumn("ij_b", F.explode(_buckets(F.col(rt[0]), F.col(rt[1]))))
     first = F.col("ij_b") == F.greatest(F.floor(F.col(lt[0]) / BUCKET_MS), F.floor(F.col(rt[0]) / BUCKET_MS))
-    met = a.join(b, [*keys, "ij_b"]).filter((F.col(rt[1]) > F.col(lt[0])) & (F.col(rt[0]) < F.col(lt[1])) & first)
     if how == "inner":
-        return met.drop("ij_b")
+        return a.join(b, [*keys, "ij_b"]).filter(met & first).drop("ij_b")
     # a left row without a partner is taken from its first bucket, where it is joined with nulls
     own = [c for c in right.columns if c not in keys]
     flagged = a.withColumn("ij_first", F.col("ij_b") == F.floor(F.col(lt[0]) / BUCKET_MS))
     pairs = flagged.join(b, [*keys, "ij_b"], "left")
-    hit = F.coalesce((F.col(rt[1]) > F.col(lt[0])) & (F.col(rt[0]) < F.col(lt[1])) & first, F.lit(False))
-    pairs = pairs.withColumn("ij_hit", hit)
+    pairs = pairs.withColumn("ij_hit", F.coalesce(met & first, F.lit(False)))
     any_hit = F.max("ij_hit").over(Window.partitionBy(*keys, ident))
     rank = F.row_number().over(Window.partitionBy(*keys, ident).orderBy(F.desc("ij_hit"), F.desc("ij_first")))
     pairs = pairs.withColumns({"ij_any": any_hit, "ij_rank": rank}).filter(F.col("ij_hit") | (~F.col("ij_any") & (F.col("ij_rank") == 1)))
@@ -74,8 +112,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lt: tuple[
     return pairs.select(*left.columns, *nulled)
 
 
-def point_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, st: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Each point with the spans that hold it: ``start <= at < end``."""
+def point_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, st: tuple[str, str], how: str = "inner", longest_ms: int | None = None) -> DataFrame:
+    """Each point with the spans that hold it: ``start <= at < end``.
+
+    Where spans are no longer than ``BUCKETED_MS``, as ``longest_ms`` says, points and spans meet in the time buckets that spans touch. Else spans
+    are dealt to the nodes of a tree of times that cover them, and points to the nodes above them, one a level. A point is under
+    one node of a span at most, so no pair is met twice. ``how``: inner, or left (which is dealt to buckets)."""
+    if how == "inner" and (longest_ms is None or longest_ms > BUCKETED_MS):
+        a = points.withColumn("pj_node", F.explode(_ancestors(F.col(at))))
+        b = spans.filter(F.col(st[1]) > F.col(st[0])).withColumn("pj_node", F.explode(_cover(F.col(st[0]), F.col(st[1]))))
+        return a.join(b, [*keys, "pj_node"]).filter((F.col(st[0]) <= F.col(at)) & (F.col(at) < F.col(st[1]))).drop("pj_node")
     a = points.withColumn("pj_b", F.floor(F.col(at) / BUCKET_MS))
     b = spans.withColumn("pj_b", F.explode(_buckets(F.col(st[0]), F.col(st[1])))).filter(F.col(st[1]) > F.col(st[0]))
     b = b.select(*[F.col(c).alias(f"pj_{c}") if c in keys or c == "pj_b" else F.col(c) for c in b.columns])
@@ -86,10 +132,10 @@ def point_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, st
     return a.join(b, cond, how).drop("pj_b", "pj_pj_b", *[f"pj_{k}" for k in keys])
 
 
-def span_text(spans: DataFrame, segments: DataFrame, limit: int = 2000) -> DataFrame:
-    """``spans`` with the text of the segments that each overlaps, in order, cut to ``limit`` characters."""
+def span_text(spans: DataFrame, segments: DataFrame, limit: int = 2000, longest_ms: int | None = KNOBS.candidate_max_ms) -> DataFrame:
+    """``spans``, which are no longer than ``longest_ms`` as far as is known, as segments are, with the text of the segments that each overlaps, in order, cut to ``limit`` characters."""
     seg = segments.select("source_id", F.col("seq").alias("g_seq"), F.col("start_ms").alias("g_start"), F.col("end_ms").alias("g_end"), F.col("text").alias("g_text"))
-    met = interval_join(spans.select("source_id", "candidate_id", "start_ms", "end_ms"), seg, ["source_id"], ("start_ms", "end_ms"), ("g_start", "g_end"))
+    met = interval_join(spans.select("source_id", "candidate_id", "start_ms", "end_ms"), seg, ["source_id"], ("start_ms", "end_ms"), ("g_start", "g_end"), longest_ms=longest_ms)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("g_start", "g_seq", "g_text"))), lambda x: x["g_text"])
     text = met.groupBy("source_id", "candidate_id").agg(F.substring(F.array_join(ordered, " "), 1, limit).alias("text"))
     return spans.drop("text").join(text, ["source_id", "candidate_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
@@ -99,7 +145,7 @@ def map_words(words: DataFrame, timeline: DataFrame) -> DataFrame:
     """Words on the output timeline: by the first stretch that holds their middle, clamped to it; words in dropped air go."""
     mid = words.withColumn("mid2", F.col("start_ms") + F.col("end_ms"))
     t = timeline.select(F.col("clip_id").alias("source_id"), F.col("seq").alias("t_seq"), (F.col("src_start_ms") * 2).alias("t_lo"), (F.col("src_end_ms") * 2).alias("t_hi"), "src_start_ms", "src_end_ms", "out_start_ms")
-    met = point_join(mid, t, ["source_id"], "mid2", ("t_lo", "t_hi"))
+    met = point_join(mid, t, ["source_id"], "mid2", ("t_lo", "t_hi"), longest_ms=2 * STRETCH_MS)
     rank = F.row_number().over(Window.partitionBy("source_id", "seq").orderBy("t_seq"))
     met = met.withColumn("rank_", rank).filter("rank_ = 1")
     start = F.greatest("start_ms", "src_start_ms") - F.col("src_start_ms") + F.col("out_start_ms")
@@ -112,7 +158,7 @@ def map_times(points: DataFrame, timeline: DataFrame, at: str = "t_ms") -> DataF
     """``points`` with ``out_ms``: where their time is on the output timeline, or null."""
     t = timeline.select("clip_id", F.col("seq").alias("t_seq"), "src_start_ms", "src_end_ms", "out_start_ms")
     # distinct times are mapped and joined back: points of a clip at one time stay as many as they are
-    met = point_join(points.select("clip_id", at).distinct(), t, ["clip_id"], at, ("src_start_ms", "src_end_ms"))
+    met = point_join(points.select("clip_id", at).distinct(), t, ["clip_id"], at, ("src_start_ms", "src_end_ms"), longest_ms=STRETCH_MS)
     out = F.col("out_start_ms") + F.col(at) - F.col("src_start_ms")
     met = met.groupBy("clip_id", at).agg(F.min_by(out, "t_seq").alias("out_ms"))
     return points.join(met, ["clip_id", at], "left").select(*points.columns, "out_ms")
@@ -122,7 +168,7 @@ def map_cues(segments: DataFrame, timeline: DataFrame) -> DataFrame:
     """Cues on the output timeline: start and end less 10 ms (but not before the start) are mapped each; cues with an end in dropped air, or inverted, go."""
     ends = segments.select(F.col("source_id").alias("clip_id"), "seq", "text", F.posexplode(F.array(F.col("start_ms"), F.greatest(F.col("end_ms") - 10, F.col("start_ms")))).alias("side", "t_ms"))
     t = timeline.select("clip_id", F.col("seq").alias("t_seq"), "src_start_ms", "src_end_ms", "out_start_ms")
-    met = point_join(ends, t, ["clip_id"], "t_ms", ("src_start_ms", "src_end_ms")).withColumn("out", F.col("out_start_ms") + F.col("t_ms") - F.col("src_start_ms"))
+    met = point_join(ends, t, ["clip_id"], "t_ms", ("src_start_ms", "src_end_ms"), longest_ms=STRETCH_MS).withColumn("out", F.col("out_start_ms") + F.col("t_ms") - F.col("src_start_ms"))
     first = lambda side: F.min_by(F.when(F.col("side") == side, F.col("out")), F.when(F.col("side") == side, F.col("t_seq")))
     out = met.groupBy("clip_id", "seq", "text").agg(first(0).alias("start_ms"), first(1).alias("end_ms"))
     return out.filter("start_ms is not null and end_ms is not null and end_ms > start_ms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import KNOBS
 from ..operators import candidates as C
 from ..operators import windows as W
 from . import adapter as A
@@ -32,7 +33,7 @@ SELECT source_id, chunk, n, seq, start_ms, end_ms, total_available, total_availa
 
 def slice_segments(spark, sf):
     seg = A.segments(spark, sf).select("source_id", F.col("seq").alias("g_seq"), F.col("start_ms").alias("g_start"), F.col("end_ms").alias("g_end"))
-    met = W.interval_join(A.candidates(spark, sf), seg, ["source_id"], ("start_ms", "end_ms"), ("g_start", "g_end"))
+    met = W.interval_join(A.candidates(spark, sf), seg, ["source_id"], ("start_ms", "end_ms"), ("g_start", "g_end"), longest_ms=KNOBS.candidate_max_ms)
     return met.groupBy("candidate_id").agg(F.count("*").alias("n_segments"), F.min("g_start").alias("first_ms"), F.max("g_end").alias("last_ms"))
 
 
@@ -53,7 +54,7 @@ SPAN_TEXT_SQL = f"WITH {CAND_SQL}, {SEG_SQL}, {TEXT_CTE} SELECT candidate_id, CA
 def words_in_span(spark, sf):
     words = A.long_words(spark, sf).select("source_id", "seq", (F.col("start_ms") + F.col("end_ms")).alias("mid2"))
     spans = A.candidates(spark, sf).select("source_id", "candidate_id", (F.col("start_ms") * 2).alias("lo2"), (F.col("end_ms") * 2).alias("hi2"))
-    met = W.point_join(words, spans, ["source_id"], "mid2", ("lo2", "hi2"))
+    met = W.point_join(words, spans, ["source_id"], "mid2", ("lo2", "hi2"), longest_ms=2 * KNOBS.candidate_max_ms)
     return met.groupBy("candidate_id").agg(F.count("*").alias("n_words"), F.min("seq").alias("first_seq"))
 
 
@@ -124,7 +125,46 @@ CLIP_TEXT_SQL = f"""WITH {WORDS_SQL}, {TIMELINE_SQL}, m AS (SELECT w.source_id,
   FROM words w JOIN tl t ON w.source_id = t.clip_id AND 2 * t.src_start_ms <= w.start_ms + w.end_ms AND w.start_ms + w.end_ms < 2 * t.src_end_ms)
 SELECT source_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY s, seq)) AS text_md5 FROM m GROUP BY source_id"""
 
+def _stays(spark, sf):
+    """Stays at a supplier, from seconds to a month: by line number, items as seconds or hours, or up to thirty days."""
+    day, unit = F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint") * 86_400_000, F.col("l_quantity").cast("bigint")
+    length = F.when(F.col("l_linenumber") % 3 == 0, unit * 1000).when(F.col("l_linenumber") % 3 == 1, unit * 3_600_000).otherwise((F.col("l_orderkey") % 30 + 1) * 86_400_000)
+    start = day + F.col("l_orderkey") % 86_400 * 1000
+    return A.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 100).alias("place"), "l_orderkey", "l_linenumber", start.alias("from_ms"), (start + length).alias("till_ms"))
+
+
+_STAYS = """stays AS (SELECT l_suppkey % 100 AS place, l_orderkey, l_linenumber, d AS from_ms, d + CASE l_linenumber % 3 WHEN 0 THEN CAST(l_quantity AS BIGINT) * 1000 WHEN 1 THEN CAST(l_quantity AS BIGINT) * 3600000 ELSE (l_orderkey % 30 + 1) * 86400000 END AS till_ms
+  FROM (SELECT *, date_diff('day', DATE '1992-01-01', l_shipdate) * 86400000 + l_orderkey % 86400 * 1000 AS d FROM lineitem)),
+calls AS (SELECT o_custkey % 100 AS place, o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate) * 86400000 + o_orderkey % 86400 * 1000 AS at_ms FROM orders)"""
+
+
+def _calls(spark, sf):
+    at = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("bigint") * 86_400_000 + F.col("o_orderkey") % 86_400 * 1000
+    return A.table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("place"), "o_orderkey", at.alias("at_ms"))
+
+
+def mixed_points(spark, sf):
+    """Orders at a place, and the stays there at that time, however long these are."""
+    met = W.point_join(_calls(spark, sf), _stays(spark, sf), ["place"], "at_ms", ("from_ms", "till_ms"))
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_stays"), F.min("from_ms").alias("first_ms"), F.max("till_ms").alias("last_ms"))
+
+
+MIXED_POINTS_SQL = f"""WITH {_STAYS} SELECT o_orderkey, count(*) AS n_stays, min(from_ms) AS first_ms, max(till_ms) AS last_ms FROM calls c JOIN stays s ON c.place = s.place AND from_ms <= at_ms AND at_ms < till_ms GROUP BY o_orderkey"""
+
+
+def mixed_intervals(spark, sf):
+    """Stays and visits of an hour to a week at a place that overlap."""
+    at = F.col("at_ms")
+    visits = _calls(spark, sf).select("place", "o_orderkey", at.alias("v_from"), (at + F.when(F.col("o_orderkey") % 2 == 0, 3_600_000).otherwise(604_800_000)).alias("v_till"))
+    met = W.interval_join(visits, _stays(spark, sf), ["place"], ("v_from", "v_till"), ("from_ms", "till_ms"))
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_stays"), F.sum(F.least("v_till", "till_ms") - F.greatest("v_from", "from_ms")).alias("shared_ms"))
+
+
+MIXED_INTERVALS_SQL = f"""WITH {_STAYS}, visits AS (SELECT *, at_ms + CASE WHEN o_orderkey % 2 = 0 THEN 3600000 ELSE 604800000 END AS v_till FROM calls)
+SELECT o_orderkey, count(*) AS n_stays, CAST(sum(least(v_till, till_ms) - greatest(at_ms, from_ms)) AS BIGINT) AS shared_ms FROM visits v JOIN stays s ON v.place = s.place AND till_ms > at_ms AND from_ms < v_till GROUP BY o_orderkey"""
+
 QUERIES = {
+    "mixed_points": (mixed_points, MIXED_POINTS_SQL), "mixed_intervals": (mixed_intervals, MIXED_INTERVALS_SQL),
     "clip_text": (clip_text, CLIP_TEXT_SQL),
     "chunk_bounds": (chunk_bounds, CHUNK_BOUNDS_SQL), "transcript_chunks": (transcript_chunks, CHUNKS_SQL), "slice_segments": (slice_segments, SLICE_SQL), "span_text": (span_text, SPAN_TEXT_SQL),
     "words_in_span": (words_in_span, WORDS_IN_SPAN_SQL), "map_words": (map_words, MAP_WORDS_SQL), "map_times": (map_times, MAP_TIMES_SQL), "map_cues": (map_cues, MAP_CUES_SQL),

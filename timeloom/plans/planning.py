@@ -129,7 +129,7 @@ def _spans(spark, sf):
 def _met(spans, words):
     """Gaps between words, by the members that they touch."""
     s = TL.silences_of(words)
-    met = W.interval_join(spans.select("clip_id", "member", "start_ms", "end_ms"), s.withColumnRenamed("source_id", "clip_id"), ["clip_id"], ("start_ms", "end_ms"), ("sil_start", "sil_end"))
+    met = W.interval_join(spans.select("clip_id", "member", "start_ms", "end_ms"), s.withColumnRenamed("source_id", "clip_id"), ["clip_id"], ("start_ms", "end_ms"), ("sil_start", "sil_end"), longest_ms=W.BUCKETED_MS)
     return met.select("clip_id", "member", "sil_start", "sil_end")
 
 

@@ -195,11 +195,12 @@ SELECT entity_id, kind, min(project) AS project FROM a GROUP BY entity_id, kind"
 
 def source_by_url(spark, sf):
     r = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("p"), (F.col("s_suppkey") % 7).cast("string")).alias("project"), F.concat(F.lit("https://h"), (F.col("s_suppkey") % 60).cast("string"), F.lit(".com/v")).alias("url"))
-    return L.source_by_url(r, _sources(spark, sf))
+    path = F.concat(F.lit("sources/"), F.col("source_id").cast("string"), F.lit("/source.yaml"))
+    return L.source_by_url(r, _sources(spark, sf).withColumn("path", path))
 
 
 BY_URL_SQL = f"""WITH {_SOURCES}, r AS (SELECT s_suppkey, 'p' || (s_suppkey % 7) AS project, 'https://h' || (s_suppkey % 60) || '.com/v' AS url FROM supplier)
-SELECT s_suppkey, project, url, (SELECT min(source_id) FROM sources s WHERE s.project = r.project AND s.url = r.url) AS source_id FROM r"""
+SELECT s_suppkey, project, url, (SELECT arg_min(source_id, 'sources/' || source_id || '/source.yaml') FROM sources s WHERE s.project = r.project AND s.url = r.url) AS source_id FROM r"""
 
 
 def clear_clips(spark, sf):
@@ -252,10 +253,10 @@ SELECT source_id, CAST(CASE WHEN w > 0 AND h > 0 THEN w ELSE 1280 END AS BIGINT)
 
 
 def _requests(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 2 - 1).alias("job_id"))
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2 - 1).alias("job_id")).distinct()
 
 
-_REQ = "req AS (SELECT l_orderkey * 2 - 1 AS job_id FROM lineitem WHERE l_linenumber = 1)"
+_REQ = "req AS (SELECT DISTINCT l_orderkey * 2 - 1 AS job_id FROM lineitem)"
 
 
 def publishable(spark, sf):

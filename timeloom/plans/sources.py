@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..sources import captions as C
 from ..sources import logs as L
+from ..sources import sinks as S
 from . import adapter as A
 from .adapter import CAND_SQL, SAMPLES_SQL, WORDS_SQL
+from .scratch import scratch
 
 
 def _turns(spark, sf):
@@ -68,12 +70,50 @@ def transcripts(spark, sf):
     turn = lambda raw, kind, k: raw.filter(F.col("source_id") % 3 == k).select("source_id", F.lit(kind).alias("kind"), "raw")
     files = turn(_json3(spark, sf), "json3", 0).unionByName(turn(_vtt(spark, sf, True), "vtt", 1)).unionByName(turn(_vtt(spark, sf, False), "vtt", 2))
     words, segments = C.transcript(files)
-    plain = segments.filter(F.col("source_id") % 3 == 2)
-    return words.select("source_id", F.col("w").alias("text"), "start_ms", "end_ms").unionByName(plain.select("source_id", "text", "start_ms", "end_ms"))
+    of = lambda rows, kind, text: rows.select(F.lit(kind).alias("kind"), "source_id", F.col(text).alias("text"), "start_ms", "end_ms")
+    return of(words, "word", "w").unionByName(of(segments, "segment", "text"))
 
 
-TRANSCRIPTS_SQL = f"""{JSON3_SQL.replace("SELECT source_id, w,", "SELECT * FROM (SELECT source_id, w AS text,")}) WHERE source_id % 3 < 2
-UNION ALL SELECT source_id, 'a & b café’s … ' || string_agg(w, ' ' ORDER BY seq) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words WHERE source_id % 3 = 2 GROUP BY source_id, seq // 12"""
+_TIMED = f"""{WORDS_SQL}, timed AS (SELECT source_id, seq, w, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY source_id, seq // 12 ORDER BY seq), end_ms) AS end_ms FROM words),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seq) AS rn FROM timed),
+f(source_id, rn, g, q, s, e, n, t, lw) AS (SELECT source_id, rn, 1, seq, start_ms, end_ms, 1, w, w FROM r WHERE rn = 1
+  UNION ALL SELECT r.source_id, r.rn, CASE WHEN b THEN g + 1 ELSE g END, CASE WHEN b THEN seq ELSE q END, CASE WHEN b THEN start_ms ELSE s END, end_ms, CASE WHEN b THEN 1 ELSE n + 1 END, CASE WHEN b THEN w ELSE t || ' ' || w END, w
+  FROM f JOIN r ON r.source_id = f.source_id AND r.rn = f.rn + 1, LATERAL (SELECT start_ms - e > 1200 OR end_ms - s > 12000 OR n >= 30 OR (right(lw, 1) IN ('.', '?', '!') AND end_ms - s > 4000) AS b)),
+grouped AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source_id, g ORDER BY rn DESC) = 1)"""
+TRANSCRIPTS_SQL = f"""WITH RECURSIVE {_TIMED} SELECT 'word' AS kind, source_id, w AS text, start_ms, end_ms FROM timed WHERE source_id % 3 < 2
+UNION ALL SELECT 'segment', source_id, t, s, e FROM grouped WHERE source_id % 3 < 2
+UNION ALL SELECT 'segment', source_id, 'a & b café’s … ' || string_agg(w, ' ' ORDER BY seq), min(start_ms), max(end_ms) FROM words WHERE source_id % 3 = 2 GROUP BY source_id, seq // 12"""
+
+
+def caption_file(spark, sf):
+    """Files of a source's folder, of all kinds or none: the one to read."""
+    c, k = A.table(spark, sf, "orders"), F.col("o_orderkey")
+    ending = F.get(F.array(*[F.lit(x) for x in (".en.vtt", ".en.json3", ".mp4", ".info.json", "-orig.json3", ".vtt.part", ".de.vtt")]), ((k + F.col("o_custkey")) % 7).cast("int"))
+    path = F.when(k % 11 > 0, F.concat(F.lit("sources/"), F.col("o_custkey").cast("string"), F.lit("/v"), (k % 5).cast("string"), ending))
+    return C.located(c.select(F.col("o_custkey").alias("source_id"), path.alias("path")))
+
+
+CAPTION_FILE_SQL = """WITH p AS (SELECT o_custkey AS source_id, CASE WHEN o_orderkey % 11 > 0 THEN 'sources/' || o_custkey || '/v' || (o_orderkey % 5) || ['.en.vtt', '.en.json3', '.mp4', '.info.json', '-orig.json3', '.vtt.part', '.de.vtt'][(o_orderkey + o_custkey) % 7 + 1] END AS path FROM orders),
+b AS (SELECT source_id, min(path) FILTER (WHERE ends_with(path, '.json3')) AS j, min(path) FILTER (WHERE ends_with(path, '.vtt')) AS v FROM p GROUP BY source_id)
+SELECT source_id, coalesce(j, v) AS path, CASE WHEN j IS NOT NULL THEN 'json3' WHEN v IS NOT NULL THEN 'vtt' ELSE 'none' END AS kind FROM b"""
+
+
+def saved_transcripts(spark, sf):
+    """Transcripts saved as a JSON file each, with one that is broken in three, and read again."""
+    w = _turns(spark, sf)
+    lines = w.groupBy("source_id", "e").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "w"))), lambda x: x["w"]), " ").alias("text"))
+    segments = F.transform(F.array_sort(F.collect_list(F.struct("e", "start_ms", "end_ms", "text"))), lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text")))
+    saved = lines.groupBy("source_id").agg(F.to_json(F.struct("source_id", segments.alias("segments"))).alias("j"))
+    broken = F.when(F.col("source_id") % 3 == 0, F.expr("substring(j, 1, length(j) - 1)")).otherwise(F.col("j"))
+    folder = scratch(spark, "transcripts")
+    # one document a file
+    saved.select(broken.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    back = S.load_json(spark, folder, "source_id long, segments array<struct<start_ms: long, end_ms: long, text: string>>", "*.txt")
+    return back.select("source_id", F.size("segments").cast("bigint").alias("n_segments"), F.md5(F.array_join(F.transform("segments", lambda x: F.concat_ws("|", x["start_ms"], x["end_ms"], x["text"])), "\n")).alias("segments_md5"))
+
+
+SAVED_SQL = f"""WITH {WORDS_SQL}, l AS (SELECT source_id, seq // 12 AS e, min(start_ms) || '|' || max(end_ms) || '|' || string_agg(w, ' ' ORDER BY seq) AS t FROM words GROUP BY source_id, seq // 12)
+SELECT source_id, count(*) AS n_segments, md5(string_agg(t, chr(10) ORDER BY e)) AS segments_md5 FROM l WHERE source_id % 3 <> 0 GROUP BY source_id"""
 
 
 def silence_log(spark, sf):
@@ -114,5 +154,5 @@ PROBE_SQL = """SELECT c_custkey AS source_id, CASE WHEN ok THEN c_name END AS ti
 FROM (SELECT *, c_custkey % 3 = 0 OR c_custkey % 7 <> 1 AS ok FROM customer)"""
 
 QUERIES = {
-    "json3_words": (json3_words, JSON3_SQL), "vtt_segments": (vtt_segments, VTT_SQL), "vtt_words": (vtt_words, VTT_WORDS_SQL), "transcripts": (transcripts, TRANSCRIPTS_SQL), "silence_log": (silence_log, SILENCE_SQL), "rms_log": (rms_log, RMS_SQL), "probe_json": (probe_json, PROBE_SQL),
+    "json3_words": (json3_words, JSON3_SQL), "vtt_segments": (vtt_segments, VTT_SQL), "vtt_words": (vtt_words, VTT_WORDS_SQL), "transcripts": (transcripts, TRANSCRIPTS_SQL), "caption_file": (caption_file, CAPTION_FILE_SQL), "saved_transcripts": (saved_transcripts, SAVED_SQL), "silence_log": (silence_log, SILENCE_SQL), "rms_log": (rms_log, RMS_SQL), "probe_json": (probe_json, PROBE_SQL),
 }

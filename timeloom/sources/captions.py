@@ -18,12 +18,21 @@ CUE = f"({STAMP})\\s*-->\\s*({STAMP})"
 TAG = f"</?[cvbiu][^>]*>|</?{STAMP}>"
 
 
+def located(listing: DataFrame, *more: str) -> DataFrame:
+    """(source_id, path, kind, columns ``more``) of each source of ``listing`` (source_id, path): its word-timed file if it has one, else its
+    cue file, the first by path; null and ``none`` for a source with neither. A source with a null path alone has no files."""
+    kind = F.regexp_extract("path", "\\.(json3|vtt)$", 1)
+    files = listing.withColumn("kind", F.when(kind != "", kind))
+    best = F.min_by(F.struct("path", "kind", *more), F.when(F.col("kind").isNotNull(), F.struct((F.col("kind") != "json3").alias("cues"), "path")))
+    found = files.groupBy("source_id").agg(best.alias("f"))
+    return found.select("source_id", "f.path", F.coalesce("f.kind", F.lit("none")).alias("kind"), *[F.col(f"f.{c}").alias(c) for c in more])
+
+
 def read_captions(spark: SparkSession, folder: str) -> DataFrame:
     """(source_id, kind, raw) of a folder per source: the word-timed file if there is one, else the cue file, the first by name."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json3,vtt}")
     files = files.select(F.col("value").alias("raw"), F.input_file_name().alias("path"))
-    files = files.withColumns({"source_id": F.regexp_extract("path", "([^/]+)/[^/]+$", 1), "kind": F.regexp_extract("path", "\\.([a-z0-9]+)$", 1)})
-    return files.groupBy("source_id").agg(F.min_by(F.struct("kind", "raw"), F.struct((F.col("kind") != "json3").alias("k"), "path")).alias("f")).select("source_id", "f.*")
+    return located(files.withColumn("source_id", F.regexp_extract("path", "([^/]+)/[^/]+$", 1)), "raw").select("source_id", "kind", "raw")
 
 
 def _ms(stamp: Column) -> Column:

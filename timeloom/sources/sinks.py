@@ -47,12 +47,12 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records that are a JSON file each, with ``path``; an absent folder is an empty table, what is no JSON is left out."""
+def load_json(spark: SparkSession, path: str, schema: str, names: str = "*.json") -> DataFrame:
+    """Records that are a JSON file each, with ``path``; an absent folder is an empty table, what is no JSON is left out. ``names``: of files."""
     wanted = f"{schema}, path string"
     if not _there(spark, path):
         return spark.createDataFrame([], wanted)
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").withColumn("path", F.input_file_name())
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).withColumn("path", F.input_file_name())
     return rows.select(F.from_json("value", f"{schema}, broken_ string", {"columnNameOfCorruptRecord": "broken_"}).alias("r"), "path").filter("r.broken_ is null and r is not null").select("r.*", "path").drop("broken_")
 
 
