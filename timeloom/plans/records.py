@@ -9,7 +9,9 @@ from ..operators import jobs as J
 from ..operators import library as L
 from ..operators import sequence as S
 from ..sources import sinks as K
-from ..streaming.stateful import TRANSITIONS, job_transitions
+from ..streaming.expiry import EXPIRIES, expiries, rocks
+from ..streaming.stateful import TRANSITIONS, job_lifecycle, job_transitions
+from ..streaming.upserts import INDEX, index_upserts, read_table
 from . import adapter as A
 from .adapter import CAND_SQL, table
 from .scratch import scratch
@@ -404,7 +406,57 @@ STREAM_SQL = """WITH m(kind, old, new, accepted) AS (VALUES (0, '', 'queued', tr
   (1, '', 'running', false), (1, '', 'queued', true), (1, 'queued', 'failed', true), (2, '', 'queued', true), (2, 'queued', 'done', false))
 SELECT CAST(c_custkey AS BIGINT) AS job_id, old, new, accepted FROM customer JOIN m ON kind = c_custkey % 3"""
 
+def _arriving(spark, rows, name, batches=3):
+    """``rows`` (with ``batch_``, from 0) as a stream of as many batches, and a last one to move the watermark."""
+    path = scratch(spark, name)
+    for i in range(batches):
+        rows.filter(F.col("batch_") == i).drop("batch_").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("batch_").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ran(stream, state, **options):
+    """The stream, run over all that is there."""
+    run = stream.option("checkpointLocation", f"{state}-state").trigger(availableNow=True).start(**options)
+    run.awaitTermination()
+
+
+def late_events(spark, sf):
+    """The histories of ``job_stream``, whose last events arrive first; the result is in the order of events all the same."""
+    k = F.col("c_custkey")
+    told = lambda *x: F.array(*map(F.lit, x))
+    steps = F.when(k % 3 == 0, told("queued", "running", "done", "running")).when(k % 3 == 1, told("running", "queued", "failed")).otherwise(told("queued", "done"))
+    rows = table(spark, sf, "customer").select(k.cast("bigint").alias("job_id"), F.posexplode(steps).alias("i", "status"))
+    rows = rows.select("job_id", "status", F.timestamp_seconds(F.col("i") * 60).alias("ts"), F.when(F.col("i") % 2 == 1, 0).otherwise(1).alias("batch_"))
+    end = spark.range(2).select(F.lit(-1).cast("bigint").alias("job_id"), F.lit("queued").alias("status"), F.timestamp_seconds(F.lit(10**6)).alias("ts"), (F.col("id") + 2).cast("int").alias("batch_"))
+    stream, path = _arriving(spark, rows.unionByName(end), "late-in", 4), scratch(spark, "late")
+    _ran(job_lifecycle(stream).writeStream.format("parquet"), path, path=path)
+    return spark.read.schema(TRANSITIONS).parquet(path).filter("job_id >= 0").select("job_id", "old", "new", "accepted")
+
+
+def expiry_stream(spark, sf):
+    """Exports as a stream in two batches; the watermark comes to now."""
+    e = _exports(spark, sf).select(F.col("batch_id").alias("export_id"), "created_ms", "ttl_hours")
+    # a timer goes off when the watermark reaches it, so that comes to one before now
+    rows = e.withColumns({"ts": F.timestamp_millis(F.col("created_ms") - 1), "batch_": (F.col("created_ms") > NOW - 500 * 3_600_000).cast("int")})
+    end = spark.range(2).select(F.lit(-1).cast("bigint").alias("export_id"), F.lit(NOW).cast("bigint").alias("created_ms"), F.lit(10**6).cast("bigint").alias("ttl_hours"), F.timestamp_millis(F.lit(NOW - 1)).alias("ts"), (F.col("id") + 2).cast("int").alias("batch_"))
+    # rows of one batch may be older than those of another by all of their range
+    stream, path = _arriving(spark, rows.unionByName(end.select(rows.columns)), "expiry-in", 4), scratch(spark, "expiry")
+    with rocks(spark):
+        _ran(expiries(stream).writeStream.format("parquet"), path, path=path)
+    return spark.read.schema(EXPIRIES).parquet(path).select(F.col("export_id").alias("batch_id"), T.iso(F.col("expires_ms")).alias("expires_at"))
+
+
+def index_stream(spark, sf):
+    """The index of ``library_index``, kept by a stream of three batches."""
+    part = lambda rows, kind, i: rows.select(F.col(f"{kind}_id").cast("string").alias("entity_id"), F.lit(kind).alias("kind"), "project", F.lit(i).alias("batch_"))
+    rows = part(_sources(spark, sf), "source", 0).unionByName(part(_clips(spark, sf), "clip", 1)).unionByName(part(_exports(spark, sf), "batch", 2))
+    stream, path = _arriving(spark, rows, "index-in"), scratch(spark, "index")
+    _ran(stream.writeStream.foreachBatch(index_upserts(path)), path)
+    return read_table(spark, path, INDEX)
+
+
 QUERIES = {
+    "late_events": (late_events, STREAM_SQL), "expiry_stream": (expiry_stream, EXPORTS_SQL), "index_stream": (index_stream, INDEX_SQL),
     "live_clients": (live_clients, CLIENTS_SQL), "first_answer": (first_answer, ANSWER_SQL), "saved_records": (saved_records, SAVED_SQL), "receipts_tail": (receipts_tail, RECEIPTS_SQL), "job_stream": (job_stream, STREAM_SQL),
     "queue_depth": (queue_depth, QUEUE_SQL), "live_jobs": (live_jobs, LIVE_SQL), "pending_fetch": (pending_fetch, PENDING_SQL), "latest_failure": (latest_failure, FAILURE_SQL), "claim_next": (claim_next, CLAIM_SQL),
     "reconcile": (reconcile, RECONCILE_SQL), "fail_jobs": (fail_jobs, FAIL_SQL), "job_view": (job_view, VIEW_SQL), "enqueue_renders": (enqueue_renders, ENQUEUE_SQL), "expired_sources": (expired_sources, EXPIRED_SQL),
