@@ -6,19 +6,26 @@ row per word of the templates. Each template is then indexed under its words of
 up there, rarest first; the postings of a template are intersected by relative position (position in the file less position in the template), and each
 alignment is accepted only if the template's mandatory key phrases stand word for word where it puts them.
 
+Templates are a parameter: pairs of label and text, or a table of such, as of whole licence texts (``MOST_TEMPLATES`` at most). Brackets mark the phrases
+that must stand word for word. A text without any has one chosen by IDF: of ``KEY_WORDS`` words in a row those that are rarest in all documents
+and in the fewest templates, so that what licences share does not tell one from another.
+
 Short base phrases go through the same index: each is looked up under its rarest word and verified in place.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case. Defined cases: a null or empty text has
 no words, no label and score 0; repeated rows are scanned each by itself; only ``doc_id`` and ``text`` are read; a phrase at several places counts each; overlapping places of different
-phrases all count; texts of any length are read whole, in time proportional to their words.
+phrases all count; texts of any length are read whole, in time proportional to their words; a null ``doc_id`` stays null; an empty
+table gives an empty table; a template without words, or with a null label or text, is none.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +58,10 @@ TEMPLATES = [
 ]
 #: Words of a template that it is indexed under. A file must hold all of them.
 ANCHORS = 2
+#: Words of the phrase that must stand word for word, where a template marks none.
+KEY_WORDS = 12
+#: Templates that a scan takes; they are held in every task.
+MOST_TEMPLATES = 10_000
 
 # Bytes to words: all but 0-9, a-z, A-Z and bytes of other characters is a space, A-Z is lower-cased.
 _WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -69,27 +80,41 @@ class Template:
 
 
 def parse_template(label: str, text: str) -> Template:
+    """Marked phrases are mandatory; without any the list is empty, and ``Index`` chooses one."""
     words, mandatory, opened = [], [], None
-    for w in text.split():
-        if w.startswith("["):
+    for part in re.split(r"([\[\]])", text):
+        if part == "[":
             opened = len(words)
-        words.append(w.strip("[]").encode())
-        if w.endswith("]"):
+        elif part == "]" and opened is not None and len(words) > opened:
             mandatory.append((opened, words[opened:]))
+            opened = None
+        elif part not in ("[", "]"):
+            words += words_of(part)
     return Template(label, words, mandatory)
 
 
-def vocabulary() -> list[bytes]:
-    return sorted({w for label, t in TEMPLATES for w in parse_template(label, t).words} | {w for p in BASE for w in p.encode().split()})
+def parsed(templates: list[tuple[str, str]] | DataFrame | None) -> list[Template]:
+    """Templates of a list or of a table (label, text); None: the notices of this module."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("label", "text").distinct().orderBy("label", "text").limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = [(r.label, r.text) for r in rows]
+    made = [parse_template(label, text) for label, text in (TEMPLATES if templates is None else templates) if label and text]
+    return [t for t in made if t.words]
+
+
+def vocabulary(templates: list[Template]) -> list[bytes]:
+    return sorted({w for t in templates for w in t.words} | {w for p in BASE for w in p.encode().split()})
 
 
 class Index:
     """Templates and base phrases by their rarest words. ``frequency``: documents that hold each word, of ``total``."""
 
-    def __init__(self, frequency: dict[bytes, int], total: int):
-        self.idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for w in vocabulary()}
+    def __init__(self, templates: list[Template], frequency: dict[bytes, int], total: int):
+        self.idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for w in vocabulary(templates)}
         rarest = lambda ws: sorted(set(ws), key=lambda w: (-self.idf[w], w))
-        self.templates = [parse_template(label, t) for label, t in TEMPLATES]
+        self.templates = self._with_phrases(templates)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, t in enumerate(self.templates):
             for a in rarest(w for _, ws in t.mandatory for w in ws)[:ANCHORS]:
@@ -102,6 +127,21 @@ class Index:
             self.base[a].append((ws.index(a), ws, label))
         self.keys = self.postings.keys() | self.base.keys()
 
+    def _with_phrases(self, templates: list[Template]) -> list[Template]:
+        """Templates that mark no phrase with the one that tells them best: the words with the highest sum of IDF over documents
+        and over templates, the first of equals."""
+        held = Counter(w for t in templates for w in set(t.words))
+        worth = {w: self.idf[w] + math.log((len(templates) + 1) / n) for w, n in held.items()}
+        out = []
+        for t in templates:
+            if not t.mandatory:
+                n = min(KEY_WORDS, len(t.words))
+                sums = [0.0, *accumulate(worth[w] for w in t.words)]
+                start = max(range(len(t.words) - n + 1), key=lambda i: (round(sums[i + n] - sums[i], 9), -i))
+                t = Template(t.label, t.words, [(start, t.words[start : start + n])])
+            out.append(t)
+        return out
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], set[str], float]:
         """Base places with their labels, the labels of verified templates, and the score."""
         there = self.keys & set(words)
@@ -134,9 +174,9 @@ class Index:
         return sorted(places), labels, best
 
 
-def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
+def word_frequencies(docs: DataFrame, templates: list[Template] | None = None) -> tuple[dict[bytes, int], int]:
     """Document frequency of every licence word over all documents, and their number. At most a row per licence word arrives here."""
-    known = frozenset(vocabulary())
+    known = frozenset(vocabulary(parsed(None) if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = Counter(), 0
@@ -154,9 +194,10 @@ def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """A row per document: base places and labels, all labels, and the share of the best template's words that match."""
-    index = Index(*word_frequencies(docs))
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """A row per document: base places and labels, all labels, and the share of the best template's words that match. ``templates``: (label, text)."""
+    known = parsed(templates)
+    index = Index(known, *word_frequencies(docs, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
