@@ -21,7 +21,9 @@ def test_the_rest_passes_without_it(tmp_path):
     for folder in ("timeloom", "tests"):
         shutil.copytree(f"{ROOT}/{folder}", tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
-    names = ["tests/test_entry.py", "tests/test_sources.py", "tests/test_streaming.py"]
+    names = ["tests/test_entry.py", "tests/test_sources.py", "tests/test_operators.py"]
+    every = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False)
+    assert every.returncode == 0 and "test_queries" in every.stdout, every.stdout[-2000:]
     out = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", *names], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=False)
     assert out.returncode == 0, out.stdout[-2000:]
 

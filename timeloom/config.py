@@ -47,7 +47,8 @@ LABELS = {
 DROP_MS = {"very_tight": 600, "tight": 800, "medium": 1100, "gentle": 1800}
 DEFAULT_DROP_MS = 500
 DEFAULT_LABEL = "quote"
-REFRAME_MODES = ("speaker", "stacked", "center", "fit")
+# Modes, and words of a caption line by style.
+REFRAME_MODES = ("speaker", "center", "stacked", "fit")
 PLAN_MODES = ("auto", "by_label", "by_topic", "montage", "supercut")
 WORDS_PER_LINE = {"key_phrase": 4, "punchline": 4, "dual_speaker": 5, "minimal": 3, "sparse": 3}
 DEFAULT_WORDS_PER_LINE = 4
