@@ -73,19 +73,18 @@ _ORDER = ("turn", "role", "cost", "text")
 def _prefix_sums(turns: DataFrame) -> DataFrame:
     """``turns`` with ``is_system``, ``place`` (from 0), ``before`` (the cost of all turns before but the system turn) and ``whole``
     (of all turns but that one). What is joined is a row for each block."""
-    rows = turns.withColumn("block", F.floor(F.col("turn") / BLOCK).cast("bigint"))
-    sums = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("cost").alias("sum"), F.min(F.struct(*_ORDER[:3])).alias("first"))
-    every = Window.partitionBy("conv_id")
-    earlier = every.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct is the key of the sums, the window and the join, so that texts are shuffled once; nulls in it are equal
+    rows = turns.withColumn("on", F.struct("conv_id", F.floor(F.col("turn") / BLOCK).cast("bigint").alias("block")))
+    sums = rows.groupBy("on").agg(F.count("*").alias("n"), F.sum("cost").alias("sum"), F.min(F.struct(*_ORDER[:3])).alias("first"))
+    every = Window.partitionBy("on.conv_id")
+    earlier = every.orderBy("on.block").rowsBetween(Window.unboundedPreceding, -1)
     first = F.min("first").over(every)
     carried = sums.select(
-        F.col("conv_id").alias("c_conv"), F.col("block").alias("c_block"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("c_n"),
-        F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("c_sum"), F.sum("sum").over(every).alias("c_all"),
-        F.when(first["role"] == SYSTEM, first["cost"]).otherwise(F.lit(0)).alias("c_system"))
-    order = Window.partitionBy("conv_id", "block").orderBy(*_ORDER)
+        "on", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("c_n"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("c_sum"),
+        F.sum("sum").over(every).alias("c_all"), F.when(first["role"] == SYSTEM, first["cost"]).otherwise(F.lit(0)).alias("c_system"))
+    order = Window.partitionBy("on").orderBy(*_ORDER)
     until = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"l_n": F.row_number().over(order) - 1, "l_sum": F.coalesce(F.sum("cost").over(until), F.lit(0))})
-    rows = rows.join(carried, F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("block").eqNullSafe(F.col("c_block")))
+    rows = rows.withColumns({"l_n": F.row_number().over(order) - 1, "l_sum": F.coalesce(F.sum("cost").over(until), F.lit(0))}).join(carried, "on")
     place = F.col("c_n") + F.col("l_n")
     return rows.select(
         *turns.columns, place.alias("place"), ((place == 0) & (F.col("role") == SYSTEM)).alias("is_system"),
