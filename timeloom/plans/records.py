@@ -426,7 +426,7 @@ def late_events(spark, sf):
     told = lambda *x: F.array(*map(F.lit, x))
     steps = F.when(k % 3 == 0, told("queued", "running", "done", "running")).when(k % 3 == 1, told("running", "queued", "failed")).otherwise(told("queued", "done"))
     rows = table(spark, sf, "customer").select(k.cast("bigint").alias("job_id"), F.posexplode(steps).alias("i", "status"))
-    rows = rows.select("job_id", "status", F.timestamp_seconds(F.col("i") * 60).alias("ts"), F.when(F.col("i") % 2 == 1, 0).otherwise(1).alias("batch_"))
+    rows = rows.select("job_id", "status", F.timestamp_seconds(F.col("i") * 60 + 1000).alias("ts"), F.when(F.col("i") % 2 == 1, 0).otherwise(1).alias("batch_"))
     end = spark.range(2).select(F.lit(-1).cast("bigint").alias("job_id"), F.lit("queued").alias("status"), F.timestamp_seconds(F.lit(10**6)).alias("ts"), (F.col("id") + 2).cast("int").alias("batch_"))
     stream, path = _arriving(spark, rows.unionByName(end), "late-in", 4), scratch(spark, "late")
     _ran(job_lifecycle(stream).writeStream.format("parquet"), path, path=path)
