@@ -112,6 +112,15 @@ def test_an_index_equals_its_rebuild_after_each_batch(spark, tmp_path):
         assert {(r.entity_id, r.kind): r.project for r in U.read_table(spark, path, U.INDEX).collect()} == want
     written = os.listdir(f"{path}/data/version={max(int(x.split('=')[1]) for x in os.listdir(path + '/data'))}")
     assert sum(x.startswith("bucket=") for x in written) <= 30
+    # old versions go, what is read stays, and the last batch can still be replayed
+    U.vacuum(spark, path)
+    assert len(os.listdir(f"{path}/list")) == 2
+    for _ in range(2):
+        assert {(r.entity_id, r.kind): r.project for r in U.read_table(spark, path, U.INDEX).collect()} == want
+        apply(batch, batch_id)
+    more = [("new", "clip", "p0")]
+    apply(spark.createDataFrame(more, U.INDEX), 10)
+    assert U.read_table(spark, path, U.INDEX).filter("entity_id = 'new'").count() == 1 and U.vacuum(spark, path) >= 0
 
 
 def test_a_word_timed_file_that_comes_late(spark, tmp_path):

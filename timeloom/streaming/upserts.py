@@ -78,6 +78,18 @@ def _buckets(spark: SparkSession, path: str) -> list[int]:
     return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
 
 
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Deletes versions that neither the newest list names nor the one before it, from which a replay of the newest batch starts; returns
+    how many. Readers of older lists must be done."""
+    lists = _folders(spark, f"{path}/list", "batch=")
+    kept = {v for n in lists[-2:] for v in _versions(spark, path, before=n + 1).values()}
+    gone = [f"{path}/list/batch={n}" for n in lists[:-2]] + [f"{path}/data/version={v}" for v in _folders(spark, f"{path}/data", "version=") if v not in kept and lists and v < lists[-1]]
+    for folder in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return sum("/data/" in g for g in gone)
+
+
 INDEX = "entity_id string, kind string, project string"
 
 
