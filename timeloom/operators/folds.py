@@ -54,7 +54,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], fi
     step = f"CASE WHEN {_of(joins)} THEN named_struct('done', acc.done, 'cur', acc.cur, 'p', {_of(merged)}) ELSE named_struct({appended('acc', 'acc.p')}, 'p', {first}) END"
     folded = F.expr(
         f"aggregate(slice(rows_, 2, size(rows_)), named_struct('done', CAST(array() AS array<array<{kind}>>), 'cur', CAST(array() AS array<{kind}>), 'p', CAST({start} AS {kind})), "
-        f"(acc, x) -> CAST({step} AS struct<done:array<array<{kind}>>,cur:array<{kind}>,p:{kind}>), acc -> concat(flatten(acc.done), acc.cur, array(acc.p)))"
+        f"(acc, x) -> {step}, acc -> concat(flatten(acc.done), acc.cur, array(acc.p)))"
     )
     return rows.select(*keys, F.explode(folded).alias("p_")).select(*keys, "p_.*")
 
@@ -84,19 +84,21 @@ def fold_chunks(df: DataFrame, keys: list[str], order: list[str], fields: list[s
     the chunk after it, in rounds that end when no last row changes. A round costs what the chunks that it mends cost. What is in memory at once is a chunk; no key and no island is. ``order`` must be total. Keys may be null.
     """
     rest = [c for c in fields if c not in order]
-    rows = df.select(F.struct(*keys).alias("key_"), F.floor(F.col(order[0]) / width).alias("chunk_"), F.struct(*order, *rest).alias("row_"))
-    rows = rows.groupBy("key_", "chunk_").agg(F.collect_list("row_").alias("rows_"))
+    # one struct is the key of chunks and of the joins with them, so that rows are shuffled once
+    on = F.struct(F.struct(*keys).alias("key_"), F.floor(F.col(order[0]) / width).alias("chunk_"))
+    rows = df.select(on.alias("on_"), F.struct(*order, *rest).alias("row_")).groupBy("on_").agg(F.collect_list("row_").alias("rows_"))
     by = " ".join(f"WHEN a.{c} < b.{c} THEN -1 WHEN a.{c} > b.{c} THEN 1" for c in order)
-    chunks = cut(rows.withColumn("rows_", F.expr(f"array_sort(rows_, (a, b) -> CASE {by} ELSE 0 END)")))
+    rows = rows.withColumn("rows_", F.expr(f"array_sort(rows_, (a, b) -> CASE {by} ELSE 0 END)"))
     start = first.replace("x.", "rows_[0].")
-    kind = chunks.select(F.expr(start).alias("s")).schema["s"].dataType.simpleString()
+    kind = rows.select(F.expr(start).alias("s")).schema["s"].dataType.simpleString()
     last = f"aggregate(slice(rows_, {{0}}, size(rows_)), CAST({{1}} AS {kind}), (p, x) -> CAST(IF({joins}, {merged}, {first}) AS {kind}))"
     meets = joins.replace("x.", "head_.")
     meets = re.sub(r"(?<![A-Za-z_.])p(?=[.,) ])", "in_", meets)
     none = F.lit(None).cast(kind)
-    state = chunks.select("key_", "chunk_", F.col("rows_")[0].alias("head_"), F.expr(last.format(2, start)).alias("guess_")).withColumns({"in_": none, "out_": F.col("guess_")})
-    state = cut(state)
-    before = Window.partitionBy("key_").orderBy("chunk_")
+    chunks = cut(rows.withColumns({"head_": F.col("rows_")[0], "guess_": F.expr(last.format(2, start))}))
+    state = chunks.select("on_", "head_", "guess_").withColumns({"in_": none, "out_": F.col("guess_")})
+    whole = chunks.select("on_", "rows_")
+    before = Window.partitionBy("on_.key_").orderBy("on_.chunk_")
     # maps cannot be compared, their text can
     plain = lambda c: F.to_json(c) if "map<" in kind else F.col(c)
     while True:
@@ -104,21 +106,20 @@ def fold_chunks(df: DataFrame, keys: list[str], order: list[str], fields: list[s
         handed = ~plain("in_").eqNullSafe(plain("was_"))
         again = handed & F.coalesce(F.expr(meets), F.lit(False))
         kept = now.filter(~again).withColumn("out_", F.when(handed, F.col("guess_")).otherwise(F.col("out_")))
-        on = F.struct("key_", "chunk_")
-        mended = now.filter(again).withColumn("on_", on).join(chunks.select(on.alias("on_"), "rows_"), "on_").withColumn("out_", F.expr(last.format(1, "in_")))
-        columns = ["key_", "chunk_", "head_", "guess_", "in_", "out_", (~plain("out_").eqNullSafe(plain("old_"))).alias("moved_")]
+        mended = now.filter(again).join(whole, "on_").withColumn("out_", F.expr(last.format(1, "in_")))
+        columns = ["on_", "head_", "guess_", "in_", "out_", (~plain("out_").eqNullSafe(plain("old_"))).alias("moved_")]
         state = cut(kept.select(*columns).unionByName(mended.select(*columns)))
         if state.filter("moved_").isEmpty():
             break
-    ends = state.select(F.struct("key_", "chunk_").alias("on_"), "in_", F.lead("chunk_").over(before).isNull().alias("end_"))
+    ends = state.select("on_", "in_", F.lead("on_.chunk_").over(before).isNull().alias("end_"))
     step = f"CASE WHEN {_of(joins)} THEN named_struct('done', acc.done, 'cur', acc.cur, 'p', {_of(merged)}) ELSE named_struct({appended('acc', 'acc.p')}, 'p', {first}) END"
     folded = F.expr(
         f"aggregate(IF(in_ IS NULL, slice(rows_, 2, size(rows_)), rows_), named_struct('done', CAST(array() AS array<array<{kind}>>), 'cur', CAST(array() AS array<{kind}>), 'p', CAST(coalesce(in_, {start}) AS {kind})), "
-        f"(acc, x) -> CAST({step} AS struct<done:array<array<{kind}>>,cur:array<{kind}>,p:{kind}>), acc -> concat(flatten(acc.done), acc.cur, IF(end_, array(acc.p), CAST(array() AS array<{kind}>))))"
+        f"(acc, x) -> {step}, acc -> concat(flatten(acc.done), acc.cur, IF(end_, array(acc.p), CAST(array() AS array<{kind}>))))"
     )
     # a chunk gives the rows that were done in it; its last one is the next chunk's to give, or its own at the end
-    out = chunks.withColumn("on_", F.struct("key_", "chunk_")).join(ends, "on_")
-    return out.select("key_", F.explode(folded).alias("p_")).select("key_.*", "p_.*")
+    # merged whatever the sizes: were chunks small enough to be broadcast, the few tasks of ``ends`` would do all the folding
+    return whole.hint("merge").join(ends, "on_").select("on_.key_", F.explode(folded).alias("p_")).select("key_.*", "p_.*")
 
 
 def _of(merged: str) -> str:
