@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from array import array
 
 import public_tokenizers
@@ -11,6 +12,9 @@ from timeloom.llm import bpe
 from .cases import TEXTS, frame
 
 
+BYTES = {b: c for c, b in bpe._byte_alphabet().items()}
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -86,3 +90,48 @@ def test_very_long_pieces(library, encoder):
     for t in (" " * 1_000_000, "x" * 300_000, "many words " * 50_000, "\n" * 300_000 + "é\u4e2d"):
         ids = encoder.encode(t)
         assert list(array("I", ids)) == library.encode(t, add_special_tokens=False).ids and encoder.decode(ids) == t
+
+
+def words(n, low=1, high=16, letters="abcdefghijklmnopqrstuvwxyzé-中😀"):
+    made = random.Random(11)
+    return ["".join(made.choices(letters, k=made.randint(low, high))) for _ in range(n)]
+
+
+def test_new_pieces_do_not_cost_a_walk_each(library):
+    text = " ".join(words(40_000, 4, 14, "abcdefghijklmnopqrstuvwxyzé"))
+    tables = bpe.pack_tables(bpe.Vocabulary())
+    fresh, walker = bpe.Encoder(tables), bpe.Encoder(tables)
+    pieces = {p.encode() for p in fresh.split(text)}
+    began = time.process_time()
+    ids = fresh.encode(text)
+    together = time.process_time() - began
+    assert list(array("I", ids)) == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    for p in pieces:
+        walker.encode_bytes(p)
+    assert together < (time.process_time() - began) / 1.5
+
+
+def test_steps_and_walks_agree(library, encoder):
+    pieces = [p.encode() for p in {*words(3000), *words(300, 20, 64), *("x" * n for n in range(1, 65))}]
+    want = [library.model.tokenize("".join(BYTES[c] for c in p)) for p in pieces]
+    assert [list(array("I", x)) for x in encoder.encode_pieces(pieces)] == [encoder.encode_bytes(p) for p in pieces] == [[t.id for t in x] for x in want]
+
+
+def test_texts_with_more_pieces_than_are_kept(library, encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 700)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 64)
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 100)
+    fresh = bpe.Encoder(bpe.pack_tables(bpe.Vocabulary()))
+    texts = [None, " ".join(words(5000)), "", "y" * 200 + " <|endoftext|> y<|endoftext|>" + "y" * 200, *words(900), " ".join(words(900))]
+    for some in (texts, texts[1:4], texts[::-1]):
+        out = fresh.encode_all(some)
+        assert len(fresh.pieces) <= 700 and not any(len(p) > bpe.LONGEST_KEPT for p in fresh.pieces)
+        assert [list(array("I", x)) for x in out] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [fresh.decode(x) for x in out] == [t or "" for t in some]
+
+
+def test_unknown_ids_are_an_error(encoder):
+    for ids in ([50257], [0, 4_000_000_000]):
+        with pytest.raises((KeyError, IndexError)):
+            encoder.decode(array("I", ids).tobytes())
