@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import KNOBS
 from ..operators import candidates as C
+from ..operators import sweeps as SW
 from ..operators import windows as W
 from . import adapter as A
 from .adapter import CAND_SQL, LONG_SQL, SEG_SQL, TIMELINE_SQL, WORDS_SQL
@@ -156,8 +157,8 @@ def mixed_intervals(spark, sf):
     """Stays and visits of an hour to a week at a place that overlap."""
     at = F.col("at_ms")
     visits = _calls(spark, sf).select("place", "o_orderkey", at.alias("v_from"), (at + F.when(F.col("o_orderkey") % 2 == 0, 3_600_000).otherwise(604_800_000)).alias("v_till"))
-    met = W.interval_join(visits, _stays(spark, sf), ["place"], ("v_from", "v_till"), ("from_ms", "till_ms"))
-    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_stays"), F.sum(F.least("v_till", "till_ms") - F.greatest("v_from", "from_ms")).alias("shared_ms"))
+    met = SW.overlap_totals(visits, _stays(spark, sf), ["place"], ("v_from", "v_till"), ("from_ms", "till_ms"), ["o_orderkey"])
+    return met.select("o_orderkey", F.col("n").alias("n_stays"), F.col("shared").alias("shared_ms"))
 
 
 MIXED_INTERVALS_SQL = f"""WITH {_STAYS}, visits AS (SELECT *, at_ms + CASE WHEN o_orderkey % 2 = 0 THEN 3600000 ELSE 604800000 END AS v_till FROM calls)
