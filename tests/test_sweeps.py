@@ -39,7 +39,7 @@ def test_totals_equal_those_of_all_pairs(spark, width, most):
     assert {r.g: (r.n, r.shared) for r in got.collect()} == met
 
 
-@pytest.mark.parametrize("name", ["mixed_intervals"])
+@pytest.mark.parametrize("name", ["mixed_points", "mixed_intervals"])
 def test_no_pair_is_made(spark, small, name):
     """Rows of stays and calls meet in no join; their places on the timeline are shuffled once."""
     df = QUERIES[name](spark, small)

@@ -146,8 +146,8 @@ def _calls(spark, sf):
 
 def mixed_points(spark, sf):
     """Orders at a place, and the stays there at that time, however long these are."""
-    met = W.point_join(_calls(spark, sf), _stays(spark, sf), ["place"], "at_ms", ("from_ms", "till_ms"))
-    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_stays"), F.min("from_ms").alias("first_ms"), F.max("till_ms").alias("last_ms"))
+    held = SW.point_totals(_calls(spark, sf), _stays(spark, sf), ["place"], "at_ms", ("from_ms", "till_ms"), ["o_orderkey"])
+    return held.select("o_orderkey", F.col("n").alias("n_stays"), F.col("first_start").alias("first_ms"), F.col("last_end").alias("last_ms"))
 
 
 MIXED_POINTS_SQL = f"""WITH {_STAYS} SELECT o_orderkey, count(*) AS n_stays, min(from_ms) AS first_ms, max(till_ms) AS last_ms FROM calls c JOIN stays s ON c.place = s.place AND from_ms <= at_ms AND at_ms < till_ms GROUP BY o_orderkey"""
