@@ -142,3 +142,16 @@ def test_a_word_timed_file_that_comes_late(spark, tmp_path):
     put("c", "a.vtt"), put("b", "a.json3")
     want = {r.source_id: r.raw for r in read_captions(spark, str(folder)).collect()}
     assert ingest() == want == {"a": "a y.json3", "b": "b a.json3", "c": "c a.vtt"}
+
+
+def test_expiries_before_1970(spark, tmp_path):
+    """A watermark starts at 1970; exports and expiries before that are told like any other, in their order."""
+    hour, years = 3600, 365 * 86_400
+    at = [-1900 * years, -555 * years, -40 * years, -3 * hour, -hour, 0, 5 * hour]
+    first = [(i, t * 1000, 2, t) for i, t in enumerate(at)]
+    batches = [first[:4], [*first[4:], (3, 6 * hour * 1000, 1, 6 * hour)], [(-1, 0, 10**6, 6 * hour + 60)], [(-1, 0, 10**6, 6 * hour + 61)]]
+    stream = stream_of(spark, str(tmp_path / "in"), "export_id long, created_ms long, ttl_hours long, t long", batches)
+    with E.rocks(spark):
+        out = run(E.expiries(stream), "append", "expiries_before_1970", spark, tmp_path)
+    assert {(r.export_id, r.expires_ms) for r in out} == {(i, (t + 2 * hour) * 1000) for i, t in enumerate(at) if i not in (3, 6)}
+    assert len(out) == 5

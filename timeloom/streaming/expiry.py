@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-EXPIRIES = "export_id long, expires_ms long"
+EXPIRIES = StructType([StructField("export_id", LongType()), StructField("expires_ms", LongType())])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: From the year 1 to 1970. A watermark starts at 1970 and takes all before it as late, so the stream's clock is this much ahead of the events'.
+AHEAD_MS = 62_135_596_800_000
 
 
 class Expiry(StatefulProcessor):
@@ -21,21 +23,23 @@ class Expiry(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", StructType([StructField("created_ms", LongType()), StructField("expires_ms", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = max((int(r.created_ms), int(r.created_ms + r.ttl_hours * 3_600_000)) for part in rows for r in part.itertuples())
-        was = tuple(self.held.get()) if self.held.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max((r.created_ms, r.created_ms + r.ttl_hours * 3_600_000) for r in rows)
+        held = self.held.get()
+        was = tuple(held) if held is not None else None
         if was is None or best > was:
             if was:
-                self.handle.deleteTimer(was[1])
+                self.handle.deleteTimer(was[1] + AHEAD_MS)
             self.held.update(best)
-            self.handle.registerTimer(best[1])
+            self.handle.registerTimer(best[1] + AHEAD_MS)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.held.exists() and self.held.get()[1] == at:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - AHEAD_MS
+        held = self.held.get()
+        if held is not None and held[1] == at:
             self.held.clear()
-            yield pd.DataFrame({"export_id": [key[0]], "expires_ms": [at]})
+            yield Row(export_id=key[0], expires_ms=at)
 
     def close(self) -> None:
         pass
@@ -43,8 +47,9 @@ class Expiry(StatefulProcessor):
 
 def expiries(exports: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(export_id, expires_ms) of a stream (export_id, created_ms, ttl_hours, ts) once its watermark on ``ts`` is past that time: what
-    ``expired_exports`` tells of the newest row of each id. Needs the state store of ``rocks``."""
-    return exports.withWatermark("ts", delay).groupBy("export_id").transformWithStateInPandas(Expiry(), EXPIRIES, "append", "eventtime")
+    ``expired_exports`` tells of the newest row of each id. ``ts`` is from the year 1 to 8000. Needs the state store of ``rocks``."""
+    timed = exports.select("export_id", "created_ms", "ttl_hours", F.timestamp_micros(F.unix_micros("ts") + AHEAD_MS * 1000).alias("ts"))
+    return timed.withWatermark("ts", delay).groupBy("export_id").transformWithState(Expiry(), EXPIRIES, "append", "eventtime")
 
 
 class rocks:
