@@ -5,6 +5,7 @@ import pytest
 
 from timeloom.operators import planning as P
 from timeloom.operators import windows as W
+from timeloom.plans.registry import QUERIES
 
 SPANS, SEGMENTS = "source_id long, candidate_id long, start_ms long, end_ms long", "source_id long, seq long, start_ms long, end_ms long, text string"
 
@@ -37,3 +38,8 @@ def test_no_text_is_shuffled_for_a_span(spark):
     assert not re.search(r"Aggregate\(keys?=\[[^\]]*candidate_id", plan)
     plan = P.top_phrases(W.span_text(spans, segs, how="inner"), lambda more: W.span_text(spans, segs, also=more))._jdf.queryExecution().executedPlan().toString()
     assert "st_rows" in plan and not re.search(r"Aggregate\(keys?=\[[^\]]*candidate_id", plan)
+
+
+def test_supercuts_shuffle_no_text_for_a_span(spark, small):
+    plan = QUERIES["plan_supercut"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "st_rows" in plan and not re.search(r"Aggregate\(keys?=\[[^\]]*candidate_id", plan)
